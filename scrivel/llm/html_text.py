@@ -179,7 +179,7 @@ def score(elements: list[Element], least: int) -> Element | None:
             e.parent.text_chars += e.text_chars
             e.parent.link_chars += e.link_chars
     for e in elements:
-        if e.tag not in BLOCK or e.tag in ("html",):
+        if e.tag not in BLOCK and e.parent is not None or e.tag == "html":
             continue
         own = _own_text(e)
         if len(own) < least:

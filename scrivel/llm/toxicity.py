@@ -27,6 +27,8 @@ SAMPLE_ROWS = 8000
 FEATURES = 256
 STEPS = 400
 THRESHOLD = 0.7
+LEAST_ERRORS = 5.0
+DECAY = 1e-4
 BEGINNINGS = (4, 5, 6, 7)
 _TRIM = b".,;:!?|()\"'[]{}<>*#$%&"
 
@@ -75,8 +77,8 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def choose_features(texts: list[bytes], positive: np.ndarray, most: int = FEATURES) -> dict[bytes, int]:
-    """The features whose share of positive texts is furthest above that of all, in standard errors; at least 4 positives have them."""
+def choose_features(texts: list[bytes], positive: np.ndarray, most: int = FEATURES, least: float = LEAST_ERRORS) -> dict[bytes, int]:
+    """The features whose share of positive texts is furthest above that of all, `least` standard errors or more; at least 4 positives have them."""
     sets = lambda t: {f for w in set(t.split()) for f in features_of(w)}
     in_p: Counter = Counter()
     for t, p in zip(texts, positive, strict=True):
@@ -88,17 +90,19 @@ def choose_features(texts: list[bytes], positive: np.ndarray, most: int = FEATUR
         in_u.update(sets(t) & in_p.keys())
     n, n_p = len(texts), max(1, int(positive.sum()))
     value = {f: (a / n_p - in_u[f] / n) / np.sqrt(max(in_u[f] / n * (1 - in_u[f] / n), 1e-9) / n_p) for f, a in in_p.items()}
-    best = sorted(value, key=lambda f: (-value[f], f))[:most]
+    best = sorted((f for f in value if value[f] >= least), key=lambda f: (-value[f], f))[:most]
     return {f: k for k, f in enumerate(best)}
 
 
-def fit(texts: list[bytes], positive: np.ndarray, features: int = FEATURES, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> Classifier:
-    """A classifier by the non-negative risk; without positives (or texts) it scores every text 0."""
+def fit(texts: list[bytes], positive: np.ndarray, features: int = FEATURES, steps: int = STEPS, rate: float = 0.05, decay: float = DECAY, prior: float | None = None) -> Classifier:
+    """A classifier by the non-negative risk; without positives (or texts) it scores every text 0. prior: the share of toxic texts, if the
+    positives' share of the sample isn't it."""
     if not len(texts) or not positive.any():
         return Classifier({}, np.zeros(0, dtype=np.float32), -50.0)
     known = choose_features(texts, positive, features)
     x = np.concatenate([inputs(*count_features(texts[k : k + 500], known)) for k in range(0, len(texts), 500)])
-    prior, n, n_p = float(positive.mean()), len(texts), int(positive.sum())
+    n, n_p = len(texts), int(positive.sum())
+    prior = n_p / n if prior is None else prior
     w, b = np.zeros(x.shape[1]), -2.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     x_p = x[positive]
