@@ -25,13 +25,21 @@ from scrivel.llm.common import persist, prepare, whole_text
 from scrivel.llm.tokens import _SPACE, slices, text_bytes
 
 WIDTH = 20
-MER = 4
-BUCKET_BYTES = 4_000_000
+MER = 3
+BUCKET_BYTES = 2_000_000
+#: Words of the longer runs by which the windows of a very common minimiser are dealt, and the most such minimisers.
+LONG_MER = 12
+MOST_HOT = 50_000
+#: The share of texts (by hash) that is read to find common minimisers. It moves load only: results don't depend on it.
+HOT_SHARE = 16
 _LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+NO_HOT = np.zeros(0, dtype=np.uint64)
+
+
 def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the words in a byte array."""
     space = _SPACE[data]
@@ -69,11 +77,21 @@ def minimisers(codes: np.ndarray, words: list[bytes], width: int, mer: int) -> n
     return x
 
 
+def bucket_keys(codes: np.ndarray, words: list[bytes], window: np.ndarray, width: int, mer: int, hot: np.ndarray) -> np.ndarray:
+    """What decides the bucket of each window: its minimiser, or the one of longer runs where that is in hot (sorted)."""
+    low = minimisers(codes, words, width, mer)[window]
+    if len(hot):
+        common = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
+        if common.any():
+            low = np.where(common, mixed(low ^ minimisers(codes, words, width, min(LONG_MER, width))[window]), low)
+    return low
+
+
 def blob(doc: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray, text: bytes, repeats: np.ndarray) -> bytes:
     """Super-k-mers of one bucket: places, byte sizes and strings; and runs of windows known to be repeats (4 rows: doc, key, start, n)."""
     head = struct.pack("<QQQ", len(doc), repeats.shape[1], len(text))
     raw = head + b"".join(np.ascontiguousarray(x, dtype="<i8").tobytes() for x in (doc, key, start, size, repeats)) + text
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def unblob(data: bytes) -> tuple[np.ndarray, bytes, np.ndarray]:
@@ -84,7 +102,7 @@ def unblob(data: bytes) -> tuple[np.ndarray, bytes, np.ndarray]:
     return places, raw[24 + 32 * (n + m) :], repeats
 
 
-def super_kmers(texts: list[bytes], docs: np.ndarray, keys: np.ndarray, buckets: int, width: int = WIDTH, mer: int = MER) -> Iterator[tuple[int, bytes]]:
+def super_kmers(texts: list[bytes], docs: np.ndarray, keys: np.ndarray, buckets: int, width: int = WIDTH, mer: int = MER, hot: np.ndarray = NO_HOT) -> Iterator[tuple[int, bytes]]:
     """(bucket, blob) for the super-k-mers of these texts; docs and keys say which row each text is."""
     raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     starts, ends = word_places(raw)
@@ -93,10 +111,9 @@ def super_kmers(texts: list[bytes], docs: np.ndarray, keys: np.ndarray, buckets:
     if not len(starts) or np.diff(first).max() < width:
         return
     codes, words = numbered(raw, starts, ends)
-    low = minimisers(codes, words, width, mer)
     row = np.repeat(np.arange(len(texts)), np.diff(first))
     window = np.flatnonzero(np.arange(len(row)) + width <= first[1:][row])
-    low = low[window]
+    low = bucket_keys(codes, words, window, width, mer, hot)
     cut = np.concatenate(([True], (window[1:] != window[:-1] + 1) | (low[1:] != low[:-1])))
     at = np.flatnonzero(cut)
     a = window[at]
@@ -180,6 +197,29 @@ def repeated_windows(blobs: list[bytes], width: int = WIDTH) -> np.ndarray:
     return np.concatenate([known, np.stack([doc[run[s]], key[run[s]], start[run[s]] + step[s], n])], axis=1)
 
 
+def common_minimisers(rows: DataFrame, buckets: int, width: int, mer: int) -> np.ndarray:
+    """Minimisers that have over a quarter of a bucket's share of windows, by one text in HOT_SHARE; at most MOST_HOT."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 12_000_000):
+                texts = text_bytes(batch.column("text"))
+                raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+                starts, ends = word_places(raw)
+                if len(starts) < width:
+                    continue
+                codes, words = numbered(raw, starts, ends)
+                low, n = np.unique(minimisers(codes, words, width, mer), return_counts=True)
+                often = n >= 4
+                yield pa.RecordBatch.from_arrays([pa.array(low[often].view(np.int64)), pa.array(n[often])], ["low", "n"])
+
+    sample = rows.where(F.pmod("text_hash", F.lit(HOT_SHARE)) == 0).select("text")
+    total = sample.agg(F.sum(F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]+")))).first()[0] or 0
+    found = sample.mapInArrow(count, "low long, n long").groupBy("low").agg(F.sum("n").alias("n")).where(F.col("n") > max(40, total // (4 * buckets)))
+    hot = [r.low for r in found.orderBy(F.col("n").desc(), "low").limit(MOST_HOT).collect()]
+    return np.sort(np.array(hot, dtype=np.int64).view(np.uint64))
+
+
 def repeats(docs: DataFrame, width: int = WIDTH, mer: int = MER, bucket_bytes: int = BUCKET_BYTES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id (nulls as the largest long), text_hash, start and n: runs of windows of that row whose words also start earlier."""
     prepare(docs.sparkSession)
@@ -187,10 +227,12 @@ def repeats(docs: DataFrame, width: int = WIDTH, mer: int = MER, bucket_bytes: i
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, min(total // bucket_bytes + 1, 1 << 30))
 
+    hot = common_minimisers(rows, buckets, width, mer)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 12_000_000):
-                found = list(super_kmers(text_bytes(batch.column("text")), *(batch.column(c).to_numpy() for c in ("doc_id", "text_hash")), buckets, width, mer))
+            for batch in slices(whole, "text", 8_000_000):
+                found = list(super_kmers(text_bytes(batch.column("text")), *(batch.column(c).to_numpy() for c in ("doc_id", "text_hash")), buckets, width, mer, hot))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["bucket", "blob"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -149,7 +149,7 @@ def brute_repeats(rows, width):
     return sorted(out)
 
 
-def test_substrings(docs, rows, odd, empty):
+def test_substrings(docs, rows, odd, empty, monkeypatch):
     def run(frame, **options):
         return sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame, **options).collect())
 
@@ -158,6 +158,12 @@ def test_substrings(docs, rows, odd, empty):
     assert run(docs) == want
     assert run(docs, bucket_bytes=500) == want
     assert run(docs, width=6, mer=2, bucket_bytes=300) == brute_repeats(rows, 6)
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 1)
+    hot = substring_dedup.common_minimisers(substring_dedup.rows_of(docs, "doc_id", "text"), 400, 20, 3)
+    assert len(hot)
+    monkeypatch.setattr(substring_dedup, "common_minimisers", lambda *a: hot)
+    assert run(docs, bucket_bytes=500) == want
+    monkeypatch.undo()
     assert run(odd) == brute_repeats([tuple(r) for r in odd.collect()], 20)
     assert run(empty) == []
 

@@ -183,7 +183,7 @@ def test_toxicity(spark, docs, odd, empty):
     assert (held.predicted[toxic].mean() >= 0.85) and (held.predicted[~toxic].mean() <= 0.01)
     order = held.score.rank()
     n1, n0 = toxic.sum(), (~toxic).sum()
-    assert (order[toxic].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.97
+    assert (order[toxic].sum() - n1 * (n1 + 1) / 2) / (n1 * n0) > 0.96
     got = toxicity.score(odd, model).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
