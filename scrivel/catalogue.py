@@ -1,4 +1,624 @@
-"""The queries of the engine's own operators and the same results in SQL."""
+"""The queries of the engine's own operators, named by the operators they run, and the same results in SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from scrivel.functions import dates
+from scrivel.functions import rules as R
+from scrivel.functions import text as T
+from scrivel.operators import layout, lines, matching, parsers, records, scoring
+from scrivel.plans.inputs import BLOCKS, FORM, KEY, NAMES, PLACE, made, pick, q, table
+from scrivel.streaming import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+c = F.col
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def put(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return put
+
+
+def sql_list(words) -> str:
+    return ", ".join(q(w) for w in words)
+
+
+def re2(pattern: str) -> str:
+    """A pattern of the rules for DuckDB: flags that RE2 knows."""
+    return pattern.replace("(?iu)", "(?i)")
+
+
+def sql_any(column: str, patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches({column}, {q(re2(p))})" for p in patterns) + ")"
+
+
+NOISE_SQL = lambda x: f"(trim({x}) = '' OR {sql_any(f'trim({x})', R.NOISE)})"
+LABEL_SQL = lambda x: f"(trim({x}) <> '' AND {sql_any(f'trim({x})', R.FORM_LABELS)})"
+FOLD_SQL = lambda x: f"lower(strip_accents({x}))"
+NORM_SQL = lambda x: f"trim(regexp_replace(regexp_replace({FOLD_SQL(x)}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+INTL = r"(?:^|[^a-zA-Z\d])(\(?\+\d{1,3}\)?[\s.\-]*(?:\(?\d{1,4}\)?[\s.\-]*)?\d(?:[\s.\-]*\d){5,11})(?:[^\d]|$)"
+
+
+# -- contacts: the flagship -------------------------------------------------------------------------------------------
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise lines off, first email and phone of each document, format checks, sums by source. One scan, one partial aggregate."""
+    docs = table(spark, sf_dir, "documents")
+    ls = F.filter(F.split("text", "\n"), lambda x: ~T.is_noise(x))
+    d = docs.select("source", F.size(ls).alias("lines"), F.get(T.found(c("text"), R.EMAIL), F.lit(0)).alias("email"), F.get(T.found(c("text"), R.PHONE_INTL), F.lit(0)).alias("phone"))
+    ok = c("email").rlike(R.VALID_EMAIL)
+    return d.groupBy("source").agg(F.count("*").alias("documents"), F.sum("lines").alias("lines"), F.count("email").alias("emails"), F.count_if(ok).alias("valid_emails"), F.count("phone").alias("phones"))
+
+
+query(f"""SELECT source, count(*) AS documents, CAST(sum(len(list_filter(string_split(text, chr(10)), lambda x: NOT {NOISE_SQL('x')}))) AS BIGINT) AS lines,
+ count(*) FILTER (regexp_matches(text, {q(R.EMAIL)})) AS emails, count(*) FILTER (regexp_matches(regexp_extract(text, {q(R.EMAIL)}), {q(R.VALID_EMAIL)})) AS valid_emails,
+ count(*) FILTER (regexp_matches(text, {q(INTL)})) AS phones FROM documents GROUP BY source""", "tvf18_contacts")(flagship)
+
+
+@query(f"SELECT doc_id, md5({FOLD_SQL('text')}) AS folded FROM documents")
+def str1_fold(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.fold(c("text"))).alias("folded"))
+
+
+@query(f"SELECT p_partkey, {NORM_SQL('p_name')} AS label, lower(trim(p_name)) AS plain FROM part")
+def str2_str3_label(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", T.label(c("p_name")).alias("label"), T.plain(c("p_name")).alias("plain"))
+
+
+@query(f"""WITH a AS (SELECT id, regexp_replace(trim(name), {q(R.HONORIFIC)}, '') AS f FROM {NAMES[1]}), b AS (SELECT id, f, list_filter(regexp_split_to_array(f, '\\s+'), lambda x: x <> '') AS w FROM a)
+SELECT id, f AS "full", w[1] AS "first", CASE WHEN len(w) > 2 THEN array_to_string(w[2:len(w) - 1], ' ') ELSE '' END AS middle, w[len(w)] AS "last" FROM b""")
+def str4_name(spark, sf):
+    return NAMES[0](spark, sf).select("id", T.name_parts(c("name")).alias("n")).select("id", "n.*")
+
+
+@query(f"""SELECT id, CASE WHEN name = upper(name) THEN array_to_string(list_transform(regexp_extract_all(name, '(\\p{{L}}+|[^\\p{{L}}]+)'), lambda w: concat(upper(w[1]), lower(w[2:]))), '') ELSE name END AS cased FROM {NAMES[1]}""")
+def str5_case(spark, sf):
+    return NAMES[0](spark, sf).select("id", T.name_case(c("name")).alias("cased"))
+
+
+@query(f"""WITH a AS (SELECT id, name, {FOLD_SQL('name')} AS f, list_filter(regexp_split_to_array(trim(name), '\\s+'), lambda x: x <> '') AS w FROM {NAMES[1]})
+SELECT id, NOT ({' OR '.join(f"contains(f, {q(p)})" for p in [*R.NAME_PHRASES, *R.ORG_WORDS])}) AND NOT regexp_matches(name, '[@*#{{}}\\[\\]()=+<>]') AND len(w) BETWEEN 2 AND 6
+ AND len(list_filter(w, lambda x: length(x) > 15)) = 0 AND len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{L}}+$'))) >= 2 AND len(list_filter(w, lambda x: length(x) = 1)) < 2 AS valid,
+ {FOLD_SQL('w[1]')} IN ({sql_list(R.FAMILY_NAMES)}) AS family_first FROM a""")
+def flt3_flt4_names(spark, sf):
+    return NAMES[0](spark, sf).select("id", T.is_name(c("name")).alias("valid"), T.is_family_name_first(c("name")).alias("family_first"))
+
+
+_SYN = made("customer", id="c_custkey", v=pick("c_custkey", f"concat('12 Street ', {KEY}, ' | Ngay sinh: 1')", q("- * bullet text "), q("•  point"), f"concat('ID', lpad({KEY}, 9, '7'))", q("short")))
+
+
+@query(f"""SELECT id, CASE WHEN length(v) > 6 THEN concat(left(v, 4), '...', right(v, 2)) ELSE v END AS masked, CASE WHEN contains(v, '|') THEN trim(split_part(v, '|', 1)) ELSE v END AS before_pipe,
+ trim(regexp_replace(v, '^[-•●○*+> ]+', '')) AS without_bullet, left(v, 7) AS cut FROM {_SYN[1]}""")
+def str6_str7_str8_flt15(spark, sf):
+    v = c("v")
+    return _SYN[0](spark, sf).select("id", T.masked(v).alias("masked"), T.before_pipe(v).alias("before_pipe"), T.without_bullet(v).alias("without_bullet"), F.left(v, F.lit(7)).alias("cut"))
+
+
+_REPLY = made("events", event_id="event_id", raw="concat('Here it is: ```json', chr(10), replace(props, '}', ',}'), chr(10), '``` done')", props="props")
+
+
+@query(f"SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, len(json_keys(props)) AS n_keys FROM {_REPLY[1]}")
+def str9_jsn1_reply(spark, sf):
+    m = F.from_json(T.json_object(c("raw")), "map<string,string>")
+    return _REPLY[0](spark, sf).select("event_id", F.get(F.map_values(m), F.lit(0)).alias("first_value"), F.size(m).cast("long").alias("n_keys"))
+
+
+@query(f"SELECT doc_id, concat('Fields: a, b', chr(10), chr(10), left(text, 12000), chr(10), chr(10), 'Lang: ', lang) AS prompt FROM documents")
+def str10_prompt(spark, sf):
+    pairs = F.array(F.struct(F.lit("Lang").alias("label"), c("lang").alias("value")))
+    return table(spark, sf, "documents").select("doc_id", T.prompt(c("text"), "Fields: a, b", pairs).alias("prompt"))
+
+
+@query(f"""SELECT doc_id, regexp_extract_all(text, {q(R.EMAIL)}) AS emails, len(regexp_extract_all(text, {q(INTL)}, 1)) AS n_phones FROM documents""")
+def rx1_rx3_documents(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.found(c("text"), R.EMAIL).alias("emails"), F.size(T.found(c("text"), R.PHONE_INTL)).cast("long").alias("n_phones"))
+
+
+@query(f"SELECT conv_id, turn, len(regexp_extract_all(text, {q(R.EMAIL)})) AS n FROM conversations")
+def rx1_conversations(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(T.found(c("text"), R.EMAIL)).cast("long").alias("n"))
+
+
+_NUMBERS = made("orders", id="o_orderkey", t="concat('call +84 9', lpad(cast(o_custkey as string), 8, '1'), ' or id ', lpad(cast(o_orderkey as string), 9, '3'), ', code 1', lpad(cast(o_custkey % 10000 as string), 4, '0'), ' ok')")
+
+
+@query(f"""SELECT id, regexp_extract(t, '(?:^|[^a-zA-Z\\d])((?:\\(?\\+?84\\)?[\\s.\\-]*|0)(?:[\\s.\\-]*\\d){{9,10}})(?:[^\\d]|$)', 1) AS phone, regexp_extract_all(t, {q(R.ID_NUMBER)}, 1) AS ids, len(regexp_extract_all(t, {q(R.PICKLIST_ID)})) AS codes FROM {_NUMBERS[1]}""")
+def rx2_rx6_rx14(spark, sf):
+    return _NUMBERS[0](spark, sf).select("id", T.phone(c("t")).alias("phone"), T.found(c("t"), R.ID_NUMBER, 1).alias("ids"), F.size(T.found(c("t"), R.PICKLIST_ID)).cast("long").alias("codes"))
+
+
+_Y, _M, _D = "cast(year(o_orderdate) as string)", "cast(month(o_orderdate) as string)", "cast(day(o_orderdate) as string)"
+_MON = "CASE month(o_orderdate) " + " ".join(f"WHEN {k + 1} THEN '{m}'" for k, m in enumerate("January February March April May June July August September October November December".split())) + " END"
+_DATED = made("orders", id="o_orderkey", t=pick("o_orderkey", f"concat('from (', {_D}, '/', {_M}, '/', {_Y}, ') on')", f"concat('in ', {_M}, '/', {_Y}, ' and T', {_M}, '/', {_Y})", f"concat({_Y}, ' - Present (', {_Y}, ')')", f"concat('T', {_M}, '/', {_Y}, ' – T12/2024')", f"concat('tháng ', {_M}, ' năm ', {_Y})", f"concat({_MON}, ' ', {_D}, ', ', {_Y}, ' — ', {_Y})"))
+
+
+@query(f"""SELECT id, regexp_extract_all(t, {q(re2(R.DATE))}) AS dates, regexp_extract(t, {q(re2(R.YEAR_RANGE))}, 1) AS y1, regexp_extract(t, {q(re2(R.YEAR_RANGE))}, 2) AS y2, regexp_extract(t, {q(re2(R.MONTH_RANGE))}, 1) AS m1,
+ regexp_extract(t, {q(R.PAREN_YEAR)}, 1) AS paren, regexp_extract(t, {q(R.PERIOD)}, 2) AS period_end FROM {_DATED[1]}""")
+def rx5_rx7_rx8_rx12_rx13(spark, sf):
+    t = c("t")
+    return _DATED[0](spark, sf).select("id", T.found(t, R.DATE).alias("dates"), F.regexp_extract(t, R.YEAR_RANGE, 1).alias("y1"), F.regexp_extract(t, R.YEAR_RANGE, 2).alias("y2"), F.regexp_extract(t, R.MONTH_RANGE, 1).alias("m1"), F.regexp_extract(t, R.PAREN_YEAR, 1).alias("paren"), F.regexp_extract(t, R.PERIOD, 2).alias("period_end"))
+
+
+_RAW_DATES = made("orders", id="o_orderkey", d="o_orderdate", k="cast(o_orderkey % 12 as int)", t=pick("o_orderkey", f"concat({_D}, '/', {_M}, '/', {_Y})", f"concat({_Y}, '-', lpad({_M}, 2, '0'), '-', lpad({_D}, 2, '0'))", f"concat({_D}, '.', {_M}, '.', {_Y})", f"concat({_M}, '/', {_Y})", _Y, f"concat({_MON}, ' ', {_D}, ', ', {_Y})", f"concat({_D}, ' ', left({_MON}, 3), ' ', {_Y})", f"concat('tháng ', {_M}, ' năm ', {_Y})", "'hiện tại'", "'31/02/2020'", f"concat({_D}, '/', {_M}, '/', right({_Y}, 2))", "'/Date(5)/'"))
+
+
+@query(f"""WITH a AS (SELECT id, k, t, date_trunc('day', d) AS day, date_trunc('month', d) AS mon, date_trunc('year', d) AS yr FROM {_RAW_DATES[1]}),
+b AS (SELECT id, k, CASE WHEN k IN (0, 1, 2, 5, 6, 10) THEN day WHEN k IN (3, 7) THEN mon WHEN k = 4 THEN yr END AS x FROM a)
+SELECT id, CASE k WHEN 8 THEN '/Date({R.FAR_FUTURE_MS})/' WHEN 11 THEN '/Date(5)/' ELSE concat('/Date(', nullif(cast(epoch_ms(x) as varchar), ''), ')/') END AS going,
+ CASE WHEN k = 8 OR x IS NULL AND k <> 11 THEN NULL WHEN k = 11 THEN '/Date(5)/' ELSE concat('/Date(', epoch_ms(x), ')/') END AS ended FROM b""".replace("ELSE concat('/Date(', nullif(cast(epoch_ms(x) as varchar), ''), ')/') END AS going", "WHEN 9 THEN NULL ELSE concat('/Date(', epoch_ms(x), ')/') END AS going"))
+def dt1_dt2_dt3_dates(spark, sf):
+    return _RAW_DATES[0](spark, sf).select("id", dates.date_string(c("t"), True).alias("going"), dates.date_string(c("t")).alias("ended"))
+
+
+_LINES_SQL = "(SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+
+
+@query(f"SELECT doc_id, count(*) AS n_lines, count(*) FILTER ({NOISE_SQL('line')}) AS noise, count(*) FILTER ({LABEL_SQL('line')}) AS labels FROM {_LINES_SQL} GROUP BY doc_id")
+def flt1_flt2_lines(spark, sf):
+    ls = lines.explode_lines(table(spark, sf, "documents"))
+    return ls.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(T.is_noise(c("line"))).alias("noise"), F.count_if(T.is_form_label(c("line"))).alias("labels"))
+
+
+_MARKS = made("part", id="p_partkey", t=pick("p_partkey", q("Page 3 of 9"), q("Trang 1 / 2"), q("4/7"), q("TRUE"), q("______"), q("Approved ____"), q("From *"), q("Chức vụ *"), q("KỶ LUẬT"), q("kỷ luật"), q("Signature / Date"), q("I accept the terms"), "p_name", q("  "), q("Details about x")))
+
+
+@query(f"SELECT id, {NOISE_SQL('t')} AS noise, {LABEL_SQL('t')} AS form_label FROM {_MARKS[1]}")
+def flt1_flt2_marks(spark, sf):
+    return _MARKS[0](spark, sf).select("id", T.is_noise(c("t")).alias("noise"), T.is_form_label(c("t")).alias("form_label"))
+
+
+_ENTRIES = made(
+    "part",
+    id="p_partkey",
+    language=pick("p_partkey", q("English"), q("Python"), q("Đọc"), q("12.5"), q("Tiếng Anh"), q("Reading"), q("a____"), q("From *"), q("Fr")),
+    remark=pick("p_partkey", q("B2"), "cast(null as string)", q("____")),
+    name=pick("p_partkey", q("First prize"), q("THÔNG QUA tuyển dụng"), q("-"), q("Year"), q("AWS Architect (2020)"), "p_name", q("Issuer *"), "cast(null as string)"),
+    employer=pick("p_partkey", q("Acme Ltd"), q("Chi tiết về kinh nghiệm"), "cast(null as string)", q("References:"), q("Bank of X")),
+    startTitle=pick("p_partkey", q("Engineer"), "cast(null as string)", q("Notice period:"), q("Lý do thôi việc")),
+    otherSchool=pick("p_partkey", q("Hanoi University"), q("Mục tiêu nghề nghiệp"), "cast(null as string)", q("School *")),
+    degree=pick("p_partkey", q("BSc"), "cast(null as string)", "''"),
+    startDate=pick("p_partkey", "cast(null as string)", q("2010")),
+)
+_n = lambda x: f"coalesce({x}, '')"
+_JOB = lambda x: f"trim(regexp_replace({FOLD_SQL(_n(x))}, ':+$', ''))"
+
+
+@query(f"""SELECT id,
+ {_n('language')} <> '' AND NOT {NOISE_SQL(_n('language'))} AND NOT {LABEL_SQL(_n('language'))} AND length(language) > 1 AND NOT regexp_matches(replace(language, '.', ''), '^\\d+$') AND trim({FOLD_SQL('language')}) NOT IN ({sql_list(R.NON_LANGUAGES)}) AND lower(language) NOT IN ({sql_list(R.PROGRAMMING)}) AND NOT contains(language, '____') AND NOT contains({_n('remark')}, '____') AS is_language,
+ coalesce({_n('name')} <> '' AND NOT {LABEL_SQL(_n('name'))} AND NOT contains(upper(name), 'TUYỂN DỤNG') AND NOT contains(upper(name), 'THÔNG QUA') AND length(name) < 120, false) AS is_award,
+ coalesce(length({_n('name')}) > 2 AND NOT {LABEL_SQL(_n('name'))} AND lower(name) NOT IN ({sql_list(R.CERTIFICATE_HEADERS)}), false) AS is_certificate,
+ ({_n('employer')} <> '' OR {_n('startTitle')} <> '') AND NOT {LABEL_SQL(_n('employer'))} AND NOT {LABEL_SQL(_n('startTitle'))} AND NOT contains(lower({_n('employer')}), 'chi tiết về') AND NOT contains(lower({_n('employer')}), 'giải thích cho') AND {_JOB('startTitle')} NOT IN ({sql_list(R.NON_JOBS)}) AND {_JOB('employer')} NOT IN ({sql_list(R.NON_JOBS)}) AS is_job,
+ ({_n('otherSchool')} <> '' OR {_n('degree')} <> '' OR {_n('startDate')} <> '') AND NOT contains(lower({_n('otherSchool')}), 'mục tiêu') AND NOT {LABEL_SQL(_n('otherSchool'))} AS is_school
+FROM {_ENTRIES[1]}""")
+def flt7_to_flt11_entries(spark, sf):
+    k = parsers.clean_entries
+    no = lambda x: F.coalesce(x, F.lit(False))
+    return _ENTRIES[0](spark, sf).select("id", no(k("languages")).alias("is_language"), no(k("awards")).alias("is_award"), no(k("certificates")).alias("is_certificate"), no(k("experience")).alias("is_job"), no(k("education")).alias("is_school"))
+
+
+# -- layout -----------------------------------------------------------------------------------------------------------
+_SIDES = f"""sides AS (SELECT *, (x0 + x1) / 2 < 0.85 * max(x1) OVER p / 2 AS l FROM {BLOCKS[1]} WINDOW p AS (PARTITION BY doc_id, page)),
+cols AS (SELECT *, (count(*) FILTER (l) OVER p >= 3 AND count(*) FILTER (NOT l) OVER p >= 3 AND coalesce(min(x0) FILTER (NOT l) OVER p - max(x1) FILTER (l) OVER p > 20, false)) AS two FROM sides WINDOW p AS (PARTITION BY doc_id, page))"""
+
+
+@query(f"WITH {_SIDES} SELECT doc_id, block_no, CASE WHEN two AND NOT l THEN 1 ELSE 0 END AS col FROM cols")
+def lay1_columns(spark, sf):
+    return layout.columns(BLOCKS[0](spark, sf)).select("doc_id", "block_no", "col")
+
+
+@query(f"""WITH {_SIDES} SELECT doc_id, string_agg(CASE WHEN is_bold OR font_size > 12 THEN concat(chr(10), '[SECTION] ', text) ELSE text END, chr(10) ORDER BY page, CASE WHEN two AND NOT l THEN 1 ELSE 0 END, y0, CASE WHEN two THEN 0 ELSE x0 END, block_no) AS layout_text,
+ string_agg(text, chr(10) ORDER BY block_no) AS raw_text FROM cols GROUP BY doc_id""")
+def lay2_lay3_order(spark, sf):
+    return layout.reading_order(BLOCKS[0](spark, sf))
+
+
+@query(f"""WITH b AS (SELECT doc_id, row_number() OVER w - 1 AS pos, y0, x1, trim(regexp_replace(text, ':+$', '')) AS label, trim(lead(text) OVER w) AS value, lead(y0) OVER w AS y, lead(x0) OVER w AS x FROM {BLOCKS[1]} WINDOW w AS (PARTITION BY doc_id ORDER BY page, y0, x0, block_no))
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, label, value FROM b WHERE abs(y0 - y) < 5 AND x1 < x AND label <> '' AND length(label) < 60 AND NOT {LABEL_SQL('label')} AND NOT {NOISE_SQL('value')} AND NOT {LABEL_SQL('value')}""")
+def lay4_adjacent(spark, sf):
+    return layout.adjacent(BLOCKS[0](spark, sf))
+
+
+@query(f"""WITH b AS (SELECT doc_id, text, is_bold, font_size, row_number() OVER (PARTITION BY doc_id ORDER BY font_size DESC, y0, block_no) AS r FROM {BLOCKS[1]} WHERE page = 0)
+SELECT doc_id, arg_min(text, r) AS name FROM b WHERE r <= 15 AND text = 'Tran Thi Mai' AND (font_size >= 13 OR is_bold AND font_size >= 11) GROUP BY doc_id""")
+def lay5_srt2_prominent(spark, sf):
+    return layout.prominent_name(BLOCKS[0](spark, sf))
+
+
+_CELLS = made("lineitem", doc_id="cast(l_orderkey as string)", table_no="cast(l_linenumber as int)", row_no="cast(l_partkey % 3 as int)", n="cast(l_quantity as int)")
+
+
+@query(f"""WITH d AS (SELECT cast(o_orderkey as varchar) AS doc_id, concat(repeat('* ', cast(o_custkey % 13 as int)), 'Required information page 1 of 2 10', lpad(cast(o_custkey % 1000 as varchar), 3, '0')) AS t FROM orders),
+b AS (SELECT doc_id, max(font_size) - min(font_size) AS f, count(DISTINCT page) AS p FROM {BLOCKS[1]} GROUP BY 1), t AS (SELECT doc_id, sum(n) AS cells, count(DISTINCT table_no) AS tables FROM {_CELLS[1]} GROUP BY 1),
+s AS (SELECT d.doc_id, least(coalesce(cells, 0) / 100, 1.0::double) AS s1, least((length(t) - length(replace(t, '*', ''))) / 10, 1.0::double) AS s2, 2.0::double / 3 AS s3, coalesce(greatest(0.0::double, 1 - f / 10), 0.5) AS s4, 0.2::double AS s5, least(coalesce(tables, 0) / greatest(coalesce(p, 0), 1) / 2, 1.0::double) AS s6 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN t USING (doc_id)),
+x AS (SELECT *, s1 * 0.25::double + s2 * 0.2::double + s3 * 0.25::double + s4 * 0.1::double + s5 * 0.1::double + s6 * 0.1::double AS form_score FROM s)
+SELECT doc_id, s1 AS table_density, s2 AS asterisk_labels, s3 AS form_keywords, s4 AS font_variance, s5 AS picklist_ids, s6 AS multi_page_tables, round(form_score, 6) AS form_score,
+ CASE WHEN form_score >= 0.35 THEN 'structured_form' ELSE 'free_form' END AS kind, round(least(CASE WHEN form_score >= 0.35 THEN form_score ELSE 1 - form_score END / 0.5, 1), 6) AS confidence FROM x""")
+def mth1_mth2_agg4_agg5_agg6_agg17_classify(spark, sf):
+    docs = table(spark, sf, "orders").selectExpr("cast(o_orderkey as string) AS doc_id", "concat(repeat('* ', cast(o_custkey % 13 as int)), 'Required information page 1 of 2 10', lpad(cast(o_custkey % 1000 as string), 3, '0')) AS raw_text")
+    cells = _CELLS[0](spark, sf).select("doc_id", "table_no", "row_no", F.array_repeat(F.lit("x"), c("n")).alias("cells"))
+    return layout.classify(docs, BLOCKS[0](spark, sf), cells).withColumns({"form_score": F.round("form_score", 6), "confidence": F.round("confidence", 6)})
+
+
+# -- lines ------------------------------------------------------------------------------------------------------------
+@query(f"""SELECT doc_id, 0 AS pos, 'Full name' AS label, c AS value FROM (SELECT {KEY} AS doc_id, c_name AS c FROM customer) UNION ALL SELECT {KEY}, 1, 'Phone', concat('+84 90', lpad({KEY}, 7, '0')) FROM customer
+UNION ALL SELECT {KEY}, 3, 'Skills', concat(c_mktsegment, ', second line, third') FROM customer""")
+def tvf1_win4_win5_pairs(spark, sf):
+    return lines.colon_pairs(lines.explode_lines(FORM[0](spark, sf)))
+
+
+_PAIRED = made("supplier", doc_id="cast(s_suppkey as string)", block_no="cast(0 as int)", text=pick("s_suppkey", "concat('Position', chr(10), s_name, chr(10), 'City', chr(10), 'Hanoi', chr(10), 'odd')", q("one line"), "concat('From *', chr(10), 'x', chr(10), 'Has a label', chr(10), 'TRUE')", "concat('with:', chr(10), 'colon')"))
+
+
+@query(f"SELECT doc_id, 0 AS block_no, 0 AS line_no, 'Position' AS label, split_part(text, chr(10), 2) AS value FROM {_PAIRED[1]} WHERE text LIKE 'Position%' UNION ALL SELECT doc_id, 0, 2, 'City', 'Hanoi' FROM {_PAIRED[1]} WHERE text LIKE 'Position%'")
+def win8_pairs(spark, sf):
+    return lines.line_pairs(_PAIRED[0](spark, sf))
+
+
+_ROWS = made("supplier", doc_id="cast(s_suppkey as string)", table_no="cast(0 as int)", row_no="cast(s_nationkey as int)", a="s_name", b=pick("s_suppkey", "''", q("From *"), q("x"), q("TRUE")), d="cast(s_nationkey as string)", e=pick("s_suppkey", "''", q("y"), q("z")))
+
+
+@query(f"""WITH c AS (SELECT doc_id, table_no, row_no, list_filter([a, b, d, e], lambda x: x <> '' AND NOT {NOISE_SQL('x')} AND NOT {LABEL_SQL('x')}) AS c FROM {_ROWS[1]})
+SELECT doc_id, table_no, row_no, 1 AS k, c[1] AS label, c[2] AS value FROM c WHERE len(c) IN (2, 4) UNION ALL SELECT doc_id, table_no, row_no, 3, c[3], c[4] FROM c WHERE len(c) = 4""")
+def tvf1_table_pairs(spark, sf):
+    return lines.table_pairs(_ROWS[0](spark, sf).select("doc_id", "table_no", "row_no", F.array("a", "b", "d", "e").alias("cells")))
+
+
+@query("SELECT cast(o_custkey as varchar) AS doc_id, o_orderstatus AS label, min(o_orderkey) AS pos, arg_max(o_orderpriority, o_orderkey) AS value FROM orders GROUP BY 1, 2")
+def win6_set1_last_wins(spark, sf):
+    return lines.last_wins(table(spark, sf, "orders").select(c("o_custkey").cast("string").alias("doc_id"), c("o_orderstatus").alias("label"), c("o_orderkey").alias("pos"), c("o_orderpriority").alias("value")))
+
+
+@query("SELECT l_orderkey, l_returnflag, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, lower(l_returnflag) ORDER BY l_linenumber) = 1")
+def win7_first(spark, sf):
+    return lines.first_by(table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber"), [c("l_orderkey"), F.lower("l_returnflag")], ["l_linenumber"])
+
+
+_HEADED = made("lineitem", doc_id="cast(l_orderkey as string)", line_no=PLACE, line=pick("l_partkey", q("Education"), q("text of a line"), q("KINH NGHIỆM LÀM VIỆC"), q("[SECTION] My work experience here"), q("a much longer line about education that goes on and on"), q("[SECTION] John"), q("Đào tạo:"), q("languages")))
+
+
+@query(f"""WITH h AS (SELECT *, CASE line WHEN 'Education' THEN 'education' WHEN 'KINH NGHIỆM LÀM VIỆC' THEN 'experience' WHEN '[SECTION] My work experience here' THEN 'experience' WHEN 'Đào tạo:' THEN 'education' WHEN 'languages' THEN 'languages' END AS header FROM {_HEADED[1]})
+SELECT doc_id, line_no, line, header, CASE WHEN header IS NULL THEN last_value(header IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS section FROM h""")
+def win1_tvf20_sections(spark, sf):
+    return lines.section_of(_HEADED[0](spark, sf))
+
+
+@query(f"""WITH n AS (SELECT cast(l_orderkey as varchar) AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {PLACE}) - 1 AS n, cast(l_partkey as varchar) AS x FROM lineitem)
+SELECT doc_id, n // 3 AS row_no, list(x ORDER BY n) AS cells FROM n GROUP BY 1, 2 HAVING count(*) = 3""")
+def win3_grid(spark, sf):
+    return lines.grid_rows(table(spark, sf, "lineitem").select(c("l_orderkey").cast("string").alias("doc_id"), F.expr(PLACE).alias("line_no"), c("l_partkey").cast("string").alias("line")), 3)
+
+
+_SECTION = made("supplier", doc_id="cast(s_suppkey as string)", text="concat('Senior Engineer | Acme Corp', chr(10), '2015 - 2018', chr(10), '- did one', chr(10), '- did two', chr(10), 'Manager at Beta Bank', chr(10), 'T7/2019 - T5/2021', chr(10), '', chr(10), s_name, chr(10), '2010 - present', chr(10), 'Gamma 2011 - 2012', chr(10), '---', chr(10), 'Tail')")
+
+
+@query(f"""SELECT doc_id, ['Senior Engineer | Acme Corp' || chr(10) || '2015 - 2018' || chr(10) || '- did one' || chr(10) || '- did two', 'Manager at Beta Bank' || chr(10) || 'T7/2019 - T5/2021', split_part(text, chr(10), 8) || chr(10) || '2010 - present', 'Gamma 2011 - 2012', 'Tail'] AS entries FROM {_SECTION[1]}""")
+def win2_entries(spark, sf):
+    return lines.entries(_SECTION[0](spark, sf)).select("doc_id", "entries")
+
+
+@query()
+def tvf11_win2_jobs(spark, sf):
+    e = lines.entries(_SECTION[0](spark, sf)).select("doc_id", F.posexplode(parsers.jobs(c("entries"))).alias("entry_no", "m"))
+    return e.select("doc_id", "entry_no", *(c("m")[k].alias(k) for k in ("startTitle", "employer", "startDate", "endDate", "description")))
+
+
+@query()
+def tvf9_schools(spark, sf):
+    t = table(spark, sf, "supplier").selectExpr("cast(s_suppkey as string) AS doc_id", "concat('Bachelor of Science', chr(10), 'Hanoi University | 2010 - 2014', chr(10), 'Grade: Very good', chr(10), '', chr(10), 'Thạc sĩ ', s_name, chr(10), '3/2015') AS text")
+    e = lines.entries(t).select("doc_id", F.posexplode(parsers.schools(c("entries"))).alias("entry_no", "m"))
+    return e.select("doc_id", "entry_no", *(c("m")[k].alias(k) for k in ("degree", "otherSchool", "grade", "startDate", "endDate")))
+
+
+# -- tables and list sections ----------------------------------------------------------------------------------------
+_HEADERS = made("supplier", doc_id="cast(s_nationkey as string)", table_no="cast(s_suppkey as int)", row_no="cast(0 as int)", h=pick("s_suppkey", q("Position|Company|From|To"), q("School|Degree|Year"), q("Ngoại ngữ|Đọc"), q("Certificate|Issuer|Year"), q("Name:|Phone:"), q("English|B2"), q("one|two|three")))
+
+
+@query(f"""WITH r AS (SELECT doc_id, table_no, h, string_split(h, '|') AS header, CASE split_part(h, '|', 1) WHEN 'Position' THEN 'experience' WHEN 'School' THEN 'education' WHEN 'Ngoại ngữ' THEN 'language' WHEN 'Certificate' THEN 'certificate' END AS k FROM {_HEADERS[1]}),
+l AS (SELECT *, last_value(CASE WHEN k = 'language' THEN len(header) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY table_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS w FROM r)
+SELECT doc_id, table_no, CASE WHEN k IS NULL AND len(header) = w THEN 'language_more' ELSE k END AS kind, header, CAST(len(header) AS INTEGER) AS width, CAST(1 AS BIGINT) AS n FROM l""")
+def tvf2_win9_router(spark, sf):
+    return parsers.route_tables(_HEADERS[0](spark, sf).select("doc_id", "table_no", "row_no", F.split("h", r"\|").alias("cells")))
+
+
+def _rows(spark, sf, header: list[str], *cells: str) -> DataFrame:
+    return table(spark, sf, "part").selectExpr("cast(p_partkey as string) AS doc_id", "cast(0 as int) AS row_no", f"array({', '.join(cells)}) AS cells").withColumn("header", F.array(*map(F.lit, header)))
+
+
+_CELL = lambda x: f"nullif(trim({x}), '')"
+_PER = pick("p_partkey", q("Jul 2019 — Present"), q("2010 - 2012"), q("2015"), "''")
+_FIRM = pick("p_partkey", "p_brand", q("From *"), "''", "p_name", q("x"))
+
+
+@query(f"""WITH a AS (SELECT cast(p_partkey as varchar) AS doc_id, 0 AS row_no, trim(p_name) AS t, CASE WHEN {LABEL_SQL(_FIRM)} THEN NULL ELSE {_CELL(_FIRM)} END AS f, {_PER} AS p FROM part)
+SELECT doc_id, row_no, t AS "startTitle", f AS employer, CASE p WHEN 'Jul 2019 — Present' THEN 'Jul 2019' WHEN '2010 - 2012' THEN '2010' WHEN '2015' THEN '2015' END AS "startDate", CASE p WHEN '2010 - 2012' THEN '2012' END AS "endDate" FROM a""")
+def tvf3_rx13_jobs(spark, sf):
+    return parsers.experience_table(_rows(spark, sf, ["Chức vụ", "Name of company", "Period"], "p_name", _FIRM, _PER))
+
+
+@query(f"""SELECT cast(p_partkey as varchar) AS doc_id, 0 AS row_no, p_name AS "otherSchool", {_CELL(pick('p_partkey', q('BSc'), "''"))} AS degree, CAST(NULL AS VARCHAR) AS "otherMajor", CASE p_partkey % 3 WHEN 0 THEN '2012' WHEN 1 THEN '2016' END AS "startDate", CASE p_partkey % 3 WHEN 0 THEN '2016' END AS "endDate" FROM part""")
+def tvf4_schools(spark, sf):
+    return parsers.education_table(_rows(spark, sf, ["Trường", "Bằng cấp", "Year"], "p_name", pick("p_partkey", q("BSc"), "''"), pick("p_partkey", q("2012-2016"), q("2016"), "''")))
+
+
+_CERT = pick("p_partkey", "p_name", q("Issuer"), "''")
+
+
+@query(f"""SELECT cast(p_partkey as varchar) AS doc_id, 0 AS row_no, p_name AS name, p_brand AS institution, '2020' AS "startDate" FROM part WHERE p_partkey % 3 = 0""")
+def tvf5_certificates(spark, sf):
+    return parsers.certificate_table(_rows(spark, sf, ["Chứng chỉ", "Nơi cấp", "Year"], _CERT, "p_brand", "'2020'"))
+
+
+_LANG = made("part", doc_id="p_type", row_no="cast(p_partkey as int)", a=pick("p_partkey", q("English"), q("ENGLISH"), q("Reading"), q("French"), "''"), b=pick("p_partkey", q("IELTS 7"), q("good"), "''"))
+
+
+@query(f"""SELECT doc_id, row_no, a AS language, CASE WHEN b = 'IELTS 7' THEN b END AS remark FROM {_LANG[1]} WHERE a NOT IN ('', 'Reading') QUALIFY row_number() OVER (PARTITION BY doc_id, lower(a) ORDER BY row_no) = 1""")
+def tvf6_languages(spark, sf):
+    return parsers.language_table(_LANG[0](spark, sf).select("doc_id", "row_no", F.array("a", "b").alias("cells"), F.array(F.lit("Language"), F.lit("Certificate")).alias("header")))
+
+
+_INLINE = made("part", doc_id="cast(p_partkey as string)", value="concat('English (Native), Spanish - B2; ', p_brand, ' | Python, english, Tiếng Anh')")
+
+
+@query(f"""SELECT doc_id, 0 AS pos, 'English' AS language, 'Native' AS remark FROM {_INLINE[1]} UNION ALL SELECT doc_id, 1, 'Spanish', 'B2' FROM {_INLINE[1]} UNION ALL SELECT doc_id, 2, 'Brand', NULL FROM {_INLINE[1]} UNION ALL SELECT doc_id, 5, 'Ti', NULL FROM {_INLINE[1]}""")
+def tvf7_rx9_inline(spark, sf):
+    return parsers.inline_languages(_INLINE[0](spark, sf))
+
+
+_LANGS = made("supplier", doc_id="cast(s_suppkey as string)", text="concat('English - Fluent', chr(10), 'French: thông thạo', chr(10), 'German | C1', chr(10), 'IELTS: 7.5', chr(10), '4.5', chr(10), 'Mail a@b.org', chr(10), 'Russian')")
+
+
+@query(f"""SELECT doc_id, n AS line_no, l AS language, p AS proficiency, r AS remark FROM {_LANGS[1]}, (VALUES (0, 'English', 'Fluent', NULL), (1, 'French', 'Fluent', NULL), (2, 'German', NULL, 'C1'), (3, 'IELTS', NULL, 'Score: 7.5'), (6, 'Russian', NULL, NULL)) v(n, l, p, r)""")
+def tvf12_rx11_language_lines(spark, sf):
+    return parsers.language_lines(_LANGS[0](spark, sf))
+
+
+_LIST = made("supplier", doc_id="cast(s_suppkey as string)", text=pick("s_suppkey", "concat('Intro', chr(10), '- AWS (2019)', chr(10), '- ', s_name)", "concat('1. One thing', chr(10), '2) Two (2020)')", "concat('only text', chr(10), '- one')"))
+
+
+@query(f"""SELECT doc_id, 1 AS line_no, 'AWS (2019)' AS name, '2019' AS "startDate" FROM {_LIST[1]} WHERE text LIKE 'Intro%' UNION ALL SELECT doc_id, 2, split_part(text, '- ', 3), NULL FROM {_LIST[1]} WHERE text LIKE 'Intro%'
+UNION ALL SELECT doc_id, 0, 'One thing', NULL FROM {_LIST[1]} WHERE text LIKE '1.%' UNION ALL SELECT doc_id, 1, 'Two (2020)', '2020' FROM {_LIST[1]} WHERE text LIKE '1.%'""")
+def tvf14_arr5_rx4_certificates(spark, sf):
+    return parsers.listed(_LIST[0](spark, sf), 0.5, True, "startDate")
+
+
+@query(f"""SELECT doc_id, 1 AS line_no, 'AWS (2019)' AS name, '2019' AS "issueDate" FROM {_LIST[1]} WHERE text LIKE 'Intro%' UNION ALL SELECT doc_id, 2, split_part(text, '- ', 3), NULL FROM {_LIST[1]} WHERE text LIKE 'Intro%'""")
+def tvf15_awards(spark, sf):
+    return parsers.listed(_LIST[0](spark, sf), 0.6, False, "issueDate")
+
+
+_SIMPLE = made("supplier", doc_id="cast(s_suppkey as string)", entry_no="cast(0 as int)", entry="concat(s_name, chr(10), 'The Institute', chr(10), 'T3/2019', chr(10), 'a description that is over twenty', chr(10), 'more')")
+
+
+@query(f"""SELECT doc_id, entry_no, split_part(entry, chr(10), 1) AS course, 'T3/2019' AS "endDate", 'The Institute' AS institution, 'a description that is over twenty' AS description FROM {_SIMPLE[1]}""")
+def tvf13_tvf16_courses(spark, sf):
+    return parsers.simple_entries(_SIMPLE[0](spark, sf), "course", "endDate")
+
+
+_FAMILY = made("supplier", doc_id="cast(s_suppkey as string)", entry_no="cast(0 as int)", entry="concat('Họ tên: ', s_name, chr(10), 'Quan hệ: Father', chr(10), 'Phone: 123', chr(10), 'Vị trí: Clerk', chr(10), 'none')")
+
+
+@query(f"""SELECT doc_id, entry_no, substr(split_part(entry, chr(10), 1), 9) AS name, 'Father' AS relationship, '123' AS contact, 'Clerk' AS position FROM {_FAMILY[1]}""")
+def tvf17_family(spark, sf):
+    return parsers.family(_FAMILY[0](spark, sf))
+
+
+# -- matching ---------------------------------------------------------------------------------------------------------
+_ALIAS = {}
+for _f, _as in R.LABEL_ALIASES.items():
+    for _a in _as:
+        _ALIAS.setdefault(matching.normal(_a), [_f, len(_ALIAS)])[0] = _f
+_ALIAS_SQL = f"(VALUES {', '.join(f'({q(a)}, {q(f)}, {k})' for a, (f, k) in _ALIAS.items())}) al(alias, field, ordinal)"
+_LABELS = made("part", doc_id="cast(p_partkey as string)", pos="cast(0 as int)", label=pick("p_partkey", q("Họ và tên"), q("EMAIL"), q("Your phone number"), q("Home Address:"), "p_name", q("Date of birth (dd/mm)"), q("Số CMND"), q("na"), q("Education")))
+
+
+@query(f"SELECT doc_id, pos, label, field, CAST(1 AS DOUBLE) AS confidence FROM (SELECT *, {NORM_SQL('label')} AS n FROM {_LABELS[1]}) l JOIN {_ALIAS_SQL} ON alias = n")
+def join1_map2_exact(spark, sf):
+    return matching.exact_fields(_LABELS[0](spark, sf))
+
+
+@query(f"""WITH l AS (SELECT *, {NORM_SQL('label')} AS n FROM {_LABELS[1]}), d AS (SELECT DISTINCT n FROM l WHERE n <> ''),
+s AS (SELECT n, field, ordinal, greatest(CASE WHEN contains(n, alias) OR contains(alias, n) THEN length(alias) / length(n) ELSE 0 END, CASE WHEN list_has_all(string_split(n, ' '), string_split(alias, ' ')) THEN len(list_distinct(string_split(alias, ' '))) / len(list_distinct(string_split(n, ' '))) ELSE 0 END) AS s FROM d, {_ALIAS_SQL}),
+b AS (SELECT * FROM s WHERE s > 0.5 QUALIFY row_number() OVER (PARTITION BY n ORDER BY s DESC, ordinal) = 1) SELECT doc_id, pos, label, field, s AS confidence FROM l JOIN b USING (n)""")
+def join2_set4_fuzzy(spark, sf):
+    return matching.fuzzy_candidates(_LABELS[0](spark, sf))
+
+
+@query()
+def join3_join8_assign(spark, sf):
+    pairs = _LABELS[0](spark, sf).select(c("doc_id").cast("int").cast("string"), "label").withColumn("pos", c("doc_id").cast("int")).withColumn("doc_id", F.pmod("pos", F.lit(20)).cast("string")).withColumn("value", F.concat(F.lit("v"), "pos"))
+    got = matching.assign_fields(pairs).groupBy("doc_id").pivot("field", list(R.LABEL_ALIASES)).agg(F.first("value"))
+    return got.withColumn("contactEmail", F.coalesce("contactEmail", "primaryEmail"))
+
+
+_NATIONS = made("nation", picklist_id="'country'", ordinal="cast(n_nationkey as int)", external_code="concat('C', cast(n_nationkey as string))", label_vi="CASE WHEN n_nationkey = 3 THEN 'Hà Nội' ELSE lower(n_name) END", label_en="CASE WHEN n_nationkey = 4 THEN 'ho chi minh' WHEN n_nationkey = 5 THEN 'nodata' ELSE n_name END", option_id="CASE WHEN n_nationkey = 6 THEN '' ELSE cast(100 + n_nationkey as string) END", status="CASE WHEN n_nationkey = 7 THEN 'I' ELSE 'A' END")
+_ASKED = made("customer", id="c_custkey", picklist_id="'country'", text=pick("c_custkey", q("Nation_1"), q(" NATION_2 "), q("TP HCM"), q("hn"), q("c12"), q("NATON 3"), q("xx"), q("Hà Nội"), q("nation_5"), q("nation_6"), q("nation_7"), "cast(null as string)"))
+_INDEX_SQL = f"""i AS (SELECT key, arg_max(option_id, ordinal) AS opt FROM (SELECT ordinal, option_id, trim(unnest([lower(label_en), lower(label_vi), lower(external_code), {FOLD_SQL('label_en')}, {FOLD_SQL('label_vi')}, {FOLD_SQL('external_code')}])) AS key FROM {_NATIONS[1]} WHERE status = 'A') WHERE key NOT IN ('', 'nodata') GROUP BY key)"""
+
+
+@query(f"""WITH {_INDEX_SQL}, ab AS (SELECT * FROM (VALUES {', '.join(f'({q(a)}, {q(x)}, {k})' for a, xs in R.ABBREVIATIONS.items() for k, x in enumerate(xs))}) v(abbr, x, k)),
+e AS (SELECT abbr, arg_min(nullif(opt, ''), k) AS opt FROM ab JOIN i ON key = x GROUP BY 1)
+SELECT id, a.picklist_id, text, coalesce(nullif(i1.opt, ''), nullif(i2.opt, ''), e1.opt, e2.opt) AS option_id, CASE WHEN coalesce(nullif(i1.opt, ''), nullif(i2.opt, '')) IS NOT NULL THEN 'exact' WHEN coalesce(e1.opt, e2.opt) IS NOT NULL THEN 'abbreviation' END AS how
+FROM {_ASKED[1]} a LEFT JOIN i i1 ON i1.key = trim(lower(text)) LEFT JOIN i i2 ON i2.key = trim({FOLD_SQL('text')}) LEFT JOIN e e1 ON e1.abbr = trim(lower(text)) LEFT JOIN e e2 ON e2.abbr = trim({FOLD_SQL('text')})""")
+def join4_join5_join7_flt6_picklist(spark, sf):
+    return matching.match_picklist(_ASKED[0](spark, sf), _NATIONS[0](spark, sf), fuzzy=False)
+
+
+@query()
+def join6_mth5_fuzzy_picklist(spark, sf):
+    return matching.match_picklist(_ASKED[0](spark, sf), _NATIONS[0](spark, sf))
+
+
+_TYPOS = made("customer", picklist_id="'x'", text=pick("c_custkey", q("NATON_3"), q("Nation_12x"), q("ntion_4"), q("zzzz"), q("nation 15")))
+
+
+@query("""SELECT 'x' AS picklist_id, t AS text, n_name AS name, CAST(levenshtein(lower(t), lower(n_name)) AS INTEGER) AS edits FROM (VALUES ('NATON_3'), ('Nation_12x'), ('ntion_4'), ('zzzz'), ('nation 15')) v(t), nation WHERE levenshtein(lower(t), lower(n_name)) <= 2 QUALIFY row_number() OVER (PARTITION BY t ORDER BY edits, n_nationkey) = 1""")
+def join6_levenshtein(spark, sf):
+    names = _NATIONS[0](spark, sf).select("picklist_id", "ordinal").withColumn("k", c("ordinal")).join(table(spark, sf, "nation").select(c("n_nationkey").alias("k"), c("n_name").alias("name")), "k").drop("k")
+    return matching.levenshtein_best(_TYPOS[0](spark, sf).distinct(), names, 2)
+
+
+# -- records ----------------------------------------------------------------------------------------------------------
+_SCHEMA = [("fullName", "String", True, 0), ("gender", "Picklist", True, 1), ("dateOfBirth", "DateTime", True, 2), ("anonymized", "Boolean", False, 3), ("shareProfile", "String", False, 4), ("education.x.degree", "Picklist", False, 5), ("education.x.endDate", "DateTime", False, 6)]
+
+
+def _schema(spark) -> DataFrame:
+    return spark.createDataFrame(_SCHEMA, "field_id string, field_type string, required boolean, ordinal int")
+
+
+_FIELDS = "SELECT cast(c_custkey as string) AS doc_id, {0} AS field_id, {1} AS value FROM customer"
+_LONG = [("'fullName'", "c_name"), ("'gender'", pick("c_custkey", "'1'", "cast(null as string)")), ("'nickname'", "'x'"), ("'anonymized'", pick("c_custkey", "'TRUE'", "cast(null as string)", "'No'"))]
+
+
+def _fields(spark, sf) -> DataFrame:
+    t = table(spark, sf, "customer")
+    out = None
+    for f, v in _LONG:
+        one = t.selectExpr(f"{KEY} AS doc_id", f"{f} AS field_id", f"cast({v} as string) AS value")
+        out = one if out is None else out.union(one)
+    return out.where("value is not null")
+
+
+_FIELDS_SQL = f"f AS (SELECT * FROM ({' UNION ALL '.join(f'SELECT {KEY} AS doc_id, {f} AS field_id, {v} AS value FROM customer' for f, v in _LONG)}) WHERE value IS NOT NULL)"
+
+
+@query(f"""WITH {_FIELDS_SQL}, d AS (SELECT DISTINCT doc_id, x AS field_id, s FROM f, (VALUES ('anonymized', '0'), ('shareProfile', '1')) v(x, s)) SELECT coalesce(f.doc_id, d.doc_id) AS doc_id, coalesce(f.field_id, d.field_id) AS field_id, coalesce(value, s) AS value FROM f FULL JOIN d ON f.doc_id = d.doc_id AND f.field_id = d.field_id""")
+def join9_defaults(spark, sf):
+    return records.with_defaults(_fields(spark, sf), _schema(spark))
+
+
+@query(f"""WITH {_FIELDS_SQL} SELECT d.doc_id, x AS field_id FROM (SELECT DISTINCT doc_id FROM f) d, (VALUES ('fullName'), ('gender'), ('dateOfBirth')) v(x) WHERE NOT EXISTS (FROM f WHERE f.doc_id = d.doc_id AND f.field_id = x)""")
+def join10_required(spark, sf):
+    return records.missing_required(_fields(spark, sf), _schema(spark))
+
+
+@query(f"WITH {_FIELDS_SQL} SELECT field_id, doc_id FROM f WHERE field_id = 'nickname'")
+def join11_flt12_unknown(spark, sf):
+    return records.unknown_keys(_fields(spark, sf).select("doc_id", "field_id"), _schema(spark))
+
+
+@query(f"""SELECT {KEY} AS doc_id, concat('[{{"__metadata":{{"uri":"Candidate"}},"fullName":"', c_name, '","gender":{{"id":"', 100 + c_nationkey, '"}},"education":{{"results":[{{"degree":"BSc","endDate":"/Date({R.FAR_FUTURE_MS})/"}}]}}}}]') AS record FROM customer""")
+def jsn2_jsn3_flt13_assemble(spark, sf):
+    t = table(spark, sf, "customer")
+    rows = t.select(c("c_custkey").cast("string").alias("doc_id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field_id"), F.lit(e).cast("int").alias("entry_no"), v.cast("string").alias("value"), o.cast("string").alias("opt")) for f, e, v, o in (("fullName", None, c("c_name"), F.lit(None)), ("gender", None, F.lit("male"), c("c_nationkey") + 100), ("education.x.degree", 0, F.lit("BSc"), F.lit(None)), ("education.x.endDate", 0, F.lit("present"), F.lit(None)))))).alias("f")).select("doc_id", "f.*")
+    d = _schema(spark)
+    typed = rows.join(F.broadcast(d.select("field_id", "field_type")), "field_id").withColumn("value", records.typed(c("value"), c("opt"), c("field_type"), c("entry_no").isNotNull()))
+    return records.assemble(typed.select("doc_id", "field_id", "entry_no", "value", c("opt").isNotNull().alias("resolved")), d)
+
+
+@query("SELECT path, count(DISTINCT event_id) AS n FROM (SELECT event_id, unnest(json_keys(props)) AS path FROM events) GROUP BY path")
+def jsn4_agg3_keys(spark, sf):
+    return records.json_paths(table(spark, sf, "events").select(c("event_id").alias("doc_id"), "props"), "props").groupBy("path").agg(F.count_distinct("doc_id").alias("n"))
+
+
+_RECORDS = made("customer", file=KEY, primaryEmail=pick("c_custkey", q("a@b.org"), q("bad"), "cast(null as string)"), cellPhone=pick("c_custkey", q("+84 901 234 567"), q("12")), dateOfBirth=pick("c_custkey", q("/Date(5)/"), q("2020-01-01"), "''"), gender=pick("c_custkey", q("12"), q("male")), firstName=pick("c_custkey", q("An"), q("X1")), lastName=pick("c_custkey", q("An"), q("Le"), q("a@b"), "cast(null as string)"))
+_IF = lambda cond, text: f"CASE WHEN {cond} THEN '{text}' END"
+_HAS = lambda x: f"coalesce({x}, '') <> ''"
+_ISSUES_SQL = f"""(SELECT file, list_sort(list_filter([{_IF(f"{_HAS('primaryEmail')} AND NOT regexp_matches(primaryEmail, {q(R.VALID_EMAIL)})", 'Invalid email: primaryEmail')}, {_IF(f"{_HAS('cellPhone')} AND NOT regexp_matches(cellPhone, {q(R.VALID_PHONE)})", 'Invalid phone: cellPhone')},
+ {_IF(f"{_HAS('dateOfBirth')} AND NOT regexp_matches(dateOfBirth, {q(R.VALID_DATE)})", 'Invalid date: dateOfBirth')}, {_IF("NOT regexp_matches(gender, '^[0-9]+$')", 'Unresolved picklist: gender')}, {_IF('firstName = lastName', 'First and last name are the same: firstName')},
+ {_IF("regexp_matches(firstName, '[@0-9]')", 'Suspicious name: firstName')}, {_IF("regexp_matches(lastName, '[@0-9]')", 'Suspicious name: lastName')}, {_IF(f"NOT {_HAS('lastName')}", 'Missing required: lastName')}, {_IF(f"NOT {_HAS('primaryEmail')}", 'Missing required: primaryEmail')}], lambda x: x IS NOT NULL)) AS issues FROM {_RECORDS[1]})"""
+
+
+@query(f"SELECT file, issues, len(issues) = 0 AS valid FROM {_ISSUES_SQL}")
+def val1_to_val15_rules(spark, sf):
+    return records.validate(_RECORDS[0](spark, sf))
+
+
+@query(f"""SELECT trim(split_part(issue, ':', 1)) AS category, count(*) AS n, min(file) AS seen FROM (SELECT cast(file as bigint) AS file, unnest(issues) AS issue FROM {_ISSUES_SQL}) GROUP BY 1 ORDER BY n DESC, seen LIMIT 10""")
+def agg8_srt3_categories(spark, sf):
+    v = records.validate(_RECORDS[0](spark, sf)).select(c("file").cast("long").alias("seen"), F.explode("issues").alias("issue"))
+    return records.issue_categories(v)
+
+
+@query(f"""SELECT count(*) AS files, count(*) FILTER (len(issues) = 0) AS valid, round(avg(len(issues)), 1) AS avg_issues FROM {_ISSUES_SQL}""")
+def agg7_snk3_summary(spark, sf):
+    return records.validate(_RECORDS[0](spark, sf)).agg(F.count("*").alias("files"), F.count_if("valid").alias("valid"), F.round(F.avg(F.size("issues")), 1).alias("avg_issues"))
+
+
+@query("""SELECT file, section, 0 AS entry_no, issue FROM (SELECT cast(s_suppkey as varchar) AS file, CASE s_suppkey % 3 WHEN 0 THEN 'education' WHEN 1 THEN 'languages' ELSE 'other' END AS section, s_suppkey AS k FROM supplier) s, (VALUES ('education', 'school'), ('languages', 'language')) v(sec, issue) WHERE sec = section""")
+def val8_to_val12_entries(spark, sf):
+    t = table(spark, sf, "supplier").select(c("s_suppkey").cast("string").alias("file"), F.when(c("s_suppkey") % 3 == 0, "education").when(c("s_suppkey") % 3 == 1, "languages").otherwise("other").alias("section"), F.lit(0).alias("entry_no"), F.create_map(F.lit("degree"), F.lit("BSc"), F.lit("school"), F.lit("")).alias("keys"))
+    return records.validate_entries(t)
+
+
+@query("""SELECT count(*) AS total_files, count(*) FILTER (value > 0) AS success, count(*) FILTER (NOT coalesce(value > 0, false)) AS errors, round(sum(user_id) / count(*), 1) AS avg_fields_per_file, CAST(sum(event_id) AS BIGINT) AS total_time_ms FROM events""")
+def agg1_agg2_snk2_batch(spark, sf):
+    return records.batch_report(table(spark, sf, "events").select(F.when(c("value") > 0, "success").otherwise("error").alias("status"), c("user_id").alias("fields_extracted"), c("event_id").alias("elapsed_ms")))
+
+
+_VERDICTS = made("lineitem", file="cast(l_orderkey as string)", field=pick("l_partkey", q("fullName"), q("email"), q("_count"), q("phone")), verdict=pick("l_suppkey", q("correct"), q("wrong"), q("partial"), q("skip"), q("missing"), q("correct")))
+
+
+@query(f"""SELECT field, count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'wrong') AS wrong, count(*) FILTER (verdict = 'partial') AS "partial", count(*) AS total, round((count(*) FILTER (verdict = 'correct') + 0.5::double * count(*) FILTER (verdict = 'partial')) / greatest(count(*), 1) * 100, 1) AS accuracy FROM {_VERDICTS[1]} WHERE verdict <> 'skip' GROUP BY field""")
+def agg9_agg10_verdicts(spark, sf):
+    return records.verdicts(_VERDICTS[0](spark, sf), ["field"])
+
+
+@query(f"""SELECT field, count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'partial') AS "partial", count(*) AS total, (count(*) FILTER (verdict = 'correct') + 0.5::double * count(*) FILTER (verdict = 'partial')) / count(*) * 100 AS accuracy FROM {_VERDICTS[1]} WHERE verdict <> 'skip' AND field <> '_count' GROUP BY ROLLUP (field)""")
+def agg11_rev3_overall(spark, sf):
+    return records.overall_accuracy(_VERDICTS[0](spark, sf))
+
+
+_SCORES = made("lineitem", cv_id="cast(l_orderkey as string)", path=pick("l_partkey", q("education"), q("summary"), q("projects"), q("personal_info.email"), q("education[0].degree")), score="cast(l_discount * 10 as double)")
+_WEIGHTED = f"(SELECT cv_id, sum(w * score) / sum(w) AS score FROM (SELECT cv_id, score, CASE path WHEN 'education' THEN 3.0::double WHEN 'personal_info.email' THEN 3.0::double WHEN 'summary' THEN 2.0::double ELSE 1.0::double END AS w FROM {_SCORES[1]}) GROUP BY cv_id)"
+
+
+@query(f"SELECT cv_id, score FROM {_WEIGHTED}")
+def agg12_sco2_weighted(spark, sf):
+    return records.weighted_score(_SCORES[0](spark, sf))
+
+
+@query(f"SELECT count(*) FILTER (round(score, 4) >= 0.8) AS passed, count(*) AS total, round(avg(score), 9) AS mean, count(*) FILTER (round(score, 4) >= 0.8) >= 8 AND avg(score) >= 0.75 AS suite_passed FROM {_WEIGHTED}")
+def agg13_sco5_suite(spark, sf):
+    return records.suite(records.weighted_score(_SCORES[0](spark, sf))).withColumn("mean", F.round("mean", 9))
+
+
+@query(f"SELECT path AS section, avg(score) AS mean, count(*) AS n FROM {_SCORES[1]} GROUP BY path")
+def agg14_heatmap(spark, sf):
+    return _SCORES[0](spark, sf).groupBy(c("path").alias("section")).agg(F.avg("score").alias("mean"), F.count("*").alias("n"))
+
+
+_STATUS = "SELECT event_type AS job_id, count(*) AS done, count(*) FILTER (value > 0) AS success, count(*) FILTER (NOT coalesce(value > 0, false)) AS errors, round(avg(value), 6) AS avg_fields FROM events GROUP BY event_type"
+
+
+@query(_STATUS)
+def agg15_orc5_status(spark, sf):
+    return records.job_status(jobs.results_of_events(table(spark, sf, "events"))).withColumn("avg_fields", F.round("avg_fields", 6))
+
+
+@query(_STATUS)
+def stream_job_parity(spark, sf):
+    """AGG15 as a stream over files, run to the end: the same as the batch."""
+    import uuid
+
+    from scrivel.streaming.shared import shared_dir
+
+    folder, name = shared_dir(spark, "stream"), f"jobs_{uuid.uuid4().hex}"
+    events = table(spark, sf, "events")
+    events.select("event_type", "value").repartition(4).write.parquet(f"{folder}/in")
+    out = jobs.progress(spark, f"{folder}/in", "event_type string, value double", jobs.results_of_events, name, f"{folder}/state", 2)
+    return out.withColumn("avg_fields", F.round("avg_fields", 6))
+
+
+_GOLD = "to_json(named_struct('personal_info', named_struct('full_name', c_name, 'email', 'a@b.org'), 'summary', c_mktsegment, 'languages', array('English', 'French'), 'is_current', true))"
+
+
+@query()
+def sco1_to_sco4_join13_join14_mth3_mth4_score(spark, sf):
+    t = table(spark, sf, "customer").selectExpr(f"{KEY} AS cv_id", f"{_GOLD} AS truth", f"CASE WHEN c_custkey % 5 > 0 THEN {_GOLD.replace('c_name', 'upper(c_name)').replace(chr(39) + 'French' + chr(39), chr(39) + 'Frenc' + chr(39))} END AS parsed")
+    return t.withColumn("s", scoring.evaluate(c("truth"), c("parsed"))).select("cv_id", "s.*")
+
+
+@query()
+def mth3_similarity(spark, sf):
+    t = table(spark, sf, "benchmark")
+    w = Window.partitionBy(F.pmod("item_id", F.lit(16))).orderBy("item_id")
+    return t.withColumn("next", F.lead("text").over(w)).where("next is not null").select("item_id", scoring.similarity(c("text"), c("next")).alias("ratio"))
