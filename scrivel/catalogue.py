@@ -462,7 +462,7 @@ _TYPOS = made("customer", picklist_id="'x'", text=pick("c_custkey", q("NATON_3")
 
 @query("""SELECT 'x' AS picklist_id, t AS text, n_name AS name, CAST(levenshtein(lower(t), lower(n_name)) AS INTEGER) AS edits FROM (VALUES ('NATON_3'), ('Nation_12x'), ('ntion_4'), ('zzzz'), ('nation 15')) v(t), nation WHERE levenshtein(lower(t), lower(n_name)) <= 2 QUALIFY row_number() OVER (PARTITION BY t ORDER BY edits, n_nationkey) = 1""")
 def join6_levenshtein(spark, sf):
-    names = _NATIONS[0](spark, sf).select("picklist_id", "ordinal").withColumn("k", c("ordinal")).join(table(spark, sf, "nation").select(c("n_nationkey").alias("k"), c("n_name").alias("name")), "k").drop("k")
+    names = _NATIONS[0](spark, sf).select(F.lit("x").alias("picklist_id"), "ordinal").withColumn("k", c("ordinal")).join(table(spark, sf, "nation").select(c("n_nationkey").alias("k"), c("n_name").alias("name")), "k").drop("k")
     return matching.levenshtein_best(_TYPOS[0](spark, sf).distinct(), names, 2)
 
 
