@@ -35,14 +35,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def persist(df: DataFrame, name: str) -> DataFrame:
+def persist(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends here, and a lost executor costs only a read."""
     spark = df.sparkSession
-    path = shared_dir(spark, name)
+    path = path or shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder in the shared folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -209,16 +209,16 @@ def owners(entries: DataFrame, max_bytes: int = 256_000_000) -> DataFrame:
     return rows.repartition("n_bytes", "hash").mapInArrow(insert, "entry long, keep_id long, group_size long, first boolean")
 
 
-def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", entries_path: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs.
 
     Texts are equal when identical after each run of white space is one space; null counts as empty. The row with
     the smallest doc_id of a group stays. Of several rows with that same doc_id one stays. Null doc_ids come after
     all others: keep_id is null only in a group without any id, where one row stays. Further columns are ignored.
-    An empty table gives no rows.
+    An empty table gives no rows. entries_path: where the entries are written, for callers that delete them afterwards.
     """
     prepare(docs.sparkSession)
-    entries = persist(local_entries(docs, id_column, text_column), "exact-entries")
+    entries = persist(local_entries(docs, id_column, text_column), "exact-entries", entries_path)
     owned = owners(entries)
     rows = entries.select("entry", "sha", "best", "members").join(owned, "entry").select("sha", "best", "keep_id", "group_size", "first", F.array_position("members", F.col("best")).alias("own"), F.posexplode("members").alias("place", "doc_id"))
     kept = F.col("first") & (F.col("place") + 1 == F.greatest(F.coalesce("own", F.lit(0)), F.lit(1)))

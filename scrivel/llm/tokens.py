@@ -33,7 +33,7 @@ class Encoder:
 
     _open: dict[tuple[str, int], Encoder] = {}
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -42,7 +42,7 @@ class Encoder:
         self.memo: dict[bytes, bytes] = {}
 
     @classmethod
-    def of(cls, path: str, limit: int = 800_000) -> Encoder:
+    def of(cls, path: str, limit: int = 500_000) -> Encoder:
         """One encoder for each worker process."""
         if (path, limit) not in cls._open:
             cls._open[path, limit] = cls(path, limit)
@@ -123,7 +123,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8_000_000):
+def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
     """The batch in runs of rows whose texts have about `most` bytes together."""
     sizes = np.array([len(x) for x in text_bytes(batch.column(column))], dtype=np.int64)
     at, total = 0, 0
