@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivel.llm import exact_dedup, mixing, packing, simhash, toxicity
-from scrivel.llm.common import SPACE, persist, whole_text
+from scrivel.llm.common import SPACE, discard, persist, shared_dir, whole_text
 from scrivel.llm.queries import TOKENIZER
 
 
@@ -23,7 +23,9 @@ def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id of equal texts stays; of repeated rows, one."""
-    kept = exact_dedup.exact_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256")
+    path = shared_dir(spark, "exact-entries")
+    kept = persist(exact_dedup.exact_groups(docs, entries_path=path).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256"), "exact-kept")
+    discard(spark, path)
     sha = F.sha2(F.regexp_replace(whole_text(), SPACE, " "), 256)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("row_id"), sha.alias("row_sha"))
     same = F.col("row_id").eqNullSafe(F.col("kept_id")) & (F.col("row_sha") == F.col("text_sha256"))
