@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from scrivel.functions import dates
 from scrivel.functions import rules as R
 from scrivel.functions import text as T
-from scrivel.operators import layout, lines, matching, parsers, records, scoring
+from scrivel.operators import grids, layout, lines, matching, parsers, personal, records, scoring
+from scrivel.plans import extract
 from scrivel.plans.inputs import BLOCKS, FORM, KEY, NAMES, PLACE, made, pick, q, table
 from scrivel.streaming import jobs
 
@@ -622,3 +623,72 @@ def mth3_similarity(spark, sf):
     t = table(spark, sf, "benchmark")
     w = Window.partitionBy(F.pmod("item_id", F.lit(16))).orderBy("item_id")
     return t.withColumn("next", F.lead("text").over(w)).where("next is not null").select("item_id", scoring.similarity(c("text"), c("next")).alias("ratio"))
+
+
+# -- grids, clean-up and the whole extraction -------------------------------------------------------------------------
+def _grid(frame: DataFrame, parse, keys: tuple[str, ...]) -> DataFrame:
+    e = frame.select("doc_id", F.posexplode(parse(c("text"))).alias("entry_no", "m"))
+    return e.select("doc_id", "entry_no", *(F.try_element_at("m", F.lit(k)).alias(k) for k in keys))
+
+
+_SCHOOLS = made("supplier", doc_id="cast(s_suppkey as string)", k="s_suppkey % 4", name="s_name", text=pick("s_suppkey", "concat('Degree', chr(10), 'School:', chr(10), 'Year', chr(10), 'BSc', chr(10), s_name, chr(10), '2010 - 2014', chr(10), 'MSc', chr(10), 'Uni', chr(10), '2016', chr(10), 'tail')", "concat('University', chr(10), 'Xếp loại', chr(10), 'Bachelor', chr(10), s_name, chr(10), 'Good', chr(10), 'Page 1 of 2')", "concat('a line', chr(10), 'Degree', chr(10), 'School', chr(10), 'Year', chr(10), 'x')", "cast(null as string)"))
+
+
+@query(f"""SELECT doc_id, 0 AS entry_no, 'BSc' AS degree, name AS "otherSchool", '2010' AS "startDate", '2014' AS "endDate", NULL AS grade FROM {_SCHOOLS[1]} WHERE k = 0 UNION ALL SELECT doc_id, 1, 'MSc', 'Uni', '2016', NULL, NULL FROM {_SCHOOLS[1]} WHERE k = 0
+UNION ALL SELECT doc_id, 0, 'Bachelor', name, NULL, NULL, 'Good' FROM {_SCHOOLS[1]} WHERE k = 1""")
+def tvf8_education_grid(spark, sf):
+    return _grid(_SCHOOLS[0](spark, sf), grids.education_grid, ("degree", "otherSchool", "startDate", "endDate", "grade"))
+
+
+_POSTS = made("supplier", doc_id="cast(s_suppkey as string)", k="s_suppkey % 4", name="s_name", text=pick("s_suppkey", "concat('Position', chr(10), 'Company', chr(10), 'From', chr(10), 'To', chr(10), 'Dev', chr(10), s_name, chr(10), '2010', chr(10), 'Present', chr(10), 'Lead', chr(10), 'Beta', chr(10), '2012', chr(10), '2014', chr(10), 'tail')", "concat('Company', chr(10), 'Period', chr(10), s_name, chr(10), 'Acme', chr(10), '2010 - nay')", "concat('Chức vụ', chr(10), 'Company', chr(10), 'Thời gian', chr(10), 'Dev', chr(10), s_name, chr(10), '3/2010 – 5/2012', chr(10), '- did', chr(10), 'x', chr(10), 'y')", "'one line'"))
+
+
+@query(f"""SELECT doc_id, 0 AS entry_no, 'Dev' AS "startTitle", name AS employer, '2010' AS "startDate", NULL AS "endDate" FROM {_POSTS[1]} WHERE k = 0 UNION ALL SELECT doc_id, 1, 'Lead', 'Beta', '2012', '2014' FROM {_POSTS[1]} WHERE k = 0
+UNION ALL SELECT doc_id, 0, name, 'Acme', '2010', NULL FROM {_POSTS[1]} WHERE k = 1 UNION ALL SELECT doc_id, 0, 'Dev', name, '3/2010', '5/2012' FROM {_POSTS[1]} WHERE k = 2""")
+def tvf10_experience_grid(spark, sf):
+    return _grid(_POSTS[0](spark, sf), grids.experience_grid, ("startTitle", "employer", "startDate", "endDate"))
+
+
+_PERSONS = made("customer", doc_id=KEY, fullName=pick("c_custkey", q("Nguyễn Văn An"), q("Work Experience"), "''", "cast(null as string)"), firstName=q("An"), middleName="cast(null as string)", lastName=q("Le"), primaryEmail=pick("c_custkey", q("a@b.org"), "concat('mail: u', cast(c_custkey as string), '@b.org / x')", q("none"), "cast(null as string)", "''"), contactEmail=pick("c_custkey", q("x"), q("<c.d@e.vn>")), address="concat(c_name, ' | Ngay sinh: 1')", cellPhone=pick("c_custkey", q("+84 901 234 567"), q("12 34"), "''", q("1234567890123456")), idCard=pick("c_custkey", q("123456789"), q("012 345 678 901"), q("12345"), "cast(null as string)", "''"))
+_DIGITS = lambda x: f"length(regexp_replace({x}, '[^0-9]', '', 'g'))"
+_MAIL = lambda x: f"CASE WHEN {x} = '' THEN '' ELSE nullif(regexp_extract({x}, {q(R.EMAIL)}), '') END"
+_NAMED = lambda x: f"CASE WHEN coalesce(fullName, '') <> 'Work Experience' THEN {x} END AS {x}"
+
+
+@query(f"""SELECT doc_id, {_NAMED('fullName')}, {_NAMED('firstName')}, {_NAMED('middleName')}, {_NAMED('lastName')}, {_MAIL('primaryEmail')} AS primaryEmail, {_MAIL('contactEmail')} AS contactEmail, trim(split_part(address, '|', 1)) AS address,
+ CASE WHEN cellPhone = '' OR {_DIGITS('cellPhone')} BETWEEN 7 AND 15 THEN cellPhone END AS cellPhone, CASE WHEN idCard = '' OR {_DIGITS('idCard')} IN (9, 12) THEN idCard END AS idCard FROM {_PERSONS[1]}""")
+def tvf22_clean(spark, sf):
+    return personal.clean(_PERSONS[0](spark, sf))
+
+
+def _cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three blocks a customer: a large name, labelled lines, and running text."""
+    part = lambda k, text, size: F.struct(F.lit(k).cast("long").alias("block_no"), F.expr(text).alias("text"), F.lit(size).alias("font_size"))
+    rows = F.array(part(0, "'TRAN THI MAI'", 16.0), part(1, f"concat('Phone: +84 90', lpad({KEY}, 7, '0'), chr(10), 'Address: ', c_name, ' | more')", 10.0), part(2, f"concat('write to user', {KEY}, '@mail.org or other@mail.org')", 10.0))
+    b = table(spark, sf_dir, "customer").select(F.expr(KEY).alias("doc_id"), F.inline(rows))
+    y = c("block_no") * 30.0
+    return b.withColumns({"page": F.lit(0), "x0": F.lit(20.0), "y0": y, "x1": F.lit(180.0), "y1": y + 12, "is_bold": c("font_size") > 12})
+
+
+@query(f"""SELECT {KEY} AS doc_id, 'Tran Thi Mai' AS fullName, cast(NULL AS varchar) AS dateOfBirth, concat('+84 90', lpad({KEY}, 7, '0')) AS cellPhone, concat('user', {KEY}, '@mail.org') AS primaryEmail, concat('user', {KEY}, '@mail.org') AS contactEmail, c_name AS address,
+ concat('90', lpad({KEY}, 7, '0')) AS idCard, cast(NULL AS varchar) AS idIssuePlace, cast(NULL AS varchar) AS idIssueDt, cast(NULL AS varchar) AS zip, 'Thi' AS middleName, 'Tran' AS firstName, 'Mai' AS lastName FROM customer""")
+def tvf21_personal_fields(spark, sf):
+    return extract.personal_fields(_cv(spark, sf))
+
+
+_CV_LINES = made("supplier", doc_id="cast(s_suppkey as string)", name="s_name", text="concat('Education', chr(10), 'Degree', chr(10), 'School', chr(10), 'Year', chr(10), 'BSc', chr(10), s_name, chr(10), '2010 - 2014', chr(10), 'AWS Certified', chr(10), 'Amazon', chr(10), '2020', chr(10), 'Languages', chr(10), 'English: fluent', chr(10), 'Python', chr(10), 'english - B2', chr(10), 'Certificates', chr(10), '- PMP (2019)', chr(10), '- CFA', chr(10), 'Awards', chr(10), '- First prize (2011)', chr(10), '- Second prize')")
+
+
+@query(f"""SELECT doc_id, 'education' AS section, 0 AS entry_no, 'BSc' AS degree, name AS "otherSchool", NULL AS language, NULL AS proficiency, NULL AS name, NULL AS institution, '2010' AS "startDate" FROM {_CV_LINES[1]}
+UNION ALL SELECT doc_id, 'certificates', 0, NULL, NULL, NULL, NULL, 'AWS Certified', 'Amazon', '2020' FROM {_CV_LINES[1]} UNION ALL SELECT doc_id, 'languages', 0, NULL, NULL, 'English', 'Fluent', NULL, NULL, NULL FROM {_CV_LINES[1]}
+UNION ALL SELECT doc_id, 'awards', 0, NULL, NULL, NULL, NULL, 'First prize (2011)', NULL, '2011' FROM {_CV_LINES[1]} UNION ALL SELECT doc_id, 'awards', 1, NULL, NULL, NULL, NULL, 'Second prize', NULL, NULL FROM {_CV_LINES[1]}""")
+def tvf21_set3_win7_sections(spark, sf):
+    e = extract.section_entries(lines.explode_lines(_CV_LINES[0](spark, sf)))
+    return e.select("doc_id", "section", "entry_no", *(F.try_element_at("keys", F.lit(k)).alias(k) for k in ("degree", "otherSchool", "language", "proficiency", "name", "institution", "startDate")))
+
+
+@query("""SELECT cast(s_suppkey as varchar) AS doc_id, CASE WHEN s_suppkey % 2 = 0 THEN 'education' ELSE 'certificates' END AS section, CASE WHEN s_suppkey % 2 = 0 THEN 'B.A' END AS degree, CASE WHEN s_suppkey % 2 = 0 THEN 'Hanoi Academy (2009' END AS "otherSchool" FROM supplier""")
+def set2_degrees(spark, sf):
+    """A year range in brackets is cut at its dash with the rest of the name."""
+    e = table(spark, sf, "supplier").select(c("s_suppkey").cast("string").alias("doc_id"), F.lit("certificates").alias("section"), F.lit(0).alias("entry_no"), F.create_map(F.lit("name"), F.when(c("s_suppkey") % 2 == 0, "B.A. Banking — Hanoi Academy (2009-2013)").otherwise("First aid")).alias("keys"))
+    return extract.move_degrees(e).select("doc_id", "section", *(F.try_element_at("keys", F.lit(k)).alias(k) for k in ("degree", "otherSchool")))

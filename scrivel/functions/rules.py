@@ -80,3 +80,9 @@ REQUIRED_KEYS = {"education": ["degree", "school"], "outsideWorkExperience": ["s
 VALID_DATE, VALID_EMAIL, VALID_PHONE = r"^/Date\(-?\d+\)/$", r"^[^@\s]+@[^@\s]+\.[^@\s]+$", r"[\d\s\-\+\(\)]{7,}"
 # Weights by path; others weigh 1.
 WEIGHTS = dict.fromkeys(["personal_info.full_name", "personal_info.email", "personal_info.phone", "position_applied.title", "current_employment.employee_id", "current_employment.position", "education", "work_experience"], 3.0) | dict.fromkeys(["personal_info.date_of_birth", "personal_info.gender", "personal_info.nationality", "personal_info.address", "personal_info.city", "personal_info.country", "personal_info.id_number", "position_applied.department", "position_applied.reference_number", "position_applied.expected_salary", "current_employment.department", "current_employment.branch", "current_employment.direct_manager", "summary", "skills", "certifications", "languages", "publications"], 2.0)
+# Headings of grids written as lines, and what tells degrees and certificates apart.
+EDUCATION_GRID = {"degree": "degree", "degree/cert": "degree", "bang cap": "degree", "institution": "school", "school": "school", "university": "school", "truong": "school", "year": "year", "nam": "year", "gpa/grade": "grade", "gpa": "grade", "xep loai": "grade", "field": "field", "major": "field", "nganh": "field"}
+EXPERIENCE_GRID = {"position": "title", "title": "title", "chuc vu": "title", "vi tri": "title", "company": "company", "employer": "company", "ten don vi": "company", "from": "from", "tu": "from", "start": "from", "to": "to", "den": "to", "end": "to", "period": "period", "thoi gian": "period", "location": "location", "dia diem": "location"}
+CERTIFICATE_WORDS = ["certified", "certificate", "certification", "cfa", "frm", "pmp", "aws", "cisco", "itil", "professional"]
+DEGREE_WORDS = r"(?i)\b(B\.?[AS]\.?|M\.?[AS]\.?|Ph\.?D|Bachelor|Master|Doctor|MBA|Engineer)\b"
+ACADEMIES = ["university", "academy", "institute", "college", "school", "rmit", "vietnam"]

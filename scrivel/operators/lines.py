@@ -43,7 +43,7 @@ def line_pairs(blocks: DataFrame) -> DataFrame:
     ls = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     b = blocks.withColumn("ls", ls).where((F.size("ls") >= 2) & ~F.exists("ls", lambda x: x.contains(":")))
     b = b.select("doc_id", "block_no", "ls", F.posexplode("ls").alias("line_no", "label")).where((F.col("line_no") % 2 == 0) & (F.col("line_no") + 1 < F.size("ls")))
-    b = b.withColumn("value", F.element_at("ls", F.col("line_no") + 2))
+    b = b.withColumn("value", F.get("ls", F.col("line_no") + 1))
     ok = (F.length("label") < 40) & (F.size(F.split("label", r"\s+")) <= 5) & _clean(F.col("label")) & _clean(F.col("value"))
     return b.where(ok).select("doc_id", "block_no", "line_no", "label", "value")
 
@@ -51,7 +51,7 @@ def line_pairs(blocks: DataFrame) -> DataFrame:
 def table_pairs(tables: DataFrame) -> DataFrame:
     """TVF1: rows with two or four clean cells are one or two pairs."""
     c = tables.withColumn("c", F.filter("cells", lambda x: x.isNotNull() & (x != "") & _clean(x)))
-    pair = lambda k: F.struct(F.lit(k).alias("k"), F.element_at("c", k).alias("label"), F.element_at("c", k + 1).alias("value"))
+    pair = lambda k: F.struct(F.lit(k).alias("k"), F.get("c", F.lit(k - 1)).alias("label"), F.get("c", F.lit(k)).alias("value"))
     two = c.where(F.size("c") == 2).select("doc_id", "table_no", "row_no", pair(1).alias("p"))
     four = c.where(F.size("c") == 4).select("doc_id", "table_no", "row_no", F.explode(F.array(pair(1), pair(3))).alias("p"))
     return two.union(four).select("doc_id", "table_no", "row_no", "p.*").where(F.length("label") < 60)

@@ -97,3 +97,17 @@ def test_records_and_dictionaries(spark, tmp_path):
     replay = files.Replay(spark.createDataFrame([("1", 'x ```json {"a": [1,],} ``` y'), ("2", "none")], "doc_id string, raw string"))
     out = replay(spark.createDataFrame([("1",), ("2",), ("3",)], "doc_id string")).select("doc_id", F.to_json("reply").alias("r"))
     assert {r.doc_id: r.r for r in out.collect()} == {"1": '{"a":[1]}', "2": None, "3": None}
+
+
+def test_lines_of_odd_number_and_empty_inputs_of_the_extraction(spark):
+    from scrivel.operators import lines
+    from scrivel.plans import extract
+
+    blocks = "doc_id string, block_no long, page int, x0 double, y0 double, x1 double, y1 double, text string, is_bold boolean, font_size double"
+    odd = spark.createDataFrame([("a", 0, 0, 1.0, 1.0, 9.0, 2.0, "Phone\n12345678\nlast", False, 9.0), ("b", 0, 0, 1.0, 1.0, 9.0, 2.0, None, False, 9.0)], blocks)
+    assert [(r.label, r.value) for r in lines.line_pairs(odd).collect()] == [("Phone", "12345678")]
+    got = {r.doc_id: r.cellPhone for r in extract.personal_fields(odd).collect()}
+    assert got == {"a": "12345678", "b": None}
+    assert extract.personal_fields(odd.limit(0)).count() == 0
+    none = spark.createDataFrame([("a", 0, "no section"), ("b", 0, None)], "doc_id string, line_no int, line string")
+    assert extract.section_entries(none).count() == 0
