@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scrivel.functions import rules as R
 from scrivel.functions.text import contains_any, fold, is_form_label, is_noise
 from scrivel.operators import grids, layout, lines, parsers, personal
+from scrivel.streaming.shared import shared_dir
 
 INNER_BOLD = ["experience", "education"]
 
@@ -103,10 +104,15 @@ def move_degrees(entries: DataFrame) -> DataFrame:
 
 
 def section_entries(ls: DataFrame) -> DataFrame:
-    """doc_id, section, entry_no, keys: of sections of one kind the first that holds anything counts; FLT7 to FLT11, WIN7 and SET2 after that."""
-    c = F.col
+    """doc_id, section, entry_no, keys: of sections of one kind the first that holds anything counts; FLT7 to FLT11, WIN7 and SET2 after that.
+
+    The section texts are written once, by kind, to the shared folder: each parser then reads its own kind only.
+    """
+    c, spark = F.col, ls.sparkSession
     kind = Window.partitionBy("doc_id", "section")
-    e = _parsed(section_texts(ls)).withColumn("first", F.min("sec_no").over(kind))
+    path, texts = shared_dir(spark, "sections"), section_texts(ls)
+    texts.write.partitionBy("section").parquet(path)
+    e = _parsed(spark.read.schema(texts.schema).parquet(path)).withColumn("first", F.min("sec_no").over(kind))
     school = F.min(F.when(c("section") == "education", c("sec_no"))).over(Window.partitionBy("doc_id"))
     e = e.withColumn("school", school).where(F.when(c("moved"), c("school").isNull() | (c("sec_no") <= c("school"))).otherwise(c("sec_no") == c("first")))
     names = ("language", "remark", "name", "employer", "startTitle", "otherSchool", "degree", "startDate")
