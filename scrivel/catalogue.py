@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scrivel.functions import dates
 from scrivel.functions import rules as R
 from scrivel.functions import text as T
-from scrivel.operators import grids, layout, lines, matching, parsers, personal, records, scoring
+from scrivel.operators import grids, layout, lines, matching, parsers, personal, records, scoring, validation
 from scrivel.plans import extract
 from scrivel.plans.inputs import BLOCKS, FORM, KEY, NAMES, PLACE, made, pick, q, table
 from scrivel.streaming import jobs
@@ -520,34 +520,78 @@ def jsn4_agg3_keys(spark, sf):
     return records.json_paths(table(spark, sf, "events").select(c("event_id").alias("doc_id"), "props"), "props").groupBy("path").agg(F.count_distinct("doc_id").alias("n"))
 
 
-_RECORDS = made("customer", file=KEY, primaryEmail=pick("c_custkey", q("a@b.org"), q("bad"), "cast(null as string)"), cellPhone=pick("c_custkey", q("+84 901 234 567"), q("12")), dateOfBirth=pick("c_custkey", q("/Date(5)/"), q("2020-01-01"), "''"), gender=pick("c_custkey", q("12"), q("male")), firstName=pick("c_custkey", q("An"), q("X1")), lastName=pick("c_custkey", q("An"), q("Le"), q("a@b"), "cast(null as string)"))
-_IF = lambda cond, text: f"CASE WHEN {cond} THEN '{text}' END"
-_HAS = lambda x: f"coalesce({x}, '') <> ''"
-_ISSUES_SQL = f"""(SELECT file, list_sort(list_filter([{_IF(f"{_HAS('primaryEmail')} AND NOT regexp_matches(primaryEmail, {q(R.VALID_EMAIL)})", 'Invalid email: primaryEmail')}, {_IF(f"{_HAS('cellPhone')} AND NOT regexp_matches(cellPhone, {q(R.VALID_PHONE)})", 'Invalid phone: cellPhone')},
- {_IF(f"{_HAS('dateOfBirth')} AND NOT regexp_matches(dateOfBirth, {q(R.VALID_DATE)})", 'Invalid date: dateOfBirth')}, {_IF("NOT regexp_matches(gender, '^[0-9]+$')", 'Unresolved picklist: gender')}, {_IF('firstName = lastName', 'First and last name are the same: firstName')},
- {_IF("regexp_matches(firstName, '[@0-9]')", 'Suspicious name: firstName')}, {_IF("regexp_matches(lastName, '[@0-9]')", 'Suspicious name: lastName')}, {_IF(f"NOT {_HAS('lastName')}", 'Missing required: lastName')}, {_IF(f"NOT {_HAS('primaryEmail')}", 'Missing required: primaryEmail')}], lambda x: x IS NOT NULL)) AS issues FROM {_RECORDS[1]})"""
-
-
-@query(f"SELECT file, issues, len(issues) = 0 AS valid FROM {_ISSUES_SQL}")
+_DEFS = [("firstName", "String", None, True), ("lastName", "String", None, True), ("primaryEmail", "String", None, True), ("cellPhone", "String", None, False), ("dateOfBirth", "DateTime", None, False), ("gender", "Picklist", "gender", False)]
+_DEFS += [("education.results.degree", "Picklist", "degree", False), ("education.results.school", "String", None, False), ("education.results.startDate", "DateTime", None, False), ("languages.results.language", "String", None, False)]
+_GOOD = '"firstName":"An","lastName":"Le","primaryEmail":"a@b.org"'
+#: Records in eight shapes: good, unreadable, empty, no object, bad values, bad sections, bad entries, values that are no texts.
+_RECORDS = made(
+    "customer",
+    file=KEY,
+    record=pick(
+        "c_custkey",
+        f"""concat('[{{"__metadata":{{"uri":"Candidate"}},{_GOOD},"cellPhone":"+84 90', {KEY}, '","dateOfBirth":"/Date(', {KEY}, ')/","gender":{{"id":"1"}},"education":{{"results":[{{"degree":"12","school":"U","startDate":"/Date(-5)/"}}]}}}}]')""",
+        "concat('no json ', c_name)",
+        pick("c_custkey", q("[]"), q('{"a":1}'), q('["x"]'), q("[7]")),
+        f"""concat('[{{"firstName":"A', {KEY}, '","lastName":"A', {KEY}, '","primaryEmail":"bad","cellPhone":"12","dateOfBirth":"', c_name, '","gender":"male","nickname":"z","hobby":"y"}}]')""",
+        q(f'[{{{_GOOD},"education":"none","languages":{{"results":[]}}}}]'),
+        f"""concat('[{{"firstName":"An","lastName":"L@","education":{{"results":[{{"degree":"MSc","school":"","startDate":"20', {KEY}, '","gpa":"4"}},"text",{{"degree":{{"id":"7"}},"school":"U","startDate":5}}]}},"hobbies":{{"results":[1]}}}}]')""",
+        f"""concat('[{{{_GOOD},"dateOfBirth":', {KEY}, ',"gender":"', {KEY}, '","languages":{{"results":[{{"level":"B2"}},{{"language":"English"}}]}}}}]')""",
+    ),
+)
+_DAY, _CODE = q(R.VALID_DATE), "(t = 'VARCHAR' AND regexp_matches(s, '^[0-9]+$') OR coded)"
+_KNOWN = sql_list(d[0] for d in _DEFS if "." not in d[0])
+_REPORT_SQL = f"""r AS (SELECT file, json_valid(record) AS ok, CAST(CASE WHEN json_valid(record) THEN record ELSE 'null' END AS JSON) AS j FROM {_RECORDS[1]}),
+c AS (SELECT file, j->0 AS c FROM r WHERE json_type(j) = 'ARRAY' AND json_type(j->0) = 'OBJECT'),
+x AS (SELECT file, k, v, json_type(v) AS t, v->>'$' AS s, json_exists(v, '$.results') AS sec, json_exists(v, '$.id') AS coded FROM (SELECT file, k, json_extract(c, '$.' || k) AS v FROM (SELECT file, c, unnest(json_keys(c)) AS k FROM c)) WHERE k <> '__metadata'),
+e AS (SELECT file, k AS sec, k || '[' || i || ']' AS place, json_extract(v, '$.results[' || i || ']') AS e FROM (SELECT file, k, v, unnest(range(CAST(json_array_length(v, '$.results') AS BIGINT))) AS i FROM x WHERE sec AND k IN ('education', 'languages'))),
+y AS (SELECT file, sec, place, k, json_type(v) AS t, v->>'$' AS s, json_exists(v, '$.id') AS coded FROM (SELECT file, sec, place, k, json_extract(e, '$.' || k) AS v FROM (SELECT file, sec, place, e, unnest(json_keys(e)) AS k FROM e WHERE json_type(e) = 'OBJECT'))),
+i AS (
+SELECT file, 'Cannot read file' AS issue FROM r WHERE NOT ok
+UNION ALL SELECT file, 'Expected non-empty JSON array' FROM r WHERE ok AND (json_type(j) <> 'ARRAY' OR json_array_length(j) = 0)
+UNION ALL SELECT file, 'First element is not a JSON object' FROM r WHERE json_type(j) = 'ARRAY' AND json_type(j->0) <> 'OBJECT'
+UNION ALL SELECT file, 'Unknown top-level fields: ' || string_agg(k, ', ' ORDER BY k) FROM x WHERE NOT sec AND k NOT IN ({_KNOWN}) GROUP BY file
+UNION ALL SELECT file, 'Missing required field: ' || f FROM c, (VALUES ('firstName'), ('lastName'), ('primaryEmail')) n(f) WHERE NOT json_exists(c, '$.' || f)
+UNION ALL SELECT file, 'Invalid date format for ''' || k || ''': ' || s FROM x WHERE k = 'dateOfBirth' AND NOT (t = 'VARCHAR' AND regexp_matches(s, {_DAY}))
+UNION ALL SELECT file, 'Picklist not resolved for ''' || k || ''': ' || s FROM x WHERE k = 'gender' AND NOT {_CODE}
+UNION ALL SELECT file, 'Invalid email format for ''' || k || ''': ' || s FROM x WHERE k = 'primaryEmail' AND NOT regexp_matches(s, {q(R.VALID_EMAIL)})
+UNION ALL SELECT file, 'Suspicious phone format for ''' || k || ''': ' || s FROM x WHERE k = 'cellPhone' AND NOT regexp_matches(s, {q(R.VALID_PHONE)})
+UNION ALL SELECT file, 'Section ''' || k || ''' has wrong structure' FROM x WHERE k IN ('education', 'languages') AND NOT sec
+UNION ALL SELECT file, 'Section ''' || k || ''' has empty results' FROM x WHERE k IN ('education', 'languages') AND json_array_length(v, '$.results') = 0
+UNION ALL SELECT file, place || ': not a dict' FROM e WHERE json_type(e) <> 'OBJECT'
+UNION ALL SELECT file, place || ': missing key ''' || f || '''' FROM e, (VALUES ('education', 'degree'), ('education', 'school'), ('languages', 'language')) n(of, f) WHERE of = sec AND json_type(e) = 'OBJECT' AND coalesce(e->>('$.' || f), '') = ''
+UNION ALL SELECT file, place || '.' || k || ': invalid date ''' || s || '''' FROM y WHERE k = 'startDate' AND NOT (t = 'VARCHAR' AND regexp_matches(s, {_DAY}))
+UNION ALL SELECT file, place || '.' || k || ': picklist not resolved ''' || s || '''' FROM y WHERE k = 'degree' AND NOT {_CODE}
+UNION ALL SELECT file, 'Unknown section keys: ' || string_agg(sec || '.' || k, ', ' ORDER BY sec, k) FROM y WHERE k NOT IN ('degree', 'school', 'startDate', 'language') GROUP BY file
+UNION ALL SELECT a.file, 'firstName == lastName (''' || a.s || '''), likely extraction error' FROM x a JOIN x b USING (file) WHERE a.k = 'firstName' AND b.k = 'lastName' AND a.s = b.s
+UNION ALL SELECT file, '''' || k || ''' contains suspicious chars: ' || s FROM x WHERE k IN ('firstName', 'lastName') AND regexp_matches(s, '[@0-9]'))"""
+
+
+def _reports(spark, sf) -> DataFrame:
+    return validation.validate(_RECORDS[0](spark, sf), spark.createDataFrame(_DEFS, "field_id string, field_type string, picklist_id string, required boolean"))
+
+
+@query(f"WITH {_REPORT_SQL} SELECT r.file, list_sort(coalesce(list(issue) FILTER (issue IS NOT NULL), [])) AS issues, count(issue) = 0 AS valid FROM r LEFT JOIN i ON i.file = r.file GROUP BY r.file")
 def val1_to_val15_rules(spark, sf):
-    return records.validate(_RECORDS[0](spark, sf))
+    return _reports(spark, sf).drop("stats")
 
 
-@query(f"""SELECT trim(split_part(issue, ':', 1)) AS category, count(*) AS n, min(file) AS seen FROM (SELECT cast(file as bigint) AS file, unnest(issues) AS issue FROM {_ISSUES_SQL}) GROUP BY 1 ORDER BY n DESC, seen LIMIT 10""")
+@query(f"WITH {_REPORT_SQL} SELECT trim(split_part(issue, ':', 1)) AS category, count(*) AS n, min(CAST(file AS BIGINT)) AS seen FROM i GROUP BY 1 ORDER BY n DESC, seen, category LIMIT 10")
 def agg8_srt3_categories(spark, sf):
-    v = records.validate(_RECORDS[0](spark, sf)).select(c("file").cast("long").alias("seen"), F.explode("issues").alias("issue"))
-    return records.issue_categories(v)
+    return records.issue_categories(_reports(spark, sf).select(c("file").cast("long").alias("seen"), F.explode("issues").alias("issue")))
 
 
-@query(f"""SELECT count(*) AS files, count(*) FILTER (len(issues) = 0) AS valid, round(avg(len(issues)), 1) AS avg_issues FROM {_ISSUES_SQL}""")
+@query(f"""WITH {_REPORT_SQL}, d AS (SELECT t, s, false AS coded FROM x WHERE k = 'dateOfBirth' UNION ALL SELECT t, s, coded FROM y WHERE k = 'startDate'), p AS (SELECT t, s, coded FROM x WHERE k = 'gender' UNION ALL SELECT t, s, coded FROM y WHERE k = 'degree'),
+n AS (SELECT (SELECT count(*) FROM r) AS total_files, (SELECT count(*) FROM r WHERE file NOT IN (SELECT file FROM i)) AS passed, (SELECT count(*) FROM x WHERE NOT sec AND k IN ({_KNOWN})) AS tops, (SELECT count(*) FROM e) AS entries, (SELECT count(*) FROM d) AS total_dates,
+ (SELECT count(*) FROM d WHERE t = 'VARCHAR' AND regexp_matches(s, {_DAY})) AS valid_dates, (SELECT count(*) FROM p) AS total_picklists, (SELECT count(*) FROM p WHERE {_CODE}) AS resolved_picklists, (SELECT count(*) FROM x WHERE k IN ('firstName', 'lastName', 'primaryEmail')) AS filled)
+SELECT total_files, passed, total_files - passed AS failed, round(tops / total_files, 1) AS avg_top_level_fields, round(entries / total_files, 1) AS avg_section_entries, total_dates, valid_dates, round(valid_dates / total_dates * 100, 1) AS date_rate,
+ total_picklists, resolved_picklists, round(resolved_picklists / total_picklists * 100, 1) AS picklist_rate, round(filled / (3 * total_files) * 100, 1) AS required_fill_rate FROM n""")
 def agg7_snk3_summary(spark, sf):
-    return records.validate(_RECORDS[0](spark, sf)).agg(F.count("*").alias("files"), F.count_if("valid").alias("valid"), F.round(F.avg(F.size("issues")), 1).alias("avg_issues"))
+    return validation.totals(_reports(spark, sf))
 
 
-@query("""SELECT file, section, 0 AS entry_no, issue FROM (SELECT cast(s_suppkey as varchar) AS file, CASE s_suppkey % 3 WHEN 0 THEN 'education' WHEN 1 THEN 'languages' ELSE 'other' END AS section, s_suppkey AS k FROM supplier) s, (VALUES ('education', 'school'), ('languages', 'language')) v(sec, issue) WHERE sec = section""")
+@query(f"WITH {_REPORT_SQL} SELECT file, issue FROM i WHERE regexp_matches(issue, '^(Section|Unknown section|[a-z]+\\[)')")
 def val8_to_val12_entries(spark, sf):
-    t = table(spark, sf, "supplier").select(c("s_suppkey").cast("string").alias("file"), F.when(c("s_suppkey") % 3 == 0, "education").when(c("s_suppkey") % 3 == 1, "languages").otherwise("other").alias("section"), F.lit(0).alias("entry_no"), F.create_map(F.lit("degree"), F.lit("BSc"), F.lit("school"), F.lit("")).alias("keys"))
-    return records.validate_entries(t)
+    return _reports(spark, sf).select("file", F.explode("issues").alias("issue")).where(c("issue").rlike(r"^(Section|Unknown section|[a-z]+\[)"))
 
 
 @query("""SELECT count(*) AS total_files, count(*) FILTER (value > 0) AS success, count(*) FILTER (NOT coalesce(value > 0, false)) AS errors, round(sum(user_id) / count(*), 1) AS avg_fields_per_file, CAST(sum(event_id) AS BIGINT) AS total_time_ms FROM events""")

@@ -1,4 +1,4 @@
-"""Records: assembly in schema order, defaults, required and unknown keys, validation, reports."""
+"""Records: assembly in schema order, defaults, required and unknown keys, reports."""
 
 from __future__ import annotations
 
@@ -72,35 +72,10 @@ def json_paths(rows: DataFrame, column: str) -> DataFrame:
     return top.select("doc_id", F.col("key").alias("path")).union(below.select("doc_id", F.concat_ws(".", "key", "inner"))).distinct()
 
 
-def validate(records: DataFrame) -> DataFrame:
-    """VAL4 to VAL7, VAL13 to VAL15: records (file, primaryEmail, cellPhone, dateOfBirth, gender, firstName, lastName) to file, valid, issues (sorted)."""
-    c = F.col
-    issue = lambda when, text: F.when(when, F.lit(text))
-    filled = lambda n: c(n).isNotNull() & (c(n) != "")
-    rules = [
-        issue(filled("primaryEmail") & ~c("primaryEmail").rlike(R.VALID_EMAIL), "Invalid email: primaryEmail"),
-        issue(filled("cellPhone") & ~c("cellPhone").rlike(R.VALID_PHONE), "Invalid phone: cellPhone"),
-        issue(filled("dateOfBirth") & ~c("dateOfBirth").rlike(R.VALID_DATE), "Invalid date: dateOfBirth"),
-        issue(filled("gender") & ~c("gender").rlike(r"^\d+$"), "Unresolved picklist: gender"),
-        issue(filled("firstName") & (c("firstName") == c("lastName")), "First and last name are the same: firstName"),
-        *(issue(filled(n) & c(n).rlike(r"[@\d]"), f"Suspicious name: {n}") for n in ("firstName", "lastName")),
-        *(issue(~filled(n), f"Missing required: {n}") for n in ("firstName", "lastName", "primaryEmail")),
-    ]
-    issues = F.array_sort(F.filter(F.array(*rules), lambda x: x.isNotNull()))
-    return records.select("file", issues.alias("issues")).withColumn("valid", F.size("issues") == 0)
-
-
-def validate_entries(entries: DataFrame) -> DataFrame:
-    """VAL8 to VAL12: entries (file, section, entry_no, keys map) to file, section, entry_no, issue for each required key that is absent."""
-    need = F.create_map(*(x for s, ks in R.REQUIRED_KEYS.items() for x in (F.lit(s), F.array(*map(F.lit, ks)))))
-    lacking = F.array_except(F.coalesce(need[F.col("section")], F.array().cast("array<string>")), F.map_keys(F.map_filter("keys", lambda k, v: v.isNotNull() & (v != ""))))
-    return entries.select("file", "section", "entry_no", F.explode(lacking).alias("issue"))
-
-
 def issue_categories(issues: DataFrame, most: int = 10) -> DataFrame:
-    """AGG8, SRT3: the most frequent texts before a colon; ties to the first seen (column seen)."""
+    """AGG8, SRT3: the most frequent texts before a colon; ties to the first seen (column seen), then by name."""
     by = issues.withColumn("category", F.trim(F.substring_index("issue", ":", 1))).groupBy("category").agg(F.count("*").alias("n"), F.min("seen").alias("seen"))
-    return by.orderBy(F.col("n").desc(), "seen").limit(most)
+    return by.orderBy(F.col("n").desc(), "seen", "category").limit(most)
 
 
 def batch_report(results: DataFrame) -> DataFrame:

@@ -111,3 +111,15 @@ def test_lines_of_odd_number_and_empty_inputs_of_the_extraction(spark):
     assert extract.personal_fields(odd.limit(0)).count() == 0
     none = spark.createDataFrame([("a", 0, "no section"), ("b", 0, None)], "doc_id string, line_no int, line string")
     assert extract.section_entries(none).count() == 0
+
+
+def test_validation_of_odd_records(spark):
+    from scrivel.operators import validation
+
+    defs = spark.createDataFrame([("firstName", "String", None, True), ("languages.x.language", "String", None, False)], "field_id string, field_type string, picklist_id string, required boolean")
+    given = [None, "", "{}", "[]", "[null]", '[{"firstName":null,"languages":{"results":null}}]', '[{"firstName":"An","languages":{"results":[{"language":"vi"},3]}}]']
+    rows = spark.createDataFrame(list(enumerate(given)), "file int, record string")
+    got = {r.file: r.issues for r in validation.validate(rows, defs).collect()}
+    assert [got[k][0] for k in range(5)] == ["Cannot read file"] * 2 + ["Expected non-empty JSON array"] * 2 + ["First element is not a JSON object"]
+    assert got[5] == ["Section 'languages' has empty results"] and got[6] == ["languages[1]: not a dict"]
+    assert validation.totals(validation.validate(rows.limit(0), defs)).first().total_files == 0
