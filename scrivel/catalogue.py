@@ -11,7 +11,7 @@ from scrivel.functions import dates
 from scrivel.functions import rules as R
 from scrivel.functions import text as T
 from scrivel.operators import grids, layout, lines, matching, parsers, personal, records, scoring, validation
-from scrivel.plans import extract
+from scrivel.plans import batch, extract
 from scrivel.plans.inputs import BLOCKS, FORM, KEY, NAMES, PLACE, made, pick, q, table
 from scrivel.streaming import jobs
 
@@ -736,3 +736,23 @@ def set2_degrees(spark, sf):
     """A year range in brackets is cut at its dash with the rest of the name."""
     e = table(spark, sf, "supplier").select(c("s_suppkey").cast("string").alias("doc_id"), F.lit("certificates").alias("section"), F.lit(0).alias("entry_no"), F.create_map(F.lit("name"), F.when(c("s_suppkey") % 2 == 0, "B.A. Banking — Hanoi Academy (2009-2013)").otherwise("First aid")).alias("keys"))
     return extract.move_degrees(e).select("doc_id", "section", *(F.try_element_at("keys", F.lit(k)).alias(k) for k in ("degree", "otherSchool")))
+
+
+# -- the batch --------------------------------------------------------------------------------------------------------
+_BATCH_DEFS = [("fullName", "String", None, True), ("gender", "Picklist", "g", True), ("dateOfBirth", "DateTime", None, False), ("anonymized", "String", None, False), ("languages.x.proficiency", "String", None, False), ("languages.x.language", "Picklist", "l", False)]
+_BATCH_LISTS = [("g", 0, "F", "Nữ", "Female", "7", "A"), ("l", 0, "en", "Tiếng Anh", "English", "9", "A")]
+
+
+@query(f"""WITH a AS (SELECT {KEY} AS doc_id, c_name, c_custkey % 5 <> 4 AS ok, c_custkey % 3 AS g FROM customer)
+SELECT doc_id, CASE WHEN ok THEN 'success' ELSE 'error' END AS status, CASE WHEN ok THEN concat('[{{"__metadata":{{"uri":"Candidate"}},"fullName":"', c_name, '",', CASE g WHEN 0 THEN '"gender":{{"id":"7"}},' WHEN 1 THEN '"gender":"zzz",' ELSE '' END,
+ '"dateOfBirth":"/Date(', epoch_ms(TIMESTAMP '1990-03-05 00:00:00'), ')/","anonymized":"0","languages":{{"results":[{{"proficiency":"Fluent","language":"9"}}]}}}}]') END AS record, CAST(CASE WHEN NOT ok THEN 0 WHEN g = 2 THEN 6 ELSE 7 END AS BIGINT) AS fields_extracted,
+ CASE WHEN ok AND g = 2 THEN ['gender'] ELSE CAST([] AS VARCHAR[]) END AS missing_required, CASE WHEN NOT ok THEN ['cannot be read'] WHEN g = 2 THEN ['Missing 1 required fields: gender'] ELSE CAST([] AS VARCHAR[]) END AS warnings FROM a""")
+def orc2_orc3_agg3_join10_results(spark, sf):
+    t = table(spark, sf, "customer").withColumn("doc_id", c("c_custkey").cast("string"))
+    docs = t.select("doc_id", F.when(c("c_custkey") % 5 == 4, "cannot be read").alias("error"))
+    good = t.where("c_custkey % 5 <> 4")
+    found = good.select("doc_id", c("c_name").alias("fullName"), F.when(c("c_custkey") % 3 == 0, "Female").when(c("c_custkey") % 3 == 1, "zzz").alias("gender"), F.lit("05/03/1990").alias("dateOfBirth"))
+    entries = good.select("doc_id", F.lit("languages").alias("section"), F.lit(0).alias("entry_no"), F.create_map(F.lit("language"), F.lit("English"), F.lit("proficiency"), F.lit("Fluent"), F.lit("level"), F.lit("x")).alias("keys"))
+    defs = spark.createDataFrame([(*d, k) for k, d in enumerate(_BATCH_DEFS)], "field_id string, field_type string, picklist_id string, required boolean, ordinal int")
+    lists = spark.createDataFrame(_BATCH_LISTS, "picklist_id string, ordinal int, external_code string, label_vi string, label_en string, option_id string, status string")
+    return batch.results(docs, batch.typed_fields(good.select("doc_id"), found, entries, defs, lists), defs)

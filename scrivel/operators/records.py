@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivel.functions import rules as R
@@ -23,14 +23,17 @@ def typed(value: Column, option_id: Column, field_type: Column, nested: Column)
     still = ~nested & F.lower(F.trim(value)).isin(R.ONGOING)
     # bound once: every date pattern would repeat the whole expression otherwise, beyond what a generated method holds
     day = F.get(F.transform(F.array(F.when((field_type == "DateTime") & ~still, value)), lambda x: date_string(x, True)), F.lit(0))
-    return F.when(field_type == "Picklist", picked).when(field_type == "DateTime", F.coalesce(day, value)).when(field_type == "Boolean", F.lower(value)).otherwise(value)
+    return F.when(field_type == "Picklist", picked).when(field_type == "DateTime", F.coalesce(day, value)).when((field_type == "Boolean") & ~nested, F.lower(value)).otherwise(value)
 
 
-def with_defaults(fields: DataFrame, field_defs: DataFrame) -> DataFrame:
-    """JOIN9: documents' (doc_id, field_id, value) with the three defaults put in where the schema has the field and the value is missing."""
+def with_defaults(fields: DataFrame, field_defs: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """JOIN9: documents' (doc_id, field_id, value) with the three defaults put in where the schema has the field and the value is missing.
+
+    docs: doc_id of all documents, if some may have no field.
+    """
     spark = fields.sparkSession
     defaults = spark.createDataFrame(list(R.DEFAULTS.items()), "field_id string, standard string").join(field_defs.select("field_id"), "field_id")
-    want = fields.select("doc_id").distinct().join(F.broadcast(defaults.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).drop("one")
+    want = (docs or fields).select("doc_id").distinct().join(F.broadcast(defaults.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).drop("one")
     return want.join(fields, ["doc_id", "field_id"], "full").select("doc_id", "field_id", F.coalesce("value", "standard").alias("value"))
 
 
@@ -39,23 +42,24 @@ def assemble(fields: DataFrame, field_defs: DataFrame) -> DataFrame:
 
     fields: doc_id, field_id, entry_no (null at the top level), value (typed), resolved (a picklist id was found).
     """
-    d = split_schema(field_defs).select("field_id", "field_type", "ordinal", "section", "nested_key")
+    place = F.min("ordinal").over(Window.partitionBy("section"))
+    d = split_schema(field_defs).select("field_id", "field_type", "ordinal", "section", "nested_key", place.alias("place"))
     f = fields.join(F.broadcast(d), "field_id").where("value is not null")
     quote = lambda c: F.to_json(F.struct(c.alias("v")))
     text = lambda c: F.regexp_extract(quote(c), r'(?s)^\{"v":(.*)\}$', 1)
     item = lambda key, body: F.concat(F.lit('"'), key, F.lit('":'), body)
     top = f.where("section is null").select("doc_id", "ordinal", item(F.col("field_id"), F.when((F.col("field_type") == "Picklist") & F.col("resolved"), F.concat(F.lit('{"id":'), text(F.col("value")), F.lit("}"))).otherwise(text(F.col("value")))).alias("part"))
-    sections = f.where("section is not null and value != ''").groupBy("doc_id", "section", "entry_no").agg(F.min("ordinal").alias("ordinal"), F.array_sort(F.collect_list(F.struct("ordinal", item(F.col("nested_key"), text(F.col("value"))).alias("t"))))["t"].alias("ts"))
+    sections = f.where("section is not null and value != ''").groupBy("doc_id", "section", "entry_no").agg(F.min("place").alias("ordinal"), F.array_sort(F.collect_list(F.struct("ordinal", item(F.col("nested_key"), text(F.col("value"))).alias("t"))))["t"].alias("ts"))
     sections = sections.groupBy("doc_id", "section").agg(F.min("ordinal").alias("ordinal"), F.array_sort(F.collect_list(F.struct("entry_no", F.concat(F.lit("{"), F.array_join("ts", ","), F.lit("}")).alias("t"))))["t"].alias("es"))
     sections = sections.select("doc_id", (F.col("ordinal") + 1_000_000).alias("ordinal"), item(F.col("section"), F.concat(F.lit('{"results":['), F.array_join("es", ","), F.lit("]}"))).alias("part"))
     parts = top.union(sections).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "part")))["part"].alias("ps"))
     return parts.select("doc_id", F.concat(F.lit('[{"__metadata":{"uri":"Candidate"},'), F.array_join("ps", ","), F.lit("}]")).alias("record"))
 
 
-def missing_required(fields: DataFrame, field_defs: DataFrame) -> DataFrame:
+def missing_required(fields: DataFrame, field_defs: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """JOIN10: doc_id, field_id of required fields a document lacks."""
     need = field_defs.where("required").select("field_id", F.lit(1).alias("one"))
-    want = fields.select("doc_id").distinct().join(F.broadcast(need), F.lit(1) == F.col("one")).drop("one")
+    want = (docs or fields).select("doc_id").distinct().join(F.broadcast(need), F.lit(1) == F.col("one")).drop("one")
     return want.join(fields, ["doc_id", "field_id"], "left_anti")
 
 
@@ -65,10 +69,10 @@ def unknown_keys(keys: DataFrame, field_defs: DataFrame) -> DataFrame:
 
 
 def json_paths(rows: DataFrame, column: str) -> DataFrame:
-    """JSN4, AGG3: doc_id, path for each distinct key of JSON objects and, one level down, section.key; objects with an id are not entered."""
+    """JSN4, AGG3: doc_id, path for each distinct key of JSON objects and section.key for those of the entries in its results; other objects are not entered."""
     top = rows.select("doc_id", F.explode(F.from_json(column, "map<string,string>")).alias("key", "value")).where("key != '__metadata'")
-    inner = F.from_json(F.when(F.col("value").startswith("{"), F.col("value")), "map<string,string>")
-    below = top.select("doc_id", "key", F.explode(inner).alias("inner", "_v"), F.map_contains_key(inner, "id").alias("coded")).where("not coded")
+    entries = F.from_json(F.from_json(F.when(F.col("value").startswith("{"), F.col("value")), "map<string,string>")["results"], "array<map<string,string>>")
+    below = top.select("doc_id", "key", F.explode(F.array_distinct(F.flatten(F.transform(entries, F.map_keys)))).alias("inner"))
     return top.select("doc_id", F.col("key").alias("path")).union(below.select("doc_id", F.concat_ws(".", "key", "inner"))).distinct()
 
 

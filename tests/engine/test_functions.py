@@ -123,3 +123,27 @@ def test_validation_of_odd_records(spark):
     assert [got[k][0] for k in range(5)] == ["Cannot read file"] * 2 + ["Expected non-empty JSON array"] * 2 + ["First element is not a JSON object"]
     assert got[5] == ["Section 'languages' has empty results"] and got[6] == ["languages[1]: not a dict"]
     assert validation.totals(validation.validate(rows.limit(0), defs)).first().total_files == 0
+
+
+def test_a_folder_from_files_to_records(spark, tmp_path):
+    import json
+
+    from scrivel.plans import batch
+
+    (tmp_path / "in").mkdir()
+    lines = [("Tran Thi Mai", True, 16), ("Email: a@b.org", False, 10), ("Gender: Female", False, 10), ("Languages", True, 14), ("English: fluent", False, 10)]
+    (tmp_path / "in" / "a.docx").write_bytes(docx(lines, []))
+    (tmp_path / "in" / "b.docx").write_bytes(b"not a zip")
+    (tmp_path / "in" / "c.docx").write_bytes(docx([("Page 1 of 2", False, 10)], []))
+    defs = [("fullName", "String", None, True), ("primaryEmail", "String", None, True), ("gender", "Picklist", "g", False), ("anonymized", "String", None, False), ("languages.x.proficiency", "String", None, False), ("languages.x.language", "Picklist", "l", False)]
+    defs = spark.createDataFrame([(*d, k) for k, d in enumerate(defs)], "field_id string, field_type string, picklist_id string, required boolean, ordinal int")
+    lists = spark.createDataFrame([("g", 0, "F", "Nữ", "Female", "7", "A"), ("l", 0, "en", "Tiếng Anh", "English", "9", "A")], "picklist_id string, ordinal int, external_code string, label_vi string, label_en string, option_id string, status string")
+    got = {r.doc_id.rsplit("/", 1)[1]: r for r in batch.run_folder(spark, str(tmp_path / "in"), defs, lists, str(tmp_path / "out")).collect()}
+    assert got["b.docx"].status == "error" and got["b.docx"].record is None and got["b.docx"].warnings
+    assert json.loads(got["c.docx"].record) == [{"__metadata": {"uri": "Candidate"}, "anonymized": "0"}] and got["c.docx"].missing_required == ["fullName", "primaryEmail"]
+    record = json.loads(got["a.docx"].record)[0]
+    assert record["fullName"] == "Tran Thi Mai" and record["primaryEmail"] == "a@b.org" and record["anonymized"] == "0"
+    assert record["languages"] == {"results": [{"proficiency": "Fluent", "language": "9"}]}
+    assert got["a.docx"].fields_extracted == len(record) - 1 + 2
+    report = json.loads(next((tmp_path / "out" / "report").glob("*.json")).read_text())
+    assert (report["total_files"], report["success"], report["errors"]) == (3, 2, 1)
