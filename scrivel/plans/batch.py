@@ -61,7 +61,7 @@ def run(blocks: DataFrame, tables: DataFrame | None, docs: DataFrame, field_defs
     order = layout.reading_order(blocks).join(docs.select("doc_id", "marked"), "doc_id")
     text = order.select("doc_id", F.when(F.col("marked"), F.col("layout_text")).otherwise(F.col("raw_text")).alias("text"))
     found = written(extract.personal_fields(blocks, tables).select("doc_id", *personal.FIELDS), "personal")
-    entries = written(extract.section_entries(lines.explode_lines(text)), "entries")
+    entries = written(extract.section_entries(lines.explode_lines(text), tables), "entries")
     good = docs.where("error is null").select("doc_id")
     fields = written(typed_fields(good, found, entries, field_defs, picklists), "fields")
     return results(docs.select("doc_id", "error"), fields, field_defs)

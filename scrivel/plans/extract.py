@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scrivel.functions import rules as R
 from scrivel.functions.text import contains_any, fold, is_form_label, is_noise
 from scrivel.operators import grids, layout, lines, parsers, personal
-from scrivel.streaming.shared import shared_dir
+from scrivel.streaming.shared import shared_dir, written
 
 INNER_BOLD = ["experience", "education"]
 
@@ -90,6 +90,25 @@ def _parsed(texts: DataFrame) -> DataFrame:
     return first
 
 
+def table_entries(tables: DataFrame) -> DataFrame:
+    """TVF2 to TVF6: doc_id, section, entry_no, keys from tables (doc_id, table_no, row_no, cells) with headings; of experience tables the first that holds anything."""
+    c, doc = F.col, Window.partitionBy("doc_id")
+    routed = parsers.route_tables(tables).where("kind is not null").select("doc_id", "table_no", "kind", "header")
+    rows = tables.join(routed, ["doc_id", "table_no"]).withColumn("top", F.min("row_no").over(Window.partitionBy("doc_id", "table_no")))
+    rows = rows.where("row_no > top or kind = 'language_more'").withColumn("row_no", c("table_no") * F.lit(1_000_000).cast("long") + c("row_no"))
+    of = lambda kind: rows.where(c("kind") == kind).select("doc_id", "row_no", "header", "cells")
+    entry = lambda frame, section, *keys: frame.select("doc_id", F.lit(section).alias("section"), c("row_no").alias("entry_no"), _filled(*keys))
+    jobs = parsers.experience_table(of("experience")).withColumn("nth", F.expr("row_no div 1000000"))
+    jobs = jobs.withColumn("least", F.min("nth").over(doc)).where("nth = least")
+    first, last = F.trim(F.get("cells", F.lit(0))), F.trim(F.element_at("cells", -1))
+    is_word = lambda x: (x != "") & ~F.lower(x).isin(R.NON_LANGUAGES)
+    more = of("language_more").select("doc_id", "row_no", first.alias("language"), F.when(is_word(last) & (last != first), last).alias("remark")).where(is_word(c("language")))
+    out = entry(jobs, "experience", "startTitle", "employer", "startDate", "endDate")
+    out = out.unionByName(entry(parsers.education_table(of("education")), "education", "otherSchool", "degree", "otherMajor", "startDate", "endDate"))
+    out = out.unionByName(entry(parsers.certificate_table(of("certificate")), "certificates", "name", "institution", "startDate"))
+    return out.unionByName(entry(parsers.language_table(of("language")).unionByName(more), "languages", "language", "remark"))
+
+
 def move_degrees(entries: DataFrame) -> DataFrame:
     """SET2: where a document has no education, certificates that name a degree become education."""
     c, doc = F.col, Window.partitionBy("doc_id")
@@ -103,8 +122,9 @@ def move_degrees(entries: DataFrame) -> DataFrame:
     return e.select("doc_id", F.when(moves, "education").otherwise(c("section")).alias("section"), "entry_no", F.when(moves, _filled("degree", "otherSchool")).otherwise(c("keys")).alias("keys"))
 
 
-def section_entries(ls: DataFrame) -> DataFrame:
-    """doc_id, section, entry_no, keys: of sections of one kind the first that holds anything counts; FLT7 to FLT11, WIN7 and SET2 after that.
+def section_entries(ls: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """doc_id, section, entry_no, keys: of sections of one kind the first that holds anything counts, tables before them all (SET5); FLT7 to FLT11,
+    WIN7 and SET2 after that.
 
     The section texts are written once, by kind, to the shared folder: each parser then reads its own kind only.
     """
@@ -112,7 +132,10 @@ def section_entries(ls: DataFrame) -> DataFrame:
     kind = Window.partitionBy("doc_id", "section")
     path, texts = shared_dir(spark, "sections"), section_texts(ls)
     texts.write.partitionBy("section").parquet(path)
-    e = _parsed(spark.read.schema(texts.schema).parquet(path)).withColumn("first", F.min("sec_no").over(kind))
+    e = _parsed(spark.read.schema(texts.schema).parquet(path))
+    if tables is not None:
+        e = e.unionByName(written(table_entries(tables), "table-entries").withColumns({"sec_no": F.lit(-1).cast("long"), "moved": F.lit(False)}))
+    e = e.withColumn("first", F.min("sec_no").over(kind))
     school = F.min(F.when(c("section") == "education", c("sec_no"))).over(Window.partitionBy("doc_id"))
     e = e.withColumn("school", school).where(F.when(c("moved"), c("school").isNull() | (c("sec_no") <= c("school"))).otherwise(c("sec_no") == c("first")))
     names = ("language", "remark", "name", "employer", "startTitle", "otherSchool", "degree", "startDate")

@@ -147,3 +147,20 @@ def test_a_folder_from_files_to_records(spark, tmp_path):
     assert got["a.docx"].fields_extracted == len(record) - 1 + 2
     report = json.loads(next((tmp_path / "out" / "report").glob("*.json")).read_text())
     assert (report["total_files"], report["success"], report["errors"]) == (3, 2, 1)
+
+
+def test_tables_come_before_sections(spark):
+    from scrivel.plans import extract
+
+    text = ["Languages", "English: fluent", "Awards", "- First prize (2011)", "- Second prize"]
+    ls = spark.createDataFrame([("a", k, x) for k, x in enumerate(text)] + [("b", k, x) for k, x in enumerate(text)], "doc_id string, line_no int, line string")
+    tables = [[["Language", "Certificate"], ["French", "DELF"], ["German", ""]], [["Korean", "TOPIK"]], [["Company", "Position", "From", "To"], ["Acme", "Dev", "2010", "2012"]], [["Employer", "Title"], ["Late", "Dev"]], [["School", "Degree", "Year"], ["Hanoi University", "MSc", "2001 - 2005"]]]
+    cells = spark.createDataFrame([("a", t, r, row) for t, rows in enumerate(tables) for r, row in enumerate(rows)], "doc_id string, table_no int, row_no int, cells array<string>")
+    got = {}
+    for r in extract.section_entries(ls, cells).orderBy("doc_id", "section", "entry_no").collect():
+        got.setdefault((r.doc_id, r.section), []).append(r["keys"])
+    assert got["a", "languages"] == [{"language": "French", "remark": "DELF"}, {"language": "German"}, {"language": "Korean", "remark": "TOPIK"}]
+    assert got["a", "experience"] == [{"startTitle": "Dev", "employer": "Acme", "startDate": "2010", "endDate": "2012"}]
+    assert got["a", "education"] == [{"otherSchool": "Hanoi University", "degree": "MSc", "startDate": "2001", "endDate": "2005"}]
+    assert [x["name"] for x in got["a", "awards"]] == ["First prize (2011)", "Second prize"] and got["a", "awards"] == got["b", "awards"]
+    assert got["b", "languages"] == [{"language": "English", "proficiency": "Fluent"}]
