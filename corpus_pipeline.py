@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivel.llm import exact_dedup, mixing, packing, simhash, toxicity
+from scrivel.llm import exact_dedup, mixing, near_copies, packing, toxicity
 from scrivel.llm.common import SPACE, discard, persist, shared_dir, whole_text
 from scrivel.llm.queries import TOKENIZER
 
@@ -33,8 +33,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest doc_id stays. Rows without a doc_id stay: they link nothing."""
-    gone = simhash.near_groups(docs).where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    """Of each group linked by a 5-word Jaccard similarity of 0.8 or more the document with the smallest doc_id stays. Rows without a doc_id stay: they link nothing."""
+    gone = near_copies.similar_ids(docs).where("doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 
