@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; all sampled texts, whatever their label, are the unlabelled ones. With class
-prior p the risk is p * E+[loss(+)] + max(0, E_u[loss(-)] - p * E+[loss(-)]). Where the corrected part turns negative the
+Confirmed toxic texts are the positives; a sample of the texts without a usable label, at most SAMPLE_ROWS by a hash of
+doc_id, and the sampled labelled texts, whatever their label, are the unlabelled ones. The class prior p is the share of toxic texts among the labelled ones. The risk is p * E+[loss(+)] + max(0, E_u[loss(-)] - p * E+[loss(-)]). Where the corrected part turns negative the
 step goes the other way, which keeps the classifier from explaining the unlabelled texts away. The classifier is linear,
 in numpy, over the words and word beginnings that are most over-represented in the positives.
 
@@ -22,7 +22,7 @@ from scrivel.llm.common import prepare, whole_text
 from scrivel.llm.substring_dedup import numbered, word_places
 from scrivel.llm.tokens import slices, text_bytes
 
-#: At most so many labelled rows, the first by a hash of doc_id, are fitted on.
+#: At most so many labelled rows, the first by a hash of doc_id, give the positives and the prior, and as many rows without a label take part.
 SAMPLE_ROWS = 8000
 FEATURES = 256
 STEPS = 400
@@ -77,8 +77,9 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def choose_features(texts: list[bytes], positive: np.ndarray, most: int = FEATURES, least: float = LEAST_ERRORS) -> dict[bytes, int]:
-    """The features whose share of positive texts is furthest above that of all, `least` standard errors or more; at least 4 positives have them."""
+def choose_features(texts: list[bytes], positive: np.ndarray, most: int = FEATURES, least: float = LEAST_ERRORS, unlabelled: np.ndarray | None = None) -> dict[bytes, int]:
+    """The features whose share of positive texts is furthest above that of the unlabelled, `least` standard errors or more; at least 4 positives have them."""
+    unlabelled = np.ones(len(texts), dtype=bool) if unlabelled is None else unlabelled
     sets = lambda t: {f for w in set(t.split()) for f in features_of(w)}
     in_p: Counter = Counter()
     for t, p in zip(texts, positive, strict=True):
@@ -86,26 +87,28 @@ def choose_features(texts: list[bytes], positive: np.ndarray, most: int = FEATUR
             in_p.update(sets(t))
     in_p = Counter({f: n for f, n in in_p.items() if n >= 4})
     in_u: Counter = Counter()
-    for t in texts:
-        in_u.update(sets(t) & in_p.keys())
-    n, n_p = len(texts), max(1, int(positive.sum()))
+    for t, u in zip(texts, unlabelled, strict=True):
+        if u:
+            in_u.update(sets(t) & in_p.keys())
+    n, n_p = max(1, int(unlabelled.sum())), max(1, int(positive.sum()))
     value = {f: (a / n_p - in_u[f] / n) / np.sqrt(max(in_u[f] / n * (1 - in_u[f] / n), 1e-9) / n_p) for f, a in in_p.items()}
     best = sorted((f for f in value if value[f] >= least), key=lambda f: (-value[f], f))[:most]
     return {f: k for k, f in enumerate(best)}
 
 
-def fit(texts: list[bytes], positive: np.ndarray, features: int = FEATURES, steps: int = STEPS, rate: float = 0.05, decay: float = DECAY, prior: float | None = None) -> Classifier:
+def fit(texts: list[bytes], positive: np.ndarray, features: int = FEATURES, steps: int = STEPS, rate: float = 0.05, decay: float = DECAY, prior: float | None = None, unlabelled: np.ndarray | None = None) -> Classifier:
     """A classifier by the non-negative risk; without positives (or texts) it scores every text 0. prior: the share of toxic texts, if the
-    positives' share of the sample isn't it."""
-    if not len(texts) or not positive.any():
+    positives' share of the sample isn't it. unlabelled: which texts are the unlabelled ones, if not all."""
+    unlabelled = np.ones(len(texts), dtype=bool) if unlabelled is None else unlabelled
+    if not unlabelled.any() or not positive.any():
         return Classifier({}, np.zeros(0, dtype=np.float32), -50.0)
-    known = choose_features(texts, positive, features)
+    known = choose_features(texts, positive, features, unlabelled=unlabelled)
     x = np.concatenate([inputs(*count_features(texts[k : k + 500], known)) for k in range(0, len(texts), 500)])
-    n, n_p = len(texts), int(positive.sum())
-    prior = n_p / n if prior is None else prior
+    n, n_p = int(unlabelled.sum()), int(positive.sum())
+    prior = n_p / len(texts) if prior is None else prior
     w, b = np.zeros(x.shape[1]), -2.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    x_p = x[positive]
+    x_p, x = x[positive], x[unlabelled]
     for t in range(1, steps + 1):
         z, z_p = x @ w + b, x_p @ w + b
         s, s_p = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-z_p))
@@ -129,13 +132,25 @@ def held_out(column: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, steps: int = STEPS) -> Classifier:
-    """Fits on labelled rows that aren't held out, at most sample_rows; their texts alone come to the driver."""
+    """Fits on rows that aren't held out: the toxic ones of at most sample_rows labelled rows, and as unlabelled
+    ones at most sample_rows without a label and the labelled rows, whatever their label. Their texts alone come to the driver."""
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    # sample_rows bounds what is broadcast: two numbers a row
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = sorted(((r.doc_id, r.text, r.toxic) for r in rows.collect()), key=lambda r: (r[0], r[1]))
-    return fit([r[1].encode() for r in got], np.array([r[2] == 1 for r in got], dtype=bool), features, steps)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    free = rows.select("doc_id").where("doc_id is not null").where(~held_out()).join(usable, "doc_id", "left_anti").distinct()
+
+    def texts_of(ids: DataFrame) -> list:
+        chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+        # sample_rows bounds what is broadcast: two numbers a row
+        return sorted(((r.doc_id, r.text, r.toxic) for r in rows.join(F.broadcast(chosen), "doc_id").collect()), key=lambda r: (r[0], r[1]))
+
+    known = texts_of(usable)
+    toxic = [r for r in known if r[2] == 1]
+    if not toxic:
+        return fit([], np.zeros(0, dtype=bool))
+    rest = texts_of(free.withColumn("toxic", F.lit(None).cast("int")))
+    got = toxic + rest + known
+    first = np.arange(len(got)) < len(toxic)
+    return fit([r[1].encode() for r in got], first, features, steps, prior=len(toxic) / len(known), unlabelled=~first)
 
 
 def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
