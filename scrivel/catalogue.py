@@ -467,6 +467,15 @@ def join6_levenshtein(spark, sf):
     return matching.levenshtein_best(_TYPOS[0](spark, sf).distinct(), names, 2)
 
 
+_TYPOS_BY_KEY = made("customer", picklist_id="'x'", text="concat('ntion', c_custkey)")
+
+
+@query(f"""SELECT 'x' AS picklist_id, text, n_name AS name, CAST(levenshtein(lower(text), lower(n_name)) AS INTEGER) AS edits FROM (SELECT DISTINCT text FROM {_TYPOS_BY_KEY[1]}), nation WHERE levenshtein(lower(text), lower(n_name)) <= 2 QUALIFY row_number() OVER (PARTITION BY text ORDER BY edits, n_nationkey) = 1""")
+def join6_levenshtein_customers(spark, sf):
+    names = _NATIONS[0](spark, sf).select(F.lit("x").alias("picklist_id"), "ordinal").withColumn("k", c("ordinal")).join(table(spark, sf, "nation").select(c("n_nationkey").alias("k"), c("n_name").alias("name")), "k").drop("k")
+    return matching.levenshtein_best(_TYPOS_BY_KEY[0](spark, sf).distinct(), names, 2)
+
+
 # -- records ----------------------------------------------------------------------------------------------------------
 _SCHEMA = [("fullName", "String", True, 0), ("gender", "Picklist", True, 1), ("dateOfBirth", "DateTime", True, 2), ("anonymized", "Boolean", False, 3), ("shareProfile", "String", False, 4), ("education.x.degree", "Picklist", False, 5), ("education.x.endDate", "DateTime", False, 6)]
 
