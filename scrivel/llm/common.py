@@ -14,13 +14,23 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Python workers get Arrow batches of at most about so many bytes (or one row); a lower setting of the session stays.
+BATCH_BYTES = 4_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package when only the driver's path has it."""
+    """Let Python workers import this package when only the driver's path has it, and bound the batches they get.
+
+    A batch is held by the JVM and by the worker, so its bytes count twice for each core; the default of 64 MB is too much
+    where rows are whole texts.
+    """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    now = int(spark.conf.get(_BATCH).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -30,6 +40,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="scrivel-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -43,14 +55,37 @@ def persist(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Tables of one operator in the shared folder, deleted together or one by one when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, shared_dir(spark, name), 0
+        self.of: dict[int, tuple[str, DataFrame]] = {}
+
+    def persist(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.path}/{name}-{self.n}"
+        out = persist(df, name, path)
+        self.of[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            discard(self.spark, self.of.pop(id(table))[0])
+
+    def close(self) -> None:
+        discard(self.spark, self.path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder in the shared folder that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions_for(spark: SparkSession, n_bytes: int, each: int = 64_000_000) -> int:
+    """How many partitions to deal n_bytes into: about `each` bytes a partition, and no fewer than the session's number."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(n_bytes) // each))
 
 
 def whole_text(column: str = "text"):
