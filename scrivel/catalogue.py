@@ -2,51 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrivel.functions import dates
 from scrivel.functions import rules as R
 from scrivel.functions import text as T
-from scrivel.operators import grids, layout, lines, matching, parsers, personal, records, scoring, validation
-from scrivel.plans import batch, extract
-from scrivel.plans.inputs import BLOCKS, FORM, KEY, NAMES, PLACE, made, pick, q, table
+from scrivel.operators import layout, lines, matching, parsers, personal, records, validation
+from scrivel.plans import batch
+from scrivel.plans.inputs import BLOCKS, KEY, NAMES, PLACE, made, pick, q, table
+from scrivel.plans.registry import FOLD_SQL, LABEL_SQL, NOISE_SQL, NORM_SQL, ORACLES, QUERIES, query, re2, sql_list
 from scrivel.streaming import jobs
+from scrivel.streaming.shared import shared_dir
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 c = F.col
-
-
-def query(sql: str | None = None, name: str | None = None):
-    def put(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLES[name or f.__name__] = sql
-        return f
-
-    return put
-
-
-def sql_list(words) -> str:
-    return ", ".join(q(w) for w in words)
-
-
-def re2(pattern: str) -> str:
-    """A pattern of the rules for DuckDB: flags that RE2 knows."""
-    return pattern.replace("(?iu)", "(?i)")
-
-
-def sql_any(column: str, patterns) -> str:
-    return "(" + " OR ".join(f"regexp_matches({column}, {q(re2(p))})" for p in patterns) + ")"
-
-
-NOISE_SQL = lambda x: f"(trim({x}) = '' OR {sql_any(f'trim({x})', R.NOISE)})"
-LABEL_SQL = lambda x: f"(trim({x}) <> '' AND {sql_any(f'trim({x})', R.FORM_LABELS)})"
-FOLD_SQL = lambda x: f"lower(strip_accents({x}))"
-NORM_SQL = lambda x: f"trim(regexp_replace(regexp_replace({FOLD_SQL(x)}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 INTL = r"(?:^|[^a-zA-Z\d])(\(?\+\d{1,3}\)?[\s.\-]*(?:\(?\d{1,4}\)?[\s.\-]*)?\d(?:[\s.\-]*\d){5,11})(?:[^\d]|$)"
 
 
@@ -228,12 +197,6 @@ def lay4_adjacent(spark, sf):
     return layout.adjacent(BLOCKS[0](spark, sf))
 
 
-@query(f"""WITH b AS (SELECT doc_id, text, is_bold, font_size, row_number() OVER (PARTITION BY doc_id ORDER BY font_size DESC, y0, block_no) AS r FROM {BLOCKS[1]} WHERE page = 0)
-SELECT doc_id, arg_min(text, r) AS name FROM b WHERE r <= 15 AND text = 'Tran Thi Mai' AND (font_size >= 13 OR is_bold AND font_size >= 11) GROUP BY doc_id""")
-def lay5_srt2_prominent(spark, sf):
-    return layout.prominent_name(BLOCKS[0](spark, sf))
-
-
 _CELLS = made("lineitem", doc_id="cast(l_orderkey as string)", table_no="cast(l_linenumber as int)", row_no="cast(l_partkey % 3 as int)", n="cast(l_quantity as int)")
 
 
@@ -250,18 +213,6 @@ def mth1_mth2_agg4_agg5_agg6_agg17_classify(spark, sf):
 
 
 # -- lines ------------------------------------------------------------------------------------------------------------
-@query(f"""SELECT doc_id, 0 AS pos, 'Full name' AS label, c AS value FROM (SELECT {KEY} AS doc_id, c_name AS c FROM customer) UNION ALL SELECT {KEY}, 1, 'Phone', concat('+84 90', lpad({KEY}, 7, '0')) FROM customer
-UNION ALL SELECT {KEY}, 3, 'Skills', concat(c_mktsegment, ', second line, third') FROM customer""")
-def tvf1_win4_win5_pairs(spark, sf):
-    return lines.colon_pairs(lines.explode_lines(FORM[0](spark, sf)))
-
-
-_PAIRED = made("supplier", doc_id="cast(s_suppkey as string)", block_no="cast(0 as int)", text=pick("s_suppkey", "concat('Position', chr(10), s_name, chr(10), 'City', chr(10), 'Hanoi', chr(10), 'odd')", q("one line"), "concat('From *', chr(10), 'x', chr(10), 'Has a label', chr(10), 'TRUE')", "concat('with:', chr(10), 'colon')"))
-
-
-@query(f"SELECT doc_id, 0 AS block_no, 0 AS line_no, 'Position' AS label, split_part(text, chr(10), 2) AS value FROM {_PAIRED[1]} WHERE text LIKE 'Position%' UNION ALL SELECT doc_id, 0, 2, 'City', 'Hanoi' FROM {_PAIRED[1]} WHERE text LIKE 'Position%'")
-def win8_pairs(spark, sf):
-    return lines.line_pairs(_PAIRED[0](spark, sf))
 
 
 _ROWS = made("supplier", doc_id="cast(s_suppkey as string)", table_no="cast(0 as int)", row_no="cast(s_nationkey as int)", a="s_name", b=pick("s_suppkey", "''", q("From *"), q("x"), q("TRUE")), d="cast(s_nationkey as string)", e=pick("s_suppkey", "''", q("y"), q("z")))
@@ -298,27 +249,6 @@ def win3_grid(spark, sf):
     return lines.grid_rows(table(spark, sf, "lineitem").select(c("l_orderkey").cast("string").alias("doc_id"), F.expr(PLACE).alias("line_no"), c("l_partkey").cast("string").alias("line")), 3)
 
 
-_SECTION = made("supplier", doc_id="cast(s_suppkey as string)", text="concat('Senior Engineer | Acme Corp', chr(10), '2015 - 2018', chr(10), '- did one', chr(10), '- did two', chr(10), 'Manager at Beta Bank', chr(10), 'T7/2019 - T5/2021', chr(10), '', chr(10), s_name, chr(10), '2010 - present', chr(10), 'Gamma 2011 - 2012', chr(10), '---', chr(10), 'Tail')")
-
-
-@query(f"""SELECT doc_id, ['Senior Engineer | Acme Corp' || chr(10) || '2015 - 2018' || chr(10) || '- did one' || chr(10) || '- did two', 'Manager at Beta Bank' || chr(10) || 'T7/2019 - T5/2021', split_part(text, chr(10), 8) || chr(10) || '2010 - present', 'Gamma 2011 - 2012', 'Tail'] AS entries FROM {_SECTION[1]}""")
-def win2_entries(spark, sf):
-    return lines.entries(_SECTION[0](spark, sf)).select("doc_id", "entries")
-
-
-@query()
-def tvf11_win2_jobs(spark, sf):
-    e = lines.entries(_SECTION[0](spark, sf)).select("doc_id", F.posexplode(parsers.jobs(c("entries"))).alias("entry_no", "m"))
-    return e.select("doc_id", "entry_no", *(c("m")[k].alias(k) for k in ("startTitle", "employer", "startDate", "endDate", "description")))
-
-
-@query()
-def tvf9_schools(spark, sf):
-    t = table(spark, sf, "supplier").selectExpr("cast(s_suppkey as string) AS doc_id", "concat('Bachelor of Science', chr(10), 'Hanoi University | 2010 - 2014', chr(10), 'Grade: Very good', chr(10), '', chr(10), 'Thạc sĩ ', s_name, chr(10), '3/2015') AS text")
-    e = lines.entries(t).select("doc_id", F.posexplode(parsers.schools(c("entries"))).alias("entry_no", "m"))
-    return e.select("doc_id", "entry_no", *(c("m")[k].alias(k) for k in ("degree", "otherSchool", "grade", "startDate", "endDate")))
-
-
 # -- tables and list sections ----------------------------------------------------------------------------------------
 _HEADERS = made("supplier", doc_id="cast(s_nationkey as string)", table_no="cast(s_suppkey as int)", row_no="cast(0 as int)", h=pick("s_suppkey", q("Position|Company|From|To"), q("School|Degree|Year"), q("Ngoại ngữ|Đọc"), q("Certificate|Issuer|Year"), q("Name:|Phone:"), q("English|B2"), q("one|two|three")))
 
@@ -366,52 +296,6 @@ def tvf6_languages(spark, sf):
     return parsers.language_table(_LANG[0](spark, sf).select("doc_id", "row_no", F.array("a", "b").alias("cells"), F.array(F.lit("Language"), F.lit("Certificate")).alias("header")))
 
 
-_INLINE = made("part", doc_id="cast(p_partkey as string)", value="concat('English (Native), Spanish - B2; ', p_brand, ' | Python, english, Tiếng Anh')")
-
-
-@query(f"""SELECT doc_id, 0 AS pos, 'English' AS language, 'Native' AS remark FROM {_INLINE[1]} UNION ALL SELECT doc_id, 1, 'Spanish', 'B2' FROM {_INLINE[1]} UNION ALL SELECT doc_id, 2, 'Brand', NULL FROM {_INLINE[1]} UNION ALL SELECT doc_id, 5, 'Ti', NULL FROM {_INLINE[1]}""")
-def tvf7_rx9_inline(spark, sf):
-    return parsers.inline_languages(_INLINE[0](spark, sf))
-
-
-_LANGS = made("supplier", doc_id="cast(s_suppkey as string)", text="concat('English - Fluent', chr(10), 'French: thông thạo', chr(10), 'German | C1', chr(10), 'IELTS: 7.5', chr(10), '4.5', chr(10), 'Mail a@b.org', chr(10), 'Russian')")
-
-
-@query(f"""SELECT doc_id, n AS line_no, l AS language, p AS proficiency, r AS remark FROM {_LANGS[1]}, (VALUES (0, 'English', 'Fluent', NULL), (1, 'French', 'Fluent', NULL), (2, 'German', NULL, 'C1'), (3, 'IELTS', NULL, 'Score: 7.5'), (6, 'Russian', NULL, NULL)) v(n, l, p, r)""")
-def tvf12_rx11_language_lines(spark, sf):
-    return parsers.language_lines(_LANGS[0](spark, sf))
-
-
-_LIST = made("supplier", doc_id="cast(s_suppkey as string)", text=pick("s_suppkey", "concat('Intro', chr(10), '- AWS (2019)', chr(10), '- ', s_name)", "concat('1. One thing', chr(10), '2) Two (2020)')", "concat('only text', chr(10), '- one')"))
-
-
-@query(f"""SELECT doc_id, 1 AS line_no, 'AWS (2019)' AS name, '2019' AS "startDate" FROM {_LIST[1]} WHERE text LIKE 'Intro%' UNION ALL SELECT doc_id, 2, split_part(text, '- ', 3), NULL FROM {_LIST[1]} WHERE text LIKE 'Intro%'
-UNION ALL SELECT doc_id, 0, 'One thing', NULL FROM {_LIST[1]} WHERE text LIKE '1.%' UNION ALL SELECT doc_id, 1, 'Two (2020)', '2020' FROM {_LIST[1]} WHERE text LIKE '1.%'""")
-def tvf14_arr5_rx4_certificates(spark, sf):
-    return parsers.listed(_LIST[0](spark, sf), 0.5, True, "startDate")
-
-
-@query(f"""SELECT doc_id, 1 AS line_no, 'AWS (2019)' AS name, '2019' AS "issueDate" FROM {_LIST[1]} WHERE text LIKE 'Intro%' UNION ALL SELECT doc_id, 2, split_part(text, '- ', 3), NULL FROM {_LIST[1]} WHERE text LIKE 'Intro%'""")
-def tvf15_awards(spark, sf):
-    return parsers.listed(_LIST[0](spark, sf), 0.6, False, "issueDate")
-
-
-_SIMPLE = made("supplier", doc_id="cast(s_suppkey as string)", entry_no="cast(0 as int)", entry="concat(s_name, chr(10), 'The Institute', chr(10), 'T3/2019', chr(10), 'a description that is over twenty', chr(10), 'more')")
-
-
-@query(f"""SELECT doc_id, entry_no, split_part(entry, chr(10), 1) AS course, 'T3/2019' AS "endDate", 'The Institute' AS institution, 'a description that is over twenty' AS description FROM {_SIMPLE[1]}""")
-def tvf13_tvf16_courses(spark, sf):
-    return parsers.simple_entries(_SIMPLE[0](spark, sf), "course", "endDate")
-
-
-_FAMILY = made("supplier", doc_id="cast(s_suppkey as string)", entry_no="cast(0 as int)", entry="concat('Họ tên: ', s_name, chr(10), 'Quan hệ: Father', chr(10), 'Phone: 123', chr(10), 'Vị trí: Clerk', chr(10), 'none')")
-
-
-@query(f"""SELECT doc_id, entry_no, substr(split_part(entry, chr(10), 1), 9) AS name, 'Father' AS relationship, '123' AS contact, 'Clerk' AS position FROM {_FAMILY[1]}""")
-def tvf17_family(spark, sf):
-    return parsers.family(_FAMILY[0](spark, sf))
-
-
 # -- matching ---------------------------------------------------------------------------------------------------------
 _ALIAS = {}
 for _f, _as in R.LABEL_ALIASES.items():
@@ -433,13 +317,6 @@ def join2_set4_fuzzy(spark, sf):
     return matching.fuzzy_candidates(_LABELS[0](spark, sf))
 
 
-@query()
-def join3_join8_assign(spark, sf):
-    pairs = _LABELS[0](spark, sf).select(c("doc_id").cast("int").cast("string"), "label").withColumn("pos", c("doc_id").cast("int")).withColumn("doc_id", F.pmod("pos", F.lit(20)).cast("string")).withColumn("value", F.concat(F.lit("v"), "pos"))
-    got = matching.assign_fields(pairs).groupBy("doc_id").pivot("field", list(R.LABEL_ALIASES)).agg(F.first("value"))
-    return got.withColumn("contactEmail", F.coalesce("contactEmail", "primaryEmail"))
-
-
 _NATIONS = made("nation", picklist_id="'country'", ordinal="cast(n_nationkey as int)", external_code="concat('C', cast(n_nationkey as string))", label_vi="CASE WHEN n_nationkey = 3 THEN 'Hà Nội' ELSE lower(n_name) END", label_en="CASE WHEN n_nationkey = 4 THEN 'ho chi minh' WHEN n_nationkey = 5 THEN 'nodata' ELSE n_name END", option_id="CASE WHEN n_nationkey = 6 THEN '' ELSE cast(100 + n_nationkey as string) END", status="CASE WHEN n_nationkey = 7 THEN 'I' ELSE 'A' END")
 _ASKED = made("customer", id="c_custkey", picklist_id="'country'", text=pick("c_custkey", q("Nation_1"), q(" NATION_2 "), q("TP HCM"), q("hn"), q("c12"), q("NATON 3"), q("xx"), q("Hà Nội"), q("nation_5"), q("nation_6"), q("nation_7"), "cast(null as string)"))
 _INDEX_SQL = f"""i AS (SELECT key, arg_max(option_id, ordinal) AS opt FROM (SELECT ordinal, option_id, trim(unnest([lower(label_en), lower(label_vi), lower(external_code), {FOLD_SQL('label_en')}, {FOLD_SQL('label_vi')}, {FOLD_SQL('external_code')}])) AS key FROM {_NATIONS[1]} WHERE status = 'A') WHERE key NOT IN ('', 'nodata') GROUP BY key)"""
@@ -453,11 +330,6 @@ def join4_join5_join7_flt6_picklist(spark, sf):
     return matching.match_picklist(_ASKED[0](spark, sf), _NATIONS[0](spark, sf), fuzzy=False)
 
 
-@query()
-def join6_mth5_fuzzy_picklist(spark, sf):
-    return matching.match_picklist(_ASKED[0](spark, sf), _NATIONS[0](spark, sf))
-
-
 _TYPOS = made("customer", picklist_id="'x'", text=pick("c_custkey", q("NATON_3"), q("Nation_12x"), q("ntion_4"), q("zzzz"), q("nation 15")))
 
 
@@ -515,12 +387,21 @@ def join11_flt12_unknown(spark, sf):
     return records.unknown_keys(_fields(spark, sf).select("doc_id", "field_id"), _schema(spark))
 
 
-@query(f"""SELECT {KEY} AS doc_id, concat('[{{"__metadata":{{"uri":"Candidate"}},"fullName":"', c_name, '","gender":{{"id":"', 100 + c_nationkey, '"}},"education":{{"results":[{{"degree":"BSc","endDate":"/Date({R.FAR_FUTURE_MS})/"}}]}}}}]') AS record FROM customer""")
+_ASSEMBLED = made("customer", doc_id=KEY, name=pick("c_custkey", "c_name", q('a "quoted" name'), q("Đặng"), "cast(null as string)"), nation="c_nationkey", coded="cast(floor(c_custkey / 4) as bigint) % 3 > 0", degrees="cast(floor(c_custkey / 12) as bigint) % 3", flag=pick("cast(floor(c_custkey / 36) as bigint)", q("TRUE"), "cast(null as string)"))
+_JSON = lambda x: f"to_json({x})"
+
+
+@query(f"""WITH e AS (SELECT *, list_transform(range(degrees), lambda i: concat('{{"degree":"D', i, '"', CASE WHEN i = 0 THEN ',"endDate":"/Date({R.FAR_FUTURE_MS})/"' ELSE '' END, '}}')) AS es FROM {_ASSEMBLED[1]})
+SELECT doc_id, concat('[{{', array_to_string(list_filter(['"__metadata":{{"uri":"Candidate"}}', '"fullName":' || to_json(name), '"gender":' || CASE WHEN coded THEN '{{"id":"' || (100 + nation) || '"}}' ELSE '"male"' END, '"anonymized":"' || lower(flag) || '"',
+ CASE WHEN degrees > 0 THEN '"education":{{"results":[' || array_to_string(es, ',') || ']}}' END], lambda x: x IS NOT NULL), ','), '}}]') AS record FROM e""")
 def jsn2_jsn3_flt13_assemble(spark, sf):
-    t = table(spark, sf, "customer")
-    rows = t.select(c("c_custkey").cast("string").alias("doc_id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field_id"), F.lit(e).cast("int").alias("entry_no"), v.cast("string").alias("value"), o.cast("string").alias("opt")) for f, e, v, o in (("fullName", None, c("c_name"), F.lit(None)), ("gender", None, F.lit("male"), c("c_nationkey") + 100), ("education.x.degree", 0, F.lit("BSc"), F.lit(None)), ("education.x.endDate", 0, F.lit("present"), F.lit(None)))))).alias("f")).select("doc_id", "f.*")
+    t = _ASSEMBLED[0](spark, sf)
+    field = lambda f, n, v, o=None: F.struct(F.lit(f).alias("field_id"), F.lit(n).cast("int").alias("entry_no"), v.cast("string").alias("value"), (F.lit(None) if o is None else o).cast("string").alias("opt"))
+    at = lambda n, s: F.when(c("degrees") > n, s)
+    parts = [field("anonymized", None, c("flag")), at(1, field("education.x.degree", 1, F.lit("D1"))), at(0, field("education.x.endDate", 0, F.lit("present"))), at(0, field("education.x.degree", 0, F.lit("D0"))), at(1, field("education.x.endDate", 1, F.lit(""))), field("gender", None, F.lit("male"), F.when(c("coded"), c("nation") + 100)), field("fullName", None, c("name"))]
+    rows = t.select("doc_id", F.inline(F.array_compact(F.array(*parts))))
     d = _schema(spark)
-    typed = rows.join(F.broadcast(d.select("field_id", "field_type")), "field_id").withColumn("value", records.typed(c("value"), c("opt"), c("field_type"), c("entry_no").isNotNull()))
+    typed = rows.join(d.select("field_id", "field_type"), "field_id").withColumn("value", records.typed(c("value"), c("opt"), c("field_type"), c("entry_no").isNotNull()))
     return records.assemble(typed.select("doc_id", "field_id", "entry_no", "value", c("opt").isNotNull().alias("resolved")), d)
 
 
@@ -603,11 +484,6 @@ def val8_to_val12_entries(spark, sf):
     return _reports(spark, sf).select("file", F.explode("issues").alias("issue")).where(c("issue").rlike(r"^(Section|Unknown section|[a-z]+\[)"))
 
 
-@query("""SELECT count(*) AS total_files, count(*) FILTER (value > 0) AS success, count(*) FILTER (NOT coalesce(value > 0, false)) AS errors, round(sum(user_id) / count(*), 1) AS avg_fields_per_file, CAST(sum(event_id) AS BIGINT) AS total_time_ms FROM events""")
-def agg1_agg2_snk2_batch(spark, sf):
-    return records.batch_report(table(spark, sf, "events").select(F.when(c("value") > 0, "success").otherwise("error").alias("status"), c("user_id").alias("fields_extracted"), c("event_id").alias("elapsed_ms")))
-
-
 _VERDICTS = made("lineitem", file="cast(l_orderkey as string)", field=pick("l_partkey", q("fullName"), q("email"), q("_count"), q("phone")), verdict=pick("l_suppkey", q("correct"), q("wrong"), q("partial"), q("skip"), q("missing"), q("correct")))
 
 
@@ -635,11 +511,6 @@ def agg13_sco5_suite(spark, sf):
     return records.suite(records.weighted_score(_SCORES[0](spark, sf))).withColumn("mean", F.round("mean", 9))
 
 
-@query(f"SELECT path AS section, avg(score) AS mean, count(*) AS n FROM {_SCORES[1]} GROUP BY path")
-def agg14_heatmap(spark, sf):
-    return _SCORES[0](spark, sf).groupBy(c("path").alias("section")).agg(F.avg("score").alias("mean"), F.count("*").alias("n"))
-
-
 _STATUS = "SELECT event_type AS job_id, count(*) AS done, count(*) FILTER (value > 0) AS success, count(*) FILTER (NOT coalesce(value > 0, false)) AS errors, round(avg(value), 6) AS avg_fields FROM events GROUP BY event_type"
 
 
@@ -651,57 +522,14 @@ def agg15_orc5_status(spark, sf):
 @query(_STATUS)
 def stream_job_parity(spark, sf):
     """AGG15 as a stream over files, run to the end: the same as the batch."""
-    import uuid
-
-    from scrivel.streaming.shared import shared_dir
-
-    folder, name = shared_dir(spark, "stream"), f"jobs_{uuid.uuid4().hex}"
+    folder = shared_dir(spark, "stream")
     events = table(spark, sf, "events")
     events.select("event_type", "value").repartition(4).write.parquet(f"{folder}/in")
-    out = jobs.progress(spark, f"{folder}/in", "event_type string, value double", jobs.results_of_events, name, f"{folder}/state", 2)
+    out = jobs.progress(spark, f"{folder}/in", "event_type string, value double", jobs.results_of_events, f"{folder}/out", f"{folder}/state", 2)
     return out.withColumn("avg_fields", F.round("avg_fields", 6))
 
 
-_GOLD = "to_json(named_struct('personal_info', named_struct('full_name', c_name, 'email', 'a@b.org'), 'summary', c_mktsegment, 'languages', array('English', 'French'), 'is_current', true))"
-
-
-@query()
-def sco1_to_sco4_join13_join14_mth3_mth4_score(spark, sf):
-    t = table(spark, sf, "customer").selectExpr(f"{KEY} AS cv_id", f"{_GOLD} AS truth", f"CASE WHEN c_custkey % 5 > 0 THEN {_GOLD.replace('c_name', 'upper(c_name)').replace(chr(39) + 'French' + chr(39), chr(39) + 'Frenc' + chr(39))} END AS parsed")
-    return t.withColumn("s", scoring.evaluate(c("truth"), c("parsed"))).select("cv_id", "s.*")
-
-
-@query()
-def mth3_similarity(spark, sf):
-    t = table(spark, sf, "benchmark")
-    w = Window.partitionBy(F.pmod("item_id", F.lit(16))).orderBy("item_id")
-    return t.withColumn("next", F.lead("text").over(w)).where("next is not null").select("item_id", scoring.similarity(c("text"), c("next")).alias("ratio"))
-
-
 # -- grids, clean-up and the whole extraction -------------------------------------------------------------------------
-def _grid(frame: DataFrame, parse, keys: tuple[str, ...]) -> DataFrame:
-    e = frame.select("doc_id", F.posexplode(parse(c("text"))).alias("entry_no", "m"))
-    return e.select("doc_id", "entry_no", *(F.try_element_at("m", F.lit(k)).alias(k) for k in keys))
-
-
-_SCHOOLS = made("supplier", doc_id="cast(s_suppkey as string)", k="s_suppkey % 4", name="s_name", text=pick("s_suppkey", "concat('Degree', chr(10), 'School:', chr(10), 'Year', chr(10), 'BSc', chr(10), s_name, chr(10), '2010 - 2014', chr(10), 'MSc', chr(10), 'Uni', chr(10), '2016', chr(10), 'tail')", "concat('University', chr(10), 'Xếp loại', chr(10), 'Bachelor', chr(10), s_name, chr(10), 'Good', chr(10), 'Page 1 of 2')", "concat('a line', chr(10), 'Degree', chr(10), 'School', chr(10), 'Year', chr(10), 'x')", "cast(null as string)"))
-
-
-@query(f"""SELECT doc_id, 0 AS entry_no, 'BSc' AS degree, name AS "otherSchool", '2010' AS "startDate", '2014' AS "endDate", NULL AS grade FROM {_SCHOOLS[1]} WHERE k = 0 UNION ALL SELECT doc_id, 1, 'MSc', 'Uni', '2016', NULL, NULL FROM {_SCHOOLS[1]} WHERE k = 0
-UNION ALL SELECT doc_id, 0, 'Bachelor', name, NULL, NULL, 'Good' FROM {_SCHOOLS[1]} WHERE k = 1""")
-def tvf8_education_grid(spark, sf):
-    return _grid(_SCHOOLS[0](spark, sf), grids.education_grid, ("degree", "otherSchool", "startDate", "endDate", "grade"))
-
-
-_POSTS = made("supplier", doc_id="cast(s_suppkey as string)", k="s_suppkey % 4", name="s_name", text=pick("s_suppkey", "concat('Position', chr(10), 'Company', chr(10), 'From', chr(10), 'To', chr(10), 'Dev', chr(10), s_name, chr(10), '2010', chr(10), 'Present', chr(10), 'Lead', chr(10), 'Beta', chr(10), '2012', chr(10), '2014', chr(10), 'tail')", "concat('Company', chr(10), 'Period', chr(10), s_name, chr(10), 'Acme', chr(10), '2010 - nay')", "concat('Chức vụ', chr(10), 'Company', chr(10), 'Thời gian', chr(10), 'Dev', chr(10), s_name, chr(10), '3/2010 – 5/2012', chr(10), '- did', chr(10), 'x', chr(10), 'y')", "'one line'"))
-
-
-@query(f"""SELECT doc_id, 0 AS entry_no, 'Dev' AS "startTitle", name AS employer, '2010' AS "startDate", NULL AS "endDate" FROM {_POSTS[1]} WHERE k = 0 UNION ALL SELECT doc_id, 1, 'Lead', 'Beta', '2012', '2014' FROM {_POSTS[1]} WHERE k = 0
-UNION ALL SELECT doc_id, 0, name, 'Acme', '2010', NULL FROM {_POSTS[1]} WHERE k = 1 UNION ALL SELECT doc_id, 0, 'Dev', name, '3/2010', '5/2012' FROM {_POSTS[1]} WHERE k = 2""")
-def tvf10_experience_grid(spark, sf):
-    return _grid(_POSTS[0](spark, sf), grids.experience_grid, ("startTitle", "employer", "startDate", "endDate"))
-
-
 _PERSONS = made("customer", doc_id=KEY, fullName=pick("c_custkey", q("Nguyễn Văn An"), q("Work Experience"), "''", "cast(null as string)"), firstName=q("An"), middleName="cast(null as string)", lastName=q("Le"), primaryEmail=pick("c_custkey", q("a@b.org"), "concat('mail: u', cast(c_custkey as string), '@b.org / x')", q("none"), "cast(null as string)", "''"), contactEmail=pick("c_custkey", q("x"), q("<c.d@e.vn>")), address="concat(c_name, ' | Ngay sinh: 1')", cellPhone=pick("c_custkey", q("+84 901 234 567"), q("12 34"), "''", q("1234567890123456")), idCard=pick("c_custkey", q("123456789"), q("012 345 678 901"), q("12345"), "cast(null as string)", "''"))
 _DIGITS = lambda x: f"length(regexp_replace({x}, '[^0-9]', '', 'g'))"
 _MAIL = lambda x: f"CASE WHEN {x} = '' THEN '' ELSE nullif(regexp_extract({x}, {q(R.EMAIL)}), '') END"
@@ -714,54 +542,30 @@ def tvf22_clean(spark, sf):
     return personal.clean(_PERSONS[0](spark, sf))
 
 
-def _cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three blocks a customer: a large name, labelled lines, and running text."""
-    part = lambda k, text, size: F.struct(F.lit(k).cast("long").alias("block_no"), F.expr(text).alias("text"), F.lit(size).alias("font_size"))
-    rows = F.array(part(0, "'TRAN THI MAI'", 16.0), part(1, f"concat('Phone: +84 90', lpad({KEY}, 7, '0'), chr(10), 'Address: ', c_name, ' | more')", 10.0), part(2, f"concat('write to user', {KEY}, '@mail.org or other@mail.org')", 10.0))
-    b = table(spark, sf_dir, "customer").select(F.expr(KEY).alias("doc_id"), F.inline(rows))
-    y = c("block_no") * 30.0
-    return b.withColumns({"page": F.lit(0), "x0": F.lit(20.0), "y0": y, "x1": F.lit(180.0), "y1": y + 12, "is_bold": c("font_size") > 12})
-
-
-@query(f"""SELECT {KEY} AS doc_id, 'Tran Thi Mai' AS fullName, cast(NULL AS varchar) AS dateOfBirth, concat('+84 90', lpad({KEY}, 7, '0')) AS cellPhone, concat('user', {KEY}, '@mail.org') AS primaryEmail, concat('user', {KEY}, '@mail.org') AS contactEmail, c_name AS address,
- concat('90', lpad({KEY}, 7, '0')) AS idCard, cast(NULL AS varchar) AS idIssuePlace, cast(NULL AS varchar) AS idIssueDt, cast(NULL AS varchar) AS zip, 'Thi' AS middleName, 'Tran' AS firstName, 'Mai' AS lastName FROM customer""")
-def tvf21_personal_fields(spark, sf):
-    return extract.personal_fields(_cv(spark, sf))
-
-
-_CV_LINES = made("supplier", doc_id="cast(s_suppkey as string)", name="s_name", text="concat('Education', chr(10), 'Degree', chr(10), 'School', chr(10), 'Year', chr(10), 'BSc', chr(10), s_name, chr(10), '2010 - 2014', chr(10), 'AWS Certified', chr(10), 'Amazon', chr(10), '2020', chr(10), 'Languages', chr(10), 'English: fluent', chr(10), 'Python', chr(10), 'english - B2', chr(10), 'Certificates', chr(10), '- PMP (2019)', chr(10), '- CFA', chr(10), 'Awards', chr(10), '- First prize (2011)', chr(10), '- Second prize')")
-
-
-@query(f"""SELECT doc_id, 'education' AS section, 0 AS entry_no, 'BSc' AS degree, name AS "otherSchool", NULL AS language, NULL AS proficiency, NULL AS name, NULL AS institution, '2010' AS "startDate" FROM {_CV_LINES[1]}
-UNION ALL SELECT doc_id, 'certificates', 0, NULL, NULL, NULL, NULL, 'AWS Certified', 'Amazon', '2020' FROM {_CV_LINES[1]} UNION ALL SELECT doc_id, 'languages', 0, NULL, NULL, 'English', 'Fluent', NULL, NULL, NULL FROM {_CV_LINES[1]}
-UNION ALL SELECT doc_id, 'awards', 0, NULL, NULL, NULL, NULL, 'First prize (2011)', NULL, '2011' FROM {_CV_LINES[1]} UNION ALL SELECT doc_id, 'awards', 1, NULL, NULL, NULL, NULL, 'Second prize', NULL, NULL FROM {_CV_LINES[1]}""")
-def tvf21_set3_win7_sections(spark, sf):
-    e = extract.section_entries(lines.explode_lines(_CV_LINES[0](spark, sf)))
-    return e.select("doc_id", "section", "entry_no", *(F.try_element_at("keys", F.lit(k)).alias(k) for k in ("degree", "otherSchool", "language", "proficiency", "name", "institution", "startDate")))
-
-
-@query("""SELECT cast(s_suppkey as varchar) AS doc_id, CASE WHEN s_suppkey % 2 = 0 THEN 'education' ELSE 'certificates' END AS section, CASE WHEN s_suppkey % 2 = 0 THEN 'B.A' END AS degree, CASE WHEN s_suppkey % 2 = 0 THEN 'Hanoi Academy (2009' END AS "otherSchool" FROM supplier""")
-def set2_degrees(spark, sf):
-    """A year range in brackets is cut at its dash with the rest of the name."""
-    e = table(spark, sf, "supplier").select(c("s_suppkey").cast("string").alias("doc_id"), F.lit("certificates").alias("section"), F.lit(0).alias("entry_no"), F.create_map(F.lit("name"), F.when(c("s_suppkey") % 2 == 0, "B.A. Banking — Hanoi Academy (2009-2013)").otherwise("First aid")).alias("keys"))
-    return extract.move_degrees(e).select("doc_id", "section", *(F.try_element_at("keys", F.lit(k)).alias(k) for k in ("degree", "otherSchool")))
-
-
 # -- the batch --------------------------------------------------------------------------------------------------------
 _BATCH_DEFS = [("fullName", "String", None, True), ("gender", "Picklist", "g", True), ("dateOfBirth", "DateTime", None, False), ("anonymized", "String", None, False), ("languages.x.proficiency", "String", None, False), ("languages.x.language", "Picklist", "l", False)]
 _BATCH_LISTS = [("g", 0, "F", "Nữ", "Female", "7", "A"), ("l", 0, "en", "Tiếng Anh", "English", "9", "A")]
 
 
-@query(f"""WITH a AS (SELECT {KEY} AS doc_id, c_name, c_custkey % 5 <> 4 AS ok, c_custkey % 3 AS g FROM customer)
-SELECT doc_id, CASE WHEN ok THEN 'success' ELSE 'error' END AS status, CASE WHEN ok THEN concat('[{{"__metadata":{{"uri":"Candidate"}},"fullName":"', c_name, '",', CASE g WHEN 0 THEN '"gender":{{"id":"7"}},' WHEN 1 THEN '"gender":"zzz",' ELSE '' END,
- '"dateOfBirth":"/Date(', epoch_ms(TIMESTAMP '1990-03-05 00:00:00'), ')/","anonymized":"0","languages":{{"results":[{{"proficiency":"Fluent","language":"9"}}]}}}}]') END AS record, CAST(CASE WHEN NOT ok THEN 0 WHEN g = 2 THEN 6 ELSE 7 END AS BIGINT) AS fields_extracted,
- CASE WHEN ok AND g = 2 THEN ['gender'] ELSE CAST([] AS VARCHAR[]) END AS missing_required, CASE WHEN NOT ok THEN ['cannot be read'] WHEN g = 2 THEN ['Missing 1 required fields: gender'] ELSE CAST([] AS VARCHAR[]) END AS warnings FROM a""")
-def orc2_orc3_agg3_join10_results(spark, sf):
-    t = table(spark, sf, "customer").withColumn("doc_id", c("c_custkey").cast("string"))
-    docs = t.select("doc_id", F.when(c("c_custkey") % 5 == 4, "cannot be read").alias("error"))
-    good = t.where("c_custkey % 5 <> 4")
-    found = good.select("doc_id", c("c_name").alias("fullName"), F.when(c("c_custkey") % 3 == 0, "Female").when(c("c_custkey") % 3 == 1, "zzz").alias("gender"), F.lit("05/03/1990").alias("dateOfBirth"))
-    entries = good.select("doc_id", F.lit("languages").alias("section"), F.lit(0).alias("entry_no"), F.create_map(F.lit("language"), F.lit("English"), F.lit("proficiency"), F.lit("Fluent"), F.lit("level"), F.lit("x")).alias("keys"))
+_BATCH = made("customer", doc_id=KEY, name="c_name", ok="c_custkey % 5 <> 4", g="cast(c_custkey % 3 as int)", n="cast(floor(c_custkey / 15) as bigint) % 3", odd="cast(floor(c_custkey / 45) as bigint) % 3 = 1")
+
+
+@query(f"""WITH e AS (SELECT *, '"languages":{{"results":[{{"proficiency":"Fluent","language":"9"}}' || CASE WHEN n = 2 THEN ',{{"language":"Lao"}}' ELSE '' END || ']}}' AS ls FROM {_BATCH[1]}),
+w AS (SELECT *, list_filter([CASE WHEN g = 2 THEN 'Missing 1 required fields: gender' END, CASE WHEN odd THEN 'Year 0000 in dateOfBirth' END], lambda x: x IS NOT NULL) AS told FROM e)
+SELECT doc_id, CASE WHEN ok THEN 'success' ELSE 'error' END AS status, CASE WHEN ok THEN concat('[{{', array_to_string(list_filter(['"__metadata":{{"uri":"Candidate"}}', '"fullName":"' || name || '"', CASE g WHEN 0 THEN '"gender":{{"id":"7"}}' WHEN 1 THEN '"gender":"zzz"' END,
+ CASE WHEN odd THEN '"dateOfBirth":"1/1/0000"' ELSE '"dateOfBirth":"/Date(' || epoch_ms(TIMESTAMP '1990-03-05 00:00:00') || ')/"' END, '"anonymized":"0"', CASE WHEN n > 0 THEN ls END], lambda x: x IS NOT NULL), ','), '}}]') END AS record,
+ CAST(CASE WHEN ok THEN 3 + CASE WHEN g < 2 THEN 1 ELSE 0 END + CASE WHEN n > 0 THEN 3 ELSE 0 END ELSE 0 END AS BIGINT) AS fields_extracted, CASE WHEN ok AND g = 2 THEN ['gender'] ELSE CAST([] AS VARCHAR[]) END AS missing_required, CASE WHEN NOT ok THEN ['cannot be read'] ELSE told END AS warnings FROM w""")
+def orc2_orc3_agg3_join10_dt5_results(spark, sf):
+    t = _BATCH[0](spark, sf)
+    docs, good = t.select("doc_id", F.when(~c("ok"), "cannot be read").alias("error")), t.where("ok")
+    found = good.select("doc_id", c("name").alias("fullName"), F.when(c("g") == 0, "Female").when(c("g") == 1, "zzz").alias("gender"), F.when(c("odd"), "1/1/0000").otherwise("05/03/1990").alias("dateOfBirth"))
+    entry = lambda k, *pairs: F.struct(F.lit(k).alias("entry_no"), F.create_map(*map(F.lit, pairs)).alias("keys"))
+    said = F.slice(F.array(entry(0, "language", "English", "proficiency", "Fluent", "level", "x"), entry(1, "language", "Lao", "proficiency", "")), 1, c("n").cast("int"))
+    entries = good.select("doc_id", F.lit("languages").alias("section"), F.inline(said))
     defs = spark.createDataFrame([(*d, k) for k, d in enumerate(_BATCH_DEFS)], "field_id string, field_type string, picklist_id string, required boolean, ordinal int")
     lists = spark.createDataFrame(_BATCH_LISTS, "picklist_id string, ordinal int, external_code string, label_vi string, label_en string, option_id string, status string")
     return batch.results(docs, batch.typed_fields(good.select("doc_id"), found, entries, defs, lists), defs)
+
+
+# the other parts of the register
+from scrivel import catalogue_reports, catalogue_sections  # noqa: E402,F401

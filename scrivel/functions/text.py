@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +26,16 @@ def _folding() -> tuple[str, str]:
 _SRC, _DST = _folding()
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with value worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def one_of(patterns: list[str]) -> str:
+    """One pattern for several, each with its own flags."""
+    return "|".join(f"(?iu:{p[5:]})" if p.startswith("(?iu)") else f"(?:{p})" for p in patterns)
+
+
 def fold(c: Column) -> Column:
     """STR1: without diacritics, in lower case; đ stays."""
     return F.lower(F.regexp_replace(F.translate(c, _SRC, _DST), r"\p{Mn}", ""))
@@ -43,16 +53,17 @@ def plain(c: Column) -> Column:
 
 def is_noise(c: Column) -> Column:
     """FLT1: blank, or a page mark, a checkbox, a line to sign on."""
-    return (F.trim(c) == "") | reduce(lambda a, b: a | b, [F.trim(c).rlike(p) for p in R.NOISE])
+    return F.trim(c).rlike(r"\A\z|" + one_of(R.NOISE))
 
 
 def is_form_label(c: Column) -> Column:
     """FLT2: a field label of a form rather than data."""
-    return (F.trim(c) != "") & reduce(lambda a, b: a | b, [F.trim(c).rlike(p) for p in R.FORM_LABELS])
+    return F.trim(c).rlike(one_of(R.FORM_LABELS))
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+    """Whether c holds one of the words (at least one is given), by one pattern."""
+    return c.rlike("|".join(map(re.escape, words)))
 
 
 def first_hit(c: Column, table: dict[str, str]) -> Column:
@@ -62,29 +73,29 @@ def first_hit(c: Column, table: dict[str, str]) -> Column:
 
 def name_parts(c: Column) -> Column:
     """STR4: struct of full, first, middle and last name, the honorific off."""
-    full = F.regexp_replace(F.trim(c), R.HONORIFIC, "")
-    w = F.filter(F.split(full, r"\s+"), lambda x: x != "")
-    n = F.size(w)
-    return F.struct(
-        full.alias("full"),
-        F.when(n > 0, F.element_at(w, 1)).otherwise("").alias("first"),
-        F.when(n > 2, F.array_join(F.slice(w, 2, F.greatest(n - 2, F.lit(0))), " ")).otherwise("").alias("middle"),
-        F.when(n > 0, F.element_at(w, -1)).otherwise("").alias("last"),
-    )
+    def parts(full: Column, w: Column) -> Column:
+        n = F.size(w)
+        middle = F.when(n > 2, F.array_join(F.slice(w, 2, F.greatest(n - 2, F.lit(0))), " ")).otherwise("")
+        return F.struct(full.alias("full"), F.when(n > 0, F.try_element_at(w, F.lit(1))).otherwise("").alias("first"), middle.alias("middle"), F.when(n > 0, F.try_element_at(w, F.lit(-1))).otherwise("").alias("last"))
+
+    return bound(F.regexp_replace(F.trim(c), R.HONORIFIC, ""), lambda full: bound(F.filter(F.split(full, r"\s+"), lambda x: x != ""), lambda w: parts(full, w)))
 
 
 def name_case(c: Column) -> Column:
     """STR5: names in capitals only get title case, a new word after anything but a letter."""
-    words = F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.when((c == F.upper(c)) & c.rlike(r"\p{L}"), F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), "")).otherwise(c)
+    words = lambda x: F.regexp_extract_all(x, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    titled = lambda x: F.array_join(F.transform(words(x), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), "")
+    return bound(c, lambda x: F.when((x == F.upper(x)) & x.rlike(r"\p{L}"), titled(x)).otherwise(x))
 
 
 def is_name(c: Column) -> Column:
-    """FLT3: 2 to 6 words that read like a person's name."""
-    folded, w = fold(c), F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != "")
-    letters = lambda x: x.rlike(r"^\p{L}+$")
-    bad = ~contains_any(folded, [*dict.fromkeys([*R.NAME_PHRASES, *R.ORG_WORDS])])
-    return bad & ~c.rlike(r"[@*#{}\[\]()=+<>]") & F.size(w).between(2, 6) & F.forall(w, lambda x: F.length(x) <= 15) & (F.size(F.filter(w, letters)) >= 2) & (F.size(F.filter(w, lambda x: F.length(x) == 1)) < 2)
+    """FLT3: 2 to 6 words that read like a person's name. Patterns over the trimmed text, so c is used four times only."""
+    t = F.trim(c)
+    no_phrase = ~contains_any(fold(c), [*dict.fromkeys([*R.NAME_PHRASES, *R.ORG_WORDS])])
+    words = t.rlike(r"^\s*[^\s@*#{}\[\]()=+<>]{1,15}(?:\s+[^\s@*#{}\[\]()=+<>]{1,15}){1,5}\s*$")
+    two_of_letters = t.rlike(r"(?<!\S)\p{L}+(?!\S)[\s\S]*(?<!\S)\p{L}+(?!\S)")
+    two_initials = t.rlike(r"(?<!\S)\S(?!\S)[\s\S]*(?<!\S)\S(?!\S)")
+    return no_phrase & words & two_of_letters & ~two_initials
 
 
 def is_family_name_first(c: Column) -> Column:
@@ -126,4 +137,4 @@ def found(c: Column, pattern: str, group: int = 0) -> Column:
 def phone(c: Column) -> Column:
     """TVF18: the first phone number, a Vietnamese one before others, with 7 to 15 digits."""
     one = F.trim(F.coalesce(F.get(found(c, R.PHONE_VN), F.lit(0)), F.get(found(c, R.PHONE_INTL), F.lit(0))))
-    return F.when(F.length(F.regexp_replace(one, r"\D", "")).between(7, 15), one)
+    return bound(one, lambda x: F.when(F.length(F.regexp_replace(x, r"\D", "")).between(7, 15), x))

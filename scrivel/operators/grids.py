@@ -49,7 +49,8 @@ def _of(kinds: Column, row: Column, kind: str) -> Column:
     return F.try_element_at(hits, F.lit(-1))["v"]
 
 
-def _entry(**values: Column) -> Column:
+def entry_map(**values: Column) -> Column:
+    """A map of the values that are there and not empty."""
     pairs = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items())), lambda x: x["value"].isNotNull() & (x["value"] != ""))
     return F.map_from_entries(pairs)
 
@@ -73,7 +74,7 @@ def education_grid(text: Column) -> Column:
         ranged = r"(\d{4})\s*[-–—]\s*(\d{4})"
         start = F.when(year.rlike(ranged), F.regexp_extract(year, ranged, 1)).otherwise(year)
         end = F.when(year.rlike(ranged), F.regexp_extract(year, ranged, 2))
-        return F.when(F.coalesce(degree, school).isNotNull(), _entry(degree=degree, otherSchool=school, otherMajor=_of(kinds, row, "field"), startDate=start, endDate=end, grade=_of(kinds, row, "grade")))
+        return F.when(F.coalesce(degree, school).isNotNull(), entry_map(degree=degree, otherSchool=school, otherMajor=_of(kinds, row, "field"), startDate=start, endDate=end, grade=_of(kinds, row, "grade")))
 
     return _parse(text, R.EDUCATION_GRID, 8, 5, (("degree", "school"),), entry, lambda rows: rows)
 
@@ -90,7 +91,7 @@ def experience_grid(text: Column) -> Column:
         closed = lambda x: F.when(~F.lower(x).isin(R.OPEN_ENDS[:3]), x)
         start = F.when(ranged, F.trim(F.regexp_extract(period, R.PERIOD, 1)))
         until = F.when(ranged, closed(F.trim(F.regexp_extract(period, R.PERIOD, 2))))
-        return F.when(F.coalesce(title, firm).isNotNull(), _entry(startTitle=title, employer=firm, startDate=F.coalesce(start, _of(kinds, row, "from")), endDate=F.coalesce(until, closed(end))))
+        return F.when(F.coalesce(title, firm).isNotNull(), entry_map(startTitle=title, employer=firm, startDate=F.coalesce(start, _of(kinds, row, "from")), endDate=F.coalesce(until, closed(end))))
 
     def cut(rows: Column) -> Column:
         marks = F.transform(rows, lambda row: F.exists(row, lambda x: x.rlike(R.BULLET)))

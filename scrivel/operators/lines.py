@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivel.functions import rules as R
-from scrivel.functions.text import is_form_label, is_noise, label
+from scrivel.functions.text import bound, contains_any, is_form_label, is_noise, label
+from scrivel.operators import matching
 
 
 def explode_lines(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -20,22 +21,20 @@ def _clean(c: Column) -> Column:
 def colon_pairs(lines: DataFrame) -> DataFrame:
     """TVF1, WIN4, WIN5: doc_id, pos, label, value of `label: value` lines; an empty value is the next line, a value that ends in a comma goes on.
 
-    Lines are the non-blank lines of a document in order.
+    Lines are the non-blank lines of a document in order. A line goes on with the one before if that ends in a comma and
+    the line itself is clean and has no colon, so the lines fall into runs of any length; one sort by document, no look-ahead.
     """
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    rest = F.collect_list(F.struct("line_no", "line")).over(order.rowsBetween(1, 8))
-    b = lines.withColumn("line", F.trim("line")).where("line != ''").withColumn("rest", F.col("rest") if "rest" in lines.columns else rest)
-    key, val = F.trim(F.substring_index("line", ":", 1)), F.trim(F.regexp_replace("line", "^[^:]*:", ""))
-    b = b.where(F.col("line").contains(":") & _clean(F.col("line"))).withColumns({"label": key, "first": val})
-
-    def step(acc: Column, x: Column) -> Column:
-        more = acc["on"] & acc["v"].rlike(r",\s*$") & ~x["line"].contains(":") & _clean(x["line"])
-        return F.struct(F.when(more, F.concat(F.rtrim(acc["v"]), F.lit(" "), x["line"])).otherwise(acc["v"]).alias("v"), more.alias("on"))
-
-    going = F.aggregate("rest", F.struct(F.col("first").alias("v"), F.lit(True).alias("on")), step)["v"]
-    nxt = F.get(F.col("rest"), F.lit(0))["line"]
-    value = F.when(F.col("first") != "", F.when(F.length("label") < 60, going)).when(_clean(nxt), nxt)
-    return b.where((F.col("label") != "") & _clean(F.col("label"))).select("doc_id", F.col("line_no").alias("pos"), "label", value.alias("value")).where("value is not null")
+    c, order = F.col, Window.partitionBy("doc_id").orderBy("line_no")
+    b = lines.withColumn("line", F.trim("line")).where("line != ''").select("doc_id", "line_no", "line").withColumn("clean", _clean(c("line")))
+    b = b.withColumns({"more": F.coalesce(F.lag("line").over(order).rlike(r",\s*$") & c("clean") & ~c("line").contains(":"), F.lit(False)), "next": F.when(F.lead("clean").over(order), F.lead("line").over(order))})
+    b = b.withColumn("run", F.count_if(~c("more")).over(order))
+    tail = F.array_sort(F.collect_list(F.when(c("more"), F.struct("line_no", "line"))))
+    head = lambda k: F.max(F.when(~c("more"), c(k))).alias(k)
+    runs = b.groupBy("doc_id", "run").agg(F.min("line_no").alias("pos"), head("line"), head("next"), F.bool_or(~c("more") & c("clean")).alias("clean"), tail.alias("tail"))
+    runs = runs.where(c("clean") & c("line").contains(":")).withColumns({"label": F.trim(F.substring_index("line", ":", 1)), "first": F.trim(F.regexp_replace("line", "^[^:]*:", ""))})
+    going = F.array_join(F.concat(F.array("first"), c("tail")["line"]), " ")
+    value = F.when(c("first") != "", F.when(F.length("label") < 60, going)).otherwise(c("next"))
+    return runs.where((c("label") != "") & _clean(c("label"))).select("doc_id", "pos", "label", value.alias("value")).where("value is not null")
 
 
 def line_pairs(blocks: DataFrame) -> DataFrame:
@@ -69,21 +68,15 @@ def first_by(rows: DataFrame, keys: list[Column], order: list[str]) -> DataFrame
 
 def section_of(lines: DataFrame) -> DataFrame:
     """WIN1, TVF20: adds header (the section that a header line opens) and section (of the lines below it)."""
-    clean = F.trim(F.replace("line", F.lit("[SECTION]"), F.lit("")))
-    marked, norm = F.trim("line").startswith("[SECTION]"), label(clean)
-    n = F.size(F.split(clean, r"\s+"))
-    tests = [(name, sorted({a for a in aliases})) for name, aliases in R.SECTION_ALIASES.items()]
-    import unicodedata
-
-    fold = lambda a: " ".join("".join(c if c.isascii() and (c.isalnum() or c.isspace()) else " " for c in "".join(x for x in unicodedata.normalize("NFKD", a) if not unicodedata.combining(x)).lower()).split())
-    hits = []
-    for name, aliases in tests:
-        names = sorted({fold(a) for a in aliases})
-        inside = F.lit(False)
-        for a in names:
-            inside = inside | norm.contains(a)
-        hits.append(F.when((n <= 8) & (norm != "") & (norm.isin(names) | (marked & (F.size(F.split(norm, " ")) <= 6) & inside)), F.lit(name)))
-    headed = lines.withColumn("header", F.coalesce(*hits))
+    text = F.trim(F.replace("line", F.lit("[SECTION]"), F.lit("")))
+    marked = F.trim("line").startswith("[SECTION]")
+
+    def named(norm: Column) -> Column:
+        words = F.size(F.split(norm, " "))
+        names = {name: sorted({matching.normal(a) for a in aliases}) for name, aliases in R.SECTION_ALIASES.items()}
+        return F.when(norm != "", F.coalesce(*(F.when(norm.isin(of) | (marked & (words <= 6) & contains_any(norm, of)), F.lit(name)) for name, of in names.items())))
+
+    headed = lines.withColumn("header", F.when(F.size(F.split(text, r"\s+")) <= 8, bound(label(text), named)))
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     return headed.withColumn("section", F.when(F.col("header").isNull(), F.last("header", ignorenulls=True).over(w)))
 

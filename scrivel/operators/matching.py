@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from scrivel.functions import rules as R
 from scrivel.functions.fuzzy import wratio
-from scrivel.functions.text import fold, label
+from scrivel.functions.text import bound, fold, label
+from scrivel.streaming.shared import prepare
 
 FUZZY_FLOOR = 70.0
 
@@ -31,38 +32,51 @@ def aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, f, k) for a, (f, k) in seen.items()], "alias string, field string, ordinal int")
 
 
-def exact_fields(labels: DataFrame) -> DataFrame:
-    """JOIN1: rows with a column label get field where the label is an alias (sections aside), confidence 1."""
-    dim = aliases(labels.sparkSession).where("field not like r'\\_section%'")
-    return labels.withColumn("alias", label(F.col("label"))).join(F.broadcast(dim), "alias").withColumn("confidence", F.lit(1.0)).drop("alias", "ordinal")
+def _alias_list(spark: SparkSession) -> list[tuple[str, str]]:
+    """(alias, field) of the personal fields, in the order that breaks ties."""
+    return [(r.alias, r.field) for r in aliases(spark).where("field not like r'\\_section%'").orderBy("ordinal").collect()]
 
 
-def fuzzy_candidates(labels: DataFrame) -> DataFrame:
-    """JOIN2: each label with its best alias by containment or by word subset; score over 0.5, ties to the earlier alias.
+def _exact(spark: SparkSession, norm: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in _alias_list(spark) for x in pair)), norm)
 
-    The dictionary is fixed and small, so it is an array literal and the best alias a fold over it: no join at all.
-    """
-    dim = [(r.alias, r.field) for r in aliases(labels.sparkSession).where("field not like r'\\_section%'").orderBy("ordinal").collect()]
-    names = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(f).alias("f"), F.array(*map(F.lit, a.split())).alias("w")) for a, f in dim))
-    norm, words = F.col("norm"), F.array_distinct(F.split("norm", " "))
 
-    def score(x: Column) -> Column:
-        inside = F.when(norm.contains(x["a"]) | x["a"].contains(norm), F.length(x["a"]) / F.greatest(F.length(norm), F.lit(1)))
-        subset = F.when(F.size(F.array_except(x["w"], words)) == 0, F.size(F.array_distinct(x["w"])) / F.greatest(F.size(words), F.lit(1)))
-        return F.greatest(F.coalesce(inside, F.lit(0.0)), F.coalesce(subset, F.lit(0.0)))
+def _fuzzy(spark: SparkSession, norm: Column) -> Column:
+    """struct<score, field> of the best alias over 0.5, else null. The dictionary is fixed and small, so it is an array literal: no join."""
+    names = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(f).alias("f"), F.array(*map(F.lit, dict.fromkeys(a.split()))).alias("w")) for a, f in _alias_list(spark)))
 
-    none = F.struct(F.lit(None).cast("string").alias("field"), F.lit(0.5).cast("double").alias("score"))
-    best = F.aggregate(names, none, lambda acc, x: F.when(score(x) > acc["score"], F.struct(x["f"].alias("field"), score(x).cast("double").alias("score"))).otherwise(acc))
-    return labels.withColumn("norm", label(F.col("label"))).where("norm != ''").withColumn("best", best).where("best.field is not null").select(*labels.columns, F.col("best.field").alias("field"), F.col("best.score").alias("confidence"))
+    def of(norm: Column, words: Column) -> Column:
+        def score(x: Column) -> Column:
+            inside = F.when(norm.contains(x["a"]) | x["a"].contains(norm), F.length(x["a"]) / F.greatest(F.length(norm), F.lit(1)))
+            subset = F.when(F.size(F.array_except(x["w"], words)) == 0, F.size(x["w"]) / F.greatest(F.size(words), F.lit(1)))
+            return F.struct(F.greatest(F.coalesce(inside, F.lit(0.0)), F.coalesce(subset, F.lit(0.0))).cast("double").alias("score"), x["f"].alias("field"))
+
+        none = F.struct(F.lit(0.5).cast("double").alias("score"), F.lit(None).cast("string").alias("field"))
+        return F.aggregate(F.transform(names, score), none, lambda best, x: F.when(x["score"] > best["score"], x).otherwise(best))
+
+    best = bound(norm, lambda n: bound(F.array_distinct(F.split(n, " ")), lambda words: of(n, words)))
+    return F.when(norm != "", best)
+
+
+def exact_fields(labels: DataFrame) -> DataFrame:
+    """JOIN1: rows with a column label get field where the label is an alias (sections aside), confidence 1."""
+    return labels.withColumn("field", _exact(labels.sparkSession, label(F.col("label")))).where("field is not null").withColumn("confidence", F.lit(1.0))
+
+
+def fuzzy_candidates(labels: DataFrame) -> DataFrame:
+    """JOIN2: each label with its best alias by containment or by word subset; score over 0.5, ties to the earlier alias."""
+    found = labels.select("*", _fuzzy(labels.sparkSession, label(F.col("label"))).alias("_best")).where("_best.field is not null")
+    return found.select(*labels.columns, F.col("_best.field").alias("field"), F.col("_best.score").alias("confidence"))
 
 
 def assign_fields(pairs: DataFrame) -> DataFrame:
     """JOIN3: doc_id, field, value, confidence from (doc_id, pos, label, value): pairs in order, a field goes to the first; an exact label whose
-    field is taken falls through to its fuzzy field. A fold over the pairs of one document."""
-    e = exact_fields(pairs).select("doc_id", "pos", F.col("field").alias("exact"))
-    z = fuzzy_candidates(pairs).select("doc_id", "pos", F.col("field").alias("fuzzy"), F.col("confidence").alias("score"))
-    rows = pairs.join(e, ["doc_id", "pos"], "left").join(z, ["doc_id", "pos"], "left")
-    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value", "exact", "fuzzy", "score"))).alias("p"))
+    field is taken falls through to its fuzzy field. A fold over the pairs of one document. Each distinct label is matched once."""
+    spark = pairs.sparkSession
+    labels = pairs.select("label").distinct().withColumn("norm", label(F.col("label")))
+    labels = labels.select("label", _exact(spark, F.col("norm")).alias("exact"), _fuzzy(spark, F.col("norm")).alias("best"))
+    labels = labels.select("label", "exact", F.col("best.field").alias("fuzzy"), F.col("best.score").alias("score")).where("exact is not null or fuzzy is not null")
+    listed = pairs.join(labels, "label").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value", "exact", "fuzzy", "score"))).alias("p"))
     empty = F.array().cast("array<struct<field:string,value:string,confidence:double>>")
 
     def step(out: Column, x: Column) -> Column:
@@ -88,7 +102,7 @@ def match_picklist(rows: DataFrame, values: DataFrame, fuzzy: bool = True) -> Da
     The dictionary is a dimension whose size Spark checks before it broadcasts. Fuzzy scores are worked out once for each distinct
     text that nothing cheaper matched, against the values of its own picklist.
     """
-    spark = rows.sparkSession
+    spark = prepare(rows.sparkSession)
     index = picklist_index(values).select("picklist_id", F.col("key"), F.nullif("option_id", F.lit("")).alias("opt"))
     abbr = spark.createDataFrame([(a, x, k) for a, xs in R.ABBREVIATIONS.items() for k, x in enumerate(xs)], "abbr string, expansion string, place int")
     texts = rows.select("picklist_id", "text").distinct().withColumn("low", F.trim(F.lower("text"))).withColumn("bare", F.trim(fold(F.col("text"))))
@@ -102,7 +116,10 @@ def match_picklist(rows: DataFrame, values: DataFrame, fuzzy: bool = True) -> Da
     if fuzzy:
         rest = t.where("exact is null and short is null and text is not null").select("picklist_id", "text")
         labels = values.where("status = 'A'").select("picklist_id", "ordinal", F.explode(F.array("label_en", "label_vi")).alias("name")).where("name is not null and name != ''").distinct()
-        scored = rest.join(labels, "picklist_id").withColumn("score", _wratio(F.col("text"), F.col("name"))).where(F.col("score") >= FUZZY_FLOOR)
+        # texts of one picklist are dealt over all tasks, with the picklist's labels gathered once
+        listed = labels.groupBy("picklist_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "name"))).alias("names"))
+        spread = rest.join(listed, "picklist_id").repartition("picklist_id", "text").select("picklist_id", "text", F.inline("names"))
+        scored = spread.withColumn("score", _wratio(F.col("text"), F.col("name"))).where(F.col("score") >= FUZZY_FLOOR)
         best = scored.groupBy("picklist_id", "text").agg(F.max_by("name", F.struct("score", -F.col("ordinal"))).alias("name"))
         hit = best.withColumn("low", F.trim(F.lower("name"))).join(index.select("picklist_id", F.col("key").alias("low"), "opt"), ["picklist_id", "low"]).select("picklist_id", "text", F.col("opt").alias("near"))
         t = t.join(hit, ["picklist_id", "text"], "left")
@@ -113,6 +130,14 @@ def match_picklist(rows: DataFrame, values: DataFrame, fuzzy: bool = True) -> Da
     return rows.join(t, ["picklist_id", "text"], "left")
 
 
+def fuzzy_top(texts: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
+    """JOIN6, SRT4: picklist_id, text, rank, name, score: the best names (picklist_id, ordinal, name) of each distinct text, ties to the earlier name."""
+    prepare(texts.sparkSession)
+    scored = texts.select("picklist_id", "text").distinct().join(names, "picklist_id").withColumn("score", _wratio(F.col("text"), F.col("name")))
+    w = Window.partitionBy("picklist_id", "text").orderBy(F.col("score").desc(), "ordinal")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("picklist_id", "text", "rank", "name", "score")
+
+
 @F.pandas_udf(T.DoubleType())
 def _wratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([wratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,19 @@ from scrivel.operators import matching
 
 FIELDS = list(R.LABEL_ALIASES)
 NAMES = ["fullName", "firstName", "middleName", "lastName"]
+#: TVF19: from a text to an array of the persons' names in it, in order. None ships with the engine; a model can be put in as a pandas UDF.
+Recogniser = Callable[[Column], Column]
+HEAD = 800
+
+
+def nobody(text: Column) -> Column:
+    return F.lit(None).cast("array<string>")
+
+
+def recognised(text: Column, recognise: Recogniser = nobody) -> Column:
+    """TVF19, FLT3, FLT4: the first recognised name in the head of a text that reads like one and begins with a family name."""
+    names = F.transform(recognise(F.left(text, F.lit(HEAD))), lambda x: F.trim(x))
+    return F.get(F.filter(names, lambda x: T.is_name(x) & T.is_family_name_first(x)), F.lit(0))
 
 
 def by_label(pairs: DataFrame) -> DataFrame:
@@ -43,8 +58,8 @@ def clean(rows: DataFrame) -> DataFrame:
     digits = lambda f: F.length(F.regexp_replace(f, r"\D", ""))
     empty = lambda f: F.col(f) == ""
     email = lambda f: F.when(empty(f), F.col(f)).otherwise(F.regexp_substr(f, F.lit(R.EMAIL)))
-    named = F.col("fullName").isNull() | empty("fullName") | T.is_name(F.col("fullName"))
-    out: dict[str, Column] = {f: F.when(named, F.col(f)) for f in NAMES}
+    rows = rows.withColumn("_named", F.col("fullName").isNull() | empty("fullName") | T.is_name(F.col("fullName")))
+    out: dict[str, Column] = {f: F.when(F.col("_named"), F.col(f)) for f in NAMES}
     out |= {"primaryEmail": email("primaryEmail"), "contactEmail": email("contactEmail"), "address": T.before_pipe(F.col("address"))}
     out |= {"cellPhone": F.when(empty("cellPhone") | digits("cellPhone").between(7, 15), F.col("cellPhone")), "idCard": F.when(empty("idCard") | digits("idCard").isin(9, 12), F.col("idCard"))}
-    return rows.withColumns(out)
+    return rows.withColumns(out).drop("_named")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,38 +30,56 @@ def typed(value: Column, option_id: Column, field_type: Column, nested: Column)
 def with_defaults(fields: DataFrame, field_defs: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """JOIN9: documents' (doc_id, field_id, value) with the three defaults put in where the schema has the field and the value is missing.
 
-    docs: doc_id of all documents, if some may have no field.
+    docs: doc_id of all documents, if some may have no field. Three rows a document, in the task that has it.
     """
-    spark = fields.sparkSession
-    defaults = spark.createDataFrame(list(R.DEFAULTS.items()), "field_id string, standard string").join(field_defs.select("field_id"), "field_id")
-    want = (docs or fields).select("doc_id").distinct().join(F.broadcast(defaults.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).drop("one")
+    standard = F.array(*(F.struct(F.lit(k).alias("field_id"), F.lit(v).alias("standard")) for k, v in R.DEFAULTS.items()))
+    known = field_defs.select("field_id").distinct()
+    want = (docs or fields).select("doc_id").distinct().select("doc_id", F.inline(standard)).join(known, "field_id", "left_semi")
     return want.join(fields, ["doc_id", "field_id"], "full").select("doc_id", "field_id", F.coalesce("value", "standard").alias("value"))
 
 
-def assemble(fields: DataFrame, field_defs: DataFrame) -> DataFrame:
-    """JSN2, FLT13, SNK1: doc_id, record: an array of one object with keys in schema order, nested entries under section.results.
+def required_ids(field_defs: DataFrame) -> Column:
+    """The required field ids as one array: a scalar subquery over the dictionary, no join."""
+    return field_defs.where("required").agg(F.array_sort(F.collect_set("field_id"))).scalar()
+
+
+def documents(fields: DataFrame, field_defs: DataFrame) -> DataFrame:
+    """doc_id, record, paths (distinct keys and section.keys of the record) and present (top-level ids) from typed fields, by one exchange.
 
-    fields: doc_id, field_id, entry_no (null at the top level), value (typed), resolved (a picklist id was found).
+    fields: doc_id, field_id, entry_no (null at the top level), value (typed), resolved (a picklist id was found). Rows are
+    folded by entry, then by section, then by document; all three are dealt by doc_id.
     """
+    c, none = F.col, F.lit(None)
     place = F.min("ordinal").over(Window.partitionBy("section"))
     d = split_schema(field_defs).select("field_id", "field_type", "ordinal", "section", "nested_key", place.alias("place"))
-    f = fields.join(F.broadcast(d), "field_id").where("value is not null")
-    quote = lambda c: F.to_json(F.struct(c.alias("v")))
-    text = lambda c: F.regexp_extract(quote(c), r'(?s)^\{"v":(.*)\}$', 1)
+    f = fields.join(d, "field_id").where("value is not null").repartition("doc_id")
+    text = lambda x: F.regexp_extract(F.to_json(F.struct(x.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
     item = lambda key, body: F.concat(F.lit('"'), key, F.lit('":'), body)
-    top = f.where("section is null").select("doc_id", "ordinal", item(F.col("field_id"), F.when((F.col("field_type") == "Picklist") & F.col("resolved"), F.concat(F.lit('{"id":'), text(F.col("value")), F.lit("}"))).otherwise(text(F.col("value")))).alias("part"))
-    sections = f.where("section is not null and value != ''").groupBy("doc_id", "section", "entry_no").agg(F.min("place").alias("ordinal"), F.array_sort(F.collect_list(F.struct("ordinal", item(F.col("nested_key"), text(F.col("value"))).alias("t"))))["t"].alias("ts"))
-    sections = sections.groupBy("doc_id", "section").agg(F.min("ordinal").alias("ordinal"), F.array_sort(F.collect_list(F.struct("entry_no", F.concat(F.lit("{"), F.array_join("ts", ","), F.lit("}")).alias("t"))))["t"].alias("es"))
-    sections = sections.select("doc_id", (F.col("ordinal") + 1_000_000).alias("ordinal"), item(F.col("section"), F.concat(F.lit('{"results":['), F.array_join("es", ","), F.lit("]}"))).alias("part"))
-    parts = top.union(sections).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "part")))["part"].alias("ps"))
-    return parts.select("doc_id", F.concat(F.lit('[{"__metadata":{"uri":"Candidate"},'), F.array_join("ps", ","), F.lit("}]")).alias("record"))
+    top, filled = c("section").isNull(), c("section").isNull() | (c("value") != "")
+    coded = F.when(top & (c("field_type") == "Picklist") & c("resolved"), F.concat(F.lit('{"id":'), text(c("value")), F.lit("}"))).otherwise(text(c("value")))
+    part = F.struct(c("ordinal").cast("long").alias("ordinal"), item(F.when(top, c("field_id")).otherwise(c("nested_key")), coded).alias("part"))
+    paths = F.array_compact(F.array(F.coalesce("section", "field_id"), F.when(~top, F.concat_ws(".", "section", "nested_key"))))
+    by_entry = f.where(filled).groupBy("doc_id", "section", "entry_no").agg(F.min("place").alias("place"), F.array_sort(F.collect_list(part)).alias("parts"), F.array_distinct(F.flatten(F.collect_set(paths))).alias("paths"), F.collect_set(F.when(top, c("field_id"))).alias("present"))
+    body = F.struct("entry_no", F.concat(F.lit("{"), F.array_join(c("parts")["part"], ","), F.lit("}")).alias("t"))
+    by_section = by_entry.groupBy("doc_id", "section").agg(F.min("place").alias("place"), F.flatten(F.collect_list("parts")).alias("parts"), F.array_sort(F.collect_list(body))["t"].alias("entries"), F.flatten(F.collect_list("paths")).alias("paths"), F.flatten(F.collect_list("present")).alias("present"))
+    whole = F.struct((c("place") + 1_000_000).cast("long").alias("ordinal"), item(c("section"), F.concat(F.lit('{"results":['), F.array_join("entries", ","), F.lit("]}"))).alias("part"))
+    parts = F.when(top, c("parts")).otherwise(F.array(whole))
+    out = by_section.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list(parts)))["part"].alias("ps"), F.array_distinct(F.flatten(F.collect_list("paths"))).alias("paths"), F.flatten(F.collect_list("present")).alias("present"))
+    return out.select("doc_id", F.concat(F.lit('[{"__metadata":{"uri":"Candidate"},'), F.array_join("ps", ","), F.lit("}]")).alias("record"), "paths", "present")
+
+
+def assemble(fields: DataFrame, field_defs: DataFrame) -> DataFrame:
+    """JSN2, FLT13, SNK1: doc_id, record: an array of one object with keys in schema order, nested entries under section.results."""
+    return documents(fields, field_defs).select("doc_id", "record")
 
 
 def missing_required(fields: DataFrame, field_defs: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """JOIN10: doc_id, field_id of required fields a document lacks."""
-    need = field_defs.where("required").select("field_id", F.lit(1).alias("one"))
-    want = (docs or fields).select("doc_id").distinct().join(F.broadcast(need), F.lit(1) == F.col("one")).drop("one")
-    return want.join(fields, ["doc_id", "field_id"], "left_anti")
+    """JOIN10: doc_id, field_id of required fields a document lacks. docs: doc_id of all documents, if some may have no field."""
+    rows = fields.select("doc_id", "field_id")
+    if docs is not None:
+        rows = rows.unionByName(docs.select("doc_id", F.lit(None).cast("string").alias("field_id")))
+    has = rows.groupBy("doc_id").agg(F.collect_set("field_id").alias("has"))
+    return has.select("doc_id", F.explode(F.array_except(required_ids(field_defs), "has")).alias("field_id"))
 
 
 def unknown_keys(keys: DataFrame, field_defs: DataFrame) -> DataFrame:
@@ -85,14 +104,15 @@ def issue_categories(issues: DataFrame, most: int = 10) -> DataFrame:
 def batch_report(results: DataFrame) -> DataFrame:
     """AGG1, AGG2, SNK2: files, successes, errors, means over all files."""
     n = F.greatest(F.count("*"), F.lit(1))
-    return results.agg(F.count("*").alias("total_files"), F.count_if(F.col("status") == "success").alias("success"), F.count_if(F.col("status") == "error").alias("errors"), F.round(F.sum("fields_extracted") / n, 1).alias("avg_fields_per_file"), F.sum("elapsed_ms").alias("total_time_ms"))
+    counts = results.agg(F.count("*").alias("total_files"), F.count_if(F.col("status") == "success").alias("success"), F.count_if(F.col("status") == "error").alias("errors"), (F.sum("fields_extracted") / n).alias("avg_fields_per_file"), F.sum("elapsed_ms").alias("total_time_ms"))
+    return counts.withColumn("avg_fields_per_file", rounded("avg_fields_per_file", 1))
 
 
 def verdicts(rows: DataFrame, by: list[str]) -> DataFrame:
     """AGG9, AGG10: counts of verdicts (skip left out; missing counts in the total only) and accuracy in percent."""
     n = lambda v: F.count_if(F.col("verdict") == v)
     out = rows.where("verdict != 'skip'").groupBy(*by).agg(*(n(v).alias(v) for v in MARKS[:3]), F.count("*").alias("total"))
-    return out.withColumn("accuracy", F.round((F.col("correct") + 0.5 * F.col("partial")) / F.greatest("total", F.lit(1)) * 100, 1))
+    return out.withColumn("accuracy", rounded((F.col("correct") + 0.5 * F.col("partial")) / F.greatest("total", F.lit(1)) * 100, 1))
 
 
 def overall_accuracy(rows: DataFrame) -> DataFrame:
@@ -104,9 +124,8 @@ def overall_accuracy(rows: DataFrame) -> DataFrame:
 
 def weighted_score(scores: DataFrame) -> DataFrame:
     """AGG12: (cv_id, path, score) to cv_id, score by the weight table."""
-    spark = scores.sparkSession
-    w = spark.createDataFrame(list(R.WEIGHTS.items()), "path string, weight double")
-    joined = scores.join(F.broadcast(w), "path", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    w = F.create_map(*(F.lit(x) for pair in R.WEIGHTS.items() for x in pair))
+    joined = scores.withColumn("weight", F.coalesce(F.try_element_at(w, F.col("path")), F.lit(1.0)))
     return joined.groupBy("cv_id").agg((F.sum(F.col("weight") * F.col("score")) / F.sum("weight")).alias("score"))
 
 
@@ -115,6 +134,16 @@ def suite(results: DataFrame, floor: float = 0.8, least: int = 8, mean: float =
     return results.agg(F.count_if(F.round("score", 4) >= floor).alias("passed"), F.count("*").alias("total"), F.avg("score").alias("mean")).withColumn("suite_passed", (F.col("passed") >= least) & (F.col("mean") >= mean))
 
 
+def rounded(x: Column | str, places: int) -> Column:
+    """MTH7: to the nearest, halves to the even digit, by the exact binary value; for the few rows of a report."""
+
+    @F.pandas_udf("double")
+    def near(v: pd.Series) -> pd.Series:
+        return v.map(lambda y: None if y is None or y != y else round(y, places)).astype("float64")
+
+    return near(x)
+
+
 def job_status(results: DataFrame) -> DataFrame:
     """AGG15, D16: progress of jobs (job_id, status, fields)."""
     return results.groupBy("job_id").agg(F.count("*").alias("done"), F.count_if(F.col("status") == "success").alias("success"), F.count_if(F.col("status") == "error").alias("errors"), F.avg("fields").alias("avg_fields"))

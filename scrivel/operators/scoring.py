@@ -1,84 +1,150 @@
-"""Scores of parsed records against golden ones (JSON texts), as Arrow batches; what follows is native aggregation."""
+"""Scores of parsed records against golden ones (JSON texts), as Arrow batches; what follows is native aggregation.
+
+A comparison gives a mark from 0 to 1 and its issues, in the order of the truth. The kind of the truth decides how it is
+compared; a null or missing parsed value marks 0 whatever the truth is. Malformed texts are a status of their row.
+"""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrivel.functions import rules as R
 from scrivel.functions.fuzzy import ratio
+from scrivel.streaming.shared import prepare
 
 FLOOR = 0.8
+#: The share of the entries' marks in the mark of a list of entries; the rest is for their number.
+CONTENT = 0.7
+Mark = tuple[float, list[str]]
+
+
+def taken(truth: list, parsed: list, score: Callable[[int, object, object], float], least: float) -> Iterator[tuple[int, int | None]]:
+    """JOIN14: for each truth item in order the parsed item left that scores best, the earlier on ties, if it reaches `least`."""
+    left = dict(enumerate(parsed))
+    for n, item in enumerate(truth):
+        scores = {k: score(n, item, other) for k, other in left.items()}
+        best = max(scores, key=scores.__getitem__, default=None)
+        found = best is not None and scores[best] >= least
+        if found:
+            del left[best]
+        yield n, best if found else None
+
+
+def texts(truth: list[str], parsed: list, path: str) -> Mark:
+    """SCO3, MTH4: the share of truth texts that some parsed one, as text, is close to."""
+    hits = sum(k is not None for _, k in taken(truth, [str(p) for p in parsed], lambda _, a, b: ratio(a, b), FLOOR))
+    share = hits / len(truth)
+    return share, [] if hits == len(truth) else [f"PARTIAL  {path}: matched {share * 100:.0f}% of {len(truth)} items"]
+
+
+def records(truth: list[dict], parsed: list, path: str) -> Mark:
+    """SCO3: entries by their best partners, and how many there are. Parsed values that are no entries count for the number only."""
+    issues = [f"SHORT    {path}: expected {len(truth)} entries, got {len(parsed)}"] if len(parsed) < len(truth) else []
+    whole = [p for p in parsed if isinstance(p, dict)]
+    total = 0.0
+    for n, k in taken(truth, whole, lambda n, a, b: keys(a, b, f"{path}[{n}]")[0], 0.0):
+        mark, more = (0.0, [f"MISSING  {path}[{n}]: no matching entry found"]) if k is None else keys(truth[n], whole[k], f"{path}[{n}]")
+        total += mark
+        issues += more
+    return CONTENT * total / len(truth) + (1 - CONTENT) * min(len(parsed), len(truth)) / len(truth), issues
+
+
+def items(truth: list, parsed: list, path: str) -> Mark:
+    """SCO3: lists by the kind of the truth's items; mixed ones are alike or half right."""
+    if truth and not parsed:
+        return 0.0, [f"EMPTY    {path}: expected {len(truth)} items, got 0"]
+    for kind, compare in ((str, texts), (dict, records)):
+        if truth and all(isinstance(t, kind) for t in truth):
+            return compare(truth, parsed, path)
+    return (1.0 if not truth or truth == parsed else 0.5), []
+
+
+def keys(truth: dict, parsed: dict, path: str = "") -> Mark:
+    """SCO2, AGG12: the weighted mean over the truth's keys."""
+    if not truth:
+        return 1.0, []
+    paths = {k: f"{path}.{k}" if path else k for k in truth}
+    marks = {k: value(t, parsed.get(k), paths[k]) for k, t in truth.items()}
+    weights = {k: R.WEIGHTS.get(p, 1.0) for k, p in paths.items()}
+    return sum(weights[k] * m for k, (m, _) in marks.items()) / sum(weights.values()), [i for _, more in marks.values() for i in more]
 
 
-def greedy(truth: list, parsed: list, score) -> list[float]:
-    """JOIN14: each truth item in order takes the best parsed item left, the earlier on ties."""
-    left, out = list(range(len(parsed))), []
-    for t in truth:
-        best, at = 0.0, None
-        for k in left:
-            if (s := score(t, parsed[k])) > best:
-                best, at = s, k
-        if at is not None:
-            left.remove(at)
-        out.append(best)
-    return out
+def text(truth: str, parsed, path: str) -> Mark:
+    near = ratio(truth, str(parsed))
+    return near, [] if near >= FLOOR else [f"MISMATCH {path}: expected='{truth[:60]}', got='{str(parsed)[:60]}' (sim={near:.2f})"]
 
 
-def of_list(truth: list, parsed: list) -> float:
-    """SCO3, MTH4"""
-    if not truth:
-        return 1.0
-    if not parsed:
-        return 0.0
-    if all(isinstance(x, str) for x in truth) and all(isinstance(x, str) for x in parsed):
-        got = greedy(truth, parsed, lambda a, b: s if (s := ratio(a, b)) >= FLOOR else 0.0)
-    elif all(isinstance(x, dict) for x in truth) and all(isinstance(x, dict) for x in parsed):
-        got = greedy(truth, parsed, of_dict)
-    else:
-        return 1.0 if truth == parsed else 0.5
-    return 0.7 * sum(got) / len(truth) + 0.3 * min(len(parsed), len(truth)) / len(truth)
-
-
-def of_value(truth, parsed, path: str = "") -> float:
+def value(truth, parsed, path: str = "") -> Mark:
     """SCO1, JSN5"""
     if parsed is None:
-        return 1.0 if truth is None else 0.0
-    if isinstance(truth, dict):
-        return of_dict(truth, parsed, path) if isinstance(parsed, dict) else 0.0
-    if isinstance(truth, list):
-        return of_list(truth, parsed) if isinstance(parsed, list) else 0.0
-    if isinstance(truth, bool):
-        return float(truth == parsed)
+        return 0.0, [f"MISSING  {path}"]
+    for kind, compare in ((dict, keys), (list, items)):
+        if isinstance(truth, kind) and isinstance(parsed, kind):
+            return compare(truth, parsed, path)
     if isinstance(truth, str):
-        return ratio(truth, str(parsed))
-    return float(truth == parsed)
+        return text(truth, parsed, path)
+    return (1.0, []) if truth == parsed else (0.0, [f"WRONG    {path}: expected={truth}, got={parsed}"])
 
 
-def of_dict(truth: dict, parsed: dict, path: str = "") -> float:
-    """SCO2, AGG12: the weighted mean over the truth's keys."""
-    if not truth:
-        return 1.0
-    total = got = 0.0
-    for key, value in truth.items():
-        inner = f"{path}.{key}" if path else key
-        w = R.WEIGHTS.get(inner, 1.0)
-        total += w
-        got += w * of_value(value, parsed.get(key), inner)
-    return got / total
+def evaluated(truth: str | None, parsed: str | None) -> tuple:
+    """SCO4: status, score (4 places), passed by it, issues, marks by top-level key (3 places; metadata counts but isn't listed)."""
+    read = {}
+    for name, given in (("truth", truth), ("parsed", parsed)):
+        if given is None:
+            return f"no {name}", 0.0, [], {}
+        try:
+            read[name] = json.loads(given)
+        except ValueError:
+            return f"{name} is no JSON", 0.0, [], {}
+        if not isinstance(read[name], dict):
+            return f"{name} is no object", 0.0, [], {}
+    mark, issues = keys(read["truth"], read["parsed"])
+    return "scored", round(mark, 4), issues, {k: round(value(t, read["parsed"].get(k), k)[0], 3) for k, t in read["truth"].items() if k != "metadata"}
+
 
+RESULT = T.StructType().add("status", T.StringType()).add("score", T.DoubleType()).add("issues", T.ArrayType(T.StringType())).add("field_scores", T.MapType(T.StringType(), T.DoubleType()))
 
-@F.pandas_udf(T.StructType().add("score", T.DoubleType()).add("field_scores", T.MapType(T.StringType(), T.DoubleType())))
+
+@F.pandas_udf(RESULT)
 def evaluate(truth: pd.Series, parsed: pd.Series) -> pd.DataFrame:
-    """SCO4: score and scores by top-level key (metadata counts but is not listed); a missing parsed record scores 0."""
-    rows = []
-    for t, p in zip(truth, parsed, strict=True):
-        t, p = json.loads(t or "{}"), json.loads(p) if p else None
-        rows.append((of_dict(t, p), {k: of_value(v, p.get(k), k) for k, v in t.items() if k != "metadata"}) if isinstance(p, dict) else (0.0, {}))
-    return pd.DataFrame(rows, columns=["score", "field_scores"])
+    """What evaluated gives, over columns of JSON texts."""
+    return pd.DataFrame([evaluated(t, p) for t, p in zip(truth, parsed, strict=True)], columns=RESULT.names)
+
+
+def score_records(truth: DataFrame, parsed: DataFrame, passing: float = FLOOR) -> DataFrame:
+    """SRC10, JOIN13, SCO4: cv_id, status, score, passed, issues, field_scores for each golden record.
+
+    truth and parsed: (cv_id, record as JSON text). Parsed records without a golden one are left out, golden ones without a
+    parsed one score 0 with an issue of their own. A repeated cv_id counts as often as it occurs; null ids match nothing.
+    """
+    prepare(truth.sparkSession)
+    t = truth.select("cv_id", F.col("record").alias("truth"))
+    rows = t.join(parsed.select("cv_id", F.col("record").alias("parsed"), F.lit(True).alias("found")), "cv_id", "left").select("cv_id", "found", evaluate("truth", "parsed").alias("s"))
+    absent = F.array(F.concat(F.lit("FILE NOT FOUND: "), F.coalesce(F.col("cv_id").cast("string"), F.lit("")), F.lit(".json")))
+    issues = F.when(F.col("found").isNull(), absent).otherwise(F.col("s.issues"))
+    return rows.select("cv_id", F.col("s.status").alias("status"), F.col("s.score").alias("score"), (F.col("s.score") >= passing).alias("passed"), issues.alias("issues"), F.col("s.field_scores").alias("field_scores"))
+
+
+def top_issues(results: DataFrame, most: int = 5) -> DataFrame:
+    """SRT5: cv_id, the first issues of each record and how many more there are."""
+    return results.select("cv_id", F.slice("issues", 1, most).alias("issues"), F.greatest(F.size("issues") - most, F.lit(0)).alias("more"))
+
+
+def heatmap(results: DataFrame) -> DataFrame:
+    """AGG14: section, mean, n: over the records that have the section."""
+    return results.select(F.explode("field_scores").alias("section", "score")).groupBy("section").agg(F.avg("score").alias("mean"), F.count("*").alias("n"))
+
+
+def suite_report(results: DataFrame, least: int = 8, mean: float = 0.75) -> DataFrame:
+    """SCO5, AGG13, SNK4: one row: suite_passed, mean_score (4 places), cvs_passed, cvs_total. The lines of the report are the results themselves."""
+    total = results.agg(F.count_if("passed").alias("cvs_passed"), F.count("*").alias("cvs_total"), F.avg("score").alias("m"))
+    return total.select(F.coalesce((F.col("cvs_passed") >= least) & (F.col("m") >= mean), F.lit(False)).alias("suite_passed"), F.coalesce(F.bround("m", 4), F.lit(0.0)).alias("mean_score"), "cvs_passed", "cvs_total")
 
 
 @F.pandas_udf(T.DoubleType())

@@ -55,7 +55,7 @@ def _dictionary(field_defs: DataFrame) -> DataFrame:
     by = d.where("section is not null").groupBy("section").agg(of(F.lit(True), "nested_key").alias("keys"), of(F.col("field_type") == "DateTime", "nested_key").alias("dates"), of(coded, "nested_key").alias("coded"))
     need = F.create_map(*(x for s, ks in R.REQUIRED_KEYS.items() for x in (F.lit(s), F.array(*map(F.lit, ks)))))
     sections = by.select(F.struct("section", "keys", "dates", "coded", F.coalesce(need[F.col("section")], F.expr(_NONE)).alias("needed")).alias("s")).agg(F.array_sort(F.collect_list("s")).alias("sections"))
-    return row.join(sections)
+    return row.withColumn("sections", F.coalesce(sections.scalar(), F.expr("cast(array() as array<struct<section:string,keys:array<string>,dates:array<string>,coded:array<string>,needed:array<string>>>)")))
 
 
 def validate(records: DataFrame, field_defs: DataFrame) -> DataFrame:
@@ -68,7 +68,8 @@ def validate(records: DataFrame, field_defs: DataFrame) -> DataFrame:
     v = F.try_parse_json("record")
     first = F.try_variant_get(v, "$[0]", "variant")
     read = records.select("file", v.alias("v"), F.coalesce(_object(first), F.expr("cast(map() as map<string,variant>)")).alias("m"), first.isNotNull().alias("any"), _object(first).isNotNull().alias("ok"), F.schema_of_variant(v).startswith("ARRAY").alias("is_array"))
-    rows = read.join(F.broadcast(_dictionary(field_defs)))
+    # the dictionary is one value: a scalar subquery, no join
+    rows = read.withColumn("d", _dictionary(field_defs).select(F.struct("*").alias("d")).scalar()).select("*", "d.*").drop("d")
     has_results = lambda x: F.coalesce(F.map_contains_key(_object(x), "results"), F.lit(False))
     members = lambda m: F.filter(F.map_entries(m), lambda e: e["key"] != "__metadata")
     of = lambda name: F.filter(c("top"), lambda e: F.array_contains(c(name), e["key"]))

@@ -29,11 +29,15 @@ def label_pairs(blocks: DataFrame, tables: DataFrame | None = None) -> DataFrame
     return lines.last_wins(out)
 
 
-def personal_fields(blocks: DataFrame, tables: DataFrame | None = None) -> DataFrame:
-    """doc_id and a column for each personal field. A document without any field is a row of nulls."""
+def personal_fields(blocks: DataFrame, tables: DataFrame | None = None, pairs: DataFrame | None = None, recognise: personal.Recogniser = personal.nobody) -> DataFrame:
+    """doc_id and a column for each personal field. A document without any field is a row of nulls. pairs: label_pairs, if they are there already.
+
+    recognise (TVF19): names in the first characters of a text, for documents that no label and no large type names.
+    """
     texts = layout.reading_order(blocks).select("doc_id", "raw_text")
-    found = texts.join(personal.by_label(label_pairs(blocks, tables)), "doc_id", "left")
+    found = texts.join(personal.by_label(written(label_pairs(blocks, tables), "pairs") if pairs is None else pairs), "doc_id", "left")
     named = personal.by_pattern(found).join(layout.prominent_name(blocks).withColumnRenamed("name", "prominent"), "doc_id", "left")
+    named = named.withColumn("prominent", F.coalesce("prominent", personal.recognised(F.col("raw_text"), recognise)))
     return personal.clean(personal.with_names(named)).select("doc_id", *personal.FIELDS)
 
 
@@ -61,12 +65,11 @@ def _parsed(texts: DataFrame) -> DataFrame:
     def rows(frame: DataFrame, kind: str, order: str, keys: Column, moved: bool = False) -> DataFrame:
         return frame.select("doc_id.*", F.lit(kind).alias("section"), F.col(order).cast("long").alias("entry_no"), keys, F.lit(moved).alias("moved"))
 
-    def folded(kind: str, grid, parse) -> DataFrame:
-        got = lines.entries(of(kind).withColumn("grid", grid(F.col("text"))))
-        return got.select("doc_id", F.posexplode(F.coalesce("grid", parse(F.col("entries")))).alias("entry_no", "keys"))
+    def folded(frame: DataFrame, grid, parsed: Column) -> DataFrame:
+        return frame.withColumn("grid", grid(F.col("text"))).select("doc_id", F.posexplode(F.coalesce("grid", parsed)).alias("entry_no", "keys"))
 
     split = lambda kind: lines.entries(of(kind)).select("doc_id", F.posexplode("entries").alias("entry_no", "entry"))
-    schools = folded("education", grids.education_grid, parsers.schools).where(F.size("keys") > 0)
+    schools = folded(of("education"), grids.education_grid, parsers.schools(F.col("text"))).where(F.size("keys") > 0)
     is_cert = contains_any(F.lower(F.coalesce(F.col("keys")["degree"], F.lit(""))), R.CERTIFICATE_WORDS)  # SET3
     as_cert = schools.where(is_cert).withColumns({"name": F.col("keys")["degree"], "institution": F.col("keys")["otherSchool"], "startDate": F.col("keys")["startDate"]})
     languages = parsers.language_lines(of("languages"))
@@ -74,16 +77,17 @@ def _parsed(texts: DataFrame) -> DataFrame:
     out = [
         rows(schools.where(~is_cert), "education", "entry_no", F.col("keys")),
         rows(as_cert, "certificates", "entry_no", _filled("name", "institution", "startDate"), True),
-        rows(folded("experience", grids.experience_grid, parsers.jobs), "experience", "entry_no", F.col("keys")),
+        rows(folded(lines.entries(of("experience")), grids.experience_grid, parsers.jobs(F.col("entries"))), "experience", "entry_no", F.col("keys")),
         rows(languages, "languages", "line_no", _filled("language", "proficiency", "remark")),
         rows(parsers.inline_languages(inline.select("doc_id", F.col("line").alias("value"))), "languages", "pos", _filled("language", "remark")),
-        rows(parsers.simple_entries(split("courses"), "course", "endDate"), "courses", "entry_no", _filled("course", "endDate", "institution", "description")),
+        rows(parsers.simple_entries(split("courses"), "course", "endDate"), "courses", "entry_no", _filled("course", "startDate", "endDate", "institution", "description")),
         rows(parsers.family(split("family")), "family", "entry_no", _filled("name", "relationship", "contact", "position")),
     ]
-    for kind, share, numbered in (("certificates", 0.5, True), ("awards", 0.6, False)):
-        items = parsers.listed(of(kind), share, numbered, "startDate")
-        plain = parsers.simple_entries(split(kind), "name", "startDate").join(items.select("doc_id").distinct(), "doc_id", "left_anti")
-        out += [rows(items, kind, "line_no", _filled("name", "startDate")), rows(plain, kind, "entry_no", _filled("name", "startDate", "institution", "description"))]
+    for kind, share, numbered, date in (("certificates", 0.5, True, "startDate"), ("awards", 0.6, False, "issueDate")):
+        items = parsers.listed(of(kind), share, numbered, date)
+        plain = parsers.simple_entries(split(kind), "name", date).join(items.select("doc_id").distinct(), "doc_id", "left_anti")
+        second = "endDate" if date == "startDate" else "startDate"
+        out += [rows(items, kind, "line_no", _filled("name", date)), rows(plain, kind, "entry_no", _filled("name", date, second, "institution", "description"))]
     first, *more = out
     for o in more:
         first = first.unionByName(o)
@@ -122,9 +126,17 @@ def move_degrees(entries: DataFrame) -> DataFrame:
     return e.select("doc_id", F.when(moves, "education").otherwise(c("section")).alias("section"), "entry_no", F.when(moves, _filled("degree", "otherSchool")).otherwise(c("keys")).alias("keys"))
 
 
-def section_entries(ls: DataFrame, tables: DataFrame | None = None) -> DataFrame:
-    """doc_id, section, entry_no, keys: of sections of one kind the first that holds anything counts, tables before them all (SET5); FLT7 to FLT11,
-    WIN7 and SET2 after that.
+def pair_languages(pairs: DataFrame) -> DataFrame:
+    """TVF7: doc_id, sec_no, section, entry_no, keys, moved: languages listed behind labels for them. They come after all sections, in the order of the pairs."""
+    said = pairs.where(F.trim(fold(F.col("label"))).isin(R.LANGUAGE_KEYS))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("long") + F.lit(1 << 40)
+    got = parsers.inline_languages(said.select(F.struct("doc_id", nth.alias("sec_no")).alias("doc_id"), "value"))
+    return got.select("doc_id.*", F.lit("languages").alias("section"), F.col("pos").cast("long").alias("entry_no"), _filled("language", "remark"), F.lit(False).alias("moved"))
+
+
+def section_entries(ls: DataFrame, tables: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """doc_id, section, entry_no, keys: of sections of one kind the first that holds anything counts, tables before them all (SET5), languages from
+    label pairs after them; FLT7 to FLT11, WIN7 and SET2 after that.
 
     The section texts are written once, by kind, to the shared folder: each parser then reads its own kind only.
     """
@@ -135,7 +147,9 @@ def section_entries(ls: DataFrame, tables: DataFrame | None = None) -> DataFrame
     e = _parsed(spark.read.schema(texts.schema).parquet(path))
     if tables is not None:
         e = e.unionByName(written(table_entries(tables), "table-entries").withColumns({"sec_no": F.lit(-1).cast("long"), "moved": F.lit(False)}))
-    e = e.withColumn("first", F.min("sec_no").over(kind))
+    if pairs is not None:
+        e = e.unionByName(pair_languages(pairs))
+    e = written(e, "parsed").withColumn("first", F.min("sec_no").over(kind))
     school = F.min(F.when(c("section") == "education", c("sec_no"))).over(Window.partitionBy("doc_id"))
     e = e.withColumn("school", school).where(F.when(c("moved"), c("school").isNull() | (c("sec_no") <= c("school"))).otherwise(c("sec_no") == c("first")))
     names = ("language", "remark", "name", "employer", "startTitle", "otherSchool", "degree", "startDate")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scrivel.streaming.shared import prepare
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def made(table_name: str, /, **columns: str):
@@ -52,9 +54,3 @@ BLOCKS = made(
     is_bold="l_returnflag = 'R'",
     font_size="cast(9 + l_suppkey % 8 as double)",
 )
-FORM = made(
-    "customer",
-    doc_id=KEY,
-    line_no="cast(0 as int)",
-    text=f"concat('Full name: ', c_name, chr(10), 'Phone:', chr(10), '+84 90', lpad({KEY}, 7, '0'), chr(10), 'Skills: ', c_mktsegment, ',', chr(10), 'second line,', chr(10), 'third', chr(10), 'From *', chr(10), '', chr(10), 'Page 1 of 2', chr(10), 'no pair here')",
-)

@@ -8,12 +8,18 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivel.functions import rules as R
+from scrivel.streaming.shared import prepare, written
+
+PATTERN = lambda p: re.compile(p.removeprefix("(?iu)"), re.I if p.startswith("(?iu)") else 0)
+NOISE, FORM_LABELS = [PATTERN(p) for p in R.NOISE], [PATTERN(p) for p in R.FORM_LABELS]
 BLOCKS = "doc_id string, block_no int, page int, x0 double, y0 double, x1 double, y1 double, text string, is_bold boolean, font_size double, error string"
 TABLES = "doc_id string, table_no int, row_no int, cells array<string>"
+EXTENSIONS = ["pdf", "docx", "doc"]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: SRC2: readers by extension; a reader gives blocks (text, is_bold, font_size) and tables of one file. PDF readers can be put in.
 ADAPTERS: dict[str, Callable[[bytes], tuple[list[tuple], list[list[list[str]]]]]] = {}
@@ -27,11 +33,25 @@ def adapter(*extensions: str):
     return put
 
 
+def name_of(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]+)$", 1)
+
+
+def stem(path: Column) -> Column:
+    """STR12: the file's name without its last extension."""
+    return F.regexp_replace(name_of(path), r"\.[^.]*$", "")
+
+
+def allowed(path: Column) -> Column:
+    """FLT5: whether a file is a document by its extension."""
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(EXTENSIONS)
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """SRC1, FLT5, SRC13: path, name, stem, extension, content of documents directly in a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,PDF,docx,DOCX,doc}").load(folder)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return files.select("path", name.alias("name"), F.regexp_extract(name, r"^(.*)\.[^.]*$", 1).alias("stem"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("extension"), "content")
+    path = F.col("path")
+    return files.select("path", name_of(path).alias("name"), stem(path).alias("stem"), F.lower(F.regexp_extract(name_of(path), r"\.([^.]*)$", 1)).alias("extension"), "content")
 
 
 @adapter("docx", "doc")
@@ -50,42 +70,49 @@ def read_docx(content: bytes) -> tuple[list[tuple], list[list[list[str]]]]:
     return blocks, tables
 
 
+def _noise(text: str) -> bool:
+    return not text.strip() or any(p.search(text.strip()) for p in NOISE)
+
+
+def _parsed(path: str, extension: str, content: bytes) -> Iterator[dict]:
+    """One dict for each block and each table row of a file, or one with its error."""
+    try:
+        if extension not in ADAPTERS:
+            raise ValueError(f"Unsupported file format: .{extension}")
+        blocks, tables = ADAPTERS[extension](content)
+    except Exception as e:  # noqa: BLE001 - any reader may fail on any file
+        yield {"block_no": 0, "page": 0, "x0": 0.0, "y0": 0.0, "x1": 0.0, "y1": 0.0, "is_bold": False, "font_size": 0.0, "error": str(e)[:500]}
+        return
+    y = 0.0
+    for k, (text, bold, size) in enumerate(blocks):
+        if _noise(text):
+            y += 15
+            continue
+        yield {"block_no": k, "page": 0, "x0": 0.0, "y0": y, "x1": 500.0, "y1": y + size, "text": text, "is_bold": bold, "font_size": size}
+        y += size + 8
+    for k, table in enumerate(tables):
+        yield from ({"table_no": k, "row_no": i, "cells": row} for i, row in enumerate(table) if any(not _noise(c) for c in row))
+
+
 def scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SRC2 to SRC4, ORC3: blocks and tables of files. A file that can't be read gives one block row with its error; the job goes on."""
-    from scrivel.operators.parsers import _NOISE_PY
-
-    noise = lambda t: not t.strip() or any(p.search(t.strip()) for p in _NOISE_PY)
-
-    def read(kind: str):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                out: list[tuple] = []
-                for path, extension, content in zip(frame["path"], frame["extension"], frame["content"], strict=True):
-                    try:
-                        if extension not in ADAPTERS:
-                            raise ValueError(f"Unsupported file format: .{extension}")
-                        blocks, tables = ADAPTERS[extension](bytes(content))
-                    except Exception as e:  # noqa: BLE001 - any reader may fail on any file
-                        if kind == "blocks":
-                            out.append((path, 0, 0, 0.0, 0.0, 0.0, 0.0, None, False, 0.0, str(e)[:500]))
-                        continue
-                    if kind == "tables":
-                        out += [(path, k, i, row) for k, t in enumerate(tables) for i, row in enumerate(t) if any(not noise(c) for c in row)]
-                        continue
-                    y = 0.0
-                    for k, (text, bold, size) in enumerate(blocks):
-                        if noise(text):
-                            y += 15
-                            continue
-                        out.append((path, k, 0, 0.0, y, 500.0, y + size, text, bold, size, None))
-                        y += size + 8
-                names = [c.split()[0] for c in (BLOCKS if kind == "blocks" else TABLES).split(", ")]
-                yield pd.DataFrame(out, columns=names)
-
-        return run
-
-    rows = files.select("path", "extension", "content")
-    return rows.mapInPandas(read("blocks"), BLOCKS), rows.mapInPandas(read("tables"), TABLES)
+    """SRC2 to SRC4, ORC3: blocks and tables of files. A file that can't be read gives one block row with its error; the job goes on.
+
+    Each file is read and parsed once, into one table in the shared folder; a worker holds the files of one batch of bounded bytes.
+    """
+    prepare(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, extension, content in zip(*(batch.column(c).to_pylist() for c in ("path", "extension", "content")), strict=True):
+                rows = [{"doc_id": path} | row for row in _parsed(path, extension, content)]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    ddl = f"{BLOCKS}, {TABLES.partition(', ')[2]}"
+    schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(", "))])
+    found = written(files.select("path", "extension", "content").mapInArrow(run, ddl), "scanned")
+    of = lambda spec: [c.split()[0] for c in spec.split(", ")]
+    return found.where("block_no is not null").select(*of(BLOCKS)), found.where("table_no is not null").select(*of(TABLES))
 
 
 def field_definitions(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +131,7 @@ def json_records(spark: SparkSession, folder: str, glob: str = "*.json") -> Data
     """SRC8 to SRC11: file, record (variant): the first element of an array, else the whole. Names that begin with _ are skipped by Spark."""
     texts = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder)
     v = F.try_parse_json(F.col("value"))
-    return texts.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("file"), F.coalesce(F.try_variant_get(v, "$[0]", "variant"), v).alias("record"))
+    return texts.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1).alias("file"), F.coalesce(F.try_variant_get(v, "$[0]", "variant"), v).alias("record"))
 
 
 def write_records(records: DataFrame, path: str) -> None:
@@ -117,6 +144,23 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_validation(reports: DataFrame, totals: DataFrame, path: str) -> None:
+    """SNK3: the totals and, beside them, a line for each file, by name."""
+    write_report(totals, f"{path}/totals")
+    reports.orderBy("file").write.mode("overwrite").json(f"{path}/files")
+
+
+def write_scores(results: DataFrame, report: DataFrame, path: str) -> None:
+    """SNK4: the suite's line and, beside it, a line for each record, by name."""
+    write_report(report, f"{path}/suite")
+    results.orderBy("cv_id").write.mode("overwrite").json(f"{path}/records")
+
+
+def write_accuracy(report: DataFrame, path: str) -> None:
+    """SNK5: the lines of the accuracy report, in order, under the name that readers of reviews skip."""
+    write_report(report, f"{path}/_accuracy_report")
+
+
 class Replay:
     """SRC12: extraction replies recorded in a table (doc_id, raw) in place of a live service; a strategy like any other."""
 

@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from scrivel.operators.records import job_status
 
 
-def progress(spark: SparkSession, folder: str, schema, to_results, name: str, checkpoint: str, max_files: int = 100) -> DataFrame:
-    """Runs the stream over what is in the folder and returns the last state; new files are taken on the next call with the same checkpoint."""
+def progress(spark: SparkSession, folder: str, schema, to_results, state: str, checkpoint: str, max_files: int = 100) -> DataFrame:
+    """Runs the stream over what is in the folder and returns the last state; new files are taken on the next call with the same checkpoint.
+
+    Each batch writes the state as a table of its own below `state`, by batch number: a batch that is run again writes the
+    same one, and nothing is held by the driver.
+    """
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(folder)
-    query = job_status(to_results(events)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    query = job_status(to_results(events)).writeStream.outputMode("complete").foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{state}/batch={number}"))
+    query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    table = spark.read.option("basePath", state).parquet(state)
+    last = table.agg(F.max("batch")).first()[0]
+    return table.where(F.col("batch") == last).drop("batch")
 
 
 def results_of_events(events: DataFrame) -> DataFrame:

@@ -1,16 +1,40 @@
-"""The folder that driver and executors share."""
+"""What the engine needs of the cluster: the folder that driver and executors share, and workers that can import it."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[2])
+#: Python workers get Arrow batches of at most about so many bytes (or one row); a lower setting of the session stays.
+BATCH_BYTES = 16_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package where only the driver's path has it, and bound the batches they get."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    now = int(spark.conf.get(_BATCH).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return spark
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scrivel-")
+    """A new folder below spark.checkpoint.dir; where that is unset, below a temporary one, on a single machine only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="scrivel-")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

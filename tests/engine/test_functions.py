@@ -49,19 +49,57 @@ def test_similarity():
     assert abs(fuzzy.indel("lewenstein", "levenshtein") - 2 * 9 / 21 * 100) < 1e-9
 
 
-def test_a_record_scored_against_itself():
+def test_scores():
     gold = {"personal_info": {"full_name": "A", "email": "a@b.org"}, "education": [{"degree": "BSc"}], "languages": ["x", "y"], "is": True, "empty": []}
-    assert scoring.of_dict(gold, gold) == 1
-    assert scoring.of_list(["a"], [{"a": 1}]) == 0.5 and scoring.of_list([], ["x"]) == 1 and scoring.of_list(["x"], []) == 0
-    assert scoring.greedy(["ab", "ab"], ["ab"], lambda a, b: 1.0) == [1.0, 0.0]
+    assert scoring.keys(gold, gold) == (1.0, [])
+    mark = lambda *a: round(scoring.value(*a)[0], 4)
+    assert mark(["English", "French"], ["English", "Frenc"]) == 1 and mark(["1", "2"], ["1", 2]) == 1 and mark(["a"], [{"a": 1}]) == 0
+    assert mark([], ["x"]) == 1 and mark(["x"], []) == 0 and mark([1, "a"], [1, "b"]) == 0.5 and mark([1, "a"], [1, "a"]) == 1
+    assert mark(None, None) == 0 and mark(None, 1) == 0 and mark(True, 1) == 1 and mark("5", 5) == 1 and mark({"a": 1}, [1]) == 0
+    # an entry's summary weighs 1, not 2 as at the top
+    assert mark([{"title": "x", "summary": "abc"}], [{"title": "x"}], "work_experience") == 0.65
+    # values that are no entries count for the number only, and a pair that scores 0 uses up its entry
+    assert mark([{"a": "x"}], ["?", {"a": "x"}]) == 1 and mark([{"a": "x"}, {"a": "y"}], [{"a": "y"}, 3]) == 0.3
+    assert scoring.value([{"a": "x"}, {"a": "y"}], [{"a": "y"}], "l")[1] == ["SHORT    l: expected 2 entries, got 1", "MISMATCH l[0].a: expected='x', got='y' (sim=0.00)", "MISSING  l[1]: no matching entry found"]
+    assert [k for _, k in scoring.taken(["ab", "ab"], ["ab"], lambda *_: 1.0, 0.0)] == [0, None]
+    assert scoring.evaluated("{", "{}")[0] == "truth is no JSON" and scoring.evaluated("{}", "[]")[0] == "parsed is no object" and scoring.evaluated("{}", None)[0] == "no parsed"
+    assert scoring.evaluated('{"a": "x", "metadata": 1}', '{"a": "x"}') == ("scored", 0.5, ["MISSING  metadata"], {"a": 1.0})
+
+
+def test_jobs_and_schools(spark):
+    one = lambda f, t: column(spark, [t], f)[0]
+    job = lambda t: one(lambda c: parsers.jobs(F.array(c)), t)
+    assert job("Senior Engineer\nAcme Corp 2015 - 2018\n- one\n- two\nmore") == [{"startTitle": "Senior Engineer", "employer": "Acme Corp", "startDate": "2015", "endDate": "2018", "description": "one; two; more"}]
+    assert job("Gamma\nTháng 6/2021 — Hiện tại") == [{"startDate": "2021", "employer": "Gamma"}]
+    assert job("Beta\n3/2019 — 5/2021") == [{"startDate": "3/2019", "employer": "Beta"}]
+    assert job("Page 1 of 2\n") == []
+    schools = one(parsers.schools, "Bachelor\nHanoi University | 2010 - 2014\nvery good\n\nstill the first\nMaster\nin 5/2016")
+    assert schools == [{"degree": "Bachelor", "otherSchool": "Hanoi University", "grade": "Very Good", "startDate": "2010", "endDate": "2014"}, {"degree": "Master", "startDate": "5/2016"}]
+
+
+def test_a_value_goes_on_for_fifty_lines(spark):
+    from scrivel.operators import lines
+
+    text = "\n".join(["Skills: a,", *(f"b{k}," for k in range(50)), "c", "d"])
+    docs = spark.createDataFrame([("x", text), ("y", None), ("z", ""), ("w", "only:")], "doc_id string, text string")
+    (got,) = lines.colon_pairs(lines.explode_lines(docs)).collect()
+    assert got.value == " ".join(["a,", *(f"b{k}," for k in range(50)), "c"]) and (got.pos, got.label) == (0, "Skills")
+
+
+def test_a_year_0000_is_a_warning_and_second_dates_are_kept(spark):
+    e = spark.createDataFrame([("x", 0, "Course\n1/2018 to 2/2019\nSchool")], "doc_id string, entry_no int, entry string")
+    (got,) = parsers.simple_entries(e, "course", "endDate").collect()
+    assert (got.endDate, got.startDate, got.institution) == ("1/2018", "2/2019", "School")
+
 
+def test_bundles_and_jobs(spark):
+    from scrivel.operators import reports
 
-def test_jobs_and_schools():
-    job = parsers.job_entry("Senior Engineer\nAcme Corp 2015 - 2018\n- one\n- two\nmore")
-    assert job == {"startTitle": "Senior Engineer", "employer": "Acme Corp", "startDate": "2015", "endDate": "2018", "description": "one; two; more"}
-    assert parsers.job_entry("Gamma\nTháng 6/2021 — Hiện tại") == {"startDate": "2021", "employer": "Gamma"}
-    assert parsers.job_entry("Beta\n3/2019 — 5/2021")["startDate"] == "3/2019" and "endDate" not in parsers.job_entry("Beta\n3/2019 — 5/2021")
-    assert parsers.school_entry("Bachelor\nHanoi University | 2010 - 2014\nvery good")["grade"] == "Very Good"
+    data = reports.bundle([("a", '{"x":1}'), ("b", None)])
+    assert zipfile.ZipFile(io.BytesIO(data)).namelist() == ["a.json"]
+    jobs = spark.createDataFrame([("j", 0), ("k", 2)], "job_id string, total int")
+    none = spark.createDataFrame([], "job_id string, status string, fields long")
+    assert {r.job_id: (r.status, r.done, r.avg_fields) for r in reports.job_states(jobs, none).collect()} == {"j": ("done", 0, 0.0), "k": ("running", 0, 0.0)}
 
 
 def docx(paragraphs, rows):
