@@ -3,7 +3,12 @@
 Each paragraph earns points for its length and its commas and passes them to its ancestors, less at each step up.
 A container's points are discounted by the share of its text that is links. The best container is kept, with those
 siblings that score well or read like prose; their blocks are the page's text. Parts that say what they are by tag,
-role, class or id (menus, footers, sidebars, notices, adverts, forms, comments, ...) are left out from the start.
+role, class or id (menus, footers, sidebars, notices, adverts, forms, comments, ...) are left out from the start. A class
+that tells of a state (no-sidebar, comments-open, overflow-hidden) names no part, and a part told by one word of a longer
+class alone stays if it holds most of the page's text, unless it is one of readers' comments.
+
+Reading a page takes time in proportion to its length, whatever its markup: tags are scanned once, ancestors are looked
+for only if one is open, and the tree is no deeper than MOST_DEPTH.
 """
 
 from __future__ import annotations
@@ -18,7 +23,8 @@ from pyspark.sql import functions as F
 
 from scrivel.llm.common import prepare
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,7 +44,9 @@ ENDED_BY = {
     "tr": ({"tr"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-DROP = frozenset("script style textarea title iframe noembed noframes noscript template head nav footer aside form button select option menu dialog svg math canvas object audio video fieldset label input".split())
+DROP = frozenset("script style textarea title iframe noembed noframes noscript template head nav footer aside form select option menu dialog svg canvas object audio video fieldset input".split())
+#: Text of a paragraph where they stand in one, controls elsewhere.
+CONTROLS = frozenset("button label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Words of a class or id that name a part other than the article.
 PARTS = frozenset(
@@ -48,31 +56,53 @@ PARTS = frozenset(
     "skip social sponsor sponsored subscribe subscription taboola tags toolbar topbar trending widget".split()
 )
 HEADER_WORDS = frozenset("header foot footer tags".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: A class that begins or ends with one of these tells of a state or a layout.
+STATE_BEGINS = frozenset("no not without with has have is hide show overflow can".split())
+STATE_ENDS = frozenset("open closed on off enabled disabled active allowed hidden visible".split())
+HIDDEN = frozenset("hidden visually-hidden visuallyhidden sr-only screen-reader-text".split())
+MOST_SHARE, MOST_DEPTH = 0.6, 1000
 PRIOR = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "address": -3.0, "ol": -3.0, "ul": -3.0, "dl": -3.0, "dd": -3.0, "dt": -3.0, "li": -3.0, "th": -5.0}
 GOOD = frozenset("article body content entry main page post story text blog hentry".split())
 LEAST_PARAGRAPH, LEVELS = 25, 5
 
 
 class Element:
-    __slots__ = ("attributes", "children", "link_chars", "parent", "points", "tag", "text_chars")
+    __slots__ = ("attributes", "children", "depth", "link_chars", "parent", "points", "tag", "text_chars")
 
     def __init__(self, tag: str, parent: Element | None, attributes: dict[str, str]):
         self.tag, self.parent, self.attributes = tag, parent, attributes
         self.children: list[Element | str] = []
+        self.depth = parent.depth + 1 if parent else 0
         self.points: float | None = None
         self.text_chars = self.link_chars = 0
 
 
+def tag_end(page: str, at: int, last: int) -> int:
+    """The place of the > that ends the tag whose name ends at `at`, or -1; quotes count where a value begins. last: the page's last >."""
+    while at <= last:
+        m = _STOP.search(page, at)
+        if m is None or m[0] == ">":
+            return m.start() if m else -1
+        at = m.end()
+        if page[: m.start()][-20:].rstrip().endswith("=") and (k := page.find(m[0], at)) >= 0 and k < last:
+            at = k + 1
+    return -1
+
+
 def parse(page: str) -> Element:
-    """A tree of the page, as browsers would read it in the main: ends that are missing are put in, stray ones ignored."""
+    """A tree of the page, as browsers would read it in the main: ends that are missing are put in, stray ones ignored, a tag that breaks off is no text."""
     root = now = Element("#root", None, {})
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
+    opened: dict[str, int] = {}
 
     def text(piece: str) -> None:
         if piece:
             now.children.append(html.unescape(piece) if "&" in piece else piece)
 
     def up_to(names: set[str] | frozenset[str], limits: set[str] | frozenset[str]) -> Element | None:
+        if not any(opened.get(x) for x in names):
+            return None
         e = now
         while e is not root and e.tag not in limits:
             if e.tag in names:
@@ -80,54 +110,85 @@ def parse(page: str) -> Element:
             e = e.parent
         return None
 
+    def close(element: Element) -> Element:
+        e = now
+        while e is not element.parent:
+            opened[e.tag] -= 1
+            e = e.parent
+        return e
+
     while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            text(_cut_tag(page[at:]))
+        start = page.find("<", at)
+        if start < 0:
+            text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        if page[start + 1 : start + 2] in ("!", "?"):
+            text(page[at:start])
+            mark = "-->" if page.startswith("<!--", start) else ">"
+            k = page.find(mark, start + 2)
+            at = k + len(mark) if k >= 0 else n
             continue
-        name = name.lower()
+        m = _NAME.match(page, start + 1)
+        if m is None:
+            text(page[at : start + 1])
+            at = start + 1
+            continue
+        text(page[at:start])
+        end = page.find(">", m.end())
+        inside = page[m.end() : end] if end >= 0 else ""
+        if '"' in inside or "'" in inside:
+            end = tag_end(page, m.end(), last)
+            inside = page[m.end() : end]
+        if end < 0:
+            break
+        at, name = end + 1, m[2].lower()
         if m[1]:
-            if name in BLOCK:
-                found = up_to({name}, frozenset())
-                if found is None and name == "p":
-                    continue
-            else:
-                found = up_to({name}, BLOCK)
-            if found is not None and found is not root:
-                now = found.parent
+            found = up_to({name}, frozenset() if name in BLOCK else BLOCK)
+            if found is not None:
+                now = close(found)
             continue
         if name in CLOSES_P and (p := up_to({"p"}, {"table", "td", "th", "button", "object"})):
-            now = p.parent
+            now = close(p)
         if name in ENDED_BY and (e := up_to(*ENDED_BY[name])):
-            now = e.parent
-        element = Element(name, now, {a.lower(): html.unescape(x or y or z or "") for a, x, y, z in _ATTRIBUTE.findall(m[3])} if m[3].strip(" /\n\t") else {})
+            now = close(e)
+        element = Element(name, now, {a.lower(): html.unescape(x or y or z or "") for a, x, y, z in _ATTRIBUTE.findall(inside)} if inside.strip(" /\n\t") else {})
         now.children.append(element)
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-        elif name not in VOID and not m[3].endswith("/"):
+            stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = stop.end() if stop else n
+        elif name not in VOID and not inside.endswith("/"):
+            if now.depth >= MOST_DEPTH:  # deeper ones are laid side by side
+                element.parent, element.depth = now.parent, now.depth
+                now.children.pop()
+                now.parent.children.append(element)
+                opened[now.tag] -= 1
             now = element
+            opened[name] = opened.get(name, 0) + 1
     return root
 
 
-def _cut_tag(rest: str) -> str:
-    """A page may break off inside a tag; that is no text."""
-    k = rest.rfind("<")
-    return rest[:k] if k >= 0 and re.match(r"</?[a-zA-Z!]", rest[k : k + 3]) and ">" not in rest[k:] else rest
-
-
 def _words(element: Element) -> set[str]:
     both = f"{element.attributes.get('class', '')} {element.attributes.get('id', '')}"
     return set(re.split(r"[\s_\-]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", both).lower()))
 
 
-def unwanted(element: Element, inside_article: bool) -> bool:
-    if element.tag in DROP:
+def named_parts(element: Element) -> tuple[set[str], set[str]]:
+    """The words of PARTS that are a whole class or id, and those that are one word of a longer one; classes of a state have none."""
+    whole, part = set(), set()
+    for token in f"{element.attributes.get('class', '')} {element.attributes.get('id', '')}".split():
+        low = token.lower()
+        if low in HIDDEN or low in PARTS:
+            whole.add(low if low in PARTS else "hidden")
+            continue
+        words = re.split(r"[_\-:]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", token).lower())
+        if words[0] not in STATE_BEGINS and words[-1] not in STATE_ENDS:
+            part |= PARTS.intersection(words) - {"hidden"}
+    return whole, part
+
+
+def unwanted(element: Element, inside_article: bool, inside_paragraph: bool, share: float) -> bool:
+    """share: of the page's text."""
+    if element.tag in DROP or element.tag in CONTROLS and not inside_paragraph:
         return True
     if element.tag == "header":
         return not inside_article
@@ -137,20 +198,33 @@ def unwanted(element: Element, inside_article: bool) -> bool:
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
     if "class" in a or "id" in a:
-        named = _words(element) & PARTS
-        return bool(named - HEADER_WORDS if inside_article else named)
+        whole, part = named_parts(element)
+        if inside_article:
+            whole, part = whole - HEADER_WORDS, part - HEADER_WORDS
+        return bool(whole) or bool(part & COMMENT_WORDS) or bool(part) and share < MOST_SHARE
     return False
 
 
 def prune(root: Element) -> list[Element]:
     """Takes unwanted parts out; the elements left, parents before children."""
-    out, stack = [], [(root, False)]
+    order, at = [root], 0
+    while at < len(order):
+        order += [c for c in order[at].children if not isinstance(c, str) and c.tag not in DROP]
+        at += 1
+    for e in order:
+        e.text_chars = sum(len(c.strip()) for c in e.children if isinstance(c, str))
+    for e in reversed(order):
+        if e.parent is not None:
+            e.parent.text_chars += e.text_chars
+    total = max(root.text_chars, 1)
+    out, stack = [], [(root, False, False)]
     while stack:
-        element, inside = stack.pop()
+        element, inside, paragraph = stack.pop()
         inside = inside or element.tag in ("article", "main")
-        element.children = [c for c in element.children if isinstance(c, str) or not unwanted(c, inside)]
+        paragraph = paragraph or element.tag == "p"
+        element.children = [c for c in element.children if isinstance(c, str) or not unwanted(c, inside, paragraph, c.text_chars / total)]
         out.append(element)
-        stack += [(c, inside) for c in reversed(element.children) if not isinstance(c, str)]
+        stack += [(c, inside, paragraph) for c in reversed(element.children) if not isinstance(c, str)]
     return out
 
 
@@ -221,7 +295,8 @@ def kept(best: Element) -> list[Element]:
 
 
 def blocks(parts: list[Element]) -> list[str]:
-    """The blocks of text in page order; white space in a block is one space."""
+    """The blocks of text in page order; white space in a block is one space. Lists of links are menus where the whole page is the container, cited works within an article."""
+    menus = any(p.tag in ("#root", "html", "body") for p in parts)
     out: list[str] = []
     line: list[str] = []
 
@@ -239,7 +314,7 @@ def blocks(parts: list[Element]) -> list[str]:
             line.append(c)
         elif c.tag in BLOCK:
             end()
-            if c.tag in ("ul", "ol", "table", "div", "section") and c.link_chars > 0.5 * c.text_chars:
+            if menus and c.tag in ("ul", "ol", "table", "div", "section") and c.link_chars > 0.5 * c.text_chars:
                 continue  # a list of links
             stack.append(None)
             stack += reversed(c.children)
@@ -263,8 +338,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) for every row.
 
-    A null or empty page, and one without text, has the empty text. Whole pages are read, however long. Repeated rows
-    stay; further columns are ignored; no rows give no rows. No shuffle: each page is its own work.
+    A null or empty page, and one without text, has the empty text. Whole pages are read, however long. Of containers with
+    equal points the first counts. Repeated rows stay; further columns are ignored; no rows give no rows. No shuffle: each page is its own work.
     """
     prepare(pages.sparkSession)
 

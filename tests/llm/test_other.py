@@ -56,6 +56,42 @@ def test_deep_and_long_pages():
     assert len(html_text.main_text("<article>" + "<p>some words here</p>" * 20000 + "</article>").split("\n\n")) == 20000
 
 
+LONG = "A sentence of the article, which has commas, and goes on for long enough to count as a paragraph. "
+
+
+@pytest.mark.parametrize("attributes", ['class="overflow-hidden"', 'id="content" class="hentry comments-open"', 'class="layout no-sidebar"', 'class="page with-banner"', 'class="site-header-wrap"', 'class="is-hidden-mobile has-sidebar"'])
+def test_classes_of_a_state_name_no_part(attributes):
+    body = f"<p>{LONG}</p><p>{LONG * 2}</p>"
+    got = html_text.main_text(f"<body><nav><a href=x>Menu</a></nav><div {attributes}>{body}</div><div class=sidebar><p>{LONG}</p></div><footer>F</footer></body>")
+    assert got == LONG.strip() + "\n\n" + (LONG * 2).strip()
+
+
+def test_comments_stay_out_however_long():
+    page = f"<div class=post><p>{LONG}</p></div><div class='comments-area'><p>{LONG * 20}</p></div><div class='comment-list'><p>{LONG * 9}</p></div>"
+    assert html_text.main_text(page) == LONG.strip()
+
+
+def test_what_stands_in_a_paragraph_and_cited_links_are_text():
+    page = f"<article><p>{LONG}<math><mi>x</mi></math> <label>mark</label> <button>press</button></p><ul><li><a href=1>First cited work</a></li><li><a href=2>Second</a></li></ul><button>Share</button><p>{LONG}</p></article>"
+    assert html_text.main_text(page).split("\n\n") == [LONG + "x mark press", "First cited work", "Second", LONG.strip()]
+
+
+@pytest.mark.parametrize("page", ["<a " * 330_000, "<a href='" * 100_000, '<p title="x' * 90_000, "<div>" * 200_000, "<p><b>" * 160_000, "<ul><li>" * 120_000, "</i>" * 250_000, "<" * 1_000_000, "<!--" * 250_000, "<p><button>" + "<div>" * 200_000, "&lt" * 330_000])
+def test_a_megabyte_of_odd_markup_takes_linear_time(page):
+    import time
+
+    times = []
+    for part in (page[: len(page) // 4], page):
+        began = time.process_time()
+        html_text.main_text(part)
+        times.append(time.process_time() - began)
+    assert times[1] < 12 * times[0] + 0.5
+
+
+def test_quotes_count_where_a_value_begins():
+    assert html_text.main_text(f"<p class=it's>{LONG}</p><p title='a > b'>{LONG}</p>") == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
 def test_extract(spark):
     frame = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (None, None, None, None), (2, None, "", None)], "page_id long, url string, html string, text int")
     got = html_text.extract(frame).collect()
