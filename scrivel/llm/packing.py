@@ -4,8 +4,9 @@ Bounded-space online best-fit: a fixed number of bins is open. They hang in stac
 and an integer used as a bitset says which stacks are not empty, so the fullest bin with room is one shift
 and one lowest-bit step away. When no open bin has room and all are in use, the fullest closes.
 
-Pieces are dealt into buckets of a few thousand by a hash; each bucket is packed by itself, longest piece
-first, so the work is spread evenly however the table is ordered and a bucket leaves one part-filled bin or so.
+Pieces are dealt into buckets by a hash of the whole row, and arrive in the order of another one; each bucket is packed by
+itself, in one pass that holds the open bins only. So the work is spread evenly however the table is ordered, and a bucket
+leaves no more part-filled bins than are open.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from scrivel.llm.common import prepare, whole_text
 from scrivel.llm.tokens import END_ID, Encoder, slices, text_bytes
 
 CAPACITY = 4096
-OPEN_BINS = 4096
-BUCKET_ROWS = 2048
+OPEN_BINS = 64
+BUCKET_ROWS = 65_536
 
 
 class BestFit:
@@ -34,7 +35,7 @@ class BestFit:
             raise ValueError("at least one bin has to be open")
         self.capacity, self.open_bins = capacity, open_bins
         self.stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
-        self.mask = self.n_open = self.n_bins = 0
+        self.mask = self.n_open = self.n_bins = self.n_closed = 0
 
     def _pop(self, free: int) -> int:
         stack = self.stacks[free]
@@ -53,6 +54,7 @@ class BestFit:
         else:
             if self.n_open == self.open_bins:
                 self._pop((self.mask & -self.mask).bit_length() - 1)  # the fullest closes
+                self.n_closed += 1
             number, free = self.n_bins, self.capacity
             self.n_bins += 1
         left = free - length
@@ -87,11 +89,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
 
 
 def pack(pieces: DataFrame, n_rows: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds sequence_id and offset to rows with a length (1 to capacity). n_rows: about how many rows there are; it sets the number of buckets only."""
+    """Adds sequence_id and offset to rows with a length (1 to capacity; others raise). n_rows: about how many rows there are; it sets the number of buckets only.
+
+    Equal rows are packed each by itself. No rows give no rows. The names bucket, arrival, sequence_id and offset are taken.
+    """
+    if clash := {"bucket", "arrival", "sequence_id", "offset"}.intersection(pieces.columns):
+        raise ValueError(f"columns that packing adds are there already: {sorted(clash)}")
     prepare(pieces.sparkSession)
     buckets = max(1, -(-n_rows // bucket_rows))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    order = [F.col("bucket"), F.col("length").desc(), F.col("doc_id"), F.col("piece")]
+    arrival = F.xxhash64(F.lit(1), *pieces.columns)
+    dealt = pieces.withColumns({"bucket": F.pmod(F.xxhash64(*pieces.columns), F.lit(buckets)), "arrival": arrival})
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, bins = None, None
@@ -103,11 +110,11 @@ def pack(pieces: DataFrame, n_rows: int, capacity: int = CAPACITY, open_bins: in
                 number, place = bins.add(length)
                 sequence.append((bucket << 32) + number)
                 offset.append(place)
-            keep = [c for c in batch.schema.names if c != "bucket"]
+            keep = [c for c in batch.schema.names if c not in ("bucket", "arrival")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*keep, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return dealt.repartition("bucket").sortWithinPartitions(*order).mapInArrow(fill, schema)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "arrival", *pieces.columns).mapInArrow(fill, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, bucket_rows: int = BUCKET_ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
