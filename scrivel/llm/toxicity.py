@@ -1,16 +1,18 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives; a sample of the texts without a usable label, at most SAMPLE_ROWS by a hash of
-doc_id, and the sampled labelled texts, whatever their label, are the unlabelled ones. The class prior p is the share of toxic texts among the labelled ones. The risk is p * E+[loss(+)] + max(0, E_u[loss(-)] - p * E+[loss(-)]). Where the corrected part turns negative the
-step goes the other way, which keeps the classifier from explaining the unlabelled texts away. The classifier is linear,
-in numpy, over the words and word beginnings that are most over-represented in the positives.
+doc_id, and the sampled labelled texts, whatever their label, are the unlabelled ones. The class prior p is the share of
+toxic texts among the labelled ones. The risk is p * E+[loss(+)] + max(0, E_u[loss(-)] - p * E+[loss(-)]). Where the
+corrected part turns negative the step goes the other way, which keeps the classifier from explaining the unlabelled
+texts away. The classifier is linear, in numpy, over the words and word beginnings that are most over-represented in the
+positives.
 
 Scoring reads whole texts: each distinct word of a batch is looked up once, and only words with a feature are counted.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,7 @@ from scrivel.llm.tokens import slices, text_bytes
 
 #: At most so many labelled rows, the first by a hash of doc_id, give the positives and the prior, and as many rows without a label take part.
 SAMPLE_ROWS = 8000
+SAMPLE_BYTES = 200_000_000
 FEATURES = 256
 STEPS = 400
 THRESHOLD = 0.7
@@ -77,23 +80,48 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def features_by_text(texts: list[bytes], known: dict[bytes, int], grow: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) for each feature that a text has, once; each distinct word is looked at once. grow: new features get the next numbers."""
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    starts, ends = word_places(raw)
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+    first = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
+    codes, words = numbered(raw, starts, ends)
+    pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(first)) * len(words) + codes)
+    of = [[known.setdefault(f, len(known)) if grow else known[f] for f in features_of(w) if grow or f in known] for w in words]
+    n = np.fromiter(map(len, of), dtype=np.int64, count=len(of))
+    flat, begin = np.array([f for fs in of for f in fs], dtype=np.int64), np.cumsum(n) - n
+    row, word = np.divmod(pairs, len(words))
+    step = np.arange(int(n[word].sum())) - np.repeat(np.cumsum(n[word]) - n[word], n[word])
+    both = np.unique(np.repeat(row, n[word]) * max(1, len(known)) + flat[np.repeat(begin[word], n[word]) + step])
+    return np.divmod(both, max(1, len(known)))
+
+
+def texts_with(texts: list[bytes], known: dict[bytes, int], grow: bool = False, run: int = 500) -> np.ndarray:
+    """The number of texts that have each feature."""
+    out = np.zeros(len(known), dtype=np.int64)
+    for k in range(0, len(texts), run):
+        _, feature = features_by_text(texts[k : k + run], known, grow)
+        out = np.concatenate([out, np.zeros(len(known) - len(out), dtype=np.int64)])
+        out += np.bincount(feature, minlength=len(known))
+    return out
+
+
 def choose_features(texts: list[bytes], positive: np.ndarray, most: int = FEATURES, least: float = LEAST_ERRORS, unlabelled: np.ndarray | None = None) -> dict[bytes, int]:
     """The features whose share of positive texts is furthest above that of the unlabelled, `least` standard errors or more; at least 4 positives have them."""
     unlabelled = np.ones(len(texts), dtype=bool) if unlabelled is None else unlabelled
-    sets = lambda t: {f for w in set(t.split()) for f in features_of(w)}
-    in_p: Counter = Counter()
-    for t, p in zip(texts, positive, strict=True):
-        if p:
-            in_p.update(sets(t))
-    in_p = Counter({f: n for f, n in in_p.items() if n >= 4})
-    in_u: Counter = Counter()
-    for t, u in zip(texts, unlabelled, strict=True):
-        if u:
-            in_u.update(sets(t) & in_p.keys())
+    pick = lambda mask: [t for t, m in zip(texts, mask, strict=True) if m]
+    seen: dict[bytes, int] = {}
+    often = texts_with(pick(positive), seen, grow=True)
+    names = [f for f, k in seen.items() if often[k] >= 4]
+    in_p = np.array([often[seen[f]] for f in names], dtype=np.int64)
+    in_u = texts_with(pick(unlabelled), {f: k for k, f in enumerate(names)})
     n, n_p = max(1, int(unlabelled.sum())), max(1, int(positive.sum()))
-    value = {f: (a / n_p - in_u[f] / n) / np.sqrt(max(in_u[f] / n * (1 - in_u[f] / n), 1e-9) / n_p) for f, a in in_p.items()}
-    best = sorted((f for f in value if value[f] >= least), key=lambda f: (-value[f], f))[:most]
-    return {f: k for k, f in enumerate(best)}
+    value = (in_p / n_p - in_u / n) / np.sqrt(np.maximum(in_u / n * (1 - in_u / n), 1e-9) / n_p)
+    best = sorted((-v, f) for f, v in zip(names, value.tolist(), strict=True) if v >= least)
+    return {f: k for k, (_, f) in enumerate(best[:most])}
 
 
 def fit(texts: list[bytes], positive: np.ndarray, features: int = FEATURES, steps: int = STEPS, rate: float = 0.05, decay: float = DECAY, prior: float | None = None, unlabelled: np.ndarray | None = None) -> Classifier:
@@ -108,9 +136,10 @@ def fit(texts: list[bytes], positive: np.ndarray, features: int = FEATURES, step
     prior = n_p / len(texts) if prior is None else prior
     w, b = np.zeros(x.shape[1]), -2.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    x_p, x = x[positive], x[unlabelled]
+    x_p, x = x[positive].astype(np.float32), x[unlabelled].astype(np.float32)
+    times = lambda rows, by: (rows @ by.astype(np.float32)).astype(np.float64)
     for t in range(1, steps + 1):
-        z, z_p = x @ w + b, x_p @ w + b
+        z, z_p = times(x, w) + b, times(x_p, w) + b
         s, s_p = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-z_p))
         rest = np.logaddexp(0, z).mean() - prior * np.logaddexp(0, z_p).mean()
         # slopes of the risk by the texts' scores
@@ -119,7 +148,7 @@ def fit(texts: list[bytes], positive: np.ndarray, features: int = FEATURES, step
             g_p = g_p - prior * (1 - s_p) / n_p
         else:
             g, g_p = -g, -g_p
-        slope = np.append(x.T @ g + x_p.T @ g_p + decay * w, g.sum() + g_p.sum())
+        slope = np.append(times(x.T, g) + times(x_p.T, g_p) + decay * w, g.sum() + g_p.sum())
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -131,17 +160,30 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, steps: int = STEPS) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, steps: int = STEPS, sample_bytes: int = SAMPLE_BYTES) -> Classifier:
     """Fits on rows that aren't held out: the toxic ones of at most sample_rows labelled rows, and as unlabelled
-    ones at most sample_rows without a label and the labelled rows, whatever their label. Their texts alone come to the driver."""
+    ones at most sample_rows without a label and the labelled rows, whatever their label. Their texts alone come to the driver,
+    of either kind at most sample_bytes: those beyond in the order of the sample don't take part.
+
+    Null ids and labels take no part, a doc_id with several labels is toxic if one says so, with several texts it counts once, by
+    the smallest. Null and empty texts have no features. Without toxic rows, or without rows, every text scores 0.
+    """
     usable = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     free = rows.select("doc_id").where("doc_id is not null").where(~held_out()).join(usable, "doc_id", "left_anti").distinct()
 
-    def texts_of(ids: DataFrame) -> list:
+    def texts_of(ids: DataFrame) -> list[tuple]:
         chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
         # sample_rows bounds what is broadcast: two numbers a row
-        return sorted(((r.doc_id, r.text, r.toxic) for r in rows.join(F.broadcast(chosen), "doc_id").collect()), key=lambda r: (r[0], r[1]))
+        sizes = rows.select("doc_id", F.octet_length("text").alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("n").alias("n"), F.count("*").alias("texts"))
+        held = sorted(sizes.select("doc_id", "toxic", "n", "texts", F.xxhash64("doc_id").alias("h")).collect(), key=lambda r: (r.h, r.doc_id))
+        upto = list(itertools.accumulate(r.n for r in held))
+        held = [r for r, total in zip(held, upto, strict=True) if total <= sample_bytes]
+        near = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in held], "doc_id long, toxic int")
+        found = rows.join(F.broadcast(near), "doc_id")
+        if any(r.texts > 1 for r in held):
+            found = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+        return sorted(((r.doc_id, r.text, r.toxic) for r in found.select("doc_id", "text", "toxic").collect()), key=lambda r: (r[0], r[1]))
 
     known = texts_of(usable)
     toxic = [r for r in known if r[2] == 1]
