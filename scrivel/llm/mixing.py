@@ -5,15 +5,14 @@ for the first, second, ... use of its words, each dearer than the one before, to
 cheapest flow repeats words only where a quota can't be met otherwise. Then each pattern's documents are picked
 in the order of a seeded hash until its flow is reached.
 
-The sums (a row for each pattern) come to the driver and are checked against max_patterns; documents do not.
+The sums (a row for each pattern) come to the driver and are checked against max_patterns; documents do not. A million
+patterns take it a few seconds to some minutes; only the memory of the driver bounds them.
 Picking needs a running sum in hash order. Hash ranges are summed first, so only the one range in which a
 pattern's flow ends is summed row by row; a pattern with a third of all rows is spread over all tasks.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, Window
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from scrivel.llm.common import WORD, persist, whole_text
 
-MAX_PATTERNS = 100_000
+MAX_PATTERNS = 5_000_000
 RANGES = 4096
 
 
@@ -46,56 +45,94 @@ def targets(sizes: dict, weights: list[float], share: float, most: float) -> dic
     return out
 
 
-def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
-    """The flow on each arc (from, to, capacity, cost) of the cheapest largest flow: shortest paths with potentials."""
-    to, room, cost, at = [], [], [], [[] for _ in range(n)]
-    for a, b, capacity, price in arcs:
-        for x, y, c, p in ((a, b, capacity, price), (b, a, 0, -price)):
-            at[x].append(len(to))
-            to.append(y)
-            room.append(c)
-            cost.append(p)
-    potential = [0] * n
-    while True:
-        distance, via = [math.inf] * n, [-1] * n
-        distance[source] = 0
-        heap = [(0, source)]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > distance[x]:
-                continue
-            for e in at[x]:
-                if room[e] and (new := d + cost[e] + potential[x] - potential[to[e]]) < distance[to[e]]:
-                    distance[to[e]], via[to[e]] = new, e
-                    heapq.heappush(heap, (new, to[e]))
-        if distance[sink] == math.inf:
-            return [capacity - room[2 * k] for k, (_, _, capacity, _) in enumerate(arcs)]
-        potential = [p + d if d < math.inf else p for p, d in zip(potential, distance, strict=True)]
-        path, x = [], sink
-        while x != source:
-            path.append(via[x])
-            x = to[via[x] ^ 1]
-        step = min(room[e] for e in path)
-        for e in path:
-            room[e] -= step
-            room[e ^ 1] += step
+class Flow:
+    """Words sent from patterns to quotas of their sources; raise_by adds words to patterns and sends as many as can be."""
+
+    def __init__(self, sources: list[list[int]], quotas: list[int]):
+        self.sources, self.left = sources, list(quotas)
+        self.sent: list[dict[int, int]] = [dict.fromkeys(of, 0) for of in sources]
+        self.patterns: list[list[int]] = [[] for _ in quotas]
+        for p, of in enumerate(sources):
+            for s in of:
+                self.patterns[s].append(p)
+
+    def raise_by(self, words: list[int]) -> list[int]:
+        """The words of each pattern that were sent."""
+        room = list(words)
+        for p, of in enumerate(self.sources):
+            for s in of:
+                n = min(room[p], self.left[s])
+                self.sent[p][s] += n
+                self.left[s] -= n
+                room[p] -= n
+        while self._shortest_paths(room):
+            pass
+        return [w - r for w, r in zip(words, room, strict=True)]
+
+    def _shortest_paths(self, room: list[int]) -> bool:
+        """Sends along a blocking set of shortest paths, over words of other patterns that can go elsewhere; whether there is any."""
+        starts = [p for p, r in enumerate(room) if r and self.sources[p]]
+        # nodes: a pattern p, or ~s for a source s
+        depth, edge, ends = dict.fromkeys(starts, 0), starts, False
+        while edge and not ends:
+            after = []
+            for node in edge:
+                for to in self._next(node):
+                    if to not in depth:
+                        depth[to] = depth[node] + 1
+                        after.append(to)
+            ends = any(to < 0 and self.left[~to] for to in after)
+            edge = after
+        if not ends:
+            return False
+        at: dict[int, int] = {}
+        for start in starts:
+            path = [start]
+            while path and room[start]:
+                node = path[-1]
+                if node < 0 and self.left[~node]:
+                    back = [self.sent[q][~s] for s, q in zip(path[1::2], path[2::2], strict=False)]
+                    n = min(room[start], self.left[~node], *back)
+                    room[start] -= n
+                    self.left[~node] -= n
+                    for p, s in zip(path[::2], path[1::2], strict=True):
+                        self.sent[p][~s] += n
+                    for s, q in zip(path[1::2], path[2::2], strict=False):
+                        self.sent[q][~s] -= n
+                    path = [start]
+                    continue
+                options = self.sources[node] if node >= 0 else self.patterns[~node]
+                k = at.get(node, 0)
+                while k < len(options) and not self._leads(node, options[k], depth):
+                    k += 1
+                at[node] = k
+                if k < len(options):
+                    path.append(~options[k] if node >= 0 else options[k])
+                else:
+                    path.pop()
+                    if path:
+                        at[path[-1]] += 1
+        return True
+
+    def _next(self, node: int) -> list[int]:
+        return [~s for s in self.sources[node]] if node >= 0 else [p for p in self.patterns[~node] if self.sent[p][~node]]
+
+    def _leads(self, node: int, option: int, depth: dict[int, int]) -> bool:
+        to = ~option if node >= 0 else option
+        return depth.get(to) == depth[node] + 1 and (node >= 0 or self.sent[option][~node] > 0)
 
 
 def route(patterns: dict[tuple, int], quotas: dict, uses: int) -> dict[tuple, int]:
-    """Words to take of each pattern: the cheapest flow to the quotas, the k-th use of a word costing k squared."""
-    keys, names = list(patterns), list(quotas)
-    start, end = 0, 1
-    p_at = {p: 2 + k for k, p in enumerate(keys)}
-    s_at = {s: 2 + len(keys) + k for k, s in enumerate(names)}
-    arcs = [(start, p_at[p], patterns[p], k * k) for p in keys for k in range(uses)]
-    n_in = len(arcs)
-    arcs += [(p_at[p], s_at[s], uses * patterns[p], 0) for p in keys for s in p if s in s_at]
-    arcs += [(s_at[s], end, round(quotas[s]), 0) for s in names]
-    flow = min_cost_flow(2 + len(keys) + len(names), arcs, start, end)
-    out: dict[tuple, int] = defaultdict(int)
-    for (_, p, _, _), f in zip(arcs[:n_in], flow, strict=False):
-        out[keys[p - 2]] += f
-    return dict(out)
+    """Words to take of each pattern: the cheapest of the largest flows to the quotas, the k-th use of a word costing k squared.
+
+    A path costs what the use costs that it begins with, as all other arcs are free. So all paths of one cost are found before those of
+    the next: for each use, a largest flow on top of the one before, by blocking sets of shortest paths.
+    """
+    keys, at = list(patterns), {s: k for k, s in enumerate(quotas)}
+    flow = Flow([[at[s] for s in p if s in at] for p in keys], [round(q) for q in quotas.values()])
+    words = [patterns[p] for p in keys]
+    sent = [flow.raise_by(words) for _ in range(uses)]
+    return {p: sum(n[k] for n in sent) for k, p in enumerate(keys)}
 
 
 def mix(docs: DataFrame, membership: str = "source", weights: list[float] = (5, 2, 1), share: float = 1.5, uses: int = 2, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", quotas: dict | None = None, max_patterns: int = MAX_PATTERNS) -> DataFrame:
@@ -116,9 +153,10 @@ def mix(docs: DataFrame, membership: str = "source", weights: list[float] = (5,
     # The texts are read once; what follows needs a few dozen bytes a document.
     rows = persist(light.withColumn("h", h).withColumn("range", F.expr(f"pmod(shiftrightunsigned(h, 40), {RANGES})").cast("int")).withColumn("key", F.to_json(F.struct("pattern"), {"ignoreNullFields": "false"})), "mix-sizes")
     by_range = rows.groupBy("key", "range").agg(F.sum("size").alias("words"))
-    by_pattern = rows.groupBy("pattern", "key").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
-    if len(by_pattern) > max_patterns:
-        raise ValueError(f"over {max_patterns} membership patterns; raise max_patterns if the driver can hold them")
+    sums = persist(rows.groupBy("pattern", "key").agg(F.sum("size").alias("words")), "mix-patterns")
+    if (n := sums.count()) > max_patterns:
+        raise ValueError(f"{n} membership patterns are more than max_patterns; raise it if the driver can hold them")
+    by_pattern = sorted(sums.collect(), key=lambda r: r.key)
     patterns = {tuple(r.pattern): int(r.words) for r in by_pattern}
     sizes: dict = defaultdict(int)
     for p, words in patterns.items():
@@ -150,4 +188,4 @@ def mix(docs: DataFrame, membership: str = "source", weights: list[float] = (5,
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "text_hash")
 
 
-__all__ = ["min_cost_flow", "mix", "route", "targets"]
+__all__ = ["Flow", "mix", "route", "targets"]

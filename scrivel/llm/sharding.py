@@ -72,12 +72,19 @@ def assign_shards(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, round_bits: i
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES, id_column: str = "doc_id", text_column: str = "text") -> None:
-    """Writes a folder of Parquet files for each shard below path, with all columns of docs."""
+    """Writes a folder of Parquet files for each shard below path, with all columns of docs.
+
+    The folders are named by shard_name, or by that name with underscores behind it where docs has such a column. Null and
+    empty texts have 0 bytes, null ids share one hash, repeated rows are all written to one shard; no rows write no folder.
+    """
+    folder = "shard_name"
+    while folder in docs.columns:
+        folder += "_"
     light = persist(docs.select(F.octet_length(whole_text(text_column)).cast("long").alias("n_bytes"), hash60(id_column).alias("h")), "shard-sizes")
     rows = docs.select(F.struct(*docs.columns).alias("row"), hash60(id_column).alias("h"))
     found = with_shards(rows, directory(light, limit_bytes))
     name = F.concat_ws("-", F.lpad(F.col("depth").cast("string"), 2, "0"), F.col("shard").cast("string"))
-    found.select("row.*", name.alias("shard_name")).repartition("shard_name").write.partitionBy("shard_name").parquet(path)
+    found.select("row.*", name.alias(folder)).repartition(folder).write.partitionBy(folder).parquet(path)
 
 
 ORACLE = f"""

@@ -77,13 +77,15 @@ def top_k(rows: DataFrame, k: int = K, every: int = 100, scale: int = SCALE, blo
     Component x counts as floor(scale * x). Rows with a null id or vector, or with null or non-finite components, take no
     part. Ties go to the smaller id, fewer than k rows are all returned. Vectors of different lengths are filled up with
     zeros. Of several rows with one id the smallest vector asks, and none of them is an answer to it; as answers to others
-    they all count. Further columns are ignored; no rows give no rows. Components are taken to stay below 2**26.
+    they all count. Further columns are ignored; no rows give no rows. Components so large that a score may not fit a long raise an error.
     """
     prepare(rows.sparkSession)
     fine = F.forall(vector_column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     given = rows.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & F.coalesce(fine, F.lit(False)))
     base = persist(given.select(F.col(id_column).cast("long").alias("vec_id"), F.transform(vector_column, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")), "vectors")
-    n, width = base.agg(F.count("*"), F.max(F.size("v"))).first()
+    n, width, most = base.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()
+    if (most or 0.0) ** 2 * (width or 0) >= 2.0**62:
+        raise ValueError(f"scores of components up to {most:.0f} can be beyond a long; use a smaller scale")
     size = group_rows or max(LEAST_GROUP, min(MOST_GROUP, n // 32))
     groups = max(1, -(-n // size))
     docs = base.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), "vec_id", "v")

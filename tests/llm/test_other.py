@@ -134,6 +134,19 @@ def test_written_shards(spark, docs, tmp_path):
     assert back.select("shard_name").distinct().count() > 3
 
 
+def test_written_shards_with_a_column_of_that_name(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "x" * 50, "mine") for k in range(40)] + [(None, None, None)], "doc_id long, text string, shard_name string")
+    sharding.write_shards(docs, str(tmp_path / "s"), 300)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(str, back.select(docs.columns).collect())) == sorted(map(str, docs.collect())) and back.select("shard_name_").distinct().count() > 3
+
+
+def test_scores_beyond_a_long_raise(spark):
+    frame = spark.createDataFrame([(0, [1e15, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        topk.top_k(frame)
+
+
 def brute_topk(rows, k):
     rows = [(i, np.array([int(np.floor(1024 * x)) for x in v], dtype=object)) for i, v in rows]
     out = []
@@ -181,12 +194,102 @@ def test_flow_is_cheapest():
     assert sum(got.values()) == 25 and got[("x",)] >= 10
 
 
+def cheapest_flow(patterns, quotas, uses):
+    """(words, cost) of the cheapest largest flow, by shortest paths of Bellman and Ford, word by word."""
+    nodes = ["start", *patterns, *(("quota", s) for s in quotas), "end"]
+    room, cost = {}, {}
+
+    def arc(a, b, k, capacity, price):
+        room[a, b, k], room[b, a, -1 - k] = capacity, 0
+        cost[a, b, k], cost[b, a, -1 - k] = price, -price
+
+    for p, n in patterns.items():
+        for k in range(uses):
+            arc("start", p, k, n, k * k)
+        for s in p:
+            if s in quotas:
+                arc(p, ("quota", s), 0, 10**9, 0)
+    for s, n in quotas.items():
+        arc(("quota", s), "end", 0, n, 0)
+    words = paid = 0
+    while True:
+        far, via = dict.fromkeys(nodes, float("inf")), {}
+        far["start"] = 0
+        for _ in nodes:
+            for (a, b, k), r in room.items():
+                if r and far[a] + cost[a, b, k] < far[b]:
+                    far[b], via[b] = far[a] + cost[a, b, k], (a, b, k)
+        if far["end"] == float("inf"):
+            return words, paid
+        path, node = [], "end"
+        while node != "start":
+            path.append(via[node])
+            node = via[node][0]
+        n = min(room[e] for e in path)
+        for a, b, k in path:
+            room[a, b, k] -= n
+            room[b, a, -1 - k] += n
+        words, paid = words + n, paid + n * far["end"]
+
+
+def test_flow_equals_brute_force():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(120):
+        names = "abcdef"[: rng.randrange(1, 7)]
+        patterns = {tuple(sorted(rng.sample(names, rng.randrange(1, min(4, len(names) + 1))))): rng.randrange(0, 9) for _ in range(rng.randrange(1, 9))}
+        quotas, uses = {s: rng.randrange(0, 14) for s in names}, rng.randrange(1, 4)
+        got = mixing.route(patterns, quotas, uses)
+        assert all(0 <= got[p] <= uses * n for p, n in patterns.items())
+        cost = sum(sum(k * k * min(max(got[p] - k * n, 0), n) for k in range(uses)) for p, n in patterns.items())
+        assert (sum(got.values()), cost) == cheapest_flow(patterns, quotas, uses)
+        # the words of each pattern can reach its quotas: their own largest flow takes them all
+        flow = mixing.Flow([["abcdef".index(s) for s in p] for p in patterns], [quotas.get(s, 0) for s in "abcdef"])
+        assert flow.raise_by([got[p] for p in patterns]) == [got[p] for p in patterns]
+
+
+def test_many_patterns_take_no_long_time():
+    import random
+    import time
+
+    rng = random.Random(3)
+    names = [f"s{k}" for k in range(3000)]
+    patterns = {tuple(sorted(rng.sample(names, rng.randrange(1, 5)))): rng.randrange(1, 1000) for _ in range(100_000)}
+    quotas = {s: rng.randrange(0, 40_000) for s in names}
+    began = time.process_time()
+    got = mixing.route(patterns, quotas, 2)
+    assert time.process_time() - began < 120 and sum(got.values()) <= sum(quotas.values())
+
+
+def brute_targets(sizes, weights, share, most):
+    """The level at which sources, each up to its limit, take what is dealt, by halving."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    want = min(share * sum(sizes.values()), most * sum(sizes.values()))
+    low, high = 0.0, most * max(sizes.values(), default=0) + 1.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(most * sizes[s], mid * weight[s]) for s in names) < want else (low, mid)
+    return {s: min(most * sizes[s], high * weight[s]) for s in names}
+
+
+def test_targets_equal_brute_force():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(60):
+        sizes = {s: rng.choice([0, 3, 50, 400, 9000]) for s in rng.sample(["a", "b", "B", "é", "z", "", None], rng.randrange(1, 7))}
+        got, want = mixing.targets(sizes, [5, 2, 1], 1.5, 2), brute_targets(sizes, [5, 2, 1], 1.5, 2)
+        assert all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in sizes), sizes
+
+
 def check_mix(got, rows):
     size = lambda t: len((t or "").encode().split())
     by = {}
     for _, t, _, s, *_ in rows:
         by[s] = by.get(s, 0) + size(t)
-    goal = mixing.targets(by, [5, 2, 1], 1.5, 2)
+    goal = brute_targets(by, [5, 2, 1], 1.5, 2)
     taken, largest = dict.fromkeys(by, 0), dict.fromkeys(by, 0)
     source = {(r[0], size(r[1])): r[3] for r in rows}
     for r in got:
