@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from scrivel.functions import rules as R
 from scrivel.functions.fuzzy import wratio
 from scrivel.functions.text import bound, fold, label
-from scrivel.streaming.shared import prepare
+from scrivel.streaming.shared import prepare, written
 
 FUZZY_FLOOR = 70.0
 
@@ -99,35 +99,33 @@ def picklist_index(values: DataFrame) -> DataFrame:
 def match_picklist(rows: DataFrame, values: DataFrame, fuzzy: bool = True) -> DataFrame:
     """JOIN4 to JOIN7: rows (picklist_id, text, ...) get option_id and how ('exact', 'abbreviation', 'fuzzy', null).
 
-    The dictionary is a dimension whose size Spark checks before it broadcasts. Fuzzy scores are worked out once for each distinct
-    text that nothing cheaper matched, against the values of its own picklist.
+    Each distinct text is looked up once, under all its forms in one join: as it is and folded, then the expansions of both as
+    abbreviations. Of a form the first expansion that the picklist has counts, of the forms the first that gives an option.
+    Fuzzy scores are worked out for what nothing cheaper matched, against the values of the text's own picklist. Null texts
+    match nothing; repeated rows match alike; the size of the dictionary is checked by Spark before it broadcasts it.
     """
-    spark = prepare(rows.sparkSession)
-    index = picklist_index(values).select("picklist_id", F.col("key"), F.nullif("option_id", F.lit("")).alias("opt"))
-    abbr = spark.createDataFrame([(a, x, k) for a, xs in R.ABBREVIATIONS.items() for k, x in enumerate(xs)], "abbr string, expansion string, place int")
-    texts = rows.select("picklist_id", "text").distinct().withColumn("low", F.trim(F.lower("text"))).withColumn("bare", F.trim(fold(F.col("text"))))
-    a = index.select("picklist_id", F.col("key").alias("low"), F.col("opt").alias("by_low"))
-    b = index.select("picklist_id", F.col("key").alias("bare"), F.col("opt").alias("by_bare"))
-    expanded = index.join(F.broadcast(abbr), F.col("key") == F.col("expansion")).groupBy("picklist_id", "abbr").agg(F.min_by("opt", "place").alias("opt"))
-    c = expanded.select("picklist_id", F.col("abbr").alias("low"), F.col("opt").alias("abbr_low"))
-    d = expanded.select("picklist_id", F.col("abbr").alias("bare"), F.col("opt").alias("abbr_bare"))
-    t = texts.join(a, ["picklist_id", "low"], "left").join(b, ["picklist_id", "bare"], "left").join(c, ["picklist_id", "low"], "left").join(d, ["picklist_id", "bare"], "left")
-    t = t.withColumn("exact", F.coalesce("by_low", "by_bare")).withColumn("short", F.coalesce("abbr_low", "abbr_bare"))
+    spark, c = prepare(rows.sparkSession), F.col
+    index = picklist_index(values).select("picklist_id", "key", F.nullif("option_id", F.lit("")).alias("opt"))
+    longer = F.create_map(*(x for a, xs in R.ABBREVIATIONS.items() for x in (F.lit(a), F.array(*map(F.lit, xs)))))
+    forms = F.array(F.trim(F.lower("text")), F.trim(fold(c("text"))))
+    plain = F.transform("forms", lambda x, k: F.struct(k.alias("form"), F.lit(0).alias("place"), x.alias("key")))
+    expanded = F.flatten(F.transform("forms", lambda x, k: F.transform(F.coalesce(F.try_element_at(longer, x), F.expr("cast(array() as array<string>)")), lambda y, n: F.struct((k + 2).alias("form"), n.alias("place"), y.alias("key")))))
+    texts = rows.select("picklist_id", "text").where("text is not null").distinct()
+    asked = texts.withColumn("forms", forms).select("picklist_id", "text", F.inline(F.concat(plain, expanded)))
+    hits = asked.join(index, ["picklist_id", "key"]).groupBy("picklist_id", "text", "form").agg(F.min_by("opt", "place").alias("opt"))
+    best = hits.where("opt is not null").groupBy("picklist_id", "text").agg(F.min(F.struct("form", "opt")).alias("b"))
+    found = best.select("picklist_id", "text", c("b.opt").alias("option_id"), F.when(c("b.form") < 2, "exact").otherwise("abbreviation").alias("how"))
     if fuzzy:
-        rest = t.where("exact is null and short is null and text is not null").select("picklist_id", "text")
+        found = written(found, "matched")
         labels = values.where("status = 'A'").select("picklist_id", "ordinal", F.explode(F.array("label_en", "label_vi")).alias("name")).where("name is not null and name != ''").distinct()
         # texts of one picklist are dealt over all tasks, with the picklist's labels gathered once
         listed = labels.groupBy("picklist_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "name"))).alias("names"))
-        spread = rest.join(listed, "picklist_id").repartition("picklist_id", "text").select("picklist_id", "text", F.inline("names"))
-        scored = spread.withColumn("score", _wratio(F.col("text"), F.col("name"))).where(F.col("score") >= FUZZY_FLOOR)
-        best = scored.groupBy("picklist_id", "text").agg(F.max_by("name", F.struct("score", -F.col("ordinal"))).alias("name"))
-        hit = best.withColumn("low", F.trim(F.lower("name"))).join(index.select("picklist_id", F.col("key").alias("low"), "opt"), ["picklist_id", "low"]).select("picklist_id", "text", F.col("opt").alias("near"))
-        t = t.join(hit, ["picklist_id", "text"], "left")
-    else:
-        t = t.withColumn("near", F.lit(None).cast("string"))
-    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("short").isNotNull(), "abbreviation").when(F.col("near").isNotNull(), "fuzzy")
-    t = t.select("picklist_id", "text", F.coalesce("exact", "short", "near").alias("option_id"), how.alias("how"))
-    return rows.join(t, ["picklist_id", "text"], "left")
+        rest = texts.join(found, ["picklist_id", "text"], "left_anti").join(listed, "picklist_id").repartition("picklist_id", "text")
+        scored = rest.select("picklist_id", "text", F.inline("names")).withColumn("score", _wratio(c("text"), c("name"))).where(c("score") >= FUZZY_FLOOR)
+        near = scored.groupBy("picklist_id", "text").agg(F.max_by("name", F.struct("score", -c("ordinal"))).alias("name"))
+        near = near.withColumn("key", F.trim(F.lower("name"))).join(index, ["picklist_id", "key"]).where("opt is not null")
+        found = found.unionByName(near.select("picklist_id", "text", c("opt").alias("option_id"), F.lit("fuzzy").alias("how")))
+    return rows.join(found, ["picklist_id", "text"], "left")
 
 
 def fuzzy_top(texts: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:

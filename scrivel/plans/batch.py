@@ -42,9 +42,10 @@ def results(docs: DataFrame, fields: DataFrame, field_defs: DataFrame) -> DataFr
     """D12, ORC3, AGG3, JOIN10: doc_id, status, record, fields_extracted, missing_required, warnings for each of docs (doc_id, error).
 
     A document that could not be read has no record and its error as the warning; one without any field has an empty record.
-    Dates that name the year 0000 stay as they are and give a warning (DT5). Fields are read once.
+    Dates that name the year 0000 stay as they are and give a warning (DT5). The fields are written to the shared folder and read from there.
     """
     c, none = F.col, F.expr("cast(array() as array<string>)")
+    fields = written(fields, "fields")
     top = records.split_schema(field_defs).where("section is null")
     zero = fields.join(field_defs.where("field_type = 'DateTime'").select("field_id"), "field_id", "left_semi").where(c("value").rlike(r"(?:^|\D)0000(?:\D|$)"))
     dated = zero.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("Year 0000 in "), "field_id"))).alias("odd_dates"))
@@ -68,8 +69,7 @@ def run(blocks: DataFrame, tables: DataFrame | None, docs: DataFrame, field_defs
     found = written(extract.personal_fields(blocks, tables, pairs).select("doc_id", *personal.FIELDS), "personal")
     entries = written(extract.section_entries(lines.explode_lines(text), tables, pairs), "entries")
     good = docs.where("error is null").select("doc_id")
-    fields = written(typed_fields(good, found, entries, field_defs, picklists), "fields")
-    return results(docs.select("doc_id", "error"), fields, field_defs)
+    return results(docs.select("doc_id", "error"), typed_fields(good, found, entries, field_defs, picklists), field_defs)
 
 
 def run_folder(spark: SparkSession, folder: str, field_defs: DataFrame, picklists: DataFrame, out: str | None = None) -> DataFrame:
