@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivel.functions import rules as R
+from scrivel.sources import sheets
 from scrivel.streaming.shared import prepare, written
 
 PATTERN = lambda p: re.compile(p.removeprefix("(?iu)"), re.I if p.startswith("(?iu)") else 0)
@@ -116,13 +117,17 @@ def scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def field_definitions(spark: SparkSession, path: str) -> DataFrame:
-    """SRC5: the field dictionary from CSV: field_id, field_type, label, picklist_id, required (Y), remarks, sample_value."""
+    """SRC5: the field dictionary from a spreadsheet or from CSV: field_id, field_type, label, picklist_id, required (Y), remarks, sample_value."""
+    if path.lower().endswith(".xlsx"):
+        return sheets.field_definitions(spark, path)
     raw = spark.read.option("header", True).schema("ordinal int, field_id string, field_type string, label string, picklist_id string, required string, remarks string, sample_value string").csv(path)
     return raw.where(F.trim("field_id") != "").withColumn("required", F.upper(F.trim(F.coalesce("required", F.lit("")))) == "Y")
 
 
 def picklists(spark: SparkSession, path: str) -> DataFrame:
-    """SRC6: the picklist dictionary from CSV; status A if blank, option ids without decimals."""
+    """SRC6: the picklist dictionary from a spreadsheet or from CSV; status A if blank, option ids without decimals."""
+    if path.lower().endswith(".xlsx"):
+        return sheets.picklists(spark, path)
     raw = spark.read.option("header", True).schema("picklist_id string, ordinal int, external_code string, label_vi string, label_en string, option_id string, status string").csv(path)
     return raw.withColumn("status", F.coalesce(F.nullif(F.trim("status"), F.lit("")), F.lit("A"))).withColumn("option_id", F.regexp_replace(F.coalesce("option_id", F.lit("")), r"\.0+$", ""))
 
