@@ -1,13 +1,16 @@
-"""Near copies by exact Jaccard similarity of word shingles: every pair of 4/5 or more is found, none below is linked.
-
-A prefix filter finds the pairs. The shingles of all texts have one order, common ones last; if two sets have a
-similarity of 4/5, the first shingle they share is among the first fifth of either, so the sets are dealt by the
-shingles of that fifth. Within a group, sizes, places and a parity sketch (whose differing bits never outnumber the
-differing shingles) rule pairs out; none of these bounds drops a pair that is similar enough. What is left is settled by
-wider sketches and then the whole sets.
-
-First each set is compared with the likeliest earlier one of its group, and what these links connect is one component.
-Then all pairs of different components are compared, so a large group of near copies makes few rows.
+"""Near copies: SimHash trie self-joins at a wide error budget, settled by the exact similarity of word shingles.
+
+Texts whose shingle sets have a similarity of LEAST / OF or more differ in about 15 % of the bits of a fingerprint, up to
+20 of 64 and more. At such a budget no block of bits has to stay equal, so fingerprints are dealt by shingles instead: if
+two sets are similar enough, the first shingle that they share is among the first fifth of either, in an order that
+all texts have in common and that puts common shingles last. Each group that shares such a shingle is joined
+with itself by the binary trie of op6, which drops node pairs over the budget. Sizes, places and parity sketches, whose
+differing bits never outnumber the differing shingles, rule out further pairs, and whole sets settle what is left.
+
+First the pairs that lie next to each other in a trie, and those with the fingerprint nearest to the group's majority,
+are settled, and what they link is one component. Then the tries are walked for pairs of different components, so
+a large group of near copies makes few rows. Only the budget can lose a pair: at a similarity of 0.8 a bit differs with a
+probability of 0.15, so more than 24 of 64 do once in 200,000 pairs.
 """
 
 from __future__ import annotations
@@ -20,32 +23,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import persist, prepare, whole_text
-from scrivel.llm.simhash import SEED, components
+from scrivel.llm.common import Workspace, lean, partitions_for, prepare, whole_text
+from scrivel.llm.simhash import SEED, bits_of, components, shingle_hashes, trie_join
 from scrivel.llm.tokens import slices, text_bytes
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
 LEAST, OF = 4, 5
+#: Bits of 64 in which the fingerprints of similar texts may differ.
+BITS = 24
+#: So many followers in its trie each row is compared with first.
+NEXT = 3
 SKETCH_BITS = 512
 #: About so many texts are read for common shingles, and at most so many of these are put last. That moves load only.
 SAMPLE_ROWS, MOST_COMMON = 10_000, 100_000
 #: Texts of pairs are looked up by so many buckets of doc_id first.
 ID_BUCKETS = 1 << 20
+SLICE_BYTES = 2_000_000
 
 
 def shingles(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """XXH64 of the distinct shingles, sorted: lower case in A-Z, the whole sequence if there are fewer words."""
-    words = text.lower().split()
-    n = len(words)
-    digest = xxhash.xxh64_intdigest
-    joined = b" ".join(words)
-    if n <= shingle:
-        return np.array([digest(joined, seed)], dtype=np.uint64)
-    lens = np.fromiter(map(len, words), dtype=np.int64, count=n)
-    ends = np.cumsum(lens + 1) - 1
-    starts = (ends - lens)[: n - shingle + 1].tolist()
-    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64))
+    return np.unique(shingle_hashes(text, shingle, seed))
 
 
 def set_key(found: np.ndarray) -> int:
@@ -93,7 +92,7 @@ def common_shingles(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["h"])
 
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE_ROWS))) == 0)
-    counts = sample.mapInArrow(told, "h long").groupBy("h").count().where("count >= 3").orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()
+    counts = sample.mapInArrow(lean(told), "h long").groupBy("h").count().where("count >= 3").orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()
     counts = sorted((r.h % (1 << 64), r["count"]) for r in counts)
     return np.array([h for h, _ in counts], dtype=np.uint64), np.array([k for _, k in counts], dtype=np.int64)
 
@@ -127,19 +126,25 @@ def whole_groups(batches: Iterator[pa.RecordBatch], least_rows: int = 50_000) ->
         yield cut(pa.Table.from_batches(held))
 
 
-def possible(size: np.ndarray, pos: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j), i before j in a group, that sizes and places allow to be similar: 9 x shared >= 4 x (both sizes)."""
-    i, step = np.arange(len(size)), 0
-    while True:
-        step += 1
-        i = i[i + step < ends[i]]
-        i = i[OF * size[i] >= LEAST * size[i + step]]  # sizes rise, so no later one fits either
-        if not len(i):
-            return
-        j = i + step
-        fits = (LEAST + OF) * np.minimum(size[i] - pos[i], size[j] - pos[j]) >= LEAST * (size[i] + size[j])
-        if fits.any():
-            yield i[fits], j[fits]
+def possible(size: np.ndarray, pos: np.ndarray, bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sizes, places and sketches allow rows i and j of a group to be similar: 9 x shared >= 4 x (both sizes)."""
+    n, least = size[i] + size[j], np.minimum(size[i], size[j])
+    fits = (OF * least >= LEAST * (n - least)) & ((LEAST + OF) * np.minimum(size[i] - pos[i], size[j] - pos[j]) >= LEAST * n)
+    for k in range(0, len(i), 50_000):
+        on = k + np.flatnonzero(fits[k : k + 50_000])
+        apart = np.bitwise_count(bits[i[on]] ^ bits[j[on]]).sum(axis=1, dtype=np.int64)
+        fits[on] = (LEAST + OF) * apart <= (OF - LEAST) * n[on]
+    return fits
+
+
+def nearest_to_majority(fp: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each range the place of the fingerprint that is nearest to the bits that most of the range have."""
+    bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    sizes = np.diff(np.append(starts, len(fp)))
+    most = 2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int64) > sizes[:, None]
+    centre = np.packbits(most, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+    range_ = np.repeat(np.arange(len(starts)), sizes)
+    return np.lexsort((np.bitwise_count(fp ^ centre[range_]), range_))[starts]
 
 
 def numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
@@ -147,38 +152,46 @@ def numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
 
 
 def partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows that have a possible partner."""
+    """The rows of groups that have two keys or more."""
     for table, ends in whole_groups(batches):
-        size, pos = numbers(table, "size", "pos")
-        has = np.zeros(len(size), dtype=bool)
-        for i, j in possible(size, pos, ends):
-            has[i] = has[j] = True
-        yield from table.filter(pa.array(has)).combine_chunks().to_batches()
+        several = np.repeat(np.diff(np.unique(ends), prepend=0) > 1, np.diff(np.unique(ends), prepend=0))
+        yield from table.filter(pa.array(several)).combine_chunks().to_batches()
 
 
 def pairs_of(all_pairs: bool):
-    """Pairs (a, b) of keys that sketches allow too: each row with the likeliest earlier one, or all of different components."""
+    """Pairs (a, b) of keys that fingerprints, sizes, places and sketches allow to be similar: of each group the likeliest ones, or all of different parts."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, ends in whole_groups(batches):
-            size, pos, key, part = numbers(table, "size", "pos", "key", "part")
-            bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(size), -1)
-            best, least = np.full(len(size), -1), np.full(len(size), np.iinfo(np.int64).max)
-            a, b = [], []
-            for i, j in possible(size, pos, ends):
-                apart = np.concatenate([np.bitwise_count(bits[i[k : k + 50_000]] ^ bits[j[k : k + 50_000]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 50_000)])
-                fits = ((LEAST + OF) * apart <= (OF - LEAST) * (size[i] + size[j])) & (part[i] != part[j])
-                i, j, apart = i[fits], j[fits], apart[fits]
-                if all_pairs:
-                    a.append(i)
-                    b.append(j)
-                else:
-                    better = apart < least[j]
-                    best[j[better]], least[j[better]] = i[better], apart[better]
-            if not all_pairs:
-                b = [np.flatnonzero(best >= 0)]
-                a = [best[b[0]]]
-            x, y = (key[np.concatenate([np.zeros(0, np.int64), *c])] for c in (a, b))
+            fp = table.column("fp").to_numpy().view(np.uint64)
+            order = np.lexsort((fp, ends))
+            fp, ends = fp[order], ends[order]
+            size, pos, key, part = (x[order] for x in numbers(table, "size", "pos", "key", "part"))
+            bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(size), -1)[order]
+            starts = np.concatenate(([0], np.unique(ends)[:-1]))
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+            def told(i: np.ndarray, j: np.ndarray) -> None:
+                fits = possible(size, pos, bits, i, j) & (part[i] != part[j])
+                a.append(key[i[fits]])
+                b.append(key[j[fits]])
+
+            if all_pairs:
+                several = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
+                _, label = np.unique(part, return_inverse=True)
+                if several.any():
+                    on = np.repeat(several, np.diff(np.append(starts, len(fp))))
+                    size, pos, key, part, bits, fp, label = (x[on] for x in (size, pos, key, part, bits, fp, label))
+                    sizes = np.diff(np.append(starts, len(on)))[several]
+                    trie_join(fp, np.cumsum(sizes) - sizes, 0, BITS, labels=label, told=told)
+            else:
+                centre = np.repeat(nearest_to_majority(fp, starts), np.diff(np.append(starts, len(fp))))
+                row = np.arange(len(fp))
+                for i, j in [(centre, row), *((row[: len(row) - k], row[k:]) for k in range(1, NEXT + 1))]:
+                    near = (i != j) & (ends[i] == ends[j])
+                    near &= np.bitwise_count(fp[i] ^ fp[j]) <= BITS
+                    told(i[near], j[near])
+            x, y = np.concatenate(a), np.concatenate(b)
             once = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], ["a", "b"])
 
@@ -188,25 +201,29 @@ def pairs_of(all_pairs: bool):
 def similar_ids(docs: DataFrame) -> DataFrame:
     """doc_id, component_id: rows of documents with a doc_id whose texts are linked by a similarity of LEAST / OF or more,
     and the smallest doc_id that links lead to; documents without links are left out. Rows of one doc_id count as one document,
-    texts without words are alike, further columns are ignored."""
+    texts without words are alike, an empty table gives no rows, further columns are ignored."""
     spark = docs.sparkSession
     prepare(spark)
+    space = Workspace(spark, "near-copies")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    shared = spark.sparkContext.broadcast(common_shingles(rows, rows.count()))
+    n_rows, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shared = spark.sparkContext.broadcast(common_shingles(rows, n_rows))  # at most MOST_COMMON pairs of numbers
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
-                sets = [shingles(t) for t in text_bytes(batch.column("text"))]
+            for batch in slices(whole, "text", SLICE_BYTES):
+                hashes = [shingle_hashes(t, SHINGLE) for t in text_bytes(batch.column("text"))]
+                fp = np.array([bits_of(h) for h in hashes], dtype=np.uint64).view(np.int64)
+                sets = [np.unique(h) for h in hashes]
                 first = [prefix(s, *shared.value).view(np.int64) for s in sets]
                 at = np.cumsum([0, *map(len, first)])
-                arrays = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([wide_sketch(s) for s in sets], pa.binary())]
+                arrays = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(fp), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([wide_sketch(s) for s in sets], pa.binary())]
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *first])))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays, lists], ["doc_id", "key", "size", "sketch", "wide", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays, lists], ["doc_id", "key", "size", "fp", "sketch", "wide", "prefix"])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 sets = [shingles(t) for t in text_bytes(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "hashes"])
 
@@ -226,33 +243,42 @@ def similar_ids(docs: DataFrame) -> DataFrame:
         x, y = (of.select(F.col("key").alias(k), F.col(column).alias(v), size.alias(f"n{v}")) for k, v in (("a", "x"), ("b", "y")))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", (F.col("nx") + F.col("ny")).alias("n"))
 
-    marks = persist(rows.mapInArrow(marked, "doc_id long, key long, size int, sketch binary, wide binary, prefix array<long>"), "shingle-prefixes")
-    nodes = persist(marks.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "shingle-sets")
+    marks = space.persist(rows.mapInArrow(lean(marked), "doc_id long, key long, size int, fp long, sketch binary, wide binary, prefix array<long>"), "marks")
+    firsts = ("size", "fp", "sketch", "wide")
+    nodes = space.persist(marks.groupBy("key").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in firsts)), "sets")
+    place = space.persist(nodes.select("key", "node"), "nodes")
     dealt = marks.select("key", "size", F.posexplode("prefix").alias("pos", "h"))
     group = ("h", "size", "key")
-    kept = persist(dealt.repartition("h").sortWithinPartitions(*group).mapInArrow(partnered, "key long, size int, pos int, h long"), "shingle-groups")
+    parts_n = partitions_for(spark, n_bytes)
+    kept = space.persist(dealt.repartition(parts_n, "h").sortWithinPartitions(*group).mapInArrow(lean(partnered), "key long, size int, pos int, h long"), "groups")
+    equal = space.persist(marks.select("doc_id", "key").join(place, "key").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a != b"), "equal")
+    space.drop(marks)
 
     def similar_pairs(parts: DataFrame, all_pairs: bool, name: str) -> DataFrame:
-        listed = kept.join(parts, "key").join(nodes.select("key", "sketch"), "key")
-        pairs = listed.repartition("h").sortWithinPartitions(*group).mapInArrow(pairs_of(all_pairs), "a long, b long").distinct()
-        pairs = persist(both(pairs, nodes, "wide").mapInArrow(sifted, "a long, b long"), f"{name}-pairs")
+        listed = kept.join(parts.join(nodes.select("key", "fp", "sketch"), "key"), "key")
+        pairs = listed.repartition(parts_n, "h").sortWithinPartitions(*group).mapInArrow(lean(pairs_of(all_pairs)), "a long, b long").distinct()
+        pairs = space.persist(both(pairs, nodes, "wide").mapInArrow(lean(sifted), "a long, b long"), f"{name}-pairs")
         asked = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-        ids = nodes.join(asked, "key", "left_semi").select(F.col("node").alias("doc_id"))
+        ids = place.join(asked, "key", "left_semi").select(F.col("node").alias("doc_id"))
         bucket = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BUCKETS)).cast("int").alias("bucket")
         # at most ID_BUCKETS numbers are broadcast; they spare most texts the shuffle
         some = rows.withColumn("bucket", bucket).join(F.broadcast(ids.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
-        texts = some.join(ids, "doc_id", "left_semi").mapInArrow(keyed, "key long, hashes binary")
-        sets = persist(texts.join(asked, "key", "left_semi").dropDuplicates(["key"]), f"{name}-sets")
-        return persist(both(pairs, sets, "hashes").mapInArrow(settled, "a long, b long"), f"{name}-links")
+        if n_rows > ID_BUCKETS:  # else a bucket has a document or two
+            some = some.join(ids, "doc_id", "left_semi")
+        texts = some.mapInArrow(lean(keyed), "key long, hashes binary")
+        sets = space.persist(texts.join(asked, "key", "left_semi").dropDuplicates(["key"]), f"{name}-hashes")
+        links = space.persist(both(pairs, sets, "hashes").mapInArrow(lean(settled), "a long, b long"), f"{name}-links")
+        space.drop(pairs, sets)
+        return links
 
     first = similar_pairs(nodes.select("key", F.col("key").alias("part")), False, "likeliest")
     joined = components(first).withColumnRenamed("node", "key")
-    parts = nodes.select("key").join(joined, "key", "left").select("key", F.coalesce("component", "key").alias("part"))
+    parts = place.select("key").join(joined, "key", "left").select("key", F.coalesce("component", "key").alias("part"))
     rest = similar_pairs(parts, True, "other")
-    place = nodes.select("key", "node")
     linked = first.union(rest).join(place.select(F.col("key").alias("a"), F.col("node").alias("m")), "a").join(place.select(F.col("key").alias("b"), F.col("node").alias("n")), "b").select(F.col("m").alias("a"), F.col("n").alias("b"))
-    equal = marks.select("doc_id", "key").join(place, "key").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a != b")
-    return components(linked.union(equal)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    out = components(linked.union(equal)).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    space.close()
+    return out
 
 
 __all__ = ["shingles", "similar", "similar_ids"]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import persist, prepare, whole_text
+from scrivel.llm.common import Workspace, lean, persist, prepare, whole_text
 from scrivel.llm.tokens import text_bytes
 
 BUDGET = 4
@@ -29,20 +29,22 @@ SEED = 42
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64 bits, as an unsigned number: bit k is set if it is in over half the shingles' XXH64; 0 without words."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of the shingles in order, repeats included: lower case in A-Z, the whole sequence if there are fewer words."""
     words = text.lower().split()
     n = len(words)
-    if not n:
-        return 0
     digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
     if n <= shingle:
-        return digest(joined, seed)
+        return np.array([digest(joined, seed)], dtype="<u8")
     lens = np.fromiter(map(len, words), dtype=np.int64, count=n)
     ends = np.cumsum(lens + 1) - 1
     starts = (ends - lens)[: n - shingle + 1].tolist()
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def bits_of(h: np.ndarray) -> int:
+    """64 bits, as an unsigned number: bit k is set if it is in over half the hashes."""
     octets = h.view(np.uint8).reshape(-1, 8)
     if len(h) < 2000:
         counts = np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -51,6 +53,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(h), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The bits of the text's shingles; 0 without words."""
+    return bits_of(shingle_hashes(text, shingle, seed)) if text.strip() else 0
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) of every row; null texts count as empty."""
     prepare(docs.sparkSession)
@@ -61,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, id_c
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    return rows.mapInArrow(marked, "doc_id long, fp long")
+    return rows.mapInArrow(lean(marked), "doc_id long, fp long")
 
 
 def layout(n: int, budget: int = BUDGET) -> list[tuple[list[int], list[tuple[int, int]]]]:
@@ -112,20 +119,25 @@ class Components:
         return (c[u_hi - 1] == c[u_lo]) & (c[v_hi - 1] == c[v_lo]) & (self.of[u_lo] == self.of[v_lo])
 
 
-def trie_join(values: np.ndarray, starts: np.ndarray, depth: int, budget: int = BUDGET, chunk: int = 1 << 15, leaf: int = 64) -> np.ndarray:
-    """values: sorted, distinct within each range that begins at starts; ranges share their first `depth` bits.
+def trie_join(values: np.ndarray, starts: np.ndarray, depth: int, budget: int = BUDGET, chunk: int = 1 << 15, leaf: int = 64, labels: np.ndarray | None = None, told=None) -> np.ndarray:
+    """values: sorted within each range that begins at starts; ranges share their first `depth` bits.
 
     Gives for each place the smallest place it is connected with inside its range, by pairs within the budget.
     Pairs of small nodes are compared value by value. The pairs still to be walked are kept as a stack of chunks, so
-    memory doesn't grow with their number.
+    memory doesn't grow with their number. With labels, places of one label count as connected and pairs within the
+    budget connect no others: told(i, j) gets all of them that have different labels, some at a time.
     """
     n = len(values)
     parts = Components(n)
     ends = np.append(starts[1:], n)
-    bucket = np.repeat(np.arange(len(starts)), ends - starts)
-    next_ = np.flatnonzero(bucket[1:] == bucket[:-1])
-    close = next_[np.bitwise_count(values[next_] ^ values[next_ + 1]) <= budget]
-    parts.link(close, close + 1)
+    if labels is None:
+        bucket = np.repeat(np.arange(len(starts)), ends - starts)
+        next_ = np.flatnonzero(bucket[1:] == bucket[:-1])
+        close = next_[np.bitwise_count(values[next_] ^ values[next_ + 1]) <= budget]
+        parts.link(close, close + 1)
+    else:
+        parts.of = labels
+        parts.link(starts[:0], starts[:0])
     ones: dict[int, np.ndarray] = {}
     big = ends - starts > 1
     stack = [(depth, starts[big], ends[big], starts[big], ends[big], np.zeros(int(big.sum()), dtype=np.int8))]
@@ -144,8 +156,11 @@ def trie_join(values: np.ndarray, starts: np.ndarray, depth: int, budget: int =
             wide = np.repeat(d - c, size)
             i, j = np.repeat(a, size) + at // wide, np.repeat(c, size) + at % wide
             near = (i != j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
-            if near.any():
+            if near.any() and labels is None:
                 parts.link(i[near], j[near])
+            elif near.any():
+                near &= (labels[i] != labels[j]) & (i < j)
+                told(i[near], j[near])
             ul, uh, vl, vh, err = (x[~small] for x in (ul, uh, vl, vh, err))
         if not len(ul):
             continue
@@ -211,7 +226,7 @@ def links(nodes: DataFrame, n: int, budget: int = BUDGET, batch_rows: int = 200_
         if held:
             yield work(np.concatenate(held, axis=1))
 
-    found = dealt.repartition("tab", "key").sortWithinPartitions("tab", "key").mapInArrow(joined, "a long, b long")
+    found = dealt.repartition("tab", "key").sortWithinPartitions("tab", "key").mapInArrow(lean(joined), "a long, b long")
     return found.distinct()
 
 
@@ -219,8 +234,10 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for every node of edges (a, b): alternating large and small stars.
 
     Each round is two aggregations and two joins on a shrinking table of links, written to the shared folder, so there
-    is no long lineage and nothing comes to the driver but a checksum. The number of rounds is logarithmic.
+    is no long lineage and nothing comes to the driver but a checksum; the tables before the last are deleted. The
+    number of rounds is logarithmic.
     """
+    space = Workspace(edges.sparkSession, "components")
 
     def star(pairs: DataFrame) -> DataFrame:
         # every neighbour, and the node itself, is hung on the smallest of them
@@ -231,15 +248,16 @@ def components(edges: DataFrame) -> DataFrame:
         r = table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return r[0], r[1]
 
-    now = persist(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    now = space.persist(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = mark(now)
     while seen[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = persist(star(both).where("v > u and v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "links")
+        large = space.persist(star(both).where("v > u and v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "links")
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         hung = star(down)
         small = hung.where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(hung.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a != b")
-        now = persist(small.distinct(), "links")
+        before, now = now, space.persist(small.distinct(), "links")
+        space.drop(before, large)
         if (after := mark(now)) == seen:
             break
         seen = after
@@ -270,4 +288,4 @@ def shared_ids(marked: DataFrame) -> DataFrame:
     return fps.join(least, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a != b")
 
 
-__all__ = ["components", "fingerprint", "fingerprints", "layout", "links", "near_groups", "permuted", "trie_join"]
+__all__ = ["bits_of", "components", "fingerprint", "fingerprints", "layout", "links", "near_groups", "permuted", "shingle_hashes", "trie_join"]
