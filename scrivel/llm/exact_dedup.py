@@ -14,7 +14,8 @@ from __future__ import annotations
 import hashlib
 import pickle
 import tempfile
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -22,19 +23,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import one_space, persist, prepare, whole_text
+from scrivel.llm.common import lean, one_space, partitions_for, persist, prepare, whole_text
 from scrivel.llm.tokens import text_bytes
 
 _NONE = (1 << 63) - 1
 
 
 class Node:
-    __slots__ = ("best", "children", "count", "label")
+    __slots__ = ("best", "children", "count", "label", "tags")
 
     def __init__(self, label: bytes):
         self.label = label
         self.children: dict[int, Node] = {}
         self.count, self.best = 0, None
+        self.tags: array | None = None
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -52,12 +54,12 @@ def common_prefix(a: bytes, b: bytes) -> int:
 
 
 class Patricia:
-    """add(key, best, n): the node where key ends, which sums n and keeps the smallest best."""
+    """add(key, best, n, tags): the node where key ends, which sums n, keeps the smallest best and all tags. bytes: about what it takes."""
 
     def __init__(self):
         self.root, self.bytes = Node(b""), 0
 
-    def add(self, key: bytes, best: tuple, n: int) -> Node:
+    def add(self, key: bytes, best: tuple, n: int, tags: Iterable[int] = ()) -> Node:
         node, at = self.root, 0
         while at < len(key):
             child = node.children.get(key[at])
@@ -77,6 +79,12 @@ class Patricia:
             node.children[key[at]] = above
             self.bytes += 200
             node, at = above, at + same
+        if node.tags is None:
+            node.tags = array("q")
+            self.bytes += 80
+        before = len(node.tags)
+        node.tags.extend(tags)
+        self.bytes += 9 * (len(node.tags) - before)
         node.count += n
         if node.best is None or best < node.best:
             node.best = best
@@ -84,51 +92,53 @@ class Patricia:
 
 
 class Owners:
-    """Finds the owner of each entry (key, tag, best, n); results() gives (tag, best, count, whether the entry is the best).
+    """Finds the owner of each entry (key, tags, best, n); results() gives (tags, best, count) of each key.
 
-    max_bytes bounds the tries in memory. Subtrees are told apart by one byte of the key, the first place after
-    `depth` bytes; a subtree sent to disk is later worked through by itself, split by the next byte.
+    max_bytes bounds the tries in memory, tags included. Subtrees are told apart by one byte of the key, the first place
+    after `depth` bytes; a subtree sent to disk is later worked through by itself, split by the next byte. One key by
+    itself stays in memory: its text once, and 8 bytes for each run of texts that met it before the shuffle.
     """
 
-    def __init__(self, max_bytes: int = 256_000_000, depth: int = 0):
-        self.max_bytes, self.depth = max_bytes, depth
+    def __init__(self, max_bytes: int = 128_000_000, depth: int = 0):
+        self.max_bytes, self.depth, self.bytes = max_bytes, depth, 0
         self.tries: dict[int, Patricia] = {}
-        self.tags: dict[int, list[tuple]] = {}
         self.away: dict[int, object] = {}
 
-    def _branch(self, key: bytes) -> int:
-        return key[self.depth] if self.depth < len(key) else -1
-
-    def add(self, key: bytes, tag: int, best: tuple, n: int) -> None:
-        branch = self._branch(key)
+    def add(self, key: bytes, tags: Iterable[int], best: tuple, n: int) -> None:
+        branch = key[self.depth] if self.depth < len(key) else -1
         if branch in self.away:
-            pickle.dump((key, tag, best, n), self.away[branch])
+            pickle.dump((key, array("q", tags), best, n), self.away[branch])
             return
         trie = self.tries.setdefault(branch, Patricia())
-        node = trie.add(key, best, n)
-        self.tags.setdefault(branch, []).append((tag, node, key if branch < 0 else None, best, n))
-        if sum(t.bytes for t in self.tries.values()) > self.max_bytes and len(self.tries) > 1:
-            self._spill(max(self.tries, key=lambda b: self.tries[b].bytes))
+        self.bytes -= trie.bytes
+        trie.add(key, best, n, tags)
+        self.bytes += trie.bytes
+        if self.bytes > self.max_bytes and len(self.tries) + len(self.away) > 1 and (others := [b for b in self.tries if b >= 0]):
+            self._spill(max(others, key=lambda b: self.tries[b].bytes))
 
     def _spill(self, branch: int) -> None:
+        # scratch of this task: a task that is run again begins anew
         out = self.away[branch] = tempfile.TemporaryFile()
-        below: dict[int, list] = {}
-        for tag, node, _, best, n in self.tags.pop(branch):
-            below.setdefault(id(node), []).append((tag, best, n))
-        stack = [(self.tries.pop(branch).root, b"")]
+        trie = self.tries.pop(branch)
+        self.bytes -= trie.bytes
+        stack = [(trie.root, b"")]
         while stack:
             node, head = stack.pop()
             key = head + node.label
-            for tag, best, n in below.get(id(node), ()):
-                pickle.dump((key, tag, best, n), out)
+            if node.tags is not None:
+                pickle.dump((key, node.tags, node.best, node.count), out)
             stack += [(child, key) for child in node.children.values()]
 
     def results(self) -> Iterator[tuple]:
-        for tags in self.tags.values():
-            for tag, node, _, best, _ in tags:
-                yield tag, node.best, node.count, best == node.best
+        for trie in self.tries.values():
+            stack = [trie.root]
+            while stack:
+                node = stack.pop()
+                if node.tags is not None:
+                    yield node.tags, node.best, node.count
+                stack += node.children.values()
         self.tries.clear()
-        self.tags.clear()
+        self.bytes = 0
         for file in self.away.values():
             inner = Owners(self.max_bytes, self.depth + 1)
             file.seek(0)
@@ -180,24 +190,26 @@ def local_entries(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         yield out()
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    return rows.mapInArrow(merge, "entry long, n_bytes long, hash long, body binary, sha string, best long, members array<long>")
+    return rows.mapInArrow(lean(merge), "entry long, n_bytes long, hash long, body binary, sha string, best long, members array<long>")
 
 
-def owners(entries: DataFrame, max_bytes: int = 256_000_000) -> DataFrame:
+def owners(entries: DataFrame, max_bytes: int = 128_000_000, partitions: int | None = None) -> DataFrame:
     """entry, keep_id, group_size, first: by the tries, with `first` true for one entry of each text."""
 
     def insert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Owners(max_bytes)
         for batch in batches:
-            for entry, n_bytes, hash_, body, best, n in zip(*(batch.column(c).to_pylist() for c in ("entry", "n_bytes", "hash", "body", "best", "n")), strict=True):
-                key = (hash_ + (1 << 63)).to_bytes(8, "big") + n_bytes.to_bytes(8, "big") + body
-                found.add(key, entry, (_NONE if best is None else best, entry), n)
+            bodies = batch.column("body")
+            for k, (entry, n_bytes, hash_, best, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("entry", "n_bytes", "hash", "best", "n")), strict=True)):
+                key = (hash_ + (1 << 63)).to_bytes(8, "big") + n_bytes.to_bytes(8, "big") + bodies[k].as_buffer()
+                found.add(key, (entry,), (_NONE if best is None else best, entry), n)
         rows: list[tuple] = []
-        for entry, best, count, first in found.results():
-            rows.append((entry, None if best[0] == _NONE else best[0], count, first))
-            if len(rows) == 50_000:
-                yield _batch(rows)
-                rows = []
+        for tags, best, count in found.results():
+            for entry in tags:
+                rows.append((entry, None if best[0] == _NONE else best[0], count, entry == best[1]))
+                if len(rows) == 20_000:
+                    yield _batch(rows)
+                    rows = []
         yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -206,7 +218,8 @@ def owners(entries: DataFrame, max_bytes: int = 256_000_000) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["entry", "keep_id", "group_size", "first"])
 
     rows = entries.select("entry", "n_bytes", "hash", "body", "best", F.size("members").alias("n"))
-    return rows.repartition("n_bytes", "hash").mapInArrow(insert, "entry long, keep_id long, group_size long, first boolean")
+    dealt = rows.repartition(partitions, "n_bytes", "hash") if partitions else rows.repartition("n_bytes", "hash")
+    return dealt.mapInArrow(lean(insert), "entry long, keep_id long, group_size long, first boolean")
 
 
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", entries_path: str | None = None) -> DataFrame:
@@ -219,7 +232,9 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     prepare(docs.sparkSession)
     entries = persist(local_entries(docs, id_column, text_column), "exact-entries", entries_path)
-    owned = owners(entries)
+    spark = docs.sparkSession
+    n_bytes = entries.agg(F.sum("n_bytes")).first()[0] or 0
+    owned = owners(entries, partitions=partitions_for(spark, n_bytes))
     rows = entries.select("entry", "sha", "best", "members").join(owned, "entry").select("sha", "best", "keep_id", "group_size", "first", F.array_position("members", F.col("best")).alias("own"), F.posexplode("members").alias("place", "doc_id"))
     kept = F.col("first") & (F.col("place") + 1 == F.greatest(F.coalesce("own", F.lit(0)), F.lit(1)))
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))

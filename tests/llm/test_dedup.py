@@ -38,13 +38,21 @@ def test_tries_spill_by_subtree():
     for limit in (10**9, 30_000, 1000):
         owners = exact_dedup.Owners(limit)
         for k, key in enumerate(keys):
-            owners.add(key, k, (k % 97, k), 1)
-        got = {tag: (best, n, first) for tag, best, n, first in owners.results()}
+            owners.add(key, (k,), (k % 97, k), 1)
+        got = {tag: (best, n, best[1] == tag) for tags, best, n in owners.results() for tag in tags}
         for k, key in enumerate(keys):
             same = [(j % 97, j) for j, other in enumerate(keys) if other == key]
             assert got[k] == (min(same), len(same), min(same) == (k % 97, k))
 
 
+def test_copies_count_towards_the_memory_of_tries():
+    owners = exact_dedup.Owners(20_000)
+    for k in range(5000):
+        owners.add(b"ab"[k % 2 : k % 2 + 1] * 9, (k,), (k, k), 1)
+    assert owners.away and owners.bytes < 20_000
+    assert sorted((best, n, len(tags)) for tags, best, n in owners.results()) == [((0, 0), 2500, 2500), ((1, 1), 2500, 2500)]
+
+
 def test_patricia_splits_labels():
     trie = exact_dedup.Patricia()
     for word in (b"romane", b"romanus", b"roman", b"", b"rom", b"romane"):
