@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import prepare, shared_dir, shuffle_partitions, whole_text
+from scrivel.llm.common import lean, partitions_for, prepare, shared_dir, whole_text
 from scrivel.llm.tokens import Encoder, slices, text_bytes
 
 MAGIC = b"SCRVPLN1"
 BLOCK_IDS = 65_536
+FILE_BYTES = 64_000_000
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
@@ -55,25 +57,22 @@ class PlaneWriter:
         self.zip = zstandard.ZstdCompressor(level=level)
         self.left = np.zeros(0, dtype="<u4")
         self.at, self.n_ids = len(MAGIC), 0
-        self.blocks: list[int] = []
-        self.places: list[int] = []
-        self.doc_ids: list[int] = []
-        self.known: list[int] = []
-        self.lengths: list[int] = []
+        self.blocks, self.places = array("q"), array("q")
+        self.doc_ids, self.known, self.lengths = array("q"), array("q"), array("q")
         out.write(MAGIC)
 
     def _block(self, ids: np.ndarray) -> None:
         for plane in to_planes(ids, self.kind):
             data = self.zip.compress(plane)
             self.out.write(data)
-            self.places += [self.at, len(data)]
+            self.places.extend((self.at, len(data)))
             self.at += len(data)
         self.blocks.append(len(ids))
 
     def add(self, doc_ids: list[int | None], ids: np.ndarray, lengths: list[int]) -> None:
-        self.doc_ids += [0 if d is None else d for d in doc_ids]
-        self.known += [int(d is not None) for d in doc_ids]
-        self.lengths += lengths
+        self.doc_ids.extend(0 if d is None else d for d in doc_ids)
+        self.known.extend(int(d is not None) for d in doc_ids)
+        self.lengths.extend(lengths)
         self.n_ids += len(ids)
         self.left = np.concatenate([self.left, ids]) if len(self.left) else ids
         while len(self.left) >= self.block_ids:
@@ -133,8 +132,9 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, kind: str = "byte", bl
     """Encodes every text and writes files below path in ascending doc_id order; returns the manifest: part, file, n_docs, n_ids, base.
 
     Files follow each other by part; base is the number of ids in the files before. Nulls come first in doc_id
-    order, null texts are empty, rows with one doc_id follow each other by text. A task writes under a name of
-    its own and renames when whole, so a repeated task does no harm. The manifest has a row for each file.
+    order, null texts are empty, rows with one doc_id follow each other by text. A task writes under the name of
+    its attempt, and the manifest names the files of the attempts that counted: a repeated task does no harm and no
+    store has to rename. The manifest has a row for each file of about FILE_BYTES of text.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -144,22 +144,20 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, kind: str = "byte", bl
         part = task.partitionId()
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
-        final = f"{folder}/part-{part:06d}.planes"
-        own = f"{folder}/_{part:06d}-{task.taskAttemptId()}"
+        own = f"part-{part:06d}-{task.taskAttemptId()}.planes"
         encoder = Encoder.of(tokenizer)
-        with store.open_output_stream(own, compression=None) as out:
+        with store.open_output_stream(f"{folder}/{own}", compression=None) as out:
             writer = PlaneWriter(out, kind, block_ids)
             for whole in batches:
                 for batch in slices(whole, "text"):
                     ids, at = encoder.encode(text_bytes(batch.column("text")))
                     writer.add(batch.column("doc_id").to_pylist(), ids, np.diff(at).tolist())
             writer.close()
-        store.move(own, final)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"part-{part:06d}.planes"]), pa.array([len(writer.doc_ids)], pa.int64()), pa.array([writer.n_ids], pa.int64())], ["part", "file", "n_docs", "n_ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([own]), pa.array([len(writer.doc_ids)], pa.int64()), pa.array([writer.n_ids], pa.int64())], ["part", "file", "n_docs", "n_ids"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    ordered = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    files = sorted(ordered.mapInArrow(write, "part int, file string, n_docs long, n_ids long").collect())
+    ordered = rows.repartitionByRange(partitions_for(spark, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, FILE_BYTES), "doc_id").sortWithinPartitions("doc_id", "text")
+    files = sorted(ordered.mapInArrow(lean(write), "part int, file string, n_docs long, n_ids long").collect())
     base, manifest = 0, []
     for part, file, n_docs, n_ids in files:
         manifest.append((part, file, n_docs, n_ids, base))
@@ -198,8 +196,7 @@ def read_ids(manifest: DataFrame, path: str, with_ids: bool = False) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)][: 4 + with_ids], names[: 4 + with_ids])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    n = max(1, min(manifest.count(), 10 * shuffle_partitions(spark)))
-    return manifest.select("file", "base").repartition(n).mapInArrow(read, schema)
+    return manifest.select("file", "base").repartition(max(1, manifest.count())).mapInArrow(lean(read), schema)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, kind: str = "byte") -> DataFrame:
