@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import prepare
+from scrivel.llm.common import lean, prepare
 
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile(r"[>\"']")
@@ -349,7 +349,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.col(html_column).cast("string").alias("html"))
-    return rows.mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(lean(read), "page_id long, url string, text string, n_chars long")
 
 
 __all__ = ["blocks", "extract", "main_text", "parse", "prune", "score"]

@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import prepare, whole_text
+from scrivel.llm.common import lean, prepare, whole_text
 from scrivel.llm.tokens import END_ID, Encoder, slices, text_bytes
 
 CAPACITY = 4096
 OPEN_BINS = 64
 BUCKET_ROWS = 65_536
+SLICE_BYTES = 2_000_000
 
 
 class BestFit:
@@ -72,7 +73,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE_BYTES):
                 ids, at = encoder.encode(text_bytes(batch.column("text")))
                 n_pieces = -(-np.diff(at) // capacity)
                 row = np.repeat(np.arange(batch.num_rows), n_pieces)
@@ -85,7 +86,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, n_rows: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -114,7 +115,7 @@ def pack(pieces: DataFrame, n_rows: int, capacity: int = CAPACITY, open_bins: in
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*keep, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "arrival", *pieces.columns).mapInArrow(fill, schema)
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "arrival", *pieces.columns).mapInArrow(lean(fill), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, bucket_rows: int = BUCKET_ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

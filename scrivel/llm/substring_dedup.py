@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import partitions_for, persist, prepare, whole_text
+from scrivel.llm.common import lean, partitions_for, persist, prepare, whole_text
 from scrivel.llm.tokens import _SPACE, slices, text_bytes
 
 WIDTH = 20
@@ -359,7 +359,7 @@ def common_minimisers(rows: DataFrame, buckets: int, width: int, mer: int) -> Ho
 
     sample = rows.where(F.pmod("text_hash", F.lit(HOT_SHARE)) == 0).select("text")
     total = sample.agg(F.sum(F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]+")))).first()[0] or 0
-    found = sample.mapInArrow(count, "kind int, low long, n long").groupBy("kind", "low").agg(F.sum("n").alias("n")).where(F.col("n") > max(40, total // (4 * buckets)))
+    found = sample.mapInArrow(lean(count), "kind int, low long, n long").groupBy("kind", "low").agg(F.sum("n").alias("n")).where(F.col("n") > max(40, total // (4 * buckets)))
     hot = [[r.low for r in found.where(F.col("kind") == k).orderBy(F.col("n").desc(), "low").limit(MOST_HOT).collect()] for k in (0, 1)]
     return tuple(np.sort(np.array(h, dtype=np.int64).view(np.uint64)) for h in hot)
 
@@ -385,8 +385,8 @@ def repeats(docs: DataFrame, width: int = WIDTH, mer: int = MER, bucket_bytes: i
             for runs in bucket_repeats((data for _, data in own), width, mer, limit):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in runs], ["doc_id", "text_hash", "start", "n"])
 
-    dealt = rows.mapInArrow(deal, "bucket long, blob binary")
-    return dealt.repartition(partitions_for(spark, 3 * total), "bucket").sortWithinPartitions("bucket").mapInArrow(sort, "doc_id long, text_hash long, start long, n long")
+    dealt = rows.mapInArrow(lean(deal), "bucket long, blob binary")
+    return dealt.repartition(partitions_for(spark, 3 * total), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(sort), "doc_id long, text_hash long, start long, n long")
 
 
 def rows_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -425,7 +425,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, mer: int = MER, bucket_b
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return rows.select("doc_id", "text", "runs").mapInArrow(cut, schema)
+    return rows.select("doc_id", "text", "runs").mapInArrow(lean(cut), schema)
 
 
 __all__ = ["minimisers", "remove_repeats", "repeated_windows", "repeats", "super_kmers"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import persist, prepare
+from scrivel.llm.common import lean, persist, prepare
 
 SCALE = 1024
 K = 10
@@ -122,7 +122,7 @@ def top_k(rows: DataFrame, k: int = K, every: int = 100, scale: int = SCALE, blo
                     full = score > _LOW
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, k)[full.reshape(-1)]), pa.array(who[full]), pa.array(score[full])], ["query_id", "vec_id", "score"])
 
-    found = docs.unionByName(queries).repartition("g").sortWithinPartitions("g", "kind").mapInArrow(search, "query_id long, vec_id long, score long")
+    found = docs.unionByName(queries).repartition("g").sortWithinPartitions("g", "kind").mapInArrow(lean(search), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import prepare, whole_text
+from scrivel.llm.common import lean, prepare, whole_text
 from scrivel.llm.substring_dedup import numbered, word_places
 from scrivel.llm.tokens import slices, text_bytes
 
@@ -183,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
         found = rows.join(F.broadcast(near), "doc_id")
         if any(r.texts > 1 for r in held):
             found = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-        return sorted(((r.doc_id, r.text, r.toxic) for r in found.select("doc_id", "text", "toxic").collect()), key=lambda r: (r[0], r[1]))
+        got = found.select("doc_id", "text", "toxic").toArrow().combine_chunks()
+        return sorted(zip(got["doc_id"].to_pylist(), got["text"].cast(pa.large_binary()).to_pylist(), got["toxic"].to_pylist(), strict=True), key=lambda r: (r[0], r[1]))
 
     known = texts_of(usable)
     toxic = [r for r in known if r[2] == 1]
@@ -192,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
     rest = texts_of(free.withColumn("toxic", F.lit(None).cast("int")))
     got = toxic + rest + known
     first = np.arange(len(got)) < len(toxic)
-    return fit([r[1].encode() for r in got], first, features, steps, prior=len(toxic) / len(known), unlabelled=~first)
+    return fit([r[1] for r in got], first, features, steps, prior=len(toxic) / len(known), unlabelled=~first)
 
 
 def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
@@ -211,7 +212,7 @@ def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> D
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found), pa.array((found >= threshold).astype(np.int32)), batch.column("text_hash")], ["doc_id", "held_out", "score", "predicted", "text_hash"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), whole_text().alias("text"), F.xxhash64(whole_text()).alias("text_hash"))
-    return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int, text_hash long")
+    return rows.mapInArrow(lean(scored), "doc_id long, held_out boolean, score double, predicted int, text_hash long")
 
 
 def keep_clean(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
@@ -225,7 +226,7 @@ def keep_clean(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD,
             for batch in slices(whole, text_column):
                 yield batch.filter(pa.array(shared.value.score(text_bytes(batch.column(text_column))) < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 __all__ = ["Classifier", "fit", "held_out", "keep_clean", "score", "train"]
