@@ -2,8 +2,8 @@
 
 The vocabulary's normaliser and splitter never look across white space, so a text's ids are the ids of
 its words in order. A batch of texts is cut into words with numpy, Arrow finds the distinct ones, and the
-tokenizers library encodes only words that this worker has not met. The memory of met words is bounded:
-it is emptied when full. Texts that hold the start of a special token are encoded whole.
+tokenizers library encodes only words that this worker has not met lately. The memory of met words is bounded: it has two
+halves, and when the younger is full it takes the place of the older, so frequent words stay. Texts that hold the start of a special token are encoded whole.
 """
 
 from __future__ import annotations
@@ -29,20 +29,21 @@ def byte_letters() -> dict[int, int]:
 
 
 class Encoder:
-    """Ids by a tokenizers file. limit bounds the words remembered between calls."""
+    """Ids by a tokenizers file. limit bounds the words remembered between calls (a call adds its own)."""
 
     _open: dict[tuple[str, int], Encoder] = {}
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.model, self.table = self.tokenizer.model, byte_letters()
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @classmethod
-    def of(cls, path: str, limit: int = 500_000) -> Encoder:
+    def of(cls, path: str, limit: int = 400_000) -> Encoder:
         """One encoder for each worker process."""
         if (path, limit) not in cls._open:
             cls._open[path, limit] = cls(path, limit)
@@ -64,7 +65,8 @@ class Encoder:
     def _known(self, word: bytes) -> bytes:
         got = self.memo.get(word)
         if got is None:
-            got = self.memo[word] = self._word(word)
+            got = self.older.get(word)
+            got = self.memo[word] = self._word(word) if got is None else got
         return got
 
     def encode(self, texts: list[bytes], end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +88,8 @@ class Encoder:
             offsets = np.zeros(len(starts) + 1, dtype=np.int64)
             np.cumsum(ends - starts, out=offsets[1:])
             found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])]).dictionary_encode()
-            if len(self.memo) > self.limit:
-                self.memo.clear()
+            if len(self.memo) > self.limit // 2:
+                self.older, self.memo = self.memo, {}
             known = [self._known(w) for w in found.dictionary.to_pylist()]
             codes = found.indices.to_numpy(zero_copy_only=False)
             lens = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
@@ -123,7 +125,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
+def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000):
     """The batch in runs of rows whose texts have about `most` bytes together."""
     sizes = np.array([len(x) for x in text_bytes(batch.column(column))], dtype=np.int64)
     at, total = 0, 0
