@@ -85,7 +85,7 @@ def tag_end(page: str, at: int, last: int) -> int:
         if m is None or m[0] == ">":
             return m.start() if m else -1
         at = m.end()
-        if page[: m.start()][-20:].rstrip().endswith("=") and (k := page.find(m[0], at)) >= 0 and k < last:
+        if page[max(0, m.start() - 20) : m.start()].rstrip().endswith("=") and (k := page.find(m[0], at)) >= 0 and k < last:
             at = k + 1
     return -1
 
