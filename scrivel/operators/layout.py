@@ -1,4 +1,8 @@
-"""Reading order and neighbours of positioned text blocks (doc_id, block_no, page, x0, y0, x1, y1, text, is_bold, font_size)."""
+"""Reading order and neighbours of positioned text blocks (doc_id, block_no, page, x0, y0, x1, y1, text, is_bold, font_size).
+
+Ties of geometry go by block_no. Null texts are left out of joined text, null geometry makes no column and no neighbour. Empty tables
+give no rows. Further columns are ignored, but columns() keeps them and adds two and col.
+"""
 
 from __future__ import annotations
 

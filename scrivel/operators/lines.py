@@ -1,4 +1,9 @@
-"""Lines of documents: pairs of label and value, sections, entries, grids."""
+"""Lines of documents: pairs of label and value, sections, entries, grids.
+
+Null texts have no lines, null lines open no section. Rows of a document are ordered by line_no (block_no, table_no and row_no); rows
+with equal places come in any order. A null doc_id is a document of its own. Empty tables give no rows. Columns that are not named are
+dropped, but for section_of, entries and first_by, which keep them all; first_by works in a column _r.
+"""
 
 from __future__ import annotations
 

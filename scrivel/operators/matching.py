@@ -1,4 +1,8 @@
-"""Labels to fields and free text to coded values: exact, abbreviation, then fuzzy on what is left."""
+"""Labels to fields and free text to coded values: exact, abbreviation, then fuzzy on what is left.
+
+Null and blank labels match nothing. Ties go to the earlier alias or value, places to the smaller pos; pairs of one place to the smaller
+value. Repeated rows match alike, empty tables give no rows, further columns stay.
+"""
 
 from __future__ import annotations
 

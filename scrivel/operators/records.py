@@ -1,4 +1,8 @@
-"""Records: assembly in schema order, defaults, required and unknown keys, reports."""
+"""Records: assembly in schema order, defaults, required and unknown keys, reports.
+
+Null values are missing ones. A document's repeated key is written as often as it occurs, in schema order; keys outside the schema are
+left out. Reports of no rows are one row of zeros (means: null), groups of no rows none. Further columns are ignored.
+"""
 
 from __future__ import annotations
 
