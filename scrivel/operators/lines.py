@@ -32,7 +32,7 @@ def colon_pairs(lines: DataFrame) -> DataFrame:
     c, order = F.col, Window.partitionBy("doc_id").orderBy("line_no")
     b = lines.withColumn("line", F.trim("line")).where("line != ''").select("doc_id", "line_no", "line").withColumn("clean", _clean(c("line")))
     b = b.withColumns({"more": F.coalesce(F.lag("line").over(order).rlike(r",\s*$") & c("clean") & ~c("line").contains(":"), F.lit(False)), "next": F.when(F.lead("clean").over(order), F.lead("line").over(order))})
-    b = b.withColumn("run", F.count_if(~c("more")).over(order))
+    b = b.withColumn("run", F.count_if(~c("more")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     tail = F.array_sort(F.collect_list(F.when(c("more"), F.struct("line_no", "line"))))
     head = lambda k: F.max(F.when(~c("more"), c(k))).alias(k)
     runs = b.groupBy("doc_id", "run").agg(F.min("line_no").alias("pos"), head("line"), head("next"), F.bool_or(~c("more") & c("clean")).alias("clean"), tail.alias("tail"))
