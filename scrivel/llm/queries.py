@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivel.llm import binary, exact_dedup, html_text, mixing, packing, sharding, simhash, substring_dedup, topk, toxicity
+from scrivel.llm import attribution, binary, exact_dedup, html_text, mixing, packing, sharding, simhash, substring_dedup, topk, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -56,7 +56,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_best_fit_pack, op3_token_planes, op4_extendible_shards, op5_exact_topk, op6_simhash_groups, op7_source_mix, op8_toxicity, op9_substring_dedup, op10_exact_dedup)}
+def op12_click_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.attribute(_table(spark, sf_dir, "clicks"), _table(spark, sf_dir, "sales"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_best_fit_pack, op3_token_planes, op4_extendible_shards, op5_exact_topk, op6_simhash_groups, op7_source_mix, op8_toxicity, op9_substring_dedup, op10_exact_dedup, op12_click_attribution)}
 
 _W = substring_dedup.WIDTH
 ORACLES = {
@@ -77,4 +81,5 @@ WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM d WINDOW g AS (PARTITION BY t)
 """,
+    "op12_click_attribution": attribution.ORACLE,
 }
