@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-from scrivel.llm.common import discard, persist, prepare, shared_dir
+from scrivel.llm.common import crc_sql, discard, persist, prepare, shared_dir
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 SPAN, DELAY = 7 * DAY, DAY
@@ -221,15 +221,8 @@ def _quiet(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def _crc(text: str) -> str:
-    """SQL for the CRC-32 of an ASCII text."""
-    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
-    byte = f"list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: {step})"
-    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length({text}) + 1), lambda i: CAST(ord(substr({text}, i, 1)) AS BIGINT))), lambda a, b: {byte}), 4294967295)"
-
-
 def _cut_sql(table: str, key: str, at: str, distinct: str) -> str:
-    return f"""SELECT id, client, t, a // {HOUR} + CASE WHEN {_crc("s")} % 4 = 0 THEN {LATE_HOURS} ELSE 0 END AS h
+    return f"""SELECT id, client, t, a // {HOUR} + CASE WHEN {crc_sql("s")} % 4 = 0 THEN {LATE_HOURS} ELSE 0 END AS h
   FROM (SELECT {distinct} {key} AS id, client_id AS client, epoch_us({at}) AS t, epoch_us(arrived_at) AS a, CAST({key} AS VARCHAR) AS s FROM {table} WHERE client_id IS NOT NULL AND {at} IS NOT NULL)"""
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivel.llm import attribution, binary, exact_dedup, html_text, mixing, packing, sharding, simhash, substring_dedup, topk, toxicity
+from scrivel.llm import attribution, binary, bpe, conversations, exact_dedup, html_text, mixing, packing, sharding, simhash, substring_dedup, topk, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,11 +57,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations")
+    return conversations.report(given, conversations.damage(given))
+
+
 def op12_click_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(_table(spark, sf_dir, "clicks"), _table(spark, sf_dir, "sales"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_best_fit_pack, op3_token_planes, op4_extendible_shards, op5_exact_topk, op6_simhash_groups, op7_source_mix, op8_toxicity, op9_substring_dedup, op10_exact_dedup, op12_click_attribution)}
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_best_fit_pack, op3_token_planes, op4_extendible_shards, op5_exact_topk, op6_simhash_groups, op7_source_mix, op8_toxicity, op9_substring_dedup, op10_exact_dedup, op11_conversation_repair, op12_click_attribution, op13_byte_bpe)}
 
 _W = substring_dedup.WIDTH
 ORACLES = {
@@ -81,5 +91,6 @@ WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM d WINDOW g AS (PARTITION BY t)
 """,
+    "op11_conversation_repair": conversations.ORACLE,
     "op12_click_attribution": attribution.ORACLE,
 }
