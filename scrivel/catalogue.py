@@ -10,7 +10,7 @@ from scrivel.functions import rules as R
 from scrivel.functions import text as T
 from scrivel.operators import layout, lines, matching, parsers, personal, records, validation
 from scrivel.plans import batch
-from scrivel.plans.inputs import BLOCKS, KEY, NAMES, PLACE, made, pick, q, table
+from scrivel.plans.inputs import BLOCKS, CR, KEY, NAMES, NBSP, PLACE, TAB, WIDE, made, pick, q, table
 from scrivel.plans.registry import FOLD_SQL, LABEL_SQL, NOISE_SQL, NORM_SQL, ORACLES, QUERIES, query, re2, sql_list
 from scrivel.streaming import jobs
 from scrivel.streaming.shared import shared_dir
@@ -118,7 +118,7 @@ def rx5_rx7_rx8_rx12_rx13(spark, sf):
     return _DATED[0](spark, sf).select("id", T.found(t, R.DATE).alias("dates"), F.regexp_extract(t, R.YEAR_RANGE, 1).alias("y1"), F.regexp_extract(t, R.YEAR_RANGE, 2).alias("y2"), F.regexp_extract(t, R.MONTH_RANGE, 1).alias("m1"), F.regexp_extract(t, R.PAREN_YEAR, 1).alias("paren"), F.regexp_extract(t, R.PERIOD, 2).alias("period_end"))
 
 
-_RAW_DATES = made("orders", id="o_orderkey", d="o_orderdate", k="cast(o_orderkey % 12 as int)", t=pick("o_orderkey", f"concat({_D}, '/', {_M}, '/', {_Y})", f"concat({_Y}, '-', lpad({_M}, 2, '0'), '-', lpad({_D}, 2, '0'))", f"concat({_D}, '.', {_M}, '.', {_Y})", f"concat({_M}, '/', {_Y})", _Y, f"concat({_MON}, ' ', {_D}, ', ', {_Y})", f"concat({_D}, ' ', left({_MON}, 3), ' ', {_Y})", f"concat('tháng ', {_M}, ' năm ', {_Y})", "'hiện tại'", "'31/02/2020'", f"concat({_D}, '/', {_M}, '/', right({_Y}, 2))", "'/Date(5)/'"))
+_RAW_DATES = made("orders", id="o_orderkey", d="o_orderdate", k="cast(o_orderkey % 12 as int)", t="concat(" + pick("cast(floor(o_orderkey / 12) as bigint)", "''", q(TAB), q(NBSP), q(CR + WIDE)) + ", " + pick("o_orderkey", f"concat({_D}, '/', {_M}, '/', {_Y})", f"concat({_Y}, '-', lpad({_M}, 2, '0'), '-', lpad({_D}, 2, '0'))", f"concat({_D}, '.', {_M}, '.', {_Y})", f"concat({_M}, '/', {_Y})", _Y, f"concat({_MON}, ' ', {_D}, ', ', {_Y})", f"concat({_D}, ' ', left({_MON}, 3), ' ', {_Y})", f"concat('tháng ', {_M}, ' năm ', {_Y})", "'hiện tại'", "'31/02/2020'", f"concat({_D}, '/', {_M}, '/', right({_Y}, 2))", "'/Date(5)/'") + ", " + pick("cast(floor(o_orderkey / 12) as bigint)", q(CR), "''", q(TAB + NBSP)) + ")")
 
 
 @query(f"""WITH a AS (SELECT id, k, t, date_trunc('day', d) AS day, date_trunc('month', d) AS mon, date_trunc('year', d) AS yr FROM {_RAW_DATES[1]}),
@@ -138,7 +138,7 @@ def flt1_flt2_lines(spark, sf):
     return ls.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(T.is_noise(c("line"))).alias("noise"), F.count_if(T.is_form_label(c("line"))).alias("labels"))
 
 
-_MARKS = made("part", id="p_partkey", t=pick("p_partkey", q("Page 3 of 9"), q("Trang 1 / 2"), q("4/7"), q("TRUE"), q("______"), q("Approved ____"), q("From *"), q("Chức vụ *"), q("KỶ LUẬT"), q("kỷ luật"), q("Signature / Date"), q("I accept the terms"), "p_name", q("  "), q("Details about x")))
+_MARKS = made("part", id="p_partkey", t=pick("p_partkey", q("Page 3 of 9"), q("Trang 1 / 2"), q("4/7"), q("TRUE"), q("______"), q("Approved ____"), q("From *"), q("Chức vụ *"), q("KỶ LUẬT"), q("kỷ luật"), q("Signature / Date"), q("I accept the terms"), "p_name", q("  "), q("Details about x"), q(TAB), q(f"{NBSP}{TAB}"), q(f"{WIDE}Page 2 of 3{CR}"), q(f"{NBSP}From *{NBSP}"), q(f"TRUE{CR}"), q(f"word{NBSP}"), q("a * b"), q("x *")))
 
 
 @query(f"SELECT id, {NOISE_SQL('t')} AS noise, {LABEL_SQL('t')} AS form_label FROM {_MARKS[1]}")
@@ -568,4 +568,4 @@ def orc2_orc3_agg3_join10_dt5_results(spark, sf):
 
 
 # the other parts of the register
-from scrivel import catalogue_reports, catalogue_sections  # noqa: E402,F401
+from scrivel import catalogue_pages, catalogue_reports, catalogue_sections  # noqa: E402,F401

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from scrivel.functions import rules as R
 from scrivel.operators import grids, layout, lines, parsers, personal
 from scrivel.plans import extract
-from scrivel.plans.inputs import KEY, made, pick, q
-from scrivel.plans.registry import CLEAN_SQL, DATA_SQL, FOLD_SQL, LABEL_SQL, NAME_SQL, NOISE_SQL, mixed_lines, query, re2, sql_first, sql_holds, sql_list
+from scrivel.plans.inputs import CR, KEY, NBSP, TAB, WIDE, made, pick, q
+from scrivel.plans.registry import CLEAN_SQL, DATA_SQL, FOLD_SQL, LABEL_SQL, NAME_SQL, NOISE_SQL, STRIP_SQL, mixed_lines, query, re2, sql_first, sql_holds, sql_list
 
 c = F.col
 K = "c_custkey"
@@ -24,12 +24,12 @@ def customers(**columns: str):
 
 
 # -- lines ------------------------------------------------------------------------------------------------------------
-FORM = customers(line_no="cast(0 as int)", text=mixed_lines(K, 12, "concat('Full name: ', c_name)", q("Phone:"), q("+84 90 1234567"), "concat('Skills: ', c_mktsegment, ',')", q("second line,"), q("third"), q("From *"), q(""), q("Page 1 of 2"), q("no pair here"), q("  with: colons: twice, "), q(": no label"), q("A label that is a good deal longer than the sixty letters that a label may have: x")))
+FORM = customers(line_no="cast(0 as int)", text=mixed_lines(K, 12, "concat('Full name: ', c_name)", q("Phone:"), q("+84 90 1234567"), "concat('Skills: ', c_mktsegment, ',')", q("second line,"), q("third"), q("From *"), q(""), q("Page 1 of 2"), q("no pair here"), q("  with: colons: twice, "), q(": no label"), q(f"City:{CR}"), q(f"Town:{TAB}Hue{NBSP}"), q(f"{NBSP}Lines:{WIDE}one,{CR}"), q(f"{TAB}two{CR}"), q(TAB), q("A label that is a good deal longer than the sixty letters that a label may have: x")))
 
 
-@query(f"""WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS n, trim(unnest(l)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {FORM[1]})),
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS n, {STRIP_SQL('unnest(l)')} AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {FORM[1]})),
 r AS (SELECT doc_id, n, line, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS rn, {CLEAN_SQL('line')} AS ok FROM l WHERE line <> ''),
-h AS (SELECT *, trim(split_part(line, ':', 1)) AS label, trim(substr(line, strpos(line, ':') + 1)) AS v FROM r WHERE ok AND contains(line, ':')),
+h AS (SELECT *, {STRIP_SQL("split_part(line, ':', 1)")} AS label, {STRIP_SQL("substr(line, strpos(line, ':') + 1)")} AS v FROM r WHERE ok AND contains(line, ':')),
 g AS (SELECT doc_id, rn, n, label, rn AS j, v FROM h WHERE v <> '' AND length(label) < 60
  UNION ALL SELECT g.doc_id, g.rn, g.n, g.label, r.rn, rtrim(g.v) || ' ' || r.line FROM g JOIN r ON r.doc_id = g.doc_id AND r.rn = g.j + 1 WHERE regexp_matches(g.v, ',\\s*$') AND r.ok AND NOT contains(r.line, ':')),
 e AS (SELECT doc_id, n, label, arg_max(v, j) AS value FROM g GROUP BY 1, 2, 3 UNION ALL SELECT h.doc_id, h.n, h.label, r.line FROM h JOIN r ON r.doc_id = h.doc_id AND r.rn = h.rn + 1 WHERE h.v = '' AND r.ok)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scrivel.functions import rules as R
+from scrivel.functions.text import strip
 
 
 def parse(text: Column) -> Column:
@@ -13,7 +14,7 @@ def parse(text: Column) -> Column:
 
     Each form is rewritten to year-month-day by one pattern. A year 0000 gives null, as does a day that doesn't exist.
     """
-    c = F.trim(text)
+    c = strip(text)
     year, word = r"((?!0000)\d{4})", "[A-Za-z]{3,9}"
 
     def day(pattern: str, to: str) -> Column:
@@ -40,7 +41,7 @@ def parse(text: Column) -> Column:
 
 def date_string(text: Column, ongoing: bool = False) -> Column:
     """DT1: /Date(ms)/ in UTC; kept if it is one already; words for "still" give the far future if ongoing, else null."""
-    c = F.trim(text)
+    c = strip(text)
     still = F.lower(c).isin(R.ONGOING)
     far = F.lit(f"/Date({R.FAR_FUTURE_MS})/") if ongoing else F.lit(None).cast("string")
     return F.when(c == "", None).when(c.startswith("/Date("), c).when(still, far).otherwise(F.concat(F.lit("/Date("), F.unix_millis(parse(c)).cast("string"), F.lit(")/")))

@@ -31,9 +31,26 @@ def bound(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+#: What str.strip() takes off: all of Unicode's white space, and the four separators before the space.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def strip(c: Column | str) -> Column:
+    """Without white space at both ends, of whatever kind."""
+    return F.trim(c, F.lit(SPACES))
+
+
 def one_of(patterns: list[str]) -> str:
-    """One pattern for several, each with its own flags."""
-    return "|".join(f"(?iu:{p[5:]})" if p.startswith("(?iu)") else f"(?:{p})" for p in patterns)
+    """One pattern for several, each with its own flags, under one anchor: an alternation without it is tried at every place of a text.
+
+    Patterns that begin with ^ are tried at the start only; others follow whatever stands before them.
+    """
+    ways = []
+    for p in patterns:
+        flags, body = ("(?iu:", p[5:]) if p.startswith("(?iu)") else ("(?:", p)
+        parts = body.split("|^") if body.startswith("^") else [body]
+        ways.append(("" if body.startswith("^") else "(?s:.*)") + flags + "|".join(x.removeprefix("^") for x in parts) + ")")
+    return r"\A(?:" + "|".join(ways) + ")"
 
 
 def fold(c: Column) -> Column:
@@ -43,22 +60,22 @@ def fold(c: Column) -> Column:
 
 def label(c: Column) -> Column:
     """STR2: folded, anything but letters, digits and spaces as a space, one space between."""
-    return F.trim(F.regexp_replace(F.regexp_replace(fold(c), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(fold(c), r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
 def plain(c: Column) -> Column:
     """STR3"""
-    return F.regexp_replace(F.trim(F.lower(c)), r"\s+", " ")
+    return F.regexp_replace(strip(F.lower(c)), r"\s+", " ")
 
 
 def is_noise(c: Column) -> Column:
     """FLT1: blank, or a page mark, a checkbox, a line to sign on."""
-    return F.trim(c).rlike(r"\A\z|" + one_of(R.NOISE))
+    return strip(c).rlike(one_of([r"^\z", *R.NOISE]))
 
 
 def is_form_label(c: Column) -> Column:
     """FLT2: a field label of a form rather than data."""
-    return F.trim(c).rlike(one_of(R.FORM_LABELS))
+    return strip(c).rlike(one_of(R.FORM_LABELS))
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -78,7 +95,7 @@ def name_parts(c: Column) -> Column:
         middle = F.when(n > 2, F.array_join(F.slice(w, 2, F.greatest(n - 2, F.lit(0))), " ")).otherwise("")
         return F.struct(full.alias("full"), F.when(n > 0, F.try_element_at(w, F.lit(1))).otherwise("").alias("first"), middle.alias("middle"), F.when(n > 0, F.try_element_at(w, F.lit(-1))).otherwise("").alias("last"))
 
-    return bound(F.regexp_replace(F.trim(c), R.HONORIFIC, ""), lambda full: bound(F.filter(F.split(full, r"\s+"), lambda x: x != ""), lambda w: parts(full, w)))
+    return bound(F.regexp_replace(strip(c), R.HONORIFIC, ""), lambda full: bound(F.filter(F.split(full, r"\s+"), lambda x: x != ""), lambda w: parts(full, w)))
 
 
 def name_case(c: Column) -> Column:
@@ -90,7 +107,7 @@ def name_case(c: Column) -> Column:
 
 def is_name(c: Column) -> Column:
     """FLT3: 2 to 6 words that read like a person's name. Patterns over the trimmed text, so c is used four times only."""
-    t = F.trim(c)
+    t = strip(c)
     no_phrase = ~contains_any(fold(c), [*dict.fromkeys([*R.NAME_PHRASES, *R.ORG_WORDS])])
     words = t.rlike(r"^\s*[^\s@*#{}\[\]()=+<>]{1,15}(?:\s+[^\s@*#{}\[\]()=+<>]{1,15}){1,5}\s*$")
     two_of_letters = t.rlike(r"(?<!\S)\p{L}+(?!\S)[\s\S]*(?<!\S)\p{L}+(?!\S)")
@@ -100,7 +117,7 @@ def is_name(c: Column) -> Column:
 
 def is_family_name_first(c: Column) -> Column:
     """FLT4"""
-    return F.coalesce(fold(F.element_at(F.split(F.trim(c), r"\s+"), 1)).isin(R.FAMILY_NAMES), F.lit(False))
+    return F.coalesce(fold(F.element_at(F.split(strip(c), r"\s+"), 1)).isin(R.FAMILY_NAMES), F.lit(False))
 
 
 def masked(c: Column) -> Column:
@@ -110,12 +127,12 @@ def masked(c: Column) -> Column:
 
 def before_pipe(c: Column) -> Column:
     """STR7"""
-    return F.when(c.contains("|"), F.trim(F.substring_index(c, "|", 1))).otherwise(c)
+    return F.when(c.contains("|"), strip(F.substring_index(c, "|", 1))).otherwise(c)
 
 
 def without_bullet(c: Column) -> Column:
     """STR8"""
-    return F.trim(F.regexp_replace(c, r"^[-•●○*+> ]+", ""))
+    return strip(F.regexp_replace(c, r"^[-•●○*+> ]+", ""))
 
 
 def json_object(c: Column) -> Column:
@@ -136,5 +153,5 @@ def found(c: Column, pattern: str, group: int = 0) -> Column:
 
 def phone(c: Column) -> Column:
     """TVF18: the first phone number, a Vietnamese one before others, with 7 to 15 digits."""
-    one = F.trim(F.coalesce(F.get(found(c, R.PHONE_VN), F.lit(0)), F.get(found(c, R.PHONE_INTL), F.lit(0))))
+    one = strip(F.coalesce(F.get(found(c, R.PHONE_VN), F.lit(0)), F.get(found(c, R.PHONE_INTL), F.lit(0))))
     return bound(one, lambda x: F.when(F.length(F.regexp_replace(x, r"\D", "")).between(7, 15), x))

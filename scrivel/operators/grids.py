@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scrivel.functions import rules as R
-from scrivel.functions.text import fold, is_noise
+from scrivel.functions.text import fold, is_noise, strip
 
 ENTRIES = "array<map<string,string>>"
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: ~is_noise(x))
+    return F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda x: ~is_noise(x))
 
 
 def _headings(ls: Column, table: dict[str, str], within: int) -> Column:
@@ -89,8 +89,8 @@ def experience_grid(text: Column) -> Column:
         title, firm, period, end = (_of(kinds, row, k) for k in ("title", "company", "period", "to"))
         ranged = period.rlike(R.PERIOD)
         closed = lambda x: F.when(~F.lower(x).isin(R.OPEN_ENDS[:3]), x)
-        start = F.when(ranged, F.trim(F.regexp_extract(period, R.PERIOD, 1)))
-        until = F.when(ranged, closed(F.trim(F.regexp_extract(period, R.PERIOD, 2))))
+        start = F.when(ranged, strip(F.regexp_extract(period, R.PERIOD, 1)))
+        until = F.when(ranged, closed(strip(F.regexp_extract(period, R.PERIOD, 2))))
         return F.when(F.coalesce(title, firm).isNotNull(), entry_map(startTitle=title, employer=firm, startDate=F.coalesce(start, _of(kinds, row, "from")), endDate=F.coalesce(until, closed(end))))
 
     def cut(rows: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivel.functions.text import is_form_label, is_name, is_noise
+from scrivel.functions.text import is_form_label, is_name, is_noise, strip
 
 
 def columns(blocks: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def adjacent(blocks: DataFrame) -> DataFrame:
     """LAY4: doc_id, pos, label, value from neighbours in (page, y0, x0) order on one line."""
     order = Window.partitionBy("doc_id").orderBy("page", "y0", "x0", "block_no")
     nxt = lambda c: F.lead(c).over(order)
-    b = blocks.select("doc_id", (F.row_number().over(order) - 1).alias("pos"), "y0", "x1", F.trim(F.regexp_replace("text", ":+$", "")).alias("label"), F.trim(nxt("text")).alias("value"), nxt("y0").alias("y"), nxt("x0").alias("x"))
+    b = blocks.select("doc_id", (F.row_number().over(order) - 1).alias("pos"), "y0", "x1", strip(F.regexp_replace("text", ":+$", "")).alias("label"), strip(nxt("text")).alias("value"), nxt("y0").alias("y"), nxt("x0").alias("x"))
     ok = (F.abs(F.col("y0") - F.col("y")) < 5) & (F.col("x1") < F.col("x")) & (F.col("label") != "") & (F.length("label") < 60)
     return b.where(ok & ~is_form_label(F.col("label")) & ~is_noise(F.col("value")) & ~is_form_label(F.col("value"))).select("doc_id", "pos", "label", "value")
 
@@ -43,7 +43,7 @@ def adjacent(blocks: DataFrame) -> DataFrame:
 def prominent_name(blocks: DataFrame) -> DataFrame:
     """LAY5: doc_id, name: of the 15 largest blocks of the first page the first whose first line is a name in large or bold type."""
     order = Window.partitionBy("doc_id").orderBy(F.col("font_size").desc(), "y0", "block_no")
-    line = F.trim(F.substring_index("text", "\n", 1))
+    line = strip(F.substring_index("text", "\n", 1))
     top = blocks.where("page = 0").withColumn("rank", F.row_number().over(order)).where("rank <= 15").withColumn("name", line)
     large = (F.col("font_size") >= 13) | (F.col("is_bold") & (F.col("font_size") >= 11))
     return top.where(large & is_name(F.col("name"))).groupBy("doc_id").agg(F.min_by("name", "rank").alias("name"))

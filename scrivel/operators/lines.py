@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivel.functions import rules as R
-from scrivel.functions.text import bound, contains_any, is_form_label, is_noise, label
+from scrivel.functions.text import bound, contains_any, is_form_label, is_noise, label, strip
 from scrivel.operators import matching
 
 
@@ -30,13 +30,13 @@ def colon_pairs(lines: DataFrame) -> DataFrame:
     the line itself is clean and has no colon, so the lines fall into runs of any length; one sort by document, no look-ahead.
     """
     c, order = F.col, Window.partitionBy("doc_id").orderBy("line_no")
-    b = lines.withColumn("line", F.trim("line")).where("line != ''").select("doc_id", "line_no", "line").withColumn("clean", _clean(c("line")))
+    b = lines.withColumn("line", strip("line")).where("line != ''").select("doc_id", "line_no", "line").withColumn("clean", _clean(c("line")))
     b = b.withColumns({"more": F.coalesce(F.lag("line").over(order).rlike(r",\s*$") & c("clean") & ~c("line").contains(":"), F.lit(False)), "next": F.when(F.lead("clean").over(order), F.lead("line").over(order))})
     b = b.withColumn("run", F.count_if(~c("more")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     tail = F.array_sort(F.collect_list(F.when(c("more"), F.struct("line_no", "line"))))
     head = lambda k: F.max(F.when(~c("more"), c(k))).alias(k)
     runs = b.groupBy("doc_id", "run").agg(F.min("line_no").alias("pos"), head("line"), head("next"), F.bool_or(~c("more") & c("clean")).alias("clean"), tail.alias("tail"))
-    runs = runs.where(c("clean") & c("line").contains(":")).withColumns({"label": F.trim(F.substring_index("line", ":", 1)), "first": F.trim(F.regexp_replace("line", "^[^:]*:", ""))})
+    runs = runs.where(c("clean") & c("line").contains(":")).withColumns({"label": strip(F.substring_index("line", ":", 1)), "first": strip(F.regexp_replace("line", "^[^:]*:", ""))})
     going = F.array_join(F.concat(F.array("first"), c("tail")["line"]), " ")
     value = F.when(c("first") != "", F.when(F.length("label") < 60, going)).otherwise(c("next"))
     return runs.where((c("label") != "") & _clean(c("label"))).select("doc_id", "pos", "label", value.alias("value")).where("value is not null")
@@ -44,7 +44,7 @@ def colon_pairs(lines: DataFrame) -> DataFrame:
 
 def line_pairs(blocks: DataFrame) -> DataFrame:
     """WIN8: blocks of two lines or more without a colon are label and value in turn."""
-    ls = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    ls = F.filter(F.transform(F.split("text", "\n"), lambda x: strip(x)), lambda x: x != "")
     b = blocks.withColumn("ls", ls).where((F.size("ls") >= 2) & ~F.exists("ls", lambda x: x.contains(":")))
     b = b.select("doc_id", "block_no", "ls", F.posexplode("ls").alias("line_no", "label")).where((F.col("line_no") % 2 == 0) & (F.col("line_no") + 1 < F.size("ls")))
     b = b.withColumn("value", F.get("ls", F.col("line_no") + 1))
@@ -73,8 +73,8 @@ def first_by(rows: DataFrame, keys: list[Column], order: list[str]) -> DataFrame
 
 def section_of(lines: DataFrame) -> DataFrame:
     """WIN1, TVF20: adds header (the section that a header line opens) and section (of the lines below it)."""
-    text = F.trim(F.replace("line", F.lit("[SECTION]"), F.lit("")))
-    marked = F.trim("line").startswith("[SECTION]")
+    text = strip(F.replace("line", F.lit("[SECTION]"), F.lit("")))
+    marked = strip("line").startswith("[SECTION]")
 
     def named(norm: Column) -> Column:
         words = F.size(F.split(norm, " "))
@@ -98,7 +98,7 @@ def entries(sections: DataFrame, text: str = "text") -> DataFrame:
     search = lambda c, p: c.rlike(p)
 
     def step(a: Column, raw: Column) -> Column:
-        s = F.trim(raw)
+        s = strip(raw)
         stop = (s == "") | s.startswith("---") | s.startswith("===") | s.startswith("***")
         bullet = s.rlike(R.BULLET)
         header = (F.upper(F.left(s, F.lit(1))) == F.left(s, F.lit(1))) & (F.lower(F.left(s, F.lit(1))) != F.left(s, F.lit(1)))

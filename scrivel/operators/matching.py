@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from scrivel.functions import rules as R
 from scrivel.functions.fuzzy import wratio
-from scrivel.functions.text import bound, fold, label
+from scrivel.functions.text import bound, fold, label, strip
 from scrivel.streaming.shared import prepare, written
 
 FUZZY_FLOOR = 70.0
@@ -93,9 +93,9 @@ def assign_fields(pairs: DataFrame) -> DataFrame:
 
 def picklist_index(values: DataFrame) -> DataFrame:
     """JOIN4: picklist_id, key, option_id, label: active values by lower and folded English, local and external names; later rows overwrite."""
-    low = lambda c: F.trim(F.lower(c))
+    low = lambda c: strip(F.lower(c))
     active = values.where("status = 'A'")  # FLT6
-    names = F.array(*(f(F.col(c)) for c in ("label_en", "label_vi", "external_code") for f in (low, lambda c: F.trim(fold(c)))))
+    names = F.array(*(f(F.col(c)) for c in ("label_en", "label_vi", "external_code") for f in (low, lambda c: strip(fold(c)))))
     keyed = active.select("picklist_id", "ordinal", "option_id", F.explode(names).alias("key")).where("key is not null and key not in ('', 'nodata')")
     return keyed.groupBy("picklist_id", "key").agg(F.max_by("option_id", "ordinal").alias("option_id"))
 
@@ -111,7 +111,7 @@ def match_picklist(rows: DataFrame, values: DataFrame, fuzzy: bool = True) -> Da
     spark, c = prepare(rows.sparkSession), F.col
     index = picklist_index(values).select("picklist_id", "key", F.nullif("option_id", F.lit("")).alias("opt"))
     longer = F.create_map(*(x for a, xs in R.ABBREVIATIONS.items() for x in (F.lit(a), F.array(*map(F.lit, xs)))))
-    forms = F.array(F.trim(F.lower("text")), F.trim(fold(c("text"))))
+    forms = F.array(strip(F.lower("text")), strip(fold(c("text"))))
     plain = F.transform("forms", lambda x, k: F.struct(k.alias("form"), F.lit(0).alias("place"), x.alias("key")))
     expanded = F.flatten(F.transform("forms", lambda x, k: F.transform(F.coalesce(F.try_element_at(longer, x), F.expr("cast(array() as array<string>)")), lambda y, n: F.struct((k + 2).alias("form"), n.alias("place"), y.alias("key")))))
     texts = rows.select("picklist_id", "text").where("text is not null").distinct()
@@ -127,7 +127,7 @@ def match_picklist(rows: DataFrame, values: DataFrame, fuzzy: bool = True) -> Da
         rest = texts.join(found, ["picklist_id", "text"], "left_anti").join(listed, "picklist_id").repartition("picklist_id", "text")
         scored = rest.select("picklist_id", "text", F.inline("names")).withColumn("score", _wratio(c("text"), c("name"))).where(c("score") >= FUZZY_FLOOR)
         near = scored.groupBy("picklist_id", "text").agg(F.max_by("name", F.struct("score", -c("ordinal"))).alias("name"))
-        near = near.withColumn("key", F.trim(F.lower("name"))).join(index, ["picklist_id", "key"]).where("opt is not null")
+        near = near.withColumn("key", strip(F.lower("name"))).join(index, ["picklist_id", "key"]).where("opt is not null")
         found = found.unionByName(near.select("picklist_id", "text", c("opt").alias("option_id"), F.lit("fuzzy").alias("how")))
     return rows.join(found, ["picklist_id", "text"], "left")
 

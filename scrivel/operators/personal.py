@@ -24,7 +24,7 @@ def nobody(text: Column) -> Column:
 
 def recognised(text: Column, recognise: Recogniser = nobody) -> Column:
     """TVF19, FLT3, FLT4: the first recognised name in the head of a text that reads like one and begins with a family name."""
-    names = F.transform(recognise(F.left(text, F.lit(HEAD))), lambda x: F.trim(x))
+    names = F.transform(recognise(F.left(text, F.lit(HEAD))), lambda x: T.strip(x))
     return F.get(F.filter(names, lambda x: T.is_name(x) & T.is_family_name_first(x)), F.lit(0))
 
 

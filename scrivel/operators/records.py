@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scrivel.functions import rules as R
 from scrivel.functions.dates import date_string
+from scrivel.functions.text import strip
 
 MARKS = ["correct", "wrong", "partial", "missing"]
 
@@ -25,7 +26,7 @@ def split_schema(field_defs: DataFrame) -> DataFrame:
 def typed(value: Column, option_id: Column, field_type: Column, nested: Column) -> Column:
     """JSN3: the output text of a value by field type; words for still-going dates mean the far future in sections only."""
     picked = F.coalesce(F.nullif(option_id, F.lit("")), value)
-    still = ~nested & F.lower(F.trim(value)).isin(R.ONGOING)
+    still = ~nested & F.lower(strip(value)).isin(R.ONGOING)
     # bound once: every date pattern would repeat the whole expression otherwise, beyond what a generated method holds
     day = F.get(F.transform(F.array(F.when((field_type == "DateTime") & ~still, value)), lambda x: date_string(x, True)), F.lit(0))
     return F.when(field_type == "Picklist", picked).when(field_type == "DateTime", F.coalesce(day, value)).when((field_type == "Boolean") & ~nested, F.lower(value)).otherwise(value)
@@ -101,7 +102,7 @@ def json_paths(rows: DataFrame, column: str) -> DataFrame:
 
 def issue_categories(issues: DataFrame, most: int = 10) -> DataFrame:
     """AGG8, SRT3: the most frequent texts before a colon; ties to the first seen (column seen), then by name."""
-    by = issues.withColumn("category", F.trim(F.substring_index("issue", ":", 1))).groupBy("category").agg(F.count("*").alias("n"), F.min("seen").alias("seen"))
+    by = issues.withColumn("category", strip(F.substring_index("issue", ":", 1))).groupBy("category").agg(F.count("*").alias("n"), F.min("seen").alias("seen"))
     return by.orderBy(F.col("n").desc(), "seen", "category").limit(most)
 
 

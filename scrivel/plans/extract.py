@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivel.functions import rules as R
-from scrivel.functions.text import contains_any, fold, is_form_label, is_noise
+from scrivel.functions.text import contains_any, fold, is_form_label, is_noise, strip
 from scrivel.operators import grids, layout, lines, parsers, personal
 from scrivel.streaming.shared import shared_dir, written
 
@@ -45,9 +45,9 @@ def section_texts(ls: DataFrame) -> DataFrame:
     """WIN1, TVF20: doc_id, sec_no, section, text from lines (doc_id, line_no, line): marked lines inside stay in experience and education only."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
     s = lines.section_of(ls).withColumn("sec_no", F.count("header").over(w)).where("section is not null")
-    line = F.trim("line")
+    line = strip("line")
     marked = line.startswith("[SECTION]")
-    bare = F.trim(F.replace(line, F.lit("[SECTION]"), F.lit("")))
+    bare = strip(F.replace(line, F.lit("[SECTION]"), F.lit("")))
     keep = F.when(marked, F.col("section").isin(INNER_BOLD) & (bare != "")).otherwise(~is_noise(line) & ~is_form_label(line))
     rows = s.where(keep).withColumn("kept", F.struct("line_no", F.when(marked, bare).otherwise(line).alias("t")))
     return rows.groupBy("doc_id", "sec_no", "section").agg(F.array_join(F.array_sort(F.collect_list("kept"))["t"], "\n").alias("text"))
@@ -104,7 +104,7 @@ def table_entries(tables: DataFrame) -> DataFrame:
     entry = lambda frame, section, *keys: frame.select("doc_id", F.lit(section).alias("section"), c("row_no").alias("entry_no"), _filled(*keys))
     jobs = parsers.experience_table(of("experience")).withColumn("nth", F.expr("row_no div 1000000"))
     jobs = jobs.withColumn("least", F.min("nth").over(doc)).where("nth = least")
-    first, last = F.trim(F.get("cells", F.lit(0))), F.trim(F.element_at("cells", -1))
+    first, last = strip(F.get("cells", F.lit(0))), strip(F.element_at("cells", -1))
     is_word = lambda x: (x != "") & ~F.lower(x).isin(R.NON_LANGUAGES)
     more = of("language_more").select("doc_id", "row_no", first.alias("language"), F.when(is_word(last) & (last != first), last).alias("remark")).where(is_word(c("language")))
     out = entry(jobs, "experience", "startTitle", "employer", "startDate", "endDate")
@@ -120,7 +120,7 @@ def move_degrees(entries: DataFrame) -> DataFrame:
     part = F.try_element_at(F.filter(F.split(name, r"\s*[—–-]\s*"), lambda x: contains_any(F.lower(x), R.ACADEMIES)), F.lit(-1))
     e = entries.withColumn("has", F.max((c("section") == "education").cast("int")).over(doc) == 1)
     e = e.withColumn("degree_like", ~c("has") & (c("section") == "certificates") & F.concat_ws(" ", name, more).rlike(R.DEGREE_WORDS))
-    e = e.withColumns({"degree": F.when(c("degree_like"), F.nullif(F.regexp_extract(name, R.DEGREE_WORDS, 1), F.lit(""))), "otherSchool": F.when(c("degree_like"), F.trim(F.regexp_replace(part, r"\([\d\-–—]+\)", "")))})
+    e = e.withColumns({"degree": F.when(c("degree_like"), F.nullif(F.regexp_extract(name, R.DEGREE_WORDS, 1), F.lit(""))), "otherSchool": F.when(c("degree_like"), strip(F.regexp_replace(part, r"\([\d\-–—]+\)", "")))})
     moves = F.coalesce("degree", "otherSchool").isNotNull()
     e = e.withColumn("any", F.max(moves.cast("int")).over(doc) == 1).where(~c("any") | ~c("degree_like") | moves)
     return e.select("doc_id", F.when(moves, "education").otherwise(c("section")).alias("section"), "entry_no", F.when(moves, _filled("degree", "otherSchool")).otherwise(c("keys")).alias("keys"))
@@ -128,7 +128,7 @@ def move_degrees(entries: DataFrame) -> DataFrame:
 
 def pair_languages(pairs: DataFrame) -> DataFrame:
     """TVF7: doc_id, sec_no, section, entry_no, keys, moved: languages listed behind labels for them. They come after all sections, in the order of the pairs."""
-    said = pairs.where(F.trim(fold(F.col("label"))).isin(R.LANGUAGE_KEYS))
+    said = pairs.where(strip(fold(F.col("label"))).isin(R.LANGUAGE_KEYS))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("long") + F.lit(1 << 40)
     got = parsers.inline_languages(said.select(F.struct("doc_id", nth.alias("sec_no")).alias("doc_id"), "value"))
     return got.select("doc_id.*", F.lit("languages").alias("section"), F.col("pos").cast("long").alias("entry_no"), _filled("language", "remark"), F.lit(False).alias("moved"))
@@ -157,7 +157,7 @@ def section_entries(ls: DataFrame, tables: DataFrame | None = None, pairs: DataF
     ok = F.lit(True)
     for k in ("languages", "awards", "certificates", "experience", "education"):
         ok = ok & ((c("section") != k) | F.coalesce(parsers.clean_entries(k), F.lit(False)))
-    e = e.where(ok).withColumn("key", F.when(c("section") == "languages", F.trim(fold(c("language")))))
+    e = e.where(ok).withColumn("key", F.when(c("section") == "languages", strip(fold(c("language")))))
     again = F.row_number().over(Window.partitionBy("doc_id", "section", "key").orderBy("sec_no", "entry_no"))
     e = e.withColumn("nth", again).where((c("section") != "languages") | (c("nth") == 1))
     order = Window.partitionBy("doc_id", "section").orderBy("sec_no", "entry_no")

@@ -27,6 +27,10 @@ def pick(number: str, *options: str) -> str:
     return f"CASE ({number}) % {len(options)} {cases} END"
 
 
+#: White space of many kinds for made texts.
+TAB, NBSP, CR, WIDE = "\t", "\u00a0", "\r", "\u2003"
+
+
 def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

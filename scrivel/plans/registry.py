@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scrivel.functions import rules as R
+from scrivel.functions.text import SPACES
 from scrivel.plans.inputs import q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,13 +46,15 @@ def sql_first(column: str, table: dict[str, str]) -> str:
     return "CASE " + " ".join(f"WHEN contains({column}, {q(k)}) THEN {q(v)}" for k, v in table.items()) + " END"
 
 
-NOISE_SQL = lambda x: f"(trim({x}) = '' OR {sql_any(f'trim({x})', R.NOISE)})"
-LABEL_SQL = lambda x: f"(trim({x}) <> '' AND {sql_any(f'trim({x})', R.FORM_LABELS)})"
+#: Without white space of any kind at both ends.
+STRIP_SQL = lambda x: f"trim({x}, {q(SPACES)})"
+NOISE_SQL = lambda x: f"({STRIP_SQL(x)} = '' OR {sql_any(STRIP_SQL(x), R.NOISE)})"
+LABEL_SQL = lambda x: f"({STRIP_SQL(x)} <> '' AND {sql_any(STRIP_SQL(x), R.FORM_LABELS)})"
 CLEAN_SQL = lambda x: f"(NOT {NOISE_SQL(x)} AND NOT {LABEL_SQL(x)})"
 FOLD_SQL = lambda x: f"lower(strip_accents({x}))"
 NORM_SQL = lambda x: f"trim(regexp_replace(regexp_replace({FOLD_SQL(x)}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 #: The data lines of a text as a list.
-DATA_SQL = lambda x: f"list_filter(list_transform(string_split({x}, chr(10)), lambda x: trim(x)), lambda x: {CLEAN_SQL('x')})"
+DATA_SQL = lambda x: f"list_filter(list_transform(string_split({x}, chr(10)), lambda x: {STRIP_SQL('x')}), lambda x: {CLEAN_SQL('x')})"
 NAME_SQL = lambda x: (
     f"(NOT {sql_holds(FOLD_SQL(x), [*R.NAME_PHRASES, *R.ORG_WORDS])} AND NOT regexp_matches({x}, '[@*#{{}}\\[\\]()=+<>]') AND len(list_filter(regexp_split_to_array(trim({x}), '\\s+'), lambda w: w <> '')) BETWEEN 2 AND 6"
     f" AND len(list_filter(regexp_split_to_array(trim({x}), '\\s+'), lambda w: length(w) > 15)) = 0 AND len(list_filter(regexp_split_to_array(trim({x}), '\\s+'), lambda w: regexp_matches(w, '^\\p{{L}}+$'))) >= 2"

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivel.functions import rules as R
+from scrivel.functions.text import strip
 from scrivel.sources import sheets
 from scrivel.streaming.shared import prepare, written
 
@@ -121,7 +122,7 @@ def field_definitions(spark: SparkSession, path: str) -> DataFrame:
     if path.lower().endswith(".xlsx"):
         return sheets.field_definitions(spark, path)
     raw = spark.read.option("header", True).schema("ordinal int, field_id string, field_type string, label string, picklist_id string, required string, remarks string, sample_value string").csv(path)
-    return raw.where(F.trim("field_id") != "").withColumn("required", F.upper(F.trim(F.coalesce("required", F.lit("")))) == "Y")
+    return raw.where(strip("field_id") != "").withColumn("required", F.upper(strip(F.coalesce("required", F.lit("")))) == "Y")
 
 
 def picklists(spark: SparkSession, path: str) -> DataFrame:
@@ -129,7 +130,7 @@ def picklists(spark: SparkSession, path: str) -> DataFrame:
     if path.lower().endswith(".xlsx"):
         return sheets.picklists(spark, path)
     raw = spark.read.option("header", True).schema("picklist_id string, ordinal int, external_code string, label_vi string, label_en string, option_id string, status string").csv(path)
-    return raw.withColumn("status", F.coalesce(F.nullif(F.trim("status"), F.lit("")), F.lit("A"))).withColumn("option_id", F.regexp_replace(F.coalesce("option_id", F.lit("")), r"\.0+$", ""))
+    return raw.withColumn("status", F.coalesce(F.nullif(strip("status"), F.lit("")), F.lit("A"))).withColumn("option_id", F.regexp_replace(F.coalesce("option_id", F.lit("")), r"\.0+$", ""))
 
 
 def json_records(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
