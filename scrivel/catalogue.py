@@ -330,10 +330,10 @@ def join4_join5_join7_flt6_picklist(spark, sf):
     return matching.match_picklist(_ASKED[0](spark, sf), _NATIONS[0](spark, sf), fuzzy=False)
 
 
-_TYPOS = made("customer", picklist_id="'x'", text=pick("c_custkey", q("NATON_3"), q("Nation_12x"), q("ntion_4"), q("zzzz"), q("nation 15")))
+_TYPOS = made("customer", picklist_id="'x'", text=pick("c_custkey", f"concat('NATON_', {KEY})", f"concat('Nation_', {KEY}, 'x')", f"concat('ntion_', {KEY})", f"concat('zzzz', {KEY})", f"concat('nation ', {KEY})"))
 
 
-@query("""SELECT 'x' AS picklist_id, t AS text, n_name AS name, CAST(levenshtein(lower(t), lower(n_name)) AS INTEGER) AS edits FROM (VALUES ('NATON_3'), ('Nation_12x'), ('ntion_4'), ('zzzz'), ('nation 15')) v(t), nation WHERE levenshtein(lower(t), lower(n_name)) <= 2 QUALIFY row_number() OVER (PARTITION BY t ORDER BY edits, n_nationkey) = 1""")
+@query(f"""SELECT 'x' AS picklist_id, text, n_name AS name, CAST(levenshtein(lower(text), lower(n_name)) AS INTEGER) AS edits FROM (SELECT DISTINCT text FROM {_TYPOS[1]}), nation WHERE levenshtein(lower(text), lower(n_name)) <= 2 QUALIFY row_number() OVER (PARTITION BY text ORDER BY edits, n_nationkey) = 1""")
 def join6_levenshtein(spark, sf):
     names = _NATIONS[0](spark, sf).select(F.lit("x").alias("picklist_id"), "ordinal").withColumn("k", c("ordinal")).join(table(spark, sf, "nation").select(c("n_nationkey").alias("k"), c("n_name").alias("name")), "k").drop("k")
     return matching.levenshtein_best(_TYPOS[0](spark, sf).distinct(), names, 2)
@@ -568,4 +568,4 @@ def orc2_orc3_agg3_join10_dt5_results(spark, sf):
 
 
 # the other parts of the register
-from scrivel import catalogue_pages, catalogue_reports, catalogue_sections  # noqa: E402,F401
+from scrivel import catalogue_fuzzy, catalogue_pages, catalogue_reports, catalogue_sections  # noqa: E402,F401

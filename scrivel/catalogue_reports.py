@@ -39,7 +39,7 @@ def join3_join8_assign(spark, sf):
 
 
 # -- fuzzy picklists: labels and texts of one length class, so that whole and sorted tokens decide --------------------------
-_NATIONS = made("nation", picklist_id="'country'", ordinal="cast(n_nationkey as int)", external_code="concat('C', cast(n_nationkey as string))", label_vi="lower(n_name)", label_en="n_name", option_id="CASE WHEN n_nationkey = 6 THEN '' ELSE cast(100 + n_nationkey as string) END", status="CASE WHEN n_nationkey = 7 THEN 'I' ELSE 'A' END")
+_NATIONS = made("nation", picklist_id="'country'", ordinal="cast(n_nationkey as int)", external_code="cast(null as string)", label_vi="lower(n_name)", label_en="n_name", option_id="CASE WHEN n_nationkey = 6 THEN '' ELSE cast(100 + n_nationkey as string) END", status="CASE WHEN n_nationkey = 7 THEN 'I' ELSE 'A' END")
 _N = "cast(c_custkey % 23 as string)"
 _ASKED = made("customer", id="c_custkey", picklist_id="'country'", text=pick("c_custkey", "concat('Nation_', " + _N + ")", "concat(' NATION_', " + _N + ", ' ')", "concat('NATON ', " + _N + ")", "concat('ntion_', " + _N + ")", "concat(" + _N + ", ' NATON')", "concat('XATIO_', " + _N + ")", q("zzzzzzzz"), "concat('nAtIoN_', " + _N + ")", "cast(null as string)", "concat('NATI0N-', " + _N + ")"))
 

@@ -8,14 +8,12 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scrivel.functions import rules as R
-from scrivel.functions.fuzzy import wratio
 from scrivel.functions.text import bound, fold, label, strip
+from scrivel.operators import fuzzy_join
 from scrivel.streaming.shared import prepare, written
 
 FUZZY_FLOOR = 70.0
@@ -105,7 +103,8 @@ def match_picklist(rows: DataFrame, values: DataFrame, fuzzy: bool = True) -> Da
 
     Each distinct text is looked up once, under all its forms in one join: as it is and folded, then the expansions of both as
     abbreviations. Of a form the first expansion that the picklist has counts, of the forms the first that gives an option.
-    Fuzzy scores are worked out for what nothing cheaper matched, against the values of the text's own picklist. Null texts
+    Fuzzy scores are worked out for what nothing cheaper matched, against those labels of the text's own picklist that can reach the floor
+    (`fuzzy_join`); ties of a score go to the earlier value, then to the greater label. Null texts
     match nothing; repeated rows match alike; the size of the dictionary is checked by Spark before it broadcasts it.
     """
     spark, c = prepare(rows.sparkSession), F.col
@@ -121,12 +120,11 @@ def match_picklist(rows: DataFrame, values: DataFrame, fuzzy: bool = True) -> Da
     found = best.select("picklist_id", "text", c("b.opt").alias("option_id"), F.when(c("b.form") < 2, "exact").otherwise("abbreviation").alias("how"))
     if fuzzy:
         found = written(found, "matched")
-        labels = values.where("status = 'A'").select("picklist_id", "ordinal", F.explode(F.array("label_en", "label_vi")).alias("name")).where("name is not null and name != ''").distinct()
-        # texts of one picklist are dealt over all tasks, with the picklist's labels gathered once
-        listed = labels.groupBy("picklist_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "name"))).alias("names"))
-        rest = texts.join(found, ["picklist_id", "text"], "left_anti").join(listed, "picklist_id").repartition("picklist_id", "text")
-        scored = rest.select("picklist_id", "text", F.inline("names")).withColumn("score", _wratio(c("text"), c("name"))).where(c("score") >= FUZZY_FLOOR)
-        near = scored.groupBy("picklist_id", "text").agg(F.max_by("name", F.struct("score", -c("ordinal"))).alias("name"))
+        labels = values.where("status = 'A'").select("picklist_id", "ordinal", F.explode(F.array("label_en", "label_vi", "external_code")).alias("name"))
+        labels = labels.where("name != '' and lower(name) != 'nodata'").groupBy("picklist_id", "name").agg(F.min("ordinal").alias("ordinal"))
+        rest = texts.join(found, ["picklist_id", "text"], "left_anti")
+        scored = fuzzy_join.similar(rest, labels, FUZZY_FLOOR).join(labels, ["picklist_id", "name"])
+        near = scored.groupBy("picklist_id", "text").agg(F.max_by("name", F.struct("score", -c("ordinal"), "name")).alias("name"))
         near = near.withColumn("key", strip(F.lower("name"))).join(index, ["picklist_id", "key"]).where("opt is not null")
         found = found.unionByName(near.select("picklist_id", "text", c("opt").alias("option_id"), F.lit("fuzzy").alias("how")))
     return rows.join(found, ["picklist_id", "text"], "left")
@@ -135,16 +133,11 @@ def match_picklist(rows: DataFrame, values: DataFrame, fuzzy: bool = True) -> Da
 def fuzzy_top(texts: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
     """JOIN6, SRT4: picklist_id, text, rank, name, score: the best names (picklist_id, ordinal, name) of each distinct text, ties to the earlier name."""
     prepare(texts.sparkSession)
-    scored = texts.select("picklist_id", "text").distinct().join(names, "picklist_id").withColumn("score", _wratio(F.col("text"), F.col("name")))
+    scored = texts.select("picklist_id", "text").distinct().join(names, "picklist_id").withColumn("score", fuzzy_join.score("text", "name"))
     w = Window.partitionBy("picklist_id", "text").orderBy(F.col("score").desc(), "ordinal")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("picklist_id", "text", "rank", "name", "score")
 
 
-@F.pandas_udf(T.DoubleType())
-def _wratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([wratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 def levenshtein_best(texts: DataFrame, names: DataFrame, most: int) -> DataFrame:
     """JOIN6, with Spark's own distance: the nearest name within `most` edits, for each (picklist_id, text); the length is checked before."""
     pairs = texts.join(names, "picklist_id").where(F.abs(F.length("text") - F.length("name")) <= most)
