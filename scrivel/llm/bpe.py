@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -37,7 +38,7 @@ class Vocabulary:
 
     _open: dict[tuple[str, str], Vocabulary] = {}
 
-    def __init__(self, path: str, pattern: str, limit: int = 300_000):
+    def __init__(self, path: str, pattern: str, limit: int = 400_000):
         self.ranks: dict[bytes, int] = {}
         with open(path, "rb") as lines:
             for line in lines:
@@ -45,24 +46,14 @@ class Vocabulary:
                     token, rank = line.split()
                     self.ranks[base64.b64decode(token)] = int(rank)
         self.tokens: dict[int, bytes] = {rank: token for token, rank in self.ranks.items()}
+        self.sizes = {rank: len(token) for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
         self.split_at, self.limit = regex.compile(pattern), limit
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
-        self.down: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
-        for token, rank in self.ranks.items():
-            at = 0
-            for byte in reversed(token):
-                step = self.down[at].get(byte)
-                if step is None:
-                    step = self.down[at][byte] = len(self.down)
-                    self.down.append({})
-                    self.ends.append(-1)
-                at = step
-            self.ends[at] = rank
+        self.long: list[str] = []
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Vocabulary:
@@ -71,6 +62,19 @@ class Vocabulary:
             cls._open[path, pattern] = cls(path, pattern)
         return cls._open[path, pattern]
 
+    @cached_property
+    def backwards(self) -> list:
+        """The tokens from their last bytes on, as nodes [rank or -1, children by byte]."""
+        root: list = [-1, {}]
+        for token, rank in self.ranks.items():
+            node = root
+            for byte in reversed(token):
+                if byte not in node[1]:
+                    node[1][byte] = [-1, {}]
+                node = node[1][byte]
+            node[0] = rank
+        return root
+
     def merged(self, token: bytes) -> tuple[int, int] | None:
         """The two tokens whose merge is the last to make this one; None for a single byte, and for a token that its own bytes don't merge to."""
         parts = [token[k : k + 1] for k in range(len(token))]
@@ -92,17 +96,13 @@ class Vocabulary:
         return len(self.tokens[rank]) == 1 or self.halves_of(rank) is not None
 
     def fit(self, left: int, right: int) -> bool:
-        """Whether the encoding of both tokens' bytes is these two tokens.
+        """Whether the encoding of both tokens' bytes is these two tokens; left is -1 where right begins a piece.
 
         The merges that made them are undone from the latest. At each step the two tokens at the seam must not merge with
         each other earlier than the merge that was just undone; of equal ranks the place more to the left merges first.
         """
-        key = (left, right)
-        got = self.pairs.get(key)
-        if got is not None:
-            return got
-        a, b, before, good = left, right, NO_TOKEN, True
-        while True:
+        a, b, before, good = left, right, NO_TOKEN, self.usable(right)
+        while good and left >= 0:
             if self.ranks.get(self.tokens[a] + self.tokens[b], NO_TOKEN) < before:
                 good = False
                 break
@@ -116,24 +116,27 @@ class Vocabulary:
                 before, b = b + 1, two[0]
         if len(self.pairs) >= 4 * self.limit:
             self.pairs.clear()
-        self.pairs[key] = good
+        self.pairs[left << 32 | right] = good
         return good
 
     def extend(self, last: array, data: bytes, upto: int | None = None) -> array:
         """Continues the table of last tokens of prefixes of `data` from where it ends."""
-        down, ends, tokens, fit, usable = self.down, self.ends, self.tokens, self.fit, self.usable
+        first, sizes, pairs, fit = self.backwards[1], self.sizes, self.pairs, self.fit
         for i in range(len(last), len(data) if upto is None else upto):
-            at, k, found = 0, i, []
+            children, k, found = first, i, []
             while k >= 0:
-                at = down[at].get(data[k], -1)
-                if at < 0:
+                node = children.get(data[k])
+                if node is None:
                     break
-                if ends[at] >= 0:
-                    found.append(ends[at])
+                rank, children = node
+                if rank >= 0:
+                    found.append(rank)
                 k -= 1
             for rank in reversed(found):
-                start = i - len(tokens[rank])
-                if usable(rank) and (start < 0 or fit(last[start], rank)):
+                start = i - sizes[rank]
+                before = last[start] if start >= 0 else -1
+                good = pairs.get(before << 32 | rank)
+                if good or good is None and fit(before, rank):
                     last.append(rank)
                     break
             else:
@@ -147,26 +150,45 @@ class Vocabulary:
         out, at = [], len(data) - 1
         while at >= 0:
             out.append(last[at])
-            at -= len(self.tokens[last[at]])
+            at -= self.sizes[last[at]]
         return out[::-1]
 
-    def piece(self, text: str) -> list[int]:
-        got = self.known.get(text)
-        if got is None:
-            got = self.older.get(text)
-            if got is None:
-                data = text.encode("utf-8", "replace")
-                rank = self.ranks.get(data)
-                got = [rank] if rank is not None else self.read(self.extend(array("i"), data), data)
-            if len(text) <= KNOWN_CHARS:
-                if len(self.known) >= self.limit // 2:
-                    self.older, self.known = self.known, {}
-                self.known[text] = got
-        return got
-
-    def encode(self, text: str) -> np.ndarray:
-        known, piece = self.known.get, self.piece
-        return np.fromiter(chain.from_iterable(known(p) or piece(p) for p in self.split_at.findall(text)), dtype=np.int32)
+    def learn(self, pieces: set[str]) -> None:
+        """Makes the encodings of all these pieces known. In order of their bytes, each takes the table of what it shares with the one before."""
+        if len(self.known) > self.limit // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = []
+        for p in pieces:
+            if p not in known:
+                if p in older:
+                    known[p] = older[p]
+                else:
+                    new.append((p.encode("utf-8", "replace"), p))
+                    if len(p) > KNOWN_CHARS:
+                        self.long.append(p)
+        last, before = array("i"), b""
+        for data, p in sorted(new):
+            rank = self.ranks.get(data)
+            if rank is not None:
+                known[p] = [rank]
+                continue
+            same, most = 0, min(len(data), len(before))
+            while same < most and data[same] == before[same]:
+                same += 1
+            del last[same:]
+            known[p] = self.read(self.extend(last, data), data)
+            before = data
+
+    def encode(self, *texts: str) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [self.split_at.findall(t) for t in texts]
+        self.learn(set().union(*split))
+        ids = [np.fromiter(chain.from_iterable(map(self.known.__getitem__, pieces)), dtype=np.int32) for pieces in split]
+        for p in self.long:
+            del self.known[p]
+        self.long.clear()
+        return ids
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -263,8 +285,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_column: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary.of(ranks, pattern)
         for whole in batches:
-            for batch in slices(whole, "text", 1_000_000):
-                ids = [words.encode(t.decode("utf-8", "replace")) for t in text_bytes(batch.column("text"))]
+            for batch in slices(whole, "text", 4_000_000):
+                ids = words.encode(*(t.decode("utf-8", "replace") for t in text_bytes(batch.column("text"))))
                 at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), flat)], ["doc_id", "ids"])
