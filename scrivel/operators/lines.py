@@ -93,27 +93,66 @@ def grid_rows(cells: DataFrame, width: int) -> DataFrame:
     return rows.where(F.size("cells") == width)
 
 
+#: Lines that one inner fold takes. Its marks are put behind those before once a chunk, so a text of n lines costs about n steps.
+CHUNK = 512
+_DASH, _NOW = "[-–—]", r"(?:\d{4}|nay|present|current|hien tai|hiện tại)"
+#: A year range may go over lines, as they are joined by spaces: what may stand at the end of one line (1 to 4), and how the next goes on.
+_TAILS = {1: r"\d{4}$", 2: rf"\d{{4}}\s*{_DASH}$", 3: rf"(?iu)\d{{4}}\s*{_DASH}\s*hien$", 4: rf"(?iu)\d{{4}}\s*{_DASH}\s*hiện$"}
+_GO_ON = {(1, 2): rf"^{_DASH}$", (1, 3): rf"(?iu)^{_DASH}\s*hien$", (1, 4): rf"(?iu)^{_DASH}\s*hiện$", (2, 3): "(?iu)^hien$", (2, 4): "(?iu)^hiện$"}
+_ENDS = {1: rf"(?iu)^{_DASH}\s*{_NOW}", 2: rf"(?iu)^{_NOW}", 3: "(?iu)^tai", 4: "(?iu)^tại"}
+
+
+def _line_marks(s: Column) -> Column:
+    """What a line means to the machine: stop, bullet, header, year (it holds a range), and how it takes part in a range over lines."""
+    first = F.left(s, F.lit(1))
+    year = s.rlike(R.YEAR_RANGE)
+    header = (F.upper(first) == first) & (F.lower(first) != first) & (year | s.contains("|") | s.rlike(R.DATE) | (F.length(s) < 60))
+    pick = lambda ways: F.coalesce(*(F.when(s.rlike(p), k) for k, p in ways.items()), F.lit(0))
+    go_on = lambda k: pick({to: p for (at, to), p in _GO_ON.items() if at == k})
+    return F.struct(
+        ((s == "") | s.startswith("---") | s.startswith("===") | s.startswith("***")).alias("stop"), s.rlike(R.BULLET).alias("bullet"), header.alias("header"), year.alias("year"),
+        pick(dict(reversed(_TAILS.items()))).alias("tail"), go_on(1).alias("from1"), go_on(2).alias("from2"), F.array(*(s.rlike(p) for p in _ENDS.values())).alias("ends"),
+    )
+
+
+def _step(a: Column, m: Column) -> Column:
+    """The machine: whether an entry is open, has had a bullet, has a year range, or half of one; `out` gets 0 (no entry), 1 (goes on) or 2 (begins)."""
+    fresh = a["open"] & ~m["bullet"] & F.when(a["had"], m["header"]).otherwise(m["year"] & a["year"])
+    begins = ~a["open"] | fresh
+    half = F.when(begins, 0).otherwise(a["half"])
+    year = (~begins & a["year"]) | m["year"] | F.coalesce(F.get(m["ends"], half - 1), F.lit(False))
+    then = F.when(m["tail"] > 0, m["tail"]).when(half == 1, m["from1"]).when(half == 2, m["from2"]).otherwise(0)
+    no = F.lit(False)
+    return F.struct(
+        (~m["stop"]).alias("open"), F.when(m["stop"] | fresh, no).otherwise(a["had"] | m["bullet"]).alias("had"), F.when(m["stop"], no).otherwise(year).alias("year"), F.when(m["stop"], 0).otherwise(then).alias("half"),
+        F.concat(a["out"], F.array(F.when(m["stop"], 0).when(begins, 2).otherwise(1))).alias("out"),
+    )
+
+
+def entry_marks(ls: Column) -> Column:
+    """For each line of an array: 0 if it is in no entry, 2 if it begins one, 1 if it goes on with one."""
+    none = F.array().cast("array<int>")
+    chunks = lambda m: F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / CHUNK).cast("int")), lambda k: F.slice(m, k * CHUNK + 1, F.lit(CHUNK)))
+    start = F.struct(F.lit(False).alias("open"), F.lit(False).alias("had"), F.lit(False).alias("year"), F.lit(0).alias("half"), none.alias("out"))
+
+    def chunk(a: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(a["open"].alias("open"), a["had"].alias("had"), a["year"].alias("year"), a["half"].alias("half"), none.alias("out")), _step)
+        return bound(inner, lambda b: F.struct(b["open"].alias("open"), b["had"].alias("had"), b["year"].alias("year"), b["half"].alias("half"), F.concat(a["out"], b["out"]).alias("out")))
+
+    return bound(F.transform(ls, _line_marks), lambda m: F.aggregate(chunks(m), start, chunk, lambda a: a["out"]))
+
+
 def entries(sections: DataFrame, text: str = "text") -> DataFrame:
-    """WIN2: adds entries, the section's text split at blank lines, rulers, the end of bullets and second year ranges; a fold over lines."""
-    search = lambda c, p: c.rlike(p)
-
-    def step(a: Column, raw: Column) -> Column:
-        s = strip(raw)
-        stop = (s == "") | s.startswith("---") | s.startswith("===") | s.startswith("***")
-        bullet = s.rlike(R.BULLET)
-        header = (F.upper(F.left(s, F.lit(1))) == F.left(s, F.lit(1))) & (F.lower(F.left(s, F.lit(1))) != F.left(s, F.lit(1)))
-        after = a["had"] & ~bullet & header & (search(s, R.YEAR_RANGE) | s.contains("|") | search(s, R.DATE) | (F.length(s) < 60))
-        again = ~a["had"] & ~bullet & (F.size(a["now"]) > 0) & search(s, R.YEAR_RANGE) & search(F.array_join(a["now"], " "), R.YEAR_RANGE)
-        new = (after | again) & (F.size(a["now"]) > 0)
-        flushed = F.when(F.size(a["now"]) > 0, F.concat(a["out"], F.array(F.array_join(a["now"], "\n")))).otherwise(a["out"])
-        none = F.array().cast("array<string>")
-        return F.struct(
-            F.when(stop | new, flushed).otherwise(a["out"]).alias("out"),
-            F.when(stop, none).when(new, F.array(s)).otherwise(F.concat(a["now"], F.array(s))).alias("now"),
-            F.when(stop, F.when(F.size(a["now"]) > 0, F.lit(False)).otherwise(a["had"])).when(new, F.lit(False)).otherwise(a["had"] | bullet).alias("had"),
-        )
-
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("now"), F.lit(False).alias("had"))
-    end = lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["out"], F.array(F.array_join(a["now"], "\n")))).otherwise(a["out"])
-    got = F.aggregate(F.split(text, "\n"), start, step, end)
-    return sections.withColumn("entries", F.when(F.size(got) > 0, got).otherwise(F.array(F.col(text))))
+    """WIN2: adds entries, the section's text split at blank lines, rulers, the end of bullets and second year ranges.
+
+    A machine of a few states goes over what the lines mean, chunk by chunk; entries are the runs of lines that it marks. A null text has one null entry.
+    """
+
+    def cut(ls: Column, marks: Column) -> Column:
+        edges = F.concat(F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.get(marks, i) != 1), F.array(F.size(ls)))
+        runs = lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda k: F.struct(F.get(e, k).alias("i"), F.get(e, k + 1).alias("j")))
+        begun = lambda e: F.filter(runs(e), lambda r: F.get(marks, r["i"]) == 2)
+        return bound(edges, lambda e: F.when(F.size(e) > 1, F.transform(begun(e), lambda r: F.array_join(F.slice(ls, r["i"] + 1, r["j"] - r["i"]), "\n"))))
+
+    got = bound(F.transform(F.split(text, "\n"), strip), lambda ls: bound(entry_marks(ls), lambda marks: cut(ls, marks)))
+    return sections.withColumn("entries", bound(got, lambda e: F.when(F.size(e) > 0, e).otherwise(F.array(F.col(text)))))
