@@ -44,7 +44,9 @@ ENDED_BY = {
     "tr": ({"tr"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
-DROP = frozenset("script style textarea title iframe noembed noframes noscript template head nav footer aside form select option menu dialog svg canvas object audio video fieldset input".split())
+DROP = frozenset("script style textarea title iframe noembed noframes noscript template head nav footer aside select option menu dialog svg canvas object audio video input".split())
+#: Dropped unless most of the page stands in them.
+FORMS = frozenset("form fieldset".split())
 #: Text of a paragraph where they stand in one, controls elsewhere.
 CONTROLS = frozenset("button label".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
@@ -57,18 +59,22 @@ PARTS = frozenset(
 )
 HEADER_WORDS = frozenset("header foot footer tags".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Words for a part of an article or for its readers' comments: these if something below tells of their writers.
+TALK_WORDS = frozenset("discussion discussions responses reactions conversation thread".split())
+WRITER_WORDS = COMMENT_WORDS | frozenset("author avatar user username commenter vote votes upvote byline timestamp posted".split())
 #: A class that begins or ends with one of these tells of a state or a layout.
 STATE_BEGINS = frozenset("no not without with has have is hide show overflow can".split())
 STATE_ENDS = frozenset("open closed on off enabled disabled active allowed hidden visible".split())
 HIDDEN = frozenset("hidden visually-hidden visuallyhidden sr-only screen-reader-text".split())
-MOST_SHARE, MOST_DEPTH = 0.6, 1000
+#: Shares of the page's text, comments aside, from which a part stays that is named by a word of a class, or by a whole one.
+MOST_SHARE, WHOLE_SHARE, MOST_DEPTH = 0.6, 0.8, 1000
 PRIOR = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "address": -3.0, "ol": -3.0, "ul": -3.0, "dl": -3.0, "dd": -3.0, "dt": -3.0, "li": -3.0, "th": -5.0}
 GOOD = frozenset("article body content entry main page post story text blog hentry".split())
 LEAST_PARAGRAPH, LEVELS = 25, 5
 
 
 class Element:
-    __slots__ = ("attributes", "children", "depth", "link_chars", "parent", "points", "tag", "text_chars")
+    __slots__ = ("attributes", "children", "depth", "link_chars", "parent", "parts", "points", "tag", "talk", "text_chars")
 
     def __init__(self, tag: str, parent: Element | None, attributes: dict[str, str]):
         self.tag, self.parent, self.attributes = tag, parent, attributes
@@ -76,6 +82,8 @@ class Element:
         self.depth = parent.depth + 1 if parent else 0
         self.points: float | None = None
         self.text_chars = self.link_chars = 0
+        self.parts: tuple[set[str], set[str]] = set(), set()
+        self.talk = False
 
 
 def tag_end(page: str, at: int, last: int) -> int:
@@ -186,9 +194,17 @@ def named_parts(element: Element) -> tuple[set[str], set[str]]:
     return whole, part
 
 
+def is_comments(element: Element) -> bool:
+    """Whether the part holds readers' comments by its name, or by its name and what is below."""
+    whole, part = element.parts
+    if (whole | part) & COMMENT_WORDS:
+        return True
+    return element.talk and bool(_words(element) & TALK_WORDS) and element.tag not in ("html", "body", "article", "main")
+
+
 def unwanted(element: Element, inside_article: bool, inside_paragraph: bool, share: float) -> bool:
     """share: of the page's text."""
-    if element.tag in DROP or element.tag in CONTROLS and not inside_paragraph:
+    if element.tag in DROP or element.tag in CONTROLS and not inside_paragraph or element.tag in FORMS and share < MOST_SHARE:
         return True
     if element.tag == "header":
         return not inside_article
@@ -198,10 +214,10 @@ def unwanted(element: Element, inside_article: bool, inside_paragraph: bool, sha
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
     if "class" in a or "id" in a:
-        whole, part = named_parts(element)
+        whole, part = element.parts
         if inside_article:
             whole, part = whole - HEADER_WORDS, part - HEADER_WORDS
-        return bool(whole) or bool(part & COMMENT_WORDS) or bool(part) and share < MOST_SHARE
+        return is_comments(element) or bool(whole) and share < WHOLE_SHARE or bool(part) and share < MOST_SHARE
     return False
 
 
@@ -213,9 +229,13 @@ def prune(root: Element) -> list[Element]:
         at += 1
     for e in order:
         e.text_chars = sum(len(c.strip()) for c in e.children if isinstance(c, str))
+        if "class" in e.attributes or "id" in e.attributes:
+            e.parts = named_parts(e)
+        e.talk = any(not isinstance(c, str) and c.tag == "textarea" for c in e.children)
     for e in reversed(order):
         if e.parent is not None:
-            e.parent.text_chars += e.text_chars
+            e.parent.text_chars += 0 if is_comments(e) else e.text_chars
+            e.parent.talk = e.parent.talk or e.talk or e.tag == "form" or bool(e.attributes) and bool(_words(e) & WRITER_WORDS)
     total = max(root.text_chars, 1)
     out, stack = [], [(root, False, False)]
     while stack:
