@@ -77,13 +77,19 @@ def join6_srt4_top_three(spark, sf):
 
 
 # -- similarity and scores --------------------------------------------------------------------------------------------
-#: Texts of which one holds the other, or that share no letter: the longest block is the whole shorter one.
-_NEAR = made("customer", id="c_custkey", a="c_name", b=pick("c_custkey", "c_name", "upper(c_name)", "concat(c_name, '@@', c_mktsegment)", "concat('??', c_name)", "concat('  ', replace(c_name, '#', '#'), '   ')", q("!!!"), "''", "cast(null as string)"))
+#: Texts that hold each other, share no letter, or have their blocks in other places and order.
+_NEAR = made("customer", id="c_custkey", a="c_name", b=pick("c_custkey", "c_name", "upper(c_name)", "concat(c_name, '@@', c_mktsegment)", "concat('??', c_name)", "concat('  ', replace(c_name, '#', '#'), '   ')", q("!!!"), "''", "cast(null as string)", "concat(substr(c_name, 10), left(c_name, 9))", "concat(left(c_name, 8), '-', c_mktsegment, right(c_name, 4))", "replace(c_name, '0', '1')", "c_mktsegment", "concat(right(c_name, 6), ' ', c_mktsegment, ' ', left(c_name, 5))"))
 
 
-@query(f"""SELECT id, CASE WHEN length(y) = 0 THEN 0 WHEN y = '!!!' THEN 0 ELSE 2.0::double * length(x) / (length(x) + length(y)) END AS ratio FROM (SELECT id, lower(trim(a)) AS x, coalesce(lower(trim(b)), '') AS y FROM {_NEAR[1]})""")
+@query(f"""WITH RECURSIVE t AS (SELECT id, lower(trim(a)) AS x, coalesce(lower(trim(b)), '') AS y FROM {_NEAR[1]}),
+todo AS (SELECT id, x, y, CAST(1 AS BIGINT) AS a, length(x) + 1 AS b, CAST(1 AS BIGINT) AS c, length(y) + 1 AS d, CAST(0 AS BIGINT) AS n FROM t
+ UNION ALL SELECT id, x, y, unnest([a, i + k]), unnest([i, b]), unnest([c, j + k]), unnest([j, d]), unnest([k, 0]) FROM
+  (SELECT *, coalesce(list_max(list_filter(range(1, least(b - i, d - j) + 1), lambda m: substr(x, i, m) = substr(y, j, m))), 0) AS k FROM (SELECT *, unnest(range(c, d)) AS j FROM (SELECT *, unnest(range(a, b)) AS i FROM todo))
+   WHERE substr(x, i, 1) = substr(y, j, 1) QUALIFY row_number() OVER (PARTITION BY id, a, b, c, d ORDER BY k DESC, i, j) = 1)),
+s AS (SELECT id, sum(n) AS n FROM todo GROUP BY 1)
+SELECT id, CASE WHEN length(x) + length(y) = 0 THEN 1 ELSE 2.0::double * n / (length(x) + length(y)) END AS ratio FROM t JOIN s USING (id)""")
 def mth3_similarity(spark, sf):
-    return _NEAR[0](spark, sf).select("id", scoring.similarity(c("a"), c("b")).alias("ratio"))
+    return scoring.with_ratio(_NEAR[0](spark, sf), "a", "b").select("id", "ratio")
 
 
 _TRUTH = "to_json(named_struct('personal_info', named_struct('full_name', c_name, 'email', 'a@b.org'), 'summary', c_mktsegment, 'languages', array('English', 'French'), 'is_current', true, 'work_experience', array(named_struct('title', 'Dev', 'summary', 'Wrote'), named_struct('title', 'Lead', 'summary', 'Led')), 'metadata', named_struct('id', c_custkey)))"

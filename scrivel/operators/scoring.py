@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from scrivel.functions import rules as R
 from scrivel.functions.fuzzy import ratio
+from scrivel.functions.text import SPACES
 from scrivel.streaming.shared import prepare
 
 FLOOR = 0.8
@@ -151,3 +152,21 @@ def suite_report(results: DataFrame, least: int = 8, mean: float = 0.75) -> Data
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """MTH3 over columns."""
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def with_ratio(rows: DataFrame, left: str, right: str, to: str = "ratio") -> DataFrame:
+    """MTH3: rows with the similarity of two text columns, worked out once for each distinct pair of unequal texts that have a letter in common.
+
+    Nulls are empty; two empty texts are alike. A column `to` is replaced.
+    """
+    prepare(rows.sparkSession)
+    c = F.col
+    text = lambda k: F.coalesce(c(k).cast("string"), F.lit(""))
+    letters = lambda k: F.array_distinct(F.split(F.translate(F.lower(k), SPACES, " " * len(SPACES)), ""))
+    held = rows.select(F.struct(*[x for x in rows.columns if x != to]).alias("row"), text(left).alias("mine"), text(right).alias("theirs"))
+    pairs = held.select("mine", "theirs").distinct()
+    plain = F.when(c("mine") == c("theirs"), 1.0).when(~F.arrays_overlap(letters("mine"), letters("theirs")), 0.0)
+    pairs = pairs.withColumn("plain", plain)
+    asked = pairs.where("plain is null").repartition("mine", "theirs").select("mine", "theirs", similarity("mine", "theirs").alias(to))
+    known = pairs.where("plain is not null").select("mine", "theirs", c("plain").alias(to))
+    return held.join(known.unionByName(asked), ["mine", "theirs"]).select("row.*", to)

@@ -61,3 +61,26 @@ def test_floor(spark):
     assert fuzzy_join.least_common(10) == 7
     none = spark.createDataFrame([], "picklist_id string, text string")
     assert fuzzy_join.similar(none, none.withColumnRenamed("text", "name")).count() == 0
+
+
+def test_ratio_as_the_standard_library_has_it(spark):
+    import re
+    from difflib import SequenceMatcher
+
+    from scrivel.functions.fuzzy import ratio
+    from scrivel.operators import scoring
+
+    def plain(a, b):
+        return SequenceMatcher(None, *(re.sub(r"\s+", " ", (t or "").lower().strip()) for t in (a, b))).ratio()
+
+    rng = random.Random(6)
+    pairs = []
+    for k in range(1500):
+        letters, n = rng.choice(["ab", "abc de", "abcdefghij klm", "abÀé\t\n "]), 300 if k % 5 == 0 else 40
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(n))) for _ in range(2))
+        pairs.append((a, a[: rng.randrange(len(a) + 1)] + b if rng.random() < 0.5 else b))
+    assert all(abs(ratio(a, b) - plain(a, b)) < 1e-12 for a, b in pairs)
+    rows = pairs[:60] + [(None, None), (None, "x"), ("", ""), ("a\tb", "c d"), ("same", "same"), ("same", "same")]
+    frame = spark.createDataFrame([(*p, 1.0, "z") for p in rows], "a string, b string, ratio double, mine string")
+    got = sorted((r.a or "", r.b or "", round(r.ratio, 9), r.mine) for r in scoring.with_ratio(frame, "a", "b").collect())
+    assert got == sorted((a or "", b or "", round(plain(a, b), 9), "z") for a, b in rows)
