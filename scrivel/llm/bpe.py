@@ -15,7 +15,6 @@ import base64
 from array import array
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ class Vocabulary:
 
     _open: dict[tuple[str, str], Vocabulary] = {}
 
-    def __init__(self, path: str, pattern: str, limit: int = 400_000):
+    def __init__(self, path: str, pattern: str, limit: int = 700_000):
         self.ranks: dict[bytes, int] = {}
         with open(path, "rb") as lines:
             for line in lines:
@@ -51,8 +50,8 @@ class Vocabulary:
         self.split_at, self.limit = regex.compile(pattern), limit
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.long: list[str] = []
 
     @classmethod
@@ -123,22 +122,19 @@ class Vocabulary:
         """Continues the table of last tokens of prefixes of `data` from where it ends."""
         first, sizes, pairs, fit = self.backwards[1], self.sizes, self.pairs, self.fit
         for i in range(len(last), len(data) if upto is None else upto):
-            children, k, found = first, i, []
+            children, k = first, i
             while k >= 0:
                 node = children.get(data[k])
                 if node is None:
-                    break
+                    raise ValueError(f"no token ends with byte {data[i]}")
                 rank, children = node
-                if rank >= 0:
-                    found.append(rank)
                 k -= 1
-            for rank in reversed(found):
-                start = i - sizes[rank]
-                before = last[start] if start >= 0 else -1
-                good = pairs.get(before << 32 | rank)
-                if good or good is None and fit(before, rank):
-                    last.append(rank)
-                    break
+                if rank >= 0:  # one of the tokens that end here goes with what stands before it, so the first that does is the one
+                    before = last[k] if k >= 0 else -1
+                    good = pairs.get(before << 32 | rank)
+                    if good or good is None and fit(before, rank):
+                        last.append(rank)
+                        break
             else:
                 raise ValueError(f"no token ends with byte {data[i]}")
         return last
@@ -171,27 +167,42 @@ class Vocabulary:
         for data, p in sorted(new):
             rank = self.ranks.get(data)
             if rank is not None:
-                known[p] = [rank]
+                known[p] = rank.to_bytes(4, "little")
                 continue
             same, most = 0, min(len(data), len(before))
             while same < most and data[same] == before[same]:
                 same += 1
             del last[same:]
-            known[p] = self.read(self.extend(last, data), data)
+            known[p] = array("i", self.read(self.extend(last, data), data)).tobytes()
             before = data
 
     def encode(self, *texts: str) -> list[np.ndarray]:
         """The ids of each text."""
         split = [self.split_at.findall(t) for t in texts]
         self.learn(set().union(*split))
-        ids = [np.fromiter(chain.from_iterable(map(self.known.__getitem__, pieces)), dtype=np.int32) for pieces in split]
+        ids = [np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), dtype="<i4") for pieces in split]
         for p in self.long:
             del self.known[p]
         self.long.clear()
         return ids
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    @cached_property
+    def spelt(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all tokens in a row, where each begins and how long it is, by rank."""
+        most = max(self.tokens) + 1
+        sizes = np.array([len(self.tokens.get(k, b"")) for k in range(most)], dtype=np.int64)
+        return np.frombuffer(b"".join(self.tokens.get(k, b"") for k in range(most)), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that the ids stand for, in runs of ids of a bounded length."""
+        letters, starts, sizes = self.spelt
+        out = []
+        for k in range(0, len(ids), 1 << 18):
+            part = ids[k : k + (1 << 18)]
+            each = sizes[part]
+            ends = np.cumsum(each)
+            out.append(letters[np.repeat(starts[part] - ends + each, each) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
 
 
 class Table:
@@ -303,7 +314,9 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                bytes_ = [words.decode(x or []) for x in part.column("ids").to_pylist()]
+                lists = part.column("ids")
+                at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+                bytes_ = [words.decode(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(bytes_, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, ids array<int>, decoded binary")
