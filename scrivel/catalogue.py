@@ -568,4 +568,4 @@ def orc2_orc3_agg3_join10_dt5_results(spark, sf):
 
 
 # the other parts of the register
-from scrivel import catalogue_fuzzy, catalogue_pages, catalogue_reports, catalogue_sections  # noqa: E402,F401
+from scrivel import catalogue_files, catalogue_fuzzy, catalogue_pages, catalogue_reports, catalogue_sections  # noqa: E402,F401

@@ -1,15 +1,11 @@
-"""Reviews, jobs and what is told about them: verdict rows, resumed work, progress, console values, bundles."""
+"""Reviews, jobs and what is told about them: verdict rows, resumed work, progress, console values."""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivel.operators.records import rounded, verdicts
+from scrivel.operators.records import verdicts
 
 
 def verdict_rows(reviews: DataFrame) -> DataFrame:
@@ -66,7 +62,7 @@ def job_states(jobs: DataFrame, results: DataFrame) -> DataFrame:
     c = F.col
     so_far = results.groupBy("job_id").agg(F.count("*").alias("done"), F.count_if(c("status") == "success").alias("success"), F.sum("fields").alias("fields"))
     rows = jobs.select("job_id", c("total").cast("long").alias("total")).join(so_far, "job_id", "left").na.fill(0, ["done", "success"])
-    mean = F.when(c("done") > 0, rounded(F.coalesce("fields", F.lit(0)) / F.greatest("done", F.lit(1)), 1)).otherwise(0.0)
+    mean = F.when(c("done") > 0, F.bround(F.coalesce("fields", F.lit(0)) / F.greatest("done", F.lit(1)), 1)).otherwise(0.0)
     return rows.select("job_id", F.when(c("done") >= c("total"), "done").otherwise("running").alias("status"), "total", "done", "success", (c("done") - c("success")).alias("errors"), mean.alias("avg_fields"))
 
 
@@ -75,13 +71,3 @@ def console(results: DataFrame, width: int = 40) -> DataFrame:
     full = F.floor(F.col("score") * width).cast("int")
     bar = F.concat(F.repeat(F.lit("#"), full), F.repeat(F.lit("."), F.lit(width) - full))
     return results.select("cv_id", F.when(F.col("passed"), "PASS").otherwise("FAIL").alias("verdict"), bar.alias("bar"), F.format_string("%.1f%%", F.col("score") * 100).alias("percent"))
-
-
-def bundle(records: Iterable[tuple[str, str | None]]) -> bytes:
-    """SNK6: a zip of stem.json files of the records (stem, JSON text) that there are; for one job's download, on the driver."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as file:
-        for stem, record in records:
-            if record is not None:
-                file.writestr(f"{stem}.json", record)
-    return out.getvalue()

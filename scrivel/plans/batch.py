@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scrivel.functions import rules as R
 from scrivel.operators import layout, lines, matching, personal, records
 from scrivel.plans import extract
-from scrivel.sources import files
+from scrivel.sources import files, sinks
 from scrivel.streaming.shared import written
 
 EMPTY_RECORD = '[{"__metadata":{"uri":"Candidate"}}]'
@@ -72,17 +72,21 @@ def run(blocks: DataFrame, tables: DataFrame | None, docs: DataFrame, field_defs
     return results(docs.select("doc_id", "error"), typed_fields(good, found, entries, field_defs, picklists), field_defs)
 
 
+def of_files(listed: DataFrame, field_defs: DataFrame, picklists: DataFrame) -> DataFrame:
+    """Results of files (path, name, stem, extension, content). A file's doc_id is its path; files that can't be read give error rows."""
+    blocks, tables = files.scan(listed)
+    errors = blocks.where("error is not null").groupBy("doc_id").agg(F.first("error").alias("error"))
+    docs = written(listed.select(F.col("path").alias("doc_id"), (~F.col("extension").isin("docx", "doc")).alias("marked")).join(errors, "doc_id", "left"), "documents")
+    return run(blocks.where("error is null").drop("error"), tables, docs, field_defs, picklists)
+
+
 def run_folder(spark: SparkSession, folder: str, field_defs: DataFrame, picklists: DataFrame, out: str | None = None) -> DataFrame:
     """ORC1, ORC2, SRC1 to SNK2: results of the documents in a folder; with out, records and the report are written below it.
 
     A file's doc_id is its path. Files that can't be read give error rows and stop nothing.
     """
     began = time.time()
-    listed = files.list_files(spark, folder)
-    blocks, tables = files.scan(listed)
-    errors = blocks.where("error is not null").groupBy("doc_id").agg(F.first("error").alias("error"))
-    docs = written(listed.select(F.col("path").alias("doc_id"), (~F.col("extension").isin("docx", "doc")).alias("marked")).join(errors, "doc_id", "left"), "documents")
-    got = run(blocks.where("error is null").drop("error"), tables, docs, field_defs, picklists)
+    got = of_files(files.list_files(spark, folder), field_defs, picklists)
     if out:
         got.write.mode("overwrite").parquet(f"{out}/results")
         got = spark.read.schema(got.schema).parquet(f"{out}/results")
@@ -90,5 +94,6 @@ def run_folder(spark: SparkSession, folder: str, field_defs: DataFrame, picklist
         took, n = int((time.time() - began) * 1000), got.count()
         share = F.lit(took // max(n, 1)).cast("long")
         files.write_records(got.where("record is not null"), f"{out}/records")
+        sinks.write_each(got.select("doc_id", "record"), f"{out}/files")
         files.write_report(records.batch_report(got.withColumn("elapsed_ms", share)).withColumn("total_time_ms", F.lit(took).cast("long")), f"{out}/report")
     return got

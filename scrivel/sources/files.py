@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivel.functions import rules as R
-from scrivel.functions.text import strip
+from scrivel.functions.text import json_object, strip
 from scrivel.sources import sheets
 from scrivel.streaming.shared import prepare, written
 
@@ -35,6 +35,10 @@ def adapter(*extensions: str):
     return put
 
 
+#: Names of the documents in a folder.
+PATTERN = "*.{pdf,PDF,docx,DOCX,doc}"
+
+
 def name_of(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)$", 1)
 
@@ -51,7 +55,11 @@ def allowed(path: Column) -> Column:
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """SRC1, FLT5, SRC13: path, name, stem, extension, content of documents directly in a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,PDF,docx,DOCX,doc}").load(folder)
+    return described(spark.read.format("binaryFile").option("pathGlobFilter", PATTERN).load(folder))
+
+
+def described(files: DataFrame) -> DataFrame:
+    """path, name, stem, extension, content of files (path, content)."""
     path = F.col("path")
     return files.select("path", name_of(path).alias("name"), stem(path).alias("stem"), F.lower(F.regexp_extract(name_of(path), r"\.([^.]*)$", 1)).alias("extension"), "content")
 
@@ -121,7 +129,7 @@ def field_definitions(spark: SparkSession, path: str) -> DataFrame:
     """SRC5: the field dictionary from a spreadsheet or from CSV: field_id, field_type, label, picklist_id, required (Y), remarks, sample_value."""
     if path.lower().endswith(".xlsx"):
         return sheets.field_definitions(spark, path)
-    raw = spark.read.option("header", True).schema("ordinal int, field_id string, field_type string, label string, picklist_id string, required string, remarks string, sample_value string").csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').schema("ordinal int, field_id string, field_type string, label string, picklist_id string, required string, remarks string, sample_value string").csv(path)
     return raw.where(strip("field_id") != "").withColumn("required", F.upper(strip(F.coalesce("required", F.lit("")))) == "Y")
 
 
@@ -129,7 +137,7 @@ def picklists(spark: SparkSession, path: str) -> DataFrame:
     """SRC6: the picklist dictionary from a spreadsheet or from CSV; status A if blank, option ids without decimals."""
     if path.lower().endswith(".xlsx"):
         return sheets.picklists(spark, path)
-    raw = spark.read.option("header", True).schema("picklist_id string, ordinal int, external_code string, label_vi string, label_en string, option_id string, status string").csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').schema("picklist_id string, ordinal int, external_code string, label_vi string, label_en string, option_id string, status string").csv(path)
     return raw.withColumn("status", F.coalesce(F.nullif(strip("status"), F.lit("")), F.lit("A"))).withColumn("option_id", F.regexp_replace(F.coalesce("option_id", F.lit("")), r"\.0+$", ""))
 
 
@@ -167,13 +175,31 @@ def write_accuracy(report: DataFrame, path: str) -> None:
     write_report(report, f"{path}/_accuracy_report")
 
 
+# How failures of a call are told.
+FAILURES = {
+    "refused": "Cannot connect to LLM server at {place}. Start it with: llama-server -m <model.gguf> --port 8080  OR: ollama serve",
+    "timeout": "LLM request timed out after {limit}s. Try increasing LLM_TIMEOUT or using a smaller model.",
+    "other": "LLM API error: {detail}",
+}
+
+
 class Replay:
-    """SRC12: extraction replies recorded in a table (doc_id, raw) in place of a live service; a strategy like any other."""
+    """SRC12: extraction replies recorded in a table in place of a live service; a strategy like any other.
+
+    replies: doc_id, raw and, if calls may have failed, failure (refused, timeout, or the text of another error; null: none).
+    Adds reply (variant), status and error: ok, refused, timeout, failed (the call), missing (no call was recorded), empty, broken (no
+    JSON in it) and other (JSON, but no object). A document with several recorded calls comes as often; null ids have none.
+    """
 
-    def __init__(self, replies: DataFrame):
-        self.replies = replies
+    def __init__(self, replies: DataFrame, place: str = "http://localhost:8080/v1", limit: int = 120):
+        self.replies, self.place, self.limit = replies, place, limit
 
     def __call__(self, docs: DataFrame) -> DataFrame:
-        from scrivel.functions.text import json_object
-
-        return docs.select("doc_id").join(self.replies, "doc_id", "left").withColumn("reply", F.try_parse_json(json_object(F.col("raw"))))
+        c = F.col
+        recorded = self.replies if "failure" in self.replies.columns else self.replies.withColumn("failure", F.lit(None).cast("string"))
+        rows = docs.select("doc_id").join(recorded.withColumn("called", F.lit(True)), "doc_id", "left").withColumn("body", json_object(c("raw")))
+        rows = rows.withColumn("reply", F.when(c("failure").isNull(), F.try_parse_json("body")))
+        status = F.when(c("called").isNull(), "missing").when(c("failure").isin("refused", "timeout"), c("failure")).when(c("failure").isNotNull(), "failed").when(strip(F.coalesce("raw", F.lit(""))) == "", "empty")
+        status = status.when(c("reply").isNull(), "broken").when(~F.schema_of_variant("reply").startswith("OBJECT"), "other").otherwise("ok")
+        told = F.when(c("failure") == "refused", FAILURES["refused"].format(place=self.place)).when(c("failure") == "timeout", FAILURES["timeout"].format(limit=self.limit)).when(c("failure").isNotNull(), F.concat(F.lit(FAILURES["other"].format(detail="")), "failure"))
+        return rows.withColumns({"status": status, "error": told}).drop("called", "body")
