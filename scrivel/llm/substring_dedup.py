@@ -270,6 +270,11 @@ def opened(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def repeated_windows(blobs: list[bytes], width: int = WIDTH) -> np.ndarray:
     """Of one bucket: runs of windows that also start earlier, as 4 rows doc, key, start, n."""
+    return judged(blobs, width)[0]
+
+
+def judged(blobs: list[bytes], width: int, rest: bool = False) -> tuple[np.ndarray, bytes]:
+    """(runs of windows that also start earlier, if asked for a blob of the strings of all others)."""
     places, raw, known = opened(blobs)
     words = Words(raw)
     first = np.searchsorted(words.starts, np.concatenate(([0], np.cumsum(places[3] + 1))))
@@ -291,7 +296,15 @@ def repeated_windows(blobs: list[bytes], width: int = WIDTH) -> np.ndarray:
     on = np.union1d(on, j[least[j] < at_j])
     begin, n = runs_of(on, run)
     s = on[begin]
-    return np.concatenate([known, np.stack([doc[run[s]], key[run[s]], start[run[s]] + step[s], n])], axis=1)
+    found = np.concatenate([known, np.stack([doc[run[s]], key[run[s]], start[run[s]] + step[s], n])], axis=1)
+    if not rest:
+        return found, b""
+    left = np.setdiff1d(np.arange(len(run)), on, assume_unique=True)
+    begin, n = runs_of(left, run)
+    s = left[begin]
+    a = first[:-1][order][run[s]] + step[s]
+    place = np.stack([doc[run[s]], key[run[s]], start[run[s]] + step[s]])
+    return found, next(pack_strings(words, a, a + n + width - 2, place, np.zeros(len(s), dtype=np.int64), NO_RUNS))[1]
 
 
 def redealt(data: bytes, width: int, mer: int, level: int, parts: int) -> Iterator[tuple[int, bytes]]:
@@ -309,14 +322,24 @@ def redealt(data: bytes, width: int, mer: int, level: int, parts: int) -> Iterat
 
 
 def bucket_repeats(blobs: Iterator[bytes], width: int, mer: int = MER, limit: int = BUCKET_LIMIT, parts: int = PARTS, level: int = 0) -> Iterator[np.ndarray]:
-    """What repeated_windows gives for all blobs, with no more than about `limit` bytes of strings opened at a time."""
+    """What repeated_windows gives for all blobs, with no more than about `limit` bytes of strings opened at a time.
+
+    Blobs over the limit are dealt again. What is still over it after the last deal are copies of few windows: they are judged as
+    they come, and of each part only the windows that start earliest go on to meet the next.
+    """
     levels = (mer, min(LONG_MER, width), width, width, width)
-    held, size = [], 0
+    held, size, bar = [], 0, limit
     for data in blobs:
         held.append(data)
         size += blob_bytes(data)
-        if size > limit and level < len(levels):
+        if size <= bar:
+            continue
+        if level < len(levels):
             break
+        runs, data = judged(held, width, rest=True)
+        yield runs
+        held, size = [data], blob_bytes(data)
+        bar = max(limit, 2 * size)
     else:
         if held:
             yield repeated_windows(held, width)

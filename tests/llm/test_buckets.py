@@ -40,3 +40,22 @@ def test_a_bucket_many_times_its_limit_is_dealt_again(monkeypatch):
             if first.setdefault(tuple(w[s : s + 20]), d) != d:
                 want.add((d, s))
     assert {(d, s + k) for x in found for d, _, s, n in x.T.tolist() for k in range(n)} == want
+
+
+def test_one_window_in_ten_thousand_slices(monkeypatch):
+    """Copies of few windows can't be dealt apart: they are judged part by part, and little is open at a time."""
+    opened_at_once = []
+    plain = substring_dedup.judged
+    monkeypatch.setattr(substring_dedup, "judged", lambda blobs, *a, **b: opened_at_once.append(sum(map(substring_dedup.blob_bytes, blobs))) or plain(blobs, *a, **b))
+    window, docs = " ".join(f"w{k}" for k in range(20)), list(range(10_000))
+    random.Random(2).shuffle(docs)
+    text = f"{window} end".encode()
+
+    def blobs():
+        for d in docs:
+            yield from (x for _, x in substring_dedup.super_kmers([text], np.array([d]), np.zeros(1, dtype=np.int64), 1, 20, 3))
+
+    found = [x for x in substring_dedup.bucket_repeats(blobs(), 20, 3, limit=5000, parts=2)]
+    got = sorted((d, s + k) for x in found for d, _, s, n in x.T.tolist() for k in range(n))
+    assert got == [(d, s) for d in range(1, 10_000) for s in (0, 1)]
+    assert max(opened_at_once) < 6000
