@@ -1,10 +1,11 @@
-"""Queries of the fuzzy join over labels and texts of unlike lengths, with the weighted ratio written out in SQL."""
+"""Queries of the fuzzy join over labels and texts of unlike lengths, with the weighted ratio written out in SQL; of the name tagger."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivel.operators import fuzzy_join, matching
+from scrivel.operators import fuzzy_join, matching, personal, tagger
 from scrivel.plans.inputs import made, pick, q
 from scrivel.plans.registry import query
 
@@ -64,3 +65,28 @@ SELECT id, picklist_id, a.text, coalesce(e.opt, i.opt) AS option_id, CASE WHEN e
 def join6_join7_unlike_lengths(spark, sf):
     """Picklist values for texts of all lengths: exact, then the best label that reaches the floor."""
     return matching.match_picklist(_ASKED[0](spark, sf), _NAMES[0](spark, sf))
+
+
+# -- names by a trained tagger ----------------------------------------------------------------------------------------
+_PEOPLE = made("customer", id="c_custkey", family=pick("c_custkey", *map(q, ["Nguyễn", "Trần", "Lê", "Phạm", "Hoàng", "Vũ", "Đặng", "Bùi", "Do", "Ngo"])), middle=pick("cast(floor(c_custkey / 10) as bigint)", *map(q, ["Văn", "Thị", "Minh", "", "Quốc", "Hữu"])), given=pick("cast(floor(c_custkey / 3) as bigint) + c_custkey", *map(q, ["An", "Bình", "Hoa", "Dũng", "Lan", "Khánh", "Sơn", "Thảo", "Việt", "Yến", "Long", "Mai", "Hà"])),
+               before=pick("cast(floor(c_custkey / 7) as bigint)", *map(q, ["", "My name is", "Curriculum vitae of", "Reference : Mr", "At Hoang Long Bank , Ha Noi ,", "Since 2012 Ms", "Work experience at Le Loi Street , Da Nang"])), after=pick("cast(floor(c_custkey / 11) as bigint)", *map(q, ["has worked at Vietnam Airlines since 2012 .", "and I live in Ha Noi .", ", Director of Sales", "Born in 1990 in Hue", "Phone : 0901 234 567"])))
+
+
+def name_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, text, words, tags, name: sentences with one name or none, and which words it is."""
+    c, split = F.col, lambda k: F.filter(F.split(k, " "), lambda x: x != "")
+    name = F.when(~c("before").startswith("Work"), F.concat_ws(" ", "family", F.nullif("middle", F.lit("")), "given"))
+    rows = _PEOPLE[0](spark, sf_dir).withColumn("name", name)
+    own = F.coalesce(split("name"), F.array().cast("array<string>"))
+    out = lambda k: F.transform(split(k), lambda _: F.lit("O"))
+    words, marks = F.concat(split("before"), own, split("after")), F.concat(out("before"), F.transform(own, lambda _, i: F.when(i == 0, "B").otherwise("I")), out("after"))
+    return rows.select("id", F.array_join(words, " ").alias("text"), words.alias("words"), marks.alias("tags"), "name")
+
+
+@query()
+def tvf19_trained_names(spark, sf):
+    """Names found in the sentences that the tagger was not trained on, beside the names that are in them."""
+    made_ = name_sentences(spark, sf)
+    model = tagger.train(made_.where("id % 3 <> 0"))
+    found = personal.recognised(F.col("text"), tagger.recognise)
+    return tagger.with_model(made_.where("id % 3 = 0"), model).select("id", "text", "name", found.alias("found"))
