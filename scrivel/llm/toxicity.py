@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivel.llm.common import lean, prepare, whole_text
+from scrivel.llm.common import discard, lean, persist, prepare, shared_dir, whole_text
 from scrivel.llm.substring_dedup import numbered, word_places
 from scrivel.llm.tokens import slices, text_bytes
 
@@ -132,11 +132,15 @@ def fit(texts: list[bytes], positive: np.ndarray, features: int = FEATURES, step
         return Classifier({}, np.zeros(0, dtype=np.float32), -50.0)
     known = choose_features(texts, positive, features, unlabelled=unlabelled)
     x = np.concatenate([inputs(*count_features(texts[k : k + 500], known)) for k in range(0, len(texts), 500)])
-    n, n_p = int(unlabelled.sum()), int(positive.sum())
-    prior = n_p / len(texts) if prior is None else prior
+    return descend(known, x[positive], x[unlabelled], int(positive.sum()) / len(texts) if prior is None else prior, steps, rate, decay)
+
+
+def descend(known: dict[bytes, int], x_p: np.ndarray, x: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = DECAY) -> Classifier:
+    """Minimises the non-negative risk over the inputs of the positives and of the unlabelled texts."""
+    n, n_p = len(x), len(x_p)
     w, b = np.zeros(x.shape[1]), -2.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    x_p, x = x[positive].astype(np.float32), x[unlabelled].astype(np.float32)
+    x_p, x = x_p.astype(np.float32), x.astype(np.float32)
     times = lambda rows, by: (rows @ by.astype(np.float32)).astype(np.float64)
     for t in range(1, steps + 1):
         z, z_p = times(x, w) + b, times(x_p, w) + b
@@ -162,8 +166,9 @@ def held_out(column: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, steps: int = STEPS, sample_bytes: int = SAMPLE_BYTES) -> Classifier:
     """Fits on rows that aren't held out: the toxic ones of at most sample_rows labelled rows, and as unlabelled
-    ones at most sample_rows without a label and the labelled rows, whatever their label. Their texts alone come to the driver,
-    of either kind at most sample_bytes: those beyond in the order of the sample don't take part.
+    ones at most sample_rows without a label and the labelled rows, whatever their label; of either kind at most sample_bytes
+    of text: those beyond in the order of the sample don't take part. Tasks count features and then the chosen features by
+    text; to the driver come the chosen ones and their counts, about 1 KB for each text of the sample.
 
     Null ids and labels take no part, a doc_id with several labels is toxic if one says so, with several texts it counts once, by
     the smallest. Null and empty texts have no features. Without toxic rows, or without rows, every text scores 0.
@@ -172,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     free = rows.select("doc_id").where("doc_id is not null").where(~held_out()).join(usable, "doc_id", "left_anti").distinct()
 
-    def texts_of(ids: DataFrame) -> list[tuple]:
+    def sample_of(ids: DataFrame) -> tuple[DataFrame, list]:
         chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
         # sample_rows bounds what is broadcast: two numbers a row
         sizes = rows.select("doc_id", F.octet_length("text").alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("n").alias("n"), F.count("*").alias("texts"))
@@ -183,17 +188,56 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, fe
         found = rows.join(F.broadcast(near), "doc_id")
         if any(r.texts > 1 for r in held):
             found = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-        got = found.select("doc_id", "text", "toxic").toArrow().combine_chunks()
-        return sorted(zip(got["doc_id"].to_pylist(), got["text"].cast(pa.large_binary()).to_pylist(), got["toxic"].to_pylist(), strict=True), key=lambda r: (r[0], r[1]))
+        return found.select("doc_id", "text", "toxic"), held
 
-    known = texts_of(usable)
-    toxic = [r for r in known if r[2] == 1]
-    if not toxic:
+    known_texts, known_rows = sample_of(usable)
+    n_p = sum(r.toxic == 1 for r in known_rows)
+    if not n_p:
         return fit([], np.zeros(0, dtype=bool))
-    rest = texts_of(free.withColumn("toxic", F.lit(None).cast("int")))
-    got = toxic + rest + known
-    first = np.arange(len(got)) < len(toxic)
-    return fit([r[1] for r in got], first, features, steps, prior=len(toxic) / len(known), unlabelled=~first)
+    rest_texts, rest_rows = sample_of(free.withColumn("toxic", F.lit(None).cast("int")))
+    path = shared_dir(docs.sparkSession, "toxicity-sample")
+    sample = persist(known_texts.unionByName(rest_texts), "toxicity-sample", path)
+    known = chosen_features(sample, n_p, len(known_rows) + len(rest_rows), features)
+    x, toxic = counted(sample, known)
+    discard(docs.sparkSession, path)
+    return descend(known, x[toxic], x, n_p / len(known_rows), steps)
+
+
+def chosen_features(sample: DataFrame, n_p: int, n: int, most: int = FEATURES, least: float = LEAST_ERRORS) -> dict[bytes, int]:
+    """What choose_features gives for the sample (text, toxic), counted in tasks: n_p texts are toxic, all n are the unlabelled ones."""
+    prepare(sample.sparkSession)
+    schema = pa.schema([("feature", pa.binary()), ("in_p", pa.int64()), ("in_u", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                texts, toxic = text_bytes(batch.column("text")), np.array([t == 1 for t in batch.column("toxic").to_pylist()], dtype=bool)
+                seen: dict[bytes, int] = {}
+                row, feature = features_by_text(texts, seen, grow=True)
+                in_u, in_p = np.bincount(feature, minlength=len(seen)), np.bincount(feature[toxic[row]], minlength=len(seen))
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(in_p.astype(np.int64)), pa.array(in_u.astype(np.int64))], schema=schema)
+
+    c = F.col
+    by = sample.select("text", "toxic").mapInArrow(lean(count), "feature binary, in_p long, in_u long").groupBy("feature").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
+    share = c("in_u") / n
+    value = (c("in_p") / n_p - share) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-9)) / n_p)
+    best = by.where("in_p >= 4").withColumn("value", value).where(c("value") >= least).orderBy(c("value").desc(), "feature").limit(most)
+    return {bytes(r.feature): k for k, r in enumerate(best.select("feature").collect())}
+
+
+def counted(sample: DataFrame, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs of the classifier for each text of the sample, whether it is toxic), in the order of doc_id and text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                rows = inputs(*count_features(text_bytes(batch.column("text")), known)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("text_hash"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "toxic", "text_hash", "x"])
+
+    rows = sample.select("doc_id", "toxic", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(lean(count), "doc_id long, toxic int, text_hash long, x binary")
+    got = sorted(rows.collect(), key=lambda r: (r.doc_id, r.text_hash))
+    x = np.frombuffer(b"".join(r.x for r in got), dtype=np.float32).reshape(len(got), -1)
+    return x, np.array([r.toxic == 1 for r in got], dtype=bool)
 
 
 def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
