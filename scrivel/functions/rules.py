@@ -84,7 +84,7 @@ WEIGHTS = dict.fromkeys(["personal_info.full_name", "personal_info.email", "pers
 EDUCATION_GRID = {"degree": "degree", "degree/cert": "degree", "bang cap": "degree", "institution": "school", "school": "school", "university": "school", "truong": "school", "year": "year", "nam": "year", "gpa/grade": "grade", "gpa": "grade", "xep loai": "grade", "field": "field", "major": "field", "nganh": "field"}
 EXPERIENCE_GRID = {"position": "title", "title": "title", "chuc vu": "title", "vi tri": "title", "company": "company", "employer": "company", "ten don vi": "company", "from": "from", "tu": "from", "start": "from", "to": "to", "den": "to", "end": "to", "period": "period", "thoi gian": "period", "location": "location", "dia diem": "location"}
 CERTIFICATE_WORDS = ["certified", "certificate", "certification", "cfa", "frm", "pmp", "aws", "cisco", "itil", "professional"]
-#: A degree among the first three words of a line begins an entry.
+# A degree among the first three words of a line begins an entry.
 DEGREE_STARTS = r"bachelor|master|phd|ph\.d|mba|engineer|b\.s\.?|b\.a\.?|m\.s\.?|m\.a\.?|high school|diploma|cu nhan|thac si|tien si|ky su|cao dang|thpt"
 DEGREE_WORDS = r"(?i)\b(B\.?[AS]\.?|M\.?[AS]\.?|Ph\.?D|Bachelor|Master|Doctor|MBA|Engineer)\b"
 ACADEMIES = ["university", "academy", "institute", "college", "school", "rmit", "vietnam"]

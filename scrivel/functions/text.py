@@ -26,6 +26,14 @@ def _folding() -> tuple[str, str]:
 _SRC, _DST = _folding()
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A name for a helper column that none of the columns has."""
+    taken = {x.lower() for x in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bound(value: Column, f) -> Column:
     """f(value) with value worked out once, however often f uses it."""
     return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -2,7 +2,7 @@
 
 Null texts have no lines, null lines open no section. Rows of a document are ordered by line_no (block_no, table_no and row_no); rows
 with equal places come in any order. A null doc_id is a document of its own. Empty tables give no rows. Columns that are not named are
-dropped, but for section_of, entries and first_by, which keep them all; first_by works in a column _r.
+dropped, but for section_of, entries and first_by, which keep them all.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivel.functions import rules as R
-from scrivel.functions.text import bound, contains_any, is_form_label, is_noise, label, strip
+from scrivel.functions.text import bound, contains_any, is_form_label, is_noise, label, strip, unused
 from scrivel.operators import matching
 
 
@@ -68,7 +68,8 @@ def last_wins(pairs: DataFrame) -> DataFrame:
 
 def first_by(rows: DataFrame, keys: list[Column], order: list[str]) -> DataFrame:
     """WIN7: the first row of each key."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+    place = unused(rows.columns, "_r")
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) == 1).drop(place)
 
 
 def section_of(lines: DataFrame) -> DataFrame:

@@ -25,18 +25,22 @@ def normal(text: str) -> str:
     return " ".join("".join(c if c.isascii() and (c.isalnum() or c.isspace()) else " " for c in bare).split())
 
 
-def aliases(spark: SparkSession) -> DataFrame:
-    """MAP2: alias, field, ordinal; of an alias that occurs twice the last field and the first place count. A few hundred rows."""
+def _aliases() -> list[tuple[str, str, int]]:
     seen: dict[str, list] = {}
     for field, names in [*R.LABEL_ALIASES.items(), *(("_section_" + k, v) for k, v in R.SECTION_ALIASES.items())]:
         for name in names:
             seen.setdefault(normal(name), [field, len(seen)])[0] = field
-    return spark.createDataFrame([(a, f, k) for a, (f, k) in seen.items()], "alias string, field string, ordinal int")
+    return [(a, f, k) for a, (f, k) in seen.items()]
+
+
+def aliases(spark: SparkSession) -> DataFrame:
+    """MAP2: alias, field, ordinal; of an alias that occurs twice the last field and the first place count. A few hundred rows."""
+    return spark.createDataFrame(_aliases(), "alias string, field string, ordinal int")
 
 
 def _alias_list(spark: SparkSession) -> list[tuple[str, str]]:
     """(alias, field) of the personal fields, in the order that breaks ties."""
-    return [(r.alias, r.field) for r in aliases(spark).where("field not like r'\\_section%'").orderBy("ordinal").collect()]
+    return [(a, f) for a, f, _ in sorted(_aliases(), key=lambda x: x[2]) if not f.startswith("_section")]
 
 
 def _exact(spark: SparkSession, norm: Column) -> Column:

@@ -1,4 +1,8 @@
-"""Personal fields of a document: labels first, then patterns, name parts, and the final clean-up. One row for each document."""
+"""Personal fields of a document: labels first, then patterns, name parts, and the final clean-up. One row for each document.
+
+Null and empty values are missing ones. Rows are worked on each by itself, so repeated rows stay and further columns, whatever their
+names, are kept; by_label has one row for each doc_id, ties of a field go to the earlier place. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -45,9 +49,10 @@ def by_pattern(rows: DataFrame, text: str = "raw_text") -> DataFrame:
 def with_names(rows: DataFrame, prominent: str = "prominent") -> DataFrame:
     """STR4, STR5, LAY5: name parts from the full name, or from the prominent text where there is no label; JOIN8: the contact email from the first."""
     full = F.coalesce(F.nullif("fullName", F.lit("")), prominent)
-    rows = rows.withColumn("n", T.name_parts(T.name_case(full))).withColumn("contactEmail", F.coalesce("contactEmail", "primaryEmail"))
-    part = lambda f, p: F.coalesce(F.nullif(F.col("n")[p], F.lit("")), F.col(f))
-    return rows.withColumns({"fullName": F.col("n")["full"], "firstName": part("firstName", "first"), "middleName": part("middleName", "middle"), "lastName": part("lastName", "last")}).drop("n")
+    n = T.unused(rows.columns, "n")
+    rows = rows.withColumn(n, T.name_parts(T.name_case(full))).withColumn("contactEmail", F.coalesce("contactEmail", "primaryEmail"))
+    part = lambda f, p: F.coalesce(F.nullif(F.col(n)[p], F.lit("")), F.col(f))
+    return rows.withColumns({"fullName": F.col(n)["full"], "firstName": part("firstName", "first"), "middleName": part("middleName", "middle"), "lastName": part("lastName", "last")}).drop(n)
 
 
 def clean(rows: DataFrame) -> DataFrame:
@@ -58,8 +63,9 @@ def clean(rows: DataFrame) -> DataFrame:
     digits = lambda f: F.length(F.regexp_replace(f, r"\D", ""))
     empty = lambda f: F.col(f) == ""
     email = lambda f: F.when(empty(f), F.col(f)).otherwise(F.regexp_substr(f, F.lit(R.EMAIL)))
-    rows = rows.withColumn("_named", F.col("fullName").isNull() | empty("fullName") | T.is_name(F.col("fullName")))
-    out: dict[str, Column] = {f: F.when(F.col("_named"), F.col(f)) for f in NAMES}
+    named = T.unused(rows.columns, "_named")
+    rows = rows.withColumn(named, F.col("fullName").isNull() | empty("fullName") | T.is_name(F.col("fullName")))
+    out: dict[str, Column] = {f: F.when(F.col(named), F.col(f)) for f in NAMES}
     out |= {"primaryEmail": email("primaryEmail"), "contactEmail": email("contactEmail"), "address": T.before_pipe(F.col("address"))}
     out |= {"cellPhone": F.when(empty("cellPhone") | digits("cellPhone").between(7, 15), F.col("cellPhone")), "idCard": F.when(empty("idCard") | digits("idCard").isin(9, 12), F.col("idCard"))}
-    return rows.withColumns(out).drop("_named")
+    return rows.withColumns(out).drop(named)

@@ -20,6 +20,8 @@ from scrivel.streaming.shared import prepare
 
 EVENTS = "job_id string, kind string, name string, status string, fields long, total long, at timestamp"
 STATES = "job_id string, status string, total long, done long, success long, errors long, fields long, repeats long"
+#: Events of the last ten years are never too late: the stream's clock runs so far behind the latest event, and timers are set as far back.
+BEHIND_DAYS = 3650
 _HELD = "total long, success long, fields long, repeats long, last long, names array<string>"
 
 
@@ -44,15 +46,15 @@ def _life(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, patienc
     over = total is not None and done >= total
     state.update((total, success, fields, repeats, last, list(names)))
     if not over and not stale:
-        state.setTimeoutTimestamp(max(last + patience, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(last + patience - BEHIND_DAYS * 86_400_000, state.getCurrentWatermarkMs() + 1))
     status = "done" if over else "stale" if stale else "running"
     yield pd.DataFrame([(key[0], status, total, done, success, done - success, fields, repeats)], columns=[x.split()[0] for x in STATES.split(", ")]).astype({"total": "Int64"})
 
 
-def follow(spark: SparkSession, folder: str, state: str, patience_ms: int, delay: str = "1 hour", most: int = 1000) -> DataFrame:
+def follow(spark: SparkSession, folder: str, state: str, patience_ms: int, most: int = 1000) -> DataFrame:
     """Reads the event files that are new in the folder and returns the last state of each job; call again on the same state for more."""
     prepare(spark)
-    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", most).parquet(folder).withWatermark("at", delay)
+    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", most).parquet(folder).withWatermark("at", f"{BEHIND_DAYS} days")
     lives = events.groupBy("job_id").applyInPandasWithState(partial(_life, patience=patience_ms), STATES, _HELD, "update", "EventTimeTimeout")
     query = lives.writeStream.outputMode("update").foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{state}/states/batch={number}"))
     query.option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start().awaitTermination()

@@ -95,8 +95,6 @@ def test_a_year_0000_is_a_warning_and_second_dates_are_kept(spark):
 def test_bundles_and_jobs(spark):
     from scrivel.operators import reports
 
-    data = reports.bundle([("a", '{"x":1}'), ("b", None)])
-    assert zipfile.ZipFile(io.BytesIO(data)).namelist() == ["a.json"]
     jobs = spark.createDataFrame([("j", 0), ("k", 2)], "job_id string, total int")
     none = spark.createDataFrame([], "job_id string, status string, fields long")
     assert {r.job_id: (r.status, r.done, r.avg_fields) for r in reports.job_states(jobs, none).collect()} == {"j": ("done", 0, 0.0), "k": ("running", 0, 0.0)}
