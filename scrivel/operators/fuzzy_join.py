@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from scrivel.functions.fuzzy import wratio
 from scrivel.functions.text import SPACES, bound
-from scrivel.streaming.shared import prepare
+from scrivel.streaming.shared import prepare, written
 
 #: Weights of the parts of the score: tokens, texts of unlike length; and the ratios of length that choose between them.
 TOKENS, UNLIKE, FROM_RATIO, TO_RATIO = 0.95, 0.9, 1.5, 8.0
@@ -83,8 +83,10 @@ def candidates(texts: DataFrame, names: DataFrame, floor: float) -> DataFrame:
         return by.select("picklist_id", key, size, "first", F.posexplode("letters").alias("rank", "l")).select("picklist_id", key, size, (c("rank") < c("first")).alias(f"rare_{key}"), c("l.letter").alias("letter"), c("l.often").alias("often")).where("often > 0").drop("often")
 
     shorter = lambda a, b: F.exists(F.arrays_zip(c(a), c(b)), lambda x: x[a] <= x[b])
-    met = listed(left, "text", "ts").join(listed(right, "name", "ns"), ["picklist_id", "letter"])
-    met = met.where((c("rare_text") & shorter("ts", "ns")) | (c("rare_name") & shorter("ns", "ts"))).select("picklist_id", "text", "name")
+    mine, theirs, on = written(listed(left, "text", "ts"), "text-letters"), written(listed(right, "name", "ns"), "name-letters"), ["picklist_id", "letter"]
+    # the common letters of one side meet the rare ones of the other only
+    met = mine.where("rare_text").join(theirs, on).where(shorter("ts", "ns")).select("picklist_id", "text", "name")
+    met = met.unionByName(mine.join(theirs.where("rare_name"), on).where(shorter("ns", "ts")).select("picklist_id", "text", "name"))
     said = left.select("picklist_id", "text", F.explode("words").alias("word")).join(right.select("picklist_id", "name", F.explode("words").alias("word")), ["picklist_id", "word"]).select("picklist_id", "text", "name")
     # texts that are mostly white space may have nothing but that in common with others
     bare, any_ = lambda side, key: side.where(F.element_at("gaps", 1) >= F.size("letters")).select("picklist_id", key), lambda side, key: side.where(F.element_at("gaps", 1) > 0).select("picklist_id", key)
@@ -100,7 +102,16 @@ def _may_reach(whole: float, piece: float, double: float) -> Column:
     of = lambda x, k: F.get(c(x), F.lit(k))
     low, high = F.least(of("t_sizes", 0), of("n_sizes", 0)), F.greatest(of("t_sizes", 0), of("n_sizes", 0))
     like = high < FROM_RATIO * low
-    share = F.arrays_overlap("t_words", "n_words")
+    both = F.array_intersect("t_words", "n_words")
+
+    def by_words(w: Column) -> Column:
+        """Shared words decide between texts of unlike length; else all of one text's words must be shared, or enough letters beside those of either text."""
+        length = F.aggregate(w, F.lit(-1), lambda n, x: n + F.length(x) + 1)
+        enough = length * 2 * TOKENS >= (length + F.least(of("t_sizes", 2), of("n_sizes", 2))) * (2 * whole) - tiny
+        whole_text = (F.size(w) == F.size("t_words")) | (F.size(w) == F.size("n_words"))
+        return (F.size(w) > 0) & (high <= TO_RATIO * low) & (~like | whole_text | enough)
+
+    share = bound(both, by_words)
 
     def form(k: int, common: Column) -> Column:
         a, b = of("t_sizes", k), of("n_sizes", k)
@@ -111,7 +122,7 @@ def _may_reach(whole: float, piece: float, double: float) -> Column:
         return in_part | (all_ if k == 0 else all_ & like)
 
     forms = bound(F.size(F.array_intersect("t_letters", "n_letters")), lambda n: form(0, n) | form(1, n) | form(2, n))
-    return (share & (high <= TO_RATIO * low)) | forms
+    return share | forms
 
 
 @F.pandas_udf(T.DoubleType())
