@@ -42,13 +42,13 @@ _SPANS = [
 
 
 def _numbered(spark: SparkSession, sf: str) -> DataFrame:
-    order = Window.partitionBy("doc_id").orderBy("n")
+    order = Window.partitionBy("doc_id").orderBy("n", "quantity")
     shares = F.expr(f"part % 5 = 0 AND {_FREE}")
     rows = _ROWS[0](spark, sf).withColumns({"k": F.row_number().over(order) - 1, "open": F.coalesce(shares & F.lead(F.expr(_FREE)).over(order), F.lit(False)), "closing": F.lead("n").over(order).isNull()})
     return written(rows.withColumn("open_before", F.coalesce(F.lag("open").over(order), F.lit(False))), "rows")
 
 
-_NUMBERED = f"""numbered AS (SELECT *, coalesce(lag(open) OVER w, false) AS open_before FROM (SELECT *, row_number() OVER w - 1 AS k, coalesce(part % 5 = 0 AND {_FREE} AND lead({_FREE}) OVER w, false) AS open, lead(n) OVER w IS NULL AS closing FROM {_ROWS[1]} WINDOW w AS (PARTITION BY doc_id ORDER BY n)) WINDOW w AS (PARTITION BY doc_id ORDER BY n))"""
+_NUMBERED = f"""numbered AS (SELECT *, coalesce(lag(open) OVER w, false) AS open_before FROM (SELECT *, row_number() OVER w - 1 AS k, coalesce(part % 5 = 0 AND {_FREE} AND lead({_FREE}) OVER w, false) AS open, lead(n) OVER w IS NULL AS closing FROM {_ROWS[1]} WINDOW w AS (PARTITION BY doc_id ORDER BY n, quantity)) WINDOW w AS (PARTITION BY doc_id ORDER BY n, quantity))"""
 _AS_RULES = [(w, ("doc_id", "0 AS page", f"cast({a} as double) AS x0", f"cast({b} as double) AS y0", f"cast({x} as double) AS x1", f"cast({y} as double) AS y1")) for w, a, b, x, y in _RULES]
 _AS_SPANS = [(w, ("doc_id", "0 AS page", f"cast({a} as double) AS x0", f"cast({y} as double) AS y0", f"cast({b} as double) AS x1", f"cast({y} + 6 as double) AS y1", f"{t} AS text")) for w, a, b, y, t in _SPANS]
 
