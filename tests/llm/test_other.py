@@ -352,9 +352,9 @@ def test_risk_is_corrected():
 def test_sql_gives_the_same(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations", "clicks", "sales"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     frame = queries.QUERIES[name](spark, sf)
     columns = ", ".join(f'"{c}"' for c in frame.columns)
     want = con.execute(f"SELECT {columns} FROM ({queries.ORACLES[name]})").fetchall()
-    assert sorted(tuple(r) for r in frame.collect()) == sorted(want)
+    assert sorted(map(repr, map(tuple, frame.collect()))) == sorted(map(repr, want))
