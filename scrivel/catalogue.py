@@ -24,7 +24,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noise lines off, first email and phone of each document, format checks, sums by source. One scan, one partial aggregate."""
     docs = table(spark, sf_dir, "documents")
     ls = F.filter(F.split("text", "\n"), lambda x: ~T.is_noise(x))
-    d = docs.select("source", F.size(ls).alias("lines"), F.get(T.found(c("text"), R.EMAIL), F.lit(0)).alias("email"), F.get(T.found(c("text"), R.PHONE_INTL), F.lit(0)).alias("phone"))
+    d = docs.select("source", F.size(ls).alias("lines"), F.regexp_substr("text", F.lit(R.EMAIL)).alias("email"), F.regexp_substr("text", F.lit(R.PHONE_INTL)).alias("phone"))
     ok = c("email").rlike(R.VALID_EMAIL)
     return d.groupBy("source").agg(F.count("*").alias("documents"), F.sum("lines").alias("lines"), F.count("email").alias("emails"), F.count_if(ok).alias("valid_emails"), F.count("phone").alias("phones"))
 

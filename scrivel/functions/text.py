@@ -182,5 +182,5 @@ def found(c: Column, pattern: str, group: int = 0) -> Column:
 
 def phone(c: Column) -> Column:
     """TVF18: the first phone number, a Vietnamese one before others, with 7 to 15 digits."""
-    one = strip(F.coalesce(F.get(found(c, R.PHONE_VN), F.lit(0)), F.get(found(c, R.PHONE_INTL), F.lit(0))))
+    one = strip(F.coalesce(F.regexp_substr(c, F.lit(R.PHONE_VN)), F.regexp_substr(c, F.lit(R.PHONE_INTL))))
     return bound(one, lambda x: F.when(F.length(F.regexp_replace(x, r"\D", "")).between(7, 15), x))

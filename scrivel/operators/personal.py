@@ -41,7 +41,7 @@ def by_label(pairs: DataFrame) -> DataFrame:
 def by_pattern(rows: DataFrame, text: str = "raw_text") -> DataFrame:
     """TVF18, SET5: email, phone and id number from the whole text where no label gave them; an id that is the phone number doesn't count."""
     c, none = F.col, F.lit("")
-    rows = rows.withColumns({"primaryEmail": F.coalesce("primaryEmail", F.get(T.found(c(text), R.EMAIL), F.lit(0))), "cellPhone": F.coalesce("cellPhone", T.phone(c(text)))})
+    rows = rows.withColumns({"primaryEmail": F.coalesce("primaryEmail", F.regexp_substr(text, F.lit(R.EMAIL))), "cellPhone": F.coalesce("cellPhone", T.phone(c(text)))})
     phone = F.replace(F.coalesce("cellPhone", none), F.lit(" "), none)
     return rows.withColumn("idCard", F.coalesce("idCard", F.get(F.filter(T.found(c(text), R.ID_NUMBER, 1), lambda x: x != phone), F.lit(0))))
 
