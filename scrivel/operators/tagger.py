@@ -72,8 +72,10 @@ def tags(words: Column, weights: Column, follows: Column) -> Column:
     """The likeliest state of each word."""
     number = {s: k for k, s in enumerate(STATES)}
     step = lambda a, b: F.coalesce(F.try_element_at(follows, F.lit(a + b)), F.lit(NEVER))
-    seen = lambda fs, s: F.aggregate(F.transform(fs, lambda f: F.coalesce(F.get(F.try_element_at(weights, f), F.lit(number[s])), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    marks = F.transform(features(words), lambda fs: F.struct(*(seen(fs, s).alias(s) for s in STATES)))
+    # a look into a map goes through its keys, so each feature is looked up once for all states
+    found = lambda fs: F.array_compact(F.transform(fs, lambda f: F.try_element_at(weights, f)))
+    sums = lambda ws: F.aggregate(ws, F.struct(*(F.lit(0.0).alias(s) for s in STATES)), lambda a, w: F.struct(*((a[s] + F.get(w, F.lit(number[s]))).alias(s) for s in STATES)))
+    marks = F.transform(features(words), lambda fs: sums(found(fs)))
 
     def forward(a: Column, x: Column) -> Column:
         first = F.size(a["back"]) == 0
