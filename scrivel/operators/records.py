@@ -117,7 +117,11 @@ def verdicts(rows: DataFrame, by: list[str]) -> DataFrame:
     """AGG9, AGG10: counts of verdicts (skip left out; missing counts in the total only) and accuracy in percent."""
     n = lambda v: F.count_if(F.col("verdict") == v)
     out = rows.where("verdict != 'skip'").groupBy(*by).agg(*(n(v).alias(v) for v in MARKS[:3]), F.count("*").alias("total"))
-    return out.withColumn("accuracy", rounded((F.col("correct") + 0.5 * F.col("partial")) / F.greatest("total", F.lit(1)) * 100, 1))
+    return with_accuracy(out)
+
+
+def with_accuracy(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("accuracy", rounded((F.col("correct") + 0.5 * F.col("partial")) / F.greatest("total", F.lit(1)) * 100, 1))
 
 
 def overall_accuracy(rows: DataFrame) -> DataFrame:

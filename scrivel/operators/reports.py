@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivel.operators.records import verdicts
+from scrivel.functions.text import bound
+from scrivel.operators.records import MARKS, verdicts, with_accuracy
 
 
 def verdict_rows(reviews: DataFrame) -> DataFrame:
@@ -15,13 +16,15 @@ def verdict_rows(reviews: DataFrame) -> DataFrame:
     Texts that are no such JSON give no rows; the same verdict twice is two rows.
     """
     flat, deep = "map<string,string>", "map<string,map<string,string>>"
-    parts = reviews.select("file", F.from_json("review", f"fields {flat}, sections {deep}").alias("r"))
     none = F.lit(None).cast("string")
-    top = parts.select("file", none.alias("section"), none.alias("entry"), F.explode("r.fields").alias("field", "verdict"))
-    sections = parts.select("file", F.explode("r.sections").alias("section", "of")).select("file", "section", F.explode("of").alias("entry", "v"))
-    counts = sections.where("entry = '_count'").select("file", "section", none.alias("entry"), F.lit("_count").alias("field"), F.col("v").alias("verdict"))
-    inner = sections.where("entry != '_count'").select("file", "section", "entry", F.explode(F.from_json("v", flat)).alias("field", "verdict"))
-    return top.unionByName(counts).unionByName(inner)
+    row = lambda section, entry, field, verdict: F.struct(section.alias("section"), entry.alias("entry"), field.alias("field"), verdict.alias("verdict"))
+    empty = F.array().cast("array<struct<section:string,entry:string,field:string,verdict:string>>")
+    each = lambda members, f: F.coalesce(F.transform(F.map_entries(members), f), empty)
+    all_of = lambda members, f: F.coalesce(F.flatten(F.transform(F.map_entries(members), f)), empty)
+    fields = lambda s, e: each(F.from_json(e["value"], flat), lambda x: row(s["key"], e["key"], x["key"], x["value"]))
+    of = lambda s: all_of(s["value"], lambda e: F.when(e["key"] == "_count", F.array(row(s["key"], none, e["key"], e["value"]))).otherwise(fields(s, e)))
+    told = bound(F.from_json("review", f"fields {flat}, sections {deep}"), lambda r: F.concat(each(r["fields"], lambda x: row(none, none, x["key"], x["value"])), all_of(r["sections"], of)))
+    return reviews.select("file", F.explode_outer(told).alias("x")).where("x is not null").select("file", "x.*")
 
 
 def accuracy_report(rows: DataFrame) -> DataFrame:
@@ -31,14 +34,16 @@ def accuracy_report(rows: DataFrame) -> DataFrame:
     field verdict has no count line, as sections are listed by their fields.
     """
     c, none = F.col, F.lit(None).cast("string")
-    listed = rows.where("verdict != 'skip'")
-    named = listed.where("section is not null and field != '_count'").select("section").distinct()
     part = F.when(c("section").isNull(), "top_level").when(c("field") == "_count", "section_count").otherwise("section_field")
-    marked = listed.withColumn("part", part)
-    counts = marked.where("part = 'section_count'").join(named, "section", "left_semi")
-    lines = verdicts(marked.where("part != 'section_count'").unionByName(counts.select(marked.columns)), ["part", "section", "field"])
-    overall = verdicts(marked.where("part != 'section_count'").withColumns({"part": F.lit("overall"), "section": none, "field": none}), ["part", "section", "field"])
-    return lines.unionByName(overall).orderBy("part", "section", "field")
+    # one pass over the verdicts; all else is sums of these few lines
+    lines = verdicts(rows.withColumn("part", part), ["part", "section", "field"]).drop("accuracy")
+    has_fields = F.max(c("part") == "section_field").over(Window.partitionBy("section"))
+    shown = lines.withColumn("has_fields", has_fields).where("part != 'section_count' or has_fields")
+    own = F.struct("part", "section", "field")
+    overall = F.when(c("part") != "section_count", F.struct(F.lit("overall").alias("part"), none.alias("section"), none.alias("field")))
+    counts = [*MARKS[:3], "total"]
+    both = shown.select(F.explode(F.array_compact(F.array(own, overall))).alias("of"), *counts).select("of.*", *counts)
+    return with_accuracy(both.groupBy("part", "section", "field").agg(*(F.sum(k).alias(k) for k in counts))).orderBy("part", "section", "field")
 
 
 def to_review(files: DataFrame, outputs: DataFrame, reviewed: DataFrame | None = None) -> DataFrame:

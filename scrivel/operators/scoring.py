@@ -139,7 +139,7 @@ def top_issues(results: DataFrame, most: int = 5) -> DataFrame:
 
 def heatmap(results: DataFrame) -> DataFrame:
     """AGG14: section, mean, n: over the records that have the section."""
-    return results.select(F.explode("field_scores").alias("section", "score")).groupBy("section").agg(F.avg("score").alias("mean"), F.count("*").alias("n"))
+    return results.select(F.explode_outer("field_scores").alias("section", "score")).where("section is not null").groupBy("section").agg(F.avg("score").alias("mean"), F.count("*").alias("n"))
 
 
 def suite_report(results: DataFrame, least: int = 8, mean: float = 0.75) -> DataFrame:

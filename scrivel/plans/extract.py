@@ -66,9 +66,9 @@ def _parsed(texts: DataFrame) -> DataFrame:
         return frame.select("doc_id.*", F.lit(kind).alias("section"), F.col(order).cast("long").alias("entry_no"), keys, F.lit(moved).alias("moved"))
 
     def folded(frame: DataFrame, grid, parsed: Column) -> DataFrame:
-        return frame.withColumn("grid", grid(F.col("text"))).select("doc_id", F.posexplode(F.coalesce("grid", parsed)).alias("entry_no", "keys"))
+        return frame.withColumn("grid", grid(F.col("text"))).select("doc_id", F.posexplode_outer(F.coalesce("grid", parsed)).alias("entry_no", "keys")).where("entry_no is not null")
 
-    split = lambda kind: lines.entries(of(kind)).select("doc_id", F.posexplode("entries").alias("entry_no", "entry"))
+    split = lambda kind: lines.entries(of(kind)).select("doc_id", F.posexplode_outer("entries").alias("entry_no", "entry")).where("entry_no is not null")
     schools = folded(of("education"), grids.education_grid, parsers.schools(F.col("text"))).where(F.size("keys") > 0)
     is_cert = contains_any(F.lower(F.coalesce(F.col("keys")["degree"], F.lit(""))), R.CERTIFICATE_WORDS)  # SET3
     as_cert = schools.where(is_cert).withColumns({"name": F.col("keys")["degree"], "institution": F.col("keys")["otherSchool"], "startDate": F.col("keys")["startDate"]})
