@@ -1,7 +1,10 @@
 """What keeps the work of a query in proportion to its input: rows dealt over tasks, nothing worked out twice or before that."""
 
+from pyspark.sql import functions as F
+
 from scrivel import catalogue
 from scrivel.plans import inputs
+from scrivel.streaming import job_stream
 
 SF = "/root/testdata/sf0.01"
 
@@ -26,3 +29,16 @@ def test_nothing_but_columns_goes_before_the_dealing(spark):
 def test_a_list_is_worked_out_once(spark):
     for name in ("val8_to_val12_entries", "agg8_srt3_categories", "tvf11_win2_jobs", "tvf9_rx10_schools", "agg14_heatmap", "src11_verdict_rows"):
         assert not [x for x in plan_of(catalogue.QUERIES[name](spark, SF)).split("\n") if "Filter" in x and "size(" in x and "field_id" not in x], name
+
+
+def test_jobs_go_through_no_python_and_a_late_event_wakes_a_job(spark, tmp_path):
+    folder, state, day = str(tmp_path / "events"), str(tmp_path / "state"), 86_400_000
+    event = lambda job, kind, name, total, at: (job, kind, name, "success" if name else None, 2 if name else None, total, f"2024-01-{at:02d}")
+    waves = [[event("j", "start", None, 3, 1)], [event("", "clock", None, None, 28)], [event("j", "result", "x", None, 2)], [event("", "clock", None, None, 29)], [event("j", "result", k, None, 2) for k in "xyz"]]
+    seen = []
+    for rows in waves:
+        spark.createDataFrame(rows, job_stream.EVENTS.replace("at timestamp", "at string")).withColumn("at", F.to_timestamp("at")).coalesce(1).write.mode("append").parquet(folder)
+        found = job_stream.follow(spark, folder, state, patience_ms=10 * day)
+        seen += [(r.status, r.done, r.repeats) for r in found.where("job_id = 'j'").collect()]
+    assert seen == [("running", 0, 0), ("stale", 0, 0), ("running", 1, 0), ("stale", 1, 0), ("done", 3, 1)]
+    assert found.columns == ["job_id", "status", "total", "done", "success", "errors", "avg_fields", "repeats"] and not hasattr(job_stream, "_life")
