@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +52,15 @@ _AS_SPANS = [(w, ("doc_id", "0 AS page", f"cast({a} as double) AS x0", f"cast({y
 
 
 def _drawn(rows: DataFrame, parts: list) -> DataFrame:
-    return reduce(DataFrame.unionAll, [rows.where(w).selectExpr(*e) for w, e in parts])
+    """What is drawn for each row, in one pass."""
+    drawn = [f"CASE WHEN {w} THEN struct({', '.join(e[2:])}) END" for w, e in parts]
+    return rows.selectExpr("doc_id", "page", f"explode_outer(array_compact(array({', '.join(drawn)}))) AS e").selectExpr("doc_id", "page", "e.*").where("y0 is not null")
+
+
+def _tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Short line items are dealt by document, not the edges and spans that are drawn from them."""
+    rows = grid.by_document(_numbered(spark, sf).withColumn("page", F.lit(0)))
+    return grid.tables(_drawn(rows, _AS_RULES), _drawn(rows, _AS_SPANS), dealt=True)
 
 
 def _drawn_sql(parts: list) -> str:
@@ -89,12 +95,10 @@ found AS (SELECT l.doc_id, CAST(table_no AS INTEGER) AS table_no, CAST(row_no AS
 
 @query(f"WITH RECURSIVE {_GRID} SELECT * FROM found")
 def src3_cell_grid(spark, sf):
-    rows = _numbered(spark, sf)
-    return grid.tables(_drawn(rows, _AS_RULES), _drawn(rows, _AS_SPANS))
+    return _tables(spark, sf)
 
 
 @query(f"WITH RECURSIVE {_GRID} SELECT * FROM found WHERE len(list_filter(cells, lambda x: {CLEAN_SQL('x')})) > 0")
 def src3_page_tables(spark, sf):
     """The cell grid of each page as the rows that parsers read."""
-    rows = _numbered(spark, sf)
-    return spans.table_rows(grid.tables(_drawn(rows, _AS_RULES), _drawn(rows, _AS_SPANS)))
+    return spans.table_rows(_tables(spark, sf))

@@ -69,14 +69,17 @@ def with_tables(points: DataFrame) -> DataFrame:
     """Adds `tab`, the least level edge that a crossing's edges are connected with.
 
     Each round carries the least number along all edges at once, so a drawn table takes two or three rounds, whatever its size.
+    So many are gone before crossings are written; pages on which some crossing still changed go on by themselves.
     """
-    now = written(points.withColumn("tab", F.col("level")), "crossings")
-    while True:
-        far = now.withColumn("least", F.min("tab").over(Window.partitionBy(*_PAGE, "upright"))).withColumn("least", F.min("least").over(Window.partitionBy(*_PAGE, "level")))
-        then = written(far, "crossings")
-        if then.where("least < tab").isEmpty():
-            return then.drop("least")
-        now = then.withColumn("tab", F.col("least")).drop("least")
+    carried = lambda p: p.withColumn("least", F.min("tab").over(Window.partitionBy(*_PAGE, "upright"))).withColumn("least", F.min("least").over(Window.partitionBy(*_PAGE, "level")))
+    further = lambda p: carried(p).withColumn("tab", F.col("least")).drop("least")
+    told = lambda p: written(carried(p).withColumn("open", F.max(F.col("least") < F.col("tab")).over(Window.partitionBy(*_PAGE))), "crossings")
+    now = told(further(further(points.withColumn("tab", F.col("level")))))
+    settled = now.where("not open")
+    while not (left := now.where("open")).isEmpty():
+        now = told(further(left.withColumn("tab", F.col("least")).drop("least", "open")))
+        settled = settled.unionByName(now.where("not open"))
+    return settled.drop("least", "open")
 
 
 def cells(points: DataFrame) -> DataFrame:
@@ -117,14 +120,21 @@ def cell_texts(boxes: DataFrame, spans: DataFrame, near: float = NEAR) -> DataFr
     return boxes.join(texts, key, "left").withColumn("text", strip(F.coalesce("text", F.lit(""))))
 
 
-def tables(rules: DataFrame, spans: DataFrame) -> DataFrame:
+def by_document(rows: DataFrame) -> DataFrame:
+    """Rows dealt by their document; with this setting all that follows by it and more keys, joins too, needs no further dealing."""
+    rows.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return rows.repartition("doc_id")
+
+
+def tables(rules: DataFrame, spans: DataFrame, dealt: bool = False) -> DataFrame:
     """doc_id, table_no, row_no, cells: the rows of all tables of more than one cell, for `spans.table_rows`.
 
     Tables are numbered by page, then from the top, then from the left; a row holds the cells that begin at one height, under the
-    columns at which any cell of the table begins; a place that another cell covers is empty.
+    columns at which any cell of the table begins; a place that another cell covers is empty. dealt: rules and spans come from `by_document` already.
     """
     c, tab = F.col, [*_PAGE, "tab"]
-    found = cell_texts(cells(with_tables(crossings(edges(rules)))), spans)
+    rules, spans = (rules, spans) if dealt else (by_document(rules), by_document(spans))
+    found = cell_texts(cells(by_document(with_tables(crossings(edges(rules))))), spans)
     whole = Window.partitionBy(*tab)
     found = found.withColumns({"n": F.count("*").over(whole), "row_no": F.dense_rank().over(whole.orderBy("y0")) - 1, "column": F.dense_rank().over(whole.orderBy("x0")) - 1}).where("n > 1")
     found = written(found.withColumn("width", F.max("column").over(whole) + 1), "cells")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from scrivel import catalogue
 from scrivel.plans import inputs
+from scrivel.sources import grid
 from scrivel.streaming import job_stream
 
 SF = "/root/testdata/sf0.01"
@@ -42,3 +43,9 @@ def test_jobs_go_through_no_python_and_a_late_event_wakes_a_job(spark, tmp_path)
         seen += [(r.status, r.done, r.repeats) for r in found.where("job_id = 'j'").collect()]
     assert seen == [("running", 0, 0), ("stale", 0, 0), ("running", 1, 0), ("stale", 1, 0), ("done", 3, 1)]
     assert found.columns == ["job_id", "status", "total", "done", "success", "errors", "avg_fields", "repeats"] and not hasattr(job_stream, "_life")
+
+
+def test_drawn_pages_are_dealt_once(spark):
+    rules = spark.createDataFrame([("a", 0, 0.0, 0.0, 50.0, 20.0)], "doc_id string, page int, x0 double, y0 double, x1 double, y1 double")
+    plan = grid.crossings(grid.edges(grid.by_document(rules)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(doc_id#") == plan.count("REPARTITION_BY_COL") == 2, plan
