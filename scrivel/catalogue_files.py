@@ -94,7 +94,7 @@ def orc1_dt6_folder(spark, sf):
     _folder(spark, _documents(spark, sf), path)
     got = batch.run_folder(spark, path, *_dictionaries(spark), out)
     report = spark.read.json(f"{out}/report").first()
-    if report.total_files != got.count() or spark.read.text(f"{out}/files/*.json", wholetext=True).count() != got.where("record is not null").count():
+    if report.total_files != got.count() or sinks.read_files(spark, f"{out}/files").count() != got.where("record is not null").count():
         raise ValueError("the report or the files don't agree with the results")
     field = lambda k: F.get_json_object("record", f"$[0].{k}").alias(k)
     return got.select(files.name_of(c("doc_id")).alias("name"), "status", field("fullName"), field("primaryEmail"), "missing_required")
@@ -143,8 +143,7 @@ def snk1_file_each(spark, sf):
     """A JSON file for each record, read back."""
     path = shared_dir(spark, "records")
     sinks.write_each(_SAVED[0](spark, sf), path)
-    back = spark.read.option("wholetext", True).text(f"{path}/*.json")
-    return back.select(files.name_of(F.input_file_name()).alias("name"), c("value").alias("content"))
+    return sinks.read_files(spark, path).select("name", c("content").cast("string").alias("content"))
 
 
 @query(f"WITH {_STEMS} SELECT name, md5(record) AS content_md5 FROM n")

@@ -40,6 +40,39 @@ def test_bundles(spark, tmp_path):
     assert none.members == 0 and zipfile.ZipFile(tmp_path / "none.zip").namelist() == []
 
 
+def test_files_are_read_by_the_lists_of_their_names(spark, tmp_path):
+    rows = [(f"d/{k}é\n.json", "ab\u2028" * k) for k in range(300)] + [("gone", None), (None, "x")]
+    path = str(tmp_path / "out")
+    sinks.write_files(spark.createDataFrame(rows, "name string, content string").repartition(3), path)
+    (tmp_path / "out" / "stray.json").write_text("{}")
+    got = sinks.read_files(spark, path)
+    assert sorted((r.name, r.content.decode()) for r in got.collect()) == sorted((n.replace("/", "_"), c) for n, c in rows if n and c is not None)
+    assert "FileScan text" not in got._jdf.queryExecution().toString() and got.rdd.getNumPartitions() == 4
+    sinks.write_files(spark.createDataFrame([], "name string, content string"), str(tmp_path / "none"))
+    assert sinks.read_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_members_of_a_bundle_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.range(4500).select(F.concat(F.lit("é"), F.col("id").cast("string")).alias("name"), F.repeat(F.lit("x"), F.col("id").cast("int") % 50).alias("content"))
+    sinks.write_bundle(rows, str(tmp_path / "x.zip")).collect()
+    got = sinks.read_bundle(spark, str(tmp_path / "x.zip"))
+    assert {(r.name, r.content.decode()) for r in got.collect()} == {(f"é{k}", "x" * (k % 50)) for k in range(4500)}
+    sizes = [n for n in got.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect() if n]
+    assert len(sizes) > 1 and max(sizes) <= 2000, sizes
+    with open(tmp_path / "y.zip", "wb") as file:
+        file.write(b"before")
+        with zipfile.ZipFile(file, "a") as z:
+            for k in range(70):
+                z.writestr(f"y{k}", "y" * k, zipfile.ZIP_DEFLATED if k % 2 else zipfile.ZIP_STORED)
+            z.comment = b"PK"
+    assert sorted((r.name, len(r.content)) for r in sinks.read_bundle(spark, str(tmp_path / "y.zip")).collect()) == sorted((f"y{k}", k) for k in range(70))
+    monkeypatch.setattr(sinks, "PIECE", 16)
+    monkeypatch.setattr(sinks, "COPY_BYTES", 100)
+    with open(tmp_path / "y.zip", "rb") as file:
+        pieces = list(sinks._pieces(file, (tmp_path / "y.zip").stat().st_size))
+    assert [n for *_, n in pieces] == [16, 16, 16, 16, 6] and all(a + size == b for (a, size, _), (b, *_) in zip(pieces, pieces[1:], strict=False))
+
+
 def test_many_members_need_the_wide_ending(tmp_path):
     with open(tmp_path / "w.zip", "wb") as out:
         index = io.BytesIO()
