@@ -9,7 +9,7 @@ from scrivel.functions.text import SPACES
 from scrivel.plans.inputs import PLACE, made, pick, q
 from scrivel.plans.registry import CLEAN_SQL, query
 from scrivel.sources import grid, spans
-from scrivel.streaming.shared import written
+from scrivel.streaming.shared import bucketed
 
 _ROWS = made("lineitem", doc_id="cast(l_orderkey as string)", n=PLACE, part="cast(l_partkey as bigint)", supp="cast(l_suppkey as bigint)", quantity="cast(cast(l_quantity as int) as string)", odd="l_orderkey % 2 = 1")
 #: A row of the left table is one cell, two, or three; rows of three may share their first cell with the next row.
@@ -43,7 +43,7 @@ def _numbered(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("n", "quantity")
     shares = F.expr(f"part % 5 = 0 AND {_FREE}")
     rows = _ROWS[0](spark, sf).withColumns({"k": F.row_number().over(order) - 1, "open": F.coalesce(shares & F.lead(F.expr(_FREE)).over(order), F.lit(False)), "closing": F.lead("n").over(order).isNull()})
-    return written(rows.withColumn("open_before", F.coalesce(F.lag("open").over(order), F.lit(False))), "rows")
+    return bucketed(rows.withColumns({"open_before": F.coalesce(F.lag("open").over(order), F.lit(False)), "page": F.lit(0)}), "rows", "doc_id")
 
 
 _NUMBERED = f"""numbered AS (SELECT *, coalesce(lag(open) OVER w, false) AS open_before FROM (SELECT *, row_number() OVER w - 1 AS k, coalesce(part % 5 = 0 AND {_FREE} AND lead({_FREE}) OVER w, false) AS open, lead(n) OVER w IS NULL AS closing FROM {_ROWS[1]} WINDOW w AS (PARTITION BY doc_id ORDER BY n, quantity)) WINDOW w AS (PARTITION BY doc_id ORDER BY n, quantity))"""
@@ -58,8 +58,9 @@ def _drawn(rows: DataFrame, parts: list) -> DataFrame:
 
 
 def _tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Short line items are dealt by document, not the edges and spans that are drawn from them."""
-    rows = grid.by_document(_numbered(spark, sf).withColumn("page", F.lit(0)))
+    """Short line items are dealt by document, once, not the edges and spans that are drawn from them."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    rows = _numbered(spark, sf)
     return grid.tables(_drawn(rows, _AS_RULES), _drawn(rows, _AS_SPANS), dealt=True)
 
 

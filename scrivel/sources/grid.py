@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivel.functions.text import strip
-from scrivel.streaming.shared import written
+from scrivel.streaming.shared import bucketed
 
 #: Points within which edges are one, touch, or cross.
 NEAR = 3.0
@@ -60,41 +60,41 @@ def crossings(lines: DataFrame, near: float = NEAR) -> DataFrame:
     c = F.col
     level = lines.where("not upright").select(*_PAGE, c("edge").alias("level"), c("at").alias("y"), c("low").alias("left"), c("high").alias("right"), _strip_of(c("at")).alias("strip"))
     upright = lines.where("upright").select(*_PAGE, c("edge").alias("upright"), c("at").alias("x"), c("low").alias("top"), c("high").alias("bottom"), _strips(c("low") - near, c("high") + near).alias("strip"))
-    meet = level.join(upright, [*_PAGE, "strip"]).where(c("y").between(c("top") - near, c("bottom") + near) & c("x").between(c("left") - near, c("right") + near))
+    meet = level.join(upright.hint("merge"), [*_PAGE, "strip"]).where(c("y").between(c("top") - near, c("bottom") + near) & c("x").between(c("left") - near, c("right") + near))
     twice = lambda p, k: p.withColumn("n", F.count("*").over(Window.partitionBy(*_PAGE, k))).where("n > 1").drop("n")
     return twice(twice(meet.select(*_PAGE, "level", "upright", "x", "y"), "level"), "upright")
 
 
 def with_tables(points: DataFrame) -> DataFrame:
-    """Adds `tab`, the least level edge that a crossing's edges are connected with.
+    """Adds `tab`, the least level edge that a crossing's edges are connected with, and `k`, the number of its height within the table.
 
-    Each round carries the least number along all edges at once, so a drawn table takes two or three rounds, whatever its size.
+    Each round carries the least number along all edges at once, so a drawn table takes two or three rounds, whatever its size. The result is in buckets by document.
     So many are gone before crossings are written; pages on which some crossing still changed go on by themselves.
     """
     carried = lambda p: p.withColumn("least", F.min("tab").over(Window.partitionBy(*_PAGE, "upright"))).withColumn("least", F.min("least").over(Window.partitionBy(*_PAGE, "level")))
     further = lambda p: carried(p).withColumn("tab", F.col("least")).drop("least")
-    told = lambda p: written(carried(p).withColumn("open", F.max(F.col("least") < F.col("tab")).over(Window.partitionBy(*_PAGE))), "crossings")
+    told = lambda p: bucketed(carried(p).withColumns({"open": F.max(F.col("least") < F.col("tab")).over(Window.partitionBy(*_PAGE)), "k": F.dense_rank().over(Window.partitionBy(*_PAGE, "tab").orderBy("y"))}), "crossings", "doc_id")
     now = told(further(further(points.withColumn("tab", F.col("level")))))
-    settled = now.where("not open")
+    settled, rounds = now.where("not open"), 1
     while not (left := now.where("open")).isEmpty():
         now = told(further(left.withColumn("tab", F.col("least")).drop("least", "open")))
-        settled = settled.unionByName(now.where("not open"))
-    return settled.drop("least", "open")
+        settled, rounds = settled.unionByName(now.where("not open")), rounds + 1
+    settled = settled.drop("least", "open")
+    return settled if rounds == 1 else bucketed(by_document(settled), "crossings", "doc_id")
 
 
 def cells(points: DataFrame) -> DataFrame:
-    """doc_id, page, tab, x0, y0, x1, y1 of closed cells, from crossings with their tables."""
+    """doc_id, page, tab, x0, y0, x1, y1 of closed cells, from crossings with their tables and heights."""
     c, tab = F.col, [*_PAGE, "tab"]
-    p = points.withColumn("k", F.dense_rank().over(Window.partitionBy(*tab).orderBy("y")))
-    heights = p.select(*tab, "k", "y").distinct()
-    lids = p.groupBy(*tab, "level", "k").agg(F.min("x").alias("left"), F.max("x").alias("right"))
-    walls = p.groupBy(*tab, "upright").agg(F.first("x").alias("x"), F.min("k").alias("first"), F.max("k").alias("last")).where("last > first")
+    heights = points.select(*tab, "k", "y").distinct()
+    lids = points.groupBy(*tab, "level", "k").agg(F.min("x").alias("left"), F.max("x").alias("right"))
+    walls = points.groupBy(*tab, "upright").agg(F.first("x").alias("x"), F.min("k").alias("first"), F.max("k").alias("last")).where("last > first")
     walls = walls.select(*tab, c("x").alias("x0"), F.explode(F.sequence("first", c("last") - 1)).alias("k"))
     boxes = walls.withColumn("x1", F.lead("x0").over(Window.partitionBy(*tab, "k").orderBy("x0"))).where("x1 is not null")
 
     def lid(boxes: DataFrame, below: int, name: str) -> DataFrame:
         over = lids.select(*tab, (c("k") - below).alias("k"), "left", "right", F.lit(True).alias(name))
-        held = boxes.join(over, [*tab, "k"], "left").withColumn(name, F.coalesce(c(name) & (c("left") <= c("x0")) & (c("right") >= c("x1")), F.lit(False)))
+        held = boxes.join(over.hint("merge"), [*tab, "k"], "left").withColumn(name, F.coalesce(c(name) & (c("left") <= c("x0")) & (c("right") >= c("x1")), F.lit(False)))
         return held.groupBy(*boxes.columns).agg(F.max(name).alias(name))
 
     boxes = lid(lid(boxes, 0, "above"), 1, "below")
@@ -103,7 +103,7 @@ def cells(points: DataFrame) -> DataFrame:
     runs = boxes.withColumn("run", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(column))
     runs = runs.groupBy(*tab, "x0", "x1", "run").agg(F.min("k").alias("k"), F.max("k").alias("last"), F.min_by("above", "k").alias("above"), F.max_by("below", "k").alias("below")).where("above and below")
     top, bottom = heights.withColumnRenamed("y", "y0"), heights.select(*tab, (c("k") - 1).alias("last"), c("y").alias("y1"))
-    return runs.join(top, [*tab, "k"]).join(bottom, [*tab, "last"]).select(*tab, "x0", "y0", "x1", "y1")
+    return runs.join(top.hint("merge"), [*tab, "k"]).join(bottom.hint("merge"), [*tab, "last"]).select(*tab, "x0", "y0", "x1", "y1")
 
 
 def cell_texts(boxes: DataFrame, spans: DataFrame, near: float = NEAR) -> DataFrame:
@@ -112,12 +112,12 @@ def cell_texts(boxes: DataFrame, spans: DataFrame, near: float = NEAR) -> DataFr
     said = spans.where("text is not null").select(*_PAGE, ((c("x0") + c("x1")) / 2).alias("x"), ((c("y0") + c("y1")) / 2).alias("y"), c("x0").alias("from"), c("text").alias("word"))
     dealt = boxes.select("*", _strips(c("y0"), c("y1")).alias("strip"))
     key = boxes.columns
-    inside = dealt.join(said.withColumn("strip", _strip_of(c("y"))), [*_PAGE, "strip"]).where((c("x") >= c("x0")) & (c("x") < c("x1")) & (c("y") >= c("y0")) & (c("y") < c("y1")))
+    inside = dealt.join(said.withColumn("strip", _strip_of(c("y"))).hint("merge"), [*_PAGE, "strip"]).where((c("x") >= c("x0")) & (c("x") < c("x1")) & (c("y") >= c("y0")) & (c("y") < c("y1")))
     down = Window.partitionBy(*key).orderBy("y", "from", "word")
     lined = inside.withColumn("jump", F.coalesce(c("y") - F.lag("y").over(down) > near, F.lit(False)).cast("int")).withColumn("line", F.sum("jump").over(down.rowsBetween(Window.unboundedPreceding, 0)))
     rows = lined.groupBy(*key, "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("from", "y", "word"))), lambda x: x["word"]), " ").alias("row"))
     texts = rows.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "row"))), lambda x: x["row"]), "\n").alias("text"))
-    return boxes.join(texts, key, "left").withColumn("text", strip(F.coalesce("text", F.lit(""))))
+    return boxes.join(texts.hint("merge"), key, "left").withColumn("text", strip(F.coalesce("text", F.lit(""))))
 
 
 def by_document(rows: DataFrame) -> DataFrame:
@@ -134,13 +134,13 @@ def tables(rules: DataFrame, spans: DataFrame, dealt: bool = False) -> DataFrame
     """
     c, tab = F.col, [*_PAGE, "tab"]
     rules, spans = (rules, spans) if dealt else (by_document(rules), by_document(spans))
-    found = cell_texts(cells(by_document(with_tables(crossings(edges(rules))))), spans)
+    found = cell_texts(cells(with_tables(crossings(edges(rules)))), spans)
     whole = Window.partitionBy(*tab)
     found = found.withColumns({"n": F.count("*").over(whole), "row_no": F.dense_rank().over(whole.orderBy("y0")) - 1, "column": F.dense_rank().over(whole.orderBy("x0")) - 1}).where("n > 1")
-    found = written(found.withColumn("width", F.max("column").over(whole) + 1), "cells")
+    found = bucketed(found.withColumn("width", F.max("column").over(whole) + 1), "cells", "doc_id")
     first = found.groupBy(*tab).agg(F.min(F.struct("y0", "x0")).alias("corner"))
     numbered = first.withColumn("table_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "corner", "tab")) - 1).drop("corner")
     held = F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", "text"))))
     rows = found.groupBy(*tab, "row_no").agg(F.first("width").alias("width"), held.alias("held"))
     line = F.transform(F.sequence(F.lit(0), c("width") - 1), lambda k: F.coalesce(F.try_element_at("held", k), F.lit("")))
-    return rows.join(numbered, tab).select("doc_id", "table_no", "row_no", line.alias("cells"))
+    return rows.join(numbered.hint("merge"), tab).select("doc_id", "table_no", "row_no", line.alias("cells"))

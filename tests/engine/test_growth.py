@@ -52,6 +52,13 @@ def test_drawn_pages_are_dealt_once(spark):
     assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(doc_id#") == plan.count("REPARTITION_BY_COL") == 2, plan
 
 
+def test_line_items_of_drawn_pages_are_dealt_and_nothing_else(spark):
+    before = {r.tableName for r in spark.sql("SHOW TABLES").collect()}
+    got = catalogue.QUERIES["src3_page_tables"](spark, "/root/testdata/sf0.001")
+    got.count()
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and {r.tableName for r in spark.sql("SHOW TABLES").collect()} == before
+
+
 def test_phones_are_counted_as_in_sql(spark, tmp_path):
     texts = ["+84 90 1234567 +84 91 7654321", "call +84901234567,+84917654321", "+84\x0b901234567", "+84 901234567", "a@b.co", "", None]
     spark.createDataFrame([(str(k), t, "en") for k, t in enumerate(texts)], "doc_id string, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
