@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from scrivel import catalogue
+from scrivel.operators import matching
 from scrivel.plans import inputs
 from scrivel.sources import grid
 from scrivel.streaming import job_stream
@@ -59,6 +60,12 @@ def test_line_items_of_drawn_pages_are_dealt_and_nothing_else(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and {r.tableName for r in spark.sql("SHOW TABLES").collect()} == before
 
 
+def test_a_label_is_matched_once(spark):
+    asked = spark.createDataFrame([("p", k, "Full name", k) for k in range(50)], "doc_id string, pos int, label string, more int")
+    plan = matching.fuzzy_candidates(asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [label" in plan and matching.fuzzy_candidates(asked).where("more = pos").count() == 50
+
+
 def test_phones_are_counted_as_in_sql(spark, tmp_path):
     texts = ["+84 90 1234567 +84 91 7654321", "call +84901234567,+84917654321", "+84\x0b901234567", "+84 901234567", "a@b.co", "", None]
     spark.createDataFrame([(str(k), t, "en") for k, t in enumerate(texts)], "doc_id string, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
