@@ -22,6 +22,8 @@ NOISE, FORM_LABELS = [PATTERN(p) for p in R.NOISE], [PATTERN(p) for p in R.FORM_
 BLOCKS = "doc_id string, block_no int, page int, x0 double, y0 double, x1 double, y1 double, text string, is_bold boolean, font_size double, error string"
 TABLES = "doc_id string, table_no int, row_no int, cells array<string>"
 EXTENSIONS = ["pdf", "docx", "doc"]
+#: Bytes that opening a file counts as, when files are dealt over tasks.
+OPEN_COST = 262_144
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: SRC2: readers by extension; a reader gives blocks (text, is_bold, font_size) and tables of one file. PDF readers can be put in.
 ADAPTERS: dict[str, Callable[[bytes], tuple[list[tuple], list[list[list[str]]]]]] = {}
@@ -53,9 +55,16 @@ def allowed(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(EXTENSIONS)
 
 
+def many_files(spark: SparkSession) -> SparkSession:
+    """Small files by the hundreds a task: Spark reckons 4 MB for opening one, so a task would get 32 of them. A lower setting of the session stays."""
+    key = "spark.sql.files.openCostInBytes"
+    spark.conf.set(key, str(min(OPEN_COST, int(spark.conf.get(key).rstrip("b")))))
+    return spark
+
+
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """SRC1, FLT5, SRC13: path, name, stem, extension, content of documents directly in a folder."""
-    return described(spark.read.format("binaryFile").option("pathGlobFilter", PATTERN).load(folder))
+    return described(many_files(spark).read.format("binaryFile").option("pathGlobFilter", PATTERN).load(folder))
 
 
 def described(files: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivel.sources.files import PATTERN, described
+from scrivel.sources.files import PATTERN, described, many_files
 from scrivel.streaming.shared import prepare
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -42,7 +42,7 @@ def take(spark: SparkSession, folder: str, state: str, process: Callable[[DataFr
 
     process makes results of files (path, name, stem, extension, content), which are written to {state}/results by batch.
     """
-    prepare(spark)
+    many_files(prepare(spark))
     files = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", PATTERN).option("maxFilesPerTrigger", most).load(folder)
 
     def one(batch: DataFrame, number: int) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from scrivel import catalogue
 from scrivel.operators import matching
 from scrivel.plans import inputs
-from scrivel.sources import grid
+from scrivel.sources import files, grid
 from scrivel.streaming import job_stream
 
 SF = "/root/testdata/sf0.01"
@@ -66,6 +66,13 @@ def test_a_label_is_matched_once(spark):
     assert "Aggregate [label" in plan and matching.fuzzy_candidates(asked).where("more = pos").count() == 50
 
 
+def test_small_files_are_read_by_the_hundreds_a_task(spark, tmp_path):
+    for k in range(200):
+        (tmp_path / f"{k}.docx").write_bytes(b"x")
+    listed = files.list_files(spark, str(tmp_path))
+    assert listed.count() == 200 and listed.select("path").rdd.getNumPartitions() == 4
+
+
 def test_phones_are_counted_as_in_sql(spark, tmp_path):
     texts = ["+84 90 1234567 +84 91 7654321", "call +84901234567,+84917654321", "+84\x0b901234567", "+84 901234567", "a@b.co", "", None]
     spark.createDataFrame([(str(k), t, "en") for k, t in enumerate(texts)], "doc_id string, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
