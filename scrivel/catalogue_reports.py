@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scrivel.functions import rules as R
 from scrivel.operators import matching, records, reports, scoring
-from scrivel.plans.inputs import KEY, made, pick, q, table
+from scrivel.plans.inputs import KEY, keyed, made, pick, q, table
 from scrivel.plans.registry import CLEAN_SQL, NOISE_SQL, NORM_SQL, query
 from scrivel.sources import files, spans
 from scrivel.streaming.shared import shared_dir
@@ -98,7 +98,7 @@ _CHOICES = {"n": "c_custkey % 3", "e": "cast(floor(c_custkey / 3) as bigint) % 2
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    t = table(spark, sf_dir, "customer").selectExpr("*", f"{KEY} AS cv_id", f"{_TRUTH} AS truth", *(f"{v} AS {k}" for k, v in _CHOICES.items()))
+    t = keyed(spark, sf_dir, "customer", "cv_id", KEY).selectExpr("*", f"{_TRUTH} AS truth", *(f"{v} AS {k}" for k, v in _CHOICES.items()))
     name = "CASE n WHEN 0 THEN c_name WHEN 1 THEN upper(c_name) ELSE concat(c_name, '@@@@@@@@@@@@') END"
     speaks = "CASE g WHEN 0 THEN array('English', 'French') WHEN 1 THEN array('French', 'Englis', 'x') WHEN 2 THEN array('English', 'zzz') ELSE cast(array() as array<string>) END"
     works = "CASE w WHEN 0 THEN array(named_struct('title', 'Dev', 'summary', 'Wrote'), named_struct('title', 'Lead', 'summary', 'Led')) WHEN 1 THEN array(named_struct('title', 'Lead', 'summary', 'Led')) WHEN 2 THEN array(named_struct('title', 'Lead', 'summary', 'Led'), named_struct('title', 'Dev', 'summary', cast(null as string))) ELSE cast(array() as array<struct<title:string,summary:string>>) END"

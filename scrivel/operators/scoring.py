@@ -126,7 +126,9 @@ def score_records(truth: DataFrame, parsed: DataFrame, passing: float = FLOOR) -
     """
     prepare(truth.sparkSession)
     t = truth.select("cv_id", F.col("record").alias("truth"))
-    rows = t.join(parsed.select("cv_id", F.col("record").alias("parsed"), F.lit(True).alias("found")), "cv_id", "left").select("cv_id", "found", evaluate("truth", "parsed").alias("s"))
+    # a file's size says little of the texts made from it: no side is sent whole through the driver
+    p = parsed.select("cv_id", F.col("record").alias("parsed"), F.lit(True).alias("found")).hint("merge")
+    rows = t.join(p, "cv_id", "left").select("cv_id", "found", evaluate("truth", "parsed").alias("s"))
     absent = F.array(F.concat(F.lit("FILE NOT FOUND: "), F.coalesce(F.col("cv_id").cast("string"), F.lit("")), F.lit(".json")))
     issues = F.when(F.col("found").isNull(), absent).otherwise(F.col("s.issues"))
     return rows.select("cv_id", F.col("s.status").alias("status"), F.col("s.score").alias("score"), (F.col("s.score") >= passing).alias("passed"), issues.alias("issues"), F.col("s.field_scores").alias("field_scores"))

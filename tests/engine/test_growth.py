@@ -34,6 +34,12 @@ def test_a_list_is_worked_out_once(spark):
         assert not [x for x in plan_of(catalogue.QUERIES[name](spark, SF)).split("\n") if "Filter" in x and "size(" in x and "field_id" not in x], name
 
 
+def test_records_are_joined_without_the_driver(spark):
+    for name in ("snk7_console",):
+        plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan and "ENSURE_REQUIREMENTS" not in plan.split("SortMergeJoin")[1] and plan.count("REPARTITION_BY_NUM") == 2, plan
+
+
 def test_jobs_go_through_no_python_and_a_late_event_wakes_a_job(spark, tmp_path):
     folder, state, day = str(tmp_path / "events"), str(tmp_path / "state"), 86_400_000
     event = lambda job, kind, name, total, at: (job, kind, name, "success" if name else None, 2 if name else None, total, f"2024-01-{at:02d}")
