@@ -35,7 +35,7 @@ def test_a_list_is_worked_out_once(spark):
 
 
 def test_records_are_joined_without_the_driver(spark):
-    for name in ("snk7_console", "agg14_heatmap"):
+    for name in ("snk7_console", "agg14_heatmap", "snk4_sco5_suite_report"):
         plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan and "ENSURE_REQUIREMENTS" not in plan.split("SortMergeJoin")[1] and plan.count("REPARTITION_BY_NUM") == 2, plan
 
