@@ -71,12 +71,12 @@ def _parsed(texts: DataFrame) -> DataFrame:
     split = lambda kind: lines.entries(of(kind)).select("doc_id", F.posexplode_outer("entries").alias("entry_no", "entry")).where("entry_no is not null")
     schools = folded(of("education"), grids.education_grid, parsers.schools(F.col("text"))).where(F.size("keys") > 0)
     is_cert = contains_any(F.lower(F.coalesce(F.col("keys")["degree"], F.lit(""))), R.CERTIFICATE_WORDS)  # SET3
-    as_cert = schools.where(is_cert).withColumns({"name": F.col("keys")["degree"], "institution": F.col("keys")["otherSchool"], "startDate": F.col("keys")["startDate"]})
+    # schools and certificates among them in one pass, so that the section is parsed once
+    as_cert = schools.withColumns({"moved": is_cert, "name": F.col("keys")["degree"], "institution": F.col("keys")["otherSchool"], "startDate": F.col("keys")["startDate"]})
     languages = parsers.language_lines(of("languages"))
     inline = parsers.section_lines(of("languages")).where(F.col("line").rlike(r"[,|]") & F.col("line").rlike(r"\([^)]+\)"))
     out = [
-        rows(schools.where(~is_cert), "education", "entry_no", F.col("keys")),
-        rows(as_cert, "certificates", "entry_no", _filled("name", "institution", "startDate"), True),
+        as_cert.select("doc_id.*", F.when(F.col("moved"), "certificates").otherwise("education").alias("section"), F.col("entry_no").cast("long").alias("entry_no"), F.when(F.col("moved"), _filled("name", "institution", "startDate")).otherwise(F.col("keys")).alias("keys"), "moved"),
         rows(folded(lines.entries(of("experience")), grids.experience_grid, parsers.jobs(F.col("entries"))), "experience", "entry_no", F.col("keys")),
         rows(languages, "languages", "line_no", _filled("language", "proficiency", "remark")),
         rows(parsers.inline_languages(inline.select("doc_id", F.col("line").alias("value"))), "languages", "pos", _filled("language", "remark")),
@@ -84,10 +84,13 @@ def _parsed(texts: DataFrame) -> DataFrame:
         rows(parsers.family(split("family")), "family", "entry_no", _filled("name", "relationship", "contact", "position")),
     ]
     for kind, share, numbered, date in (("certificates", 0.5, True, "startDate"), ("awards", 0.6, False, "issueDate")):
-        items = parsers.listed(of(kind), share, numbered, date)
-        plain = parsers.simple_entries(split(kind), "name", date).join(items.select("doc_id").distinct(), "doc_id", "left_anti")
+        # a list or plain entries, told by the text alone: only those that are no list are split
+        seen = of(kind).withColumn("items", parsers.listed_items(F.col("text"), share, numbered, date))
+        items = seen.select("doc_id", F.posexplode_outer("items").alias("nth", "x")).where("x is not null").select("doc_id", "x.*")
+        plain = lines.entries(seen.where(F.coalesce(F.size("items"), F.lit(0)) <= 0).select("doc_id", "text"))
+        plain = plain.select("doc_id", F.posexplode_outer("entries").alias("entry_no", "entry")).where("entry_no is not null")
         second = "endDate" if date == "startDate" else "startDate"
-        out += [rows(items, kind, "line_no", _filled("name", date)), rows(plain, kind, "entry_no", _filled("name", date, second, "institution", "description"))]
+        out += [rows(items, kind, "line_no", _filled("name", date)), rows(parsers.simple_entries(plain, "name", date), kind, "entry_no", _filled("name", date, second, "institution", "description"))]
     first, *more = out
     for o in more:
         first = first.unionByName(o)

@@ -4,8 +4,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from scrivel import catalogue
-from scrivel.operators import matching
-from scrivel.plans import inputs
+from scrivel.operators import matching, parsers
+from scrivel.plans import extract, inputs
 from scrivel.sources import files, grid
 from scrivel.streaming import job_stream
 
@@ -40,6 +40,22 @@ def test_records_are_joined_without_the_driver(spark):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan and "ENSURE_REQUIREMENTS" not in plan.split("SortMergeJoin")[1] and plan.count("REPARTITION_BY_NUM") == 2, plan
 
 
+def test_sections_are_parsed_once_and_where_they_are(spark):
+    texts = spark.createDataFrame([("a", 0, "awards", "- one (2011)\n- two")], "doc_id string, sec_no long, section string, text string")
+    plan = extract._parsed(texts)._jdf.queryExecution().executedPlan().toString()
+    # dealt only for languages, one of each, and for the lines of families
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2 and sum("Filter" in x and "= education)" in x for x in plan.split("\n")) == 1, plan
+
+
+def test_items_of_one_text_are_those_of_lists(spark):
+    texts = ["- a (2011)\n- bcd (2012)", "1. one\n2. two\n- three", "- ab\n- abc\nx\ny", "- ab\n- cd", "one", "", None, "* k (19)\n\nPage 1 of 2\n> long (1999) (2001)", "-\u00a0wide\n- \u2003item\r\n12) twelve", "1. a b\n2. c d\n- e f\n- g h"]
+    docs = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "doc_id string, text string")
+    for share, numbered in ((0.5, True), (0.6, False)):
+        want = sorted(map(repr, parsers.listed(docs, share, numbered, "day").collect()))
+        got = docs.select("doc_id", F.explode(parsers.listed_items(F.col("text"), share, numbered, "day")).alias("x")).select("doc_id", "x.*")
+        assert want and sorted(map(repr, got.collect())) == want
+
+
 def test_jobs_go_through_no_python_and_a_late_event_wakes_a_job(spark, tmp_path):
     folder, state, day = str(tmp_path / "events"), str(tmp_path / "state"), 86_400_000
     event = lambda job, kind, name, total, at: (job, kind, name, "success" if name else None, 2 if name else None, total, f"2024-01-{at:02d}")
