@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivel.functions import rules as R
-from scrivel.functions.text import contains_any, fold, is_form_label, is_noise, strip
+from scrivel.functions.text import contains_any, fold, is_data, strip
 from scrivel.operators import grids, layout, lines, parsers, personal
 from scrivel.streaming.shared import shared_dir, written
 
@@ -48,7 +48,7 @@ def section_texts(ls: DataFrame) -> DataFrame:
     line = strip("line")
     marked = line.startswith("[SECTION]")
     bare = strip(F.replace(line, F.lit("[SECTION]"), F.lit("")))
-    keep = F.when(marked, F.col("section").isin(INNER_BOLD) & (bare != "")).otherwise(~is_noise(line) & ~is_form_label(line))
+    keep = F.when(marked, F.col("section").isin(INNER_BOLD) & (bare != "")).otherwise(is_data(line))
     rows = s.where(keep).withColumn("kept", F.struct("line_no", F.when(marked, bare).otherwise(line).alias("t")))
     return rows.groupBy("doc_id", "sec_no", "section").agg(F.array_join(F.array_sort(F.collect_list("kept"))["t"], "\n").alias("text"))
 

@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from scrivel import catalogue
+from scrivel.functions import text
 from scrivel.operators import matching, parsers
 from scrivel.plans import extract, inputs
 from scrivel.sources import files, grid
@@ -47,6 +48,14 @@ def test_sections_are_parsed_once_and_where_they_are(spark):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2 and sum("Filter" in x and "= education)" in x for x in plan.split("\n")) == 1, plan
 
 
+def test_lines_are_stripped_and_judged_once(spark):
+    for name in ("tvf12_rx11_language_lines",):
+        assert plan_of(catalogue.QUERIES[name](spark, SF)).count("I accept the") == 1, name
+    lines = ["", " ", "Page 1 of 2", "From *", "a *", "TRUE", "TRUE b", "____", "____ x", "Trang 1 / 2", "x\nFrom *", "Signature", "no Signature", "Approved ____", "data", None]
+    rows = spark.createDataFrame([(x,) for x in lines], "x string").withColumn("x", text.strip("x"))
+    assert rows.where(~text.is_data(F.col("x")).eqNullSafe(~text.is_noise(F.col("x")) & ~text.is_form_label(F.col("x")))).count() == 0
+
+
 def test_items_of_one_text_are_those_of_lists(spark):
     texts = ["- a (2011)\n- bcd (2012)", "1. one\n2. two\n- three", "- ab\n- abc\nx\ny", "- ab\n- cd", "one", "", None, "* k (19)\n\nPage 1 of 2\n> long (1999) (2001)", "-\u00a0wide\n- \u2003item\r\n12) twelve", "1. a b\n2. c d\n- e f\n- g h"]
     docs = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "doc_id string, text string")
