@@ -49,7 +49,7 @@ def test_sections_are_parsed_once_and_where_they_are(spark):
 
 
 def test_lines_are_stripped_and_judged_once(spark):
-    for name in ("tvf12_rx11_language_lines", "tvf13_tvf16_courses", "tvf13_certificates"):
+    for name in ("tvf12_rx11_language_lines", "tvf13_tvf16_courses", "tvf13_certificates", "tvf9_rx10_schools"):
         assert plan_of(catalogue.QUERIES[name](spark, SF)).count("I accept the") == 1, name
     lines = ["", " ", "Page 1 of 2", "From *", "a *", "TRUE", "TRUE b", "____", "____ x", "Trang 1 / 2", "x\nFrom *", "Signature", "no Signature", "Approved ____", "data", None]
     rows = spark.createDataFrame([(x,) for x in lines], "x string").withColumn("x", text.strip("x"))
