@@ -48,9 +48,14 @@ def records(truth: list[dict], parsed: list, path: str) -> Mark:
     """SCO3: entries by their best partners, and how many there are. Parsed values that are no entries count for the number only."""
     issues = [f"SHORT    {path}: expected {len(truth)} entries, got {len(parsed)}"] if len(parsed) < len(truth) else []
     whole = [p for p in parsed if isinstance(p, dict)]
-    total = 0.0
-    for n, k in taken(truth, whole, lambda n, a, b: keys(a, b, f"{path}[{n}]")[0], 0.0):
-        mark, more = (0.0, [f"MISSING  {path}[{n}]: no matching entry found"]) if k is None else keys(truth[n], whole[k], f"{path}[{n}]")
+    total, marks = 0.0, {}
+
+    def score(n: int, a: dict, b: dict) -> float:
+        marks[id(b)] = keys(a, b, f"{path}[{n}]")
+        return marks[id(b)][0]
+
+    for n, k in taken(truth, whole, score, 0.0):
+        mark, more = (0.0, [f"MISSING  {path}[{n}]: no matching entry found"]) if k is None else marks[id(whole[k])]
         total += mark
         issues += more
     return CONTENT * total / len(truth) + (1 - CONTENT) * min(len(parsed), len(truth)) / len(truth), issues
@@ -66,14 +71,23 @@ def items(truth: list, parsed: list, path: str) -> Mark:
     return (1.0 if not truth or truth == parsed else 0.5), []
 
 
+def by_path(truth: dict, parsed: dict, path: str = "") -> dict[str, Mark]:
+    """The mark of each of the truth's keys, by its path."""
+    paths = {k: f"{path}.{k}" if path else k for k in truth}
+    return {paths[k]: value(t, parsed.get(k), paths[k]) for k, t in truth.items()}
+
+
+def weighed(marks: dict[str, Mark]) -> Mark:
+    """SCO2, AGG12: the weighted mean, 1 of none, and all issues."""
+    if not marks:
+        return 1.0, []
+    weights = {p: R.WEIGHTS.get(p, 1.0) for p in marks}
+    return sum(weights[p] * m for p, (m, _) in marks.items()) / sum(weights.values()), [i for _, more in marks.values() for i in more]
+
+
 def keys(truth: dict, parsed: dict, path: str = "") -> Mark:
     """SCO2, AGG12: the weighted mean over the truth's keys."""
-    if not truth:
-        return 1.0, []
-    paths = {k: f"{path}.{k}" if path else k for k in truth}
-    marks = {k: value(t, parsed.get(k), paths[k]) for k, t in truth.items()}
-    weights = {k: R.WEIGHTS.get(p, 1.0) for k, p in paths.items()}
-    return sum(weights[k] * m for k, (m, _) in marks.items()) / sum(weights.values()), [i for _, more in marks.values() for i in more]
+    return weighed(by_path(truth, parsed, path))
 
 
 def text(truth: str, parsed, path: str) -> Mark:
@@ -105,8 +119,9 @@ def evaluated(truth: str | None, parsed: str | None) -> tuple:
             return f"{name} is no JSON", 0.0, [], {}
         if not isinstance(read[name], dict):
             return f"{name} is no object", 0.0, [], {}
-    mark, issues = keys(read["truth"], read["parsed"])
-    return "scored", round(mark, 4), issues, {k: round(value(t, read["parsed"].get(k), k)[0], 3) for k, t in read["truth"].items() if k != "metadata"}
+    marks = by_path(read["truth"], read["parsed"])
+    mark, issues = weighed(marks)
+    return "scored", round(mark, 4), issues, {k: round(m, 3) for k, (m, _) in marks.items() if k != "metadata"}
 
 
 RESULT = T.StructType().add("status", T.StringType()).add("score", T.DoubleType()).add("issues", T.ArrayType(T.StringType())).add("field_scores", T.MapType(T.StringType(), T.DoubleType()))

@@ -4,8 +4,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from scrivel import catalogue
-from scrivel.functions import text
-from scrivel.operators import matching, parsers
+from scrivel.functions import fuzzy, text
+from scrivel.operators import matching, parsers, scoring
 from scrivel.plans import extract, inputs
 from scrivel.sources import files, grid
 from scrivel.streaming import job_stream
@@ -41,6 +41,20 @@ def test_records_are_joined_without_the_driver(spark):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan and "ENSURE_REQUIREMENTS" not in plan.split("SortMergeJoin")[1] and plan.count("REPARTITION_BY_NUM") == 2, plan
 
 
+def test_a_key_of_a_record_is_compared_once(monkeypatch):
+    asked, built = [], []
+    whole, ratio, entries = fuzzy._Automaton, fuzzy.ratio, '[{"a": "Dev", "b": "Wrote"}, {"a": "Lead", "b": "Led"}]'
+    monkeypatch.setattr(scoring, "ratio", lambda a, b: asked.append((a, b)) or ratio(a, b))
+    monkeypatch.setattr(fuzzy, "_Automaton", lambda *a: built.append(a) or whole(*a))
+    told = scoring.evaluated(f'{{"name": "An Mai", "mail": "x", "jobs": {entries}}}', '{"name": "AN  MAI ltd", "mail": "X", "jobs": [{"a": "Lead", "b": "Led"}, "text", {"a": "Dev"}]}')
+    assert told == ("scored", 0.8583, ["MISMATCH name: expected='An Mai', got='AN  MAI ltd' (sim=0.75)", "MISSING  jobs[0].b"], {"name": 0.75, "mail": 1.0, "jobs": 0.825})
+    # one for each text, and for the entries: both of the parsed ones for the first, the one left for the second
+    assert len(asked) == 2 + 3 + 2 and len(built) <= 2 * 3
+    for a, b in (("abc", "abc"), ("abc", "xabcx"), ("xabcx", "abc"), ("", "a"), ("ab" * 200, "ab" * 200)):
+        n = len(built)
+        assert fuzzy.in_common(a, b) == min(len(a), len(b)) and len(built) == n
+
+
 def test_sections_are_parsed_once_and_where_they_are(spark):
     texts = spark.createDataFrame([("a", 0, "awards", "- one (2011)\n- two")], "doc_id string, sec_no long, section string, text string")
     plan = extract._parsed(texts)._jdf.queryExecution().executedPlan().toString()
