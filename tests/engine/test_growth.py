@@ -55,6 +55,15 @@ def test_a_key_of_a_record_is_compared_once(monkeypatch):
         assert fuzzy.in_common(a, b) == min(len(a), len(b)) and len(built) == n
 
 
+def test_headings_of_a_table_are_read_once(spark):
+    for name in ("tvf3_rx13_jobs", "tvf4_schools", "tvf5_certificates", "tvf6_languages"):
+        assert plan_of(catalogue.QUERIES[name](spark, SF)).count(r"[^a-z0-9\s]") == 1, name
+    cells = [(["Tu", "Company", "Position", "Company name"], ["2010", "x", "Dev", "Acme"]), (["Position", "To"], ["Dev"]), (["Position", "Company"], ["From *", " "]), (["Thời gian", "Chức vụ"], ["2010 - nay", "Dev"]), (None, ["Dev"]), (["x"], ["Dev"]), (["Position"], None)]
+    rows = spark.createDataFrame([("a", k, h, c) for k, (h, c) in enumerate(cells)], "doc_id string, row_no int, header array<string>, cells array<string>")
+    assert sorted(tuple(r)[1:] for r in parsers.experience_table(rows).collect()) == [(0, "Dev", "Acme", "2010", None), (3, "Dev", None, "2010", None)]
+    assert sorted(tuple(r)[1:] for r in parsers.certificate_table(rows).collect() if r.row_no > 4) == [(5, "Dev", None, None)]
+
+
 def test_sections_are_parsed_once_and_where_they_are(spark):
     texts = spark.createDataFrame([("a", 0, "awards", "- one (2011)\n- two")], "doc_id string, sec_no long, section string, text string")
     plan = extract._parsed(texts)._jdf.queryExecution().executedPlan().toString()
