@@ -64,6 +64,11 @@ def test_headings_of_a_table_are_read_once(spark):
     assert sorted(tuple(r)[1:] for r in parsers.certificate_table(rows).collect() if r.row_no > 4) == [(5, "Dev", None, None)]
 
 
+def test_a_line_is_searched_only_for_what_its_letters_allow(spark):
+    plan = plan_of(catalogue.QUERIES["win2_entries"](spark, SF))
+    assert plan.count("RLIKE(") > 10 and ", RLIKE(" not in plan and plan.count("array(RLIKE(") == 1, plan
+
+
 def test_sections_are_parsed_once_and_where_they_are(spark):
     texts = spark.createDataFrame([("a", 0, "awards", "- one (2011)\n- two")], "doc_id string, sec_no long, section string, text string")
     plan = extract._parsed(texts)._jdf.queryExecution().executedPlan().toString()
