@@ -72,8 +72,8 @@ def test_a_line_is_searched_only_for_what_its_letters_allow(spark):
 def test_a_line_of_a_school_is_folded_once(spark):
     plan = plan_of(catalogue.QUERIES["tvf9_rx10_schools"](spark, SF))
     assert plan.count("translate(") == 1, plan.count("translate(")
-    rows = spark.createDataFrame([("Dai hoc X 2001-2005\nCertificate\nKHÁ",), ("Học viện Y\n3/2015\n4/2016",), ("no date\nCollege",), (None,)], "t string")
-    assert [r[0] for r in rows.select(parsers.schools(F.col("t"))).collect()] == [[{"startDate": "2001", "endDate": "2005", "degree": "Certificate", "otherSchool": "Dai hoc X", "grade": "Merit"}], [{"startDate": "3/2015", "endDate": "4/2016", "otherSchool": "Học viện Y"}], [{"degree": "College", "otherSchool": "College"}], None]
+    rows = spark.createDataFrame([("Dai hoc X 2001-2005\nCertificate\nKHÁ",), ("Học viện Y\nT3/2015\nT4/2016",), ("no date\nCollege",), (None,)], "t string")
+    assert [r[0] for r in rows.select(parsers.schools(F.col("t"))).collect()] == [[{"startDate": "2001", "endDate": "2005", "degree": "Certificate", "otherSchool": "Dai hoc X", "grade": "Merit"}], [{"startDate": "T3/2015", "endDate": "T4/2016", "otherSchool": "Học viện Y"}], [{"degree": "College", "otherSchool": "College"}], None]
 
 
 def test_sections_are_parsed_once_and_where_they_are(spark):
