@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from scrivel.plans.registry import CLEAN_SQL, query
 from scrivel.sources import grid, spans
 from scrivel.streaming.shared import bucketed
 
+#: Line items up to which a document is held as one row; longer ones are drawn as rows.
+HELD = 64
 _ROWS = made("lineitem", doc_id="cast(l_orderkey as string)", n=PLACE, part="cast(l_partkey as bigint)", supp="cast(l_suppkey as bigint)", quantity="cast(cast(l_quantity as int) as string)", odd="l_orderkey % 2 = 1")
 #: A row of the left table is one cell, two, or three; rows of three may share their first cell with the next row.
 _FREE = "supp % 4 >= 2"
@@ -42,7 +46,7 @@ _SPANS = [
 def _numbered(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("n", "quantity")
     shares = F.expr(f"part % 5 = 0 AND {_FREE}")
-    rows = _ROWS[0](spark, sf).withColumns({"k": F.row_number().over(order) - 1, "open": F.coalesce(shares & F.lead(F.expr(_FREE)).over(order), F.lit(False)), "closing": F.lead("n").over(order).isNull()})
+    rows = _ROWS[0](spark, sf).withColumns({"k": F.row_number().over(order) - 1, "open": F.coalesce(shares & F.lead(F.expr(_FREE)).over(order), F.lit(False)), "closing": F.lead("n").over(order).isNull(), "size": F.count("*").over(Window.partitionBy("doc_id"))})
     return bucketed(rows.withColumns({"open_before": F.coalesce(F.lag("open").over(order), F.lit(False)), "page": F.lit(0)}), "rows", "doc_id")
 
 
@@ -57,11 +61,21 @@ def _drawn(rows: DataFrame, parts: list) -> DataFrame:
     return rows.selectExpr("doc_id", "page", f"explode_outer(array_compact(array({', '.join(drawn)}))) AS e").selectExpr("doc_id", "page", "e.*").where("y0 is not null")
 
 
+def _held(rows: DataFrame) -> DataFrame:
+    """What is drawn for the line items of a document, as one row: the rules and spans of its one page."""
+    names = [k for k in rows.columns if k not in ("doc_id", "page", "size", "n")]
+    of_item = lambda e: re.sub(rf"'[^']*'|\b({'|'.join(names)})\b", lambda m: f"i.{m[1]}" if m[1] else m[0], e)
+    drawn = lambda parts: f"flatten(transform(items, i -> array_compact(array({', '.join(f'CASE WHEN {of_item(w)} THEN struct({', '.join(map(of_item, e[2:]))}) END' for w, e in parts)}))))"
+    items = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("items"))
+    return items.selectExpr("doc_id", "0 AS page", f"{drawn(_AS_RULES)} AS rules", f"{drawn(_AS_SPANS)} AS spans")
+
+
 def _tables(spark: SparkSession, sf: str) -> DataFrame:
     """Short line items are dealt by document, once, not the edges and spans that are drawn from them."""
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     rows = _numbered(spark, sf)
-    return grid.tables(_drawn(rows, _AS_RULES), _drawn(rows, _AS_SPANS), dealt=True)
+    held, long = grid.held_tables(_held(rows.where(F.col("size") <= HELD))), rows.where(F.col("size") > HELD)
+    return held if long.isEmpty() else held.unionByName(grid.tables(_drawn(long, _AS_RULES), _drawn(long, _AS_SPANS), dealt=True))
 
 
 def _drawn_sql(parts: list) -> str:

@@ -1,9 +1,11 @@
 """What keeps the work of a query in proportion to its input: rows dealt over tasks, nothing worked out twice or before that."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
-from scrivel import catalogue
+from scrivel import catalogue, catalogue_pages
 from scrivel.functions import fuzzy, text
 from scrivel.operators import matching, parsers, scoring
 from scrivel.plans import extract, inputs
@@ -126,6 +128,42 @@ def test_line_items_of_drawn_pages_are_dealt_and_nothing_else(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString() and {r.tableName for r in spark.sql("SHOW TABLES").collect()} == before
 
 
+def _odd_page(rand):
+    """Lines and boxes of a crooked grid with gaps, repeats and nulls, and words over it."""
+    xs, ys = [sorted(rand.sample(range(0, 300, 20), rand.randint(2, 5))) for _ in "xy"]
+    shake = lambda v: v + rand.choice((0.0, 0.0, 0.5, -1.0, 2.5))
+    rules = [(shake(a), shake(y), shake(b), shake(y)) for y in ys for a, b in zip(xs, xs[1:]) if rand.random() < 0.8]
+    rules += [(shake(x), shake(b), shake(x), shake(a)) for x in xs for a, b in zip(ys, ys[1:]) if rand.random() < 0.8]
+    rules += [(400.0, shake(y), 480.0, y + 20.0) for y in ys] + [(5.0, 5.0, 6.0, 6.0), (None, 0.0, 300.0, 0.0), (0.0, shake(ys[0]), 300.0, shake(ys[0]))] + rules[:2]
+    word = lambda: (rand.choice(xs) + rand.randint(-5, 25) / 2, shake(rand.choice(ys) + rand.randint(0, 20)))
+    spans = [(x, y, x + 10.0, y + 4.0, rand.choice(("a", "b ", "\u00a0", "", None, "Page 1 of 2"))) for x, y in (word() for _ in range(25))]
+    return rules, spans + spans[:2] + [(None, 10.0, 20.0, 12.0, "nowhere"), (410.0, ys[0] + 8.0, 420.0, ys[0] + 12.0, "boxed")]
+
+
+def test_held_pages_have_the_tables_of_rows(spark):
+    rand, places = random.Random(4), "x0 double, y0 double, x1 double, y1 double"
+    pages = [(f"d{k // 3}" if k != 7 else None, k % 3 if k != 8 else None, *_odd_page(rand)) for k in range(60)]
+    pages += [("empty", 0, [], []), ("one line", 0, [(0.0, 0.0, 300.0, 0.0)], []), ("one cell", 0, [(0.0, 0.0, 30.0, 30.0)], [])]
+    rules = spark.createDataFrame([(d, p, *r) for d, p, rs, _ in pages for r in rs], f"doc_id string, page int, {places}")
+    spans = spark.createDataFrame([(d, p, *w) for d, p, _, ws in pages for w in ws], f"doc_id string, page int, {places}, text string")
+    want = sorted(map(tuple, grid.tables(rules, spans).collect()))
+    held = spark.createDataFrame(pages, f"doc_id string, page int, rules array<struct<{places.replace(' ', ':').replace(',:', ',')}>>, spans array<struct<{places.replace(' ', ':').replace(',:', ',')},text:string>>")
+    got = grid.held_tables(held)
+    assert len(want) > 100 and max(w[1] for w in want) > 2 and sorted(map(tuple, got.collect())) == want
+    assert [f.dataType for f in got.schema] == [f.dataType for f in grid.tables(rules, spans).schema]
+
+
+def test_short_documents_are_held_and_long_ones_drawn_as_rows(spark, monkeypatch):
+    held = catalogue.QUERIES["src3_cell_grid"](spark, "/root/testdata/sf0.001")
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    # the window that numbers tables is the only one, and nothing is joined
+    assert "Join" not in plan and "Exchange" not in plan and plan.count("Window ") == 1 and plan.count("arrays_overlap") == 2, plan
+    want = sorted(map(tuple, held.collect()))
+    monkeypatch.setattr(catalogue_pages, "HELD", 4)
+    both = catalogue.QUERIES["src3_cell_grid"](spark, "/root/testdata/sf0.001")
+    assert "Union" in both._jdf.queryExecution().executedPlan().toString() and sorted(map(tuple, both.collect())) == want
+
+
 def test_a_label_is_matched_once(spark):
     asked = spark.createDataFrame([("p", k, "Full name", k) for k in range(50)], "doc_id string, pos int, label string, more int")
     plan = matching.fuzzy_candidates(asked)._jdf.queryExecution().optimizedPlan().toString()
