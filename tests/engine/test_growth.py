@@ -164,6 +164,12 @@ def test_short_documents_are_held_and_long_ones_drawn_as_rows(spark, monkeypatch
     assert "Union" in both._jdf.queryExecution().executedPlan().toString() and sorted(map(tuple, both.collect())) == want
 
 
+def test_rows_of_held_pages_are_filtered_after_their_tables(spark):
+    got = catalogue.QUERIES["src3_page_tables"](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Window ") == 1 and plan.count("arrays_overlap") == 2 and plan.count("BatchScan") + plan.count("FileScan") == 1, plan
+
+
 def test_a_label_is_matched_once(spark):
     asked = spark.createDataFrame([("p", k, "Full name", k) for k in range(50)], "doc_id string, pos int, label string, more int")
     plan = matching.fuzzy_candidates(asked)._jdf.queryExecution().optimizedPlan().toString()
